@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.llm import shared
+
 #: No document is repeated more than this many times.
 MAX_REPEATS = 3
 #: Budget up to which the exact knapsack runs; larger gaps are first filled from the longest length down.
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     sizes = docs.select(
         "doc_id", "source", key.alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("draw")
     ).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
-    sizes = sizes.checkpoint()
+    sizes = shared.checkpoint(sizes)
     totals = {r["key"]: r["total"] for r in sizes.groupBy("key").agg(F.sum("size").alias("total")).collect()}
     names = sorted(totals, key=lambda k: (k[0] == "n", k))
     targets = dict(zip(names, share_out([totals[k] for k in names], [weights[i % len(weights)] for i in range(len(names))], repeats), strict=True))

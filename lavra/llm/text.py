@@ -109,8 +109,14 @@ class Words:
             up, down = _power_table(len(data) + 1)
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
+            self._total, self._down = total, down
             self.hash = mix64((total[self.end] - total[self.start]) * down[self.start])
 
+    def beginnings(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of these words, which must be as long."""
+        start = self.start[which]
+        return mix64((self._total[start + n] - self._total[start]) * self._down[start])
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
