@@ -243,3 +243,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     n_hit = F.aggregate(F.transform("ranges", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents whose id no contaminated row has, with their columns; rows without id stay."""
+    bad = decontaminate(docs, benchmark, window).filter("contaminated and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.llm import license as licenses
-from lavra.llm import decontam, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
+from lavra.llm import decontam, jaccard, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
+    "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
     "op10_suffixes": op10_suffixes,
 }
