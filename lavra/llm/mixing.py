@@ -129,12 +129,12 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share doc_id, source and size are interchangeable; their copies are dealt out evenly.
     """
-    same = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"))
+    plan = plan.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
     rows = docs.withColumn("__size", size_of(F.col("text")))
-    match = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["__size"] == plan["size"])
-    joined = rows.join(plan, match).select(*[rows[c] for c in docs.columns], "__size", "copies", "rows")
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
+    joined = rows.join(plan, match)
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0)))
-    copies = F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0))
-    repeated = joined.withColumn("__copies", copies.cast("int")).filter("__copies > 0")
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    repeated = joined.withColumn("__share", share.cast("int")).filter("__share > 0")
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias("copy"))
