@@ -137,4 +137,7 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0)))
     share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
     repeated = joined.withColumn("__share", share.cast("int")).filter("__share > 0")
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias("copy"))
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias(number))

@@ -2,4 +2,86 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from lavra.llm import decontam, jaccard
+from lavra.llm import license as licenses
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
+
+
+def _words(column: str) -> str:
+    return rf"regexp_extract_all({_lowered(column)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, w[i : i + least({decontam.WINDOW}, len(w)) - 1] AS g
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - {decontam.WINDOW - 1}))) AS i FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT len(g) AS n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.i, p.n, x.item FROM (SELECT doc_id, i, n, w[i : i + n - 1] AS g FROM places) p JOIN windows x ON p.g = x.g),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontam.HIT_SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"({t}, '{label}', '{text}', {base}, {pairs})" for t, (label, text, base, pairs) in enumerate(licenses.templates()))
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+t(template, label, phrase, base, pairs) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT template, label, base, pairs, string_split(phrase, ' ') AS p FROM t),
+grams AS (SELECT template, label, base, pairs, i - 1 AS tpos, p[i] AS a, p[i + 1] AS b FROM (SELECT *, unnest(generate_series(1, pairs)) AS i FROM tw)),
+pairs AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+hits AS (SELECT doc_id, pos, template, label, base, grams.pairs AS pairs, tpos, pos - tpos AS diagonal FROM pairs JOIN grams USING (a, b)),
+diagonals AS (SELECT DISTINCT doc_id, template, base, diagonal FROM hits),
+gaps AS (
+  SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER v > CASE WHEN base = 1 THEN 0 ELSE {licenses.MERGE} END AS INTEGER), 0) AS gap
+  FROM diagonals WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)
+),
+banded AS (SELECT doc_id, template, diagonal, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM gaps),
+bands AS (
+  SELECT h.doc_id, template, label, base, pairs, band, count(DISTINCT tpos) AS covered, min(pos) AS low, max(pos) AS high, min(diagonal) AS start
+  FROM hits h JOIN banded USING (doc_id, template, diagonal) GROUP BY ALL
+),
+found AS (
+  SELECT *, base = 1 AND covered = pairs AS place,
+    base = 0 AND covered / pairs >= {licenses.COVER} AND high - low + 1 <= {licenses.STRETCH} * pairs AS notice
+  FROM bands
+),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (place OR notice))), ',') AS labels,
+    max(CASE WHEN place THEN 1.0::DOUBLE WHEN notice THEN covered / pairs END) AS score
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN by_doc USING (doc_id)
+"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lowered('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {jaccard.SHINGLE} THEN w ELSE w[i : i + {jaccard.SHINGLE - 1}] END AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - {jaccard.SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {jaccard.SIMILAR} * (x.n + y.n - c)),
+either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reached r JOIN either e ON e.a = r.seen)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reached GROUP BY doc_id) m USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_licenses": OP7, "op8_jaccard": OP8}
