@@ -87,13 +87,14 @@ def semantic(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, ve
     The batch of queries is collected into blocks of an array literal only if it
     is no larger than `most_queries`; a scan of the chunks then scores all of them.
     """
-    small = queries.select(query_key, doubles(F.col(vector)).alias("q")).filter("q is not null").withColumn("norm", F.sqrt(dot(F.col("q"), F.col("q")))).limit(most_queries + 1)
+    asked, there = F.col("__query"), F.col("__vector")
+    small = queries.select(query_key, doubles(F.col(vector)).alias("__query")).filter("__query is not null").withColumn("__norm", F.sqrt(dot(asked, asked))).limit(most_queries + 1)
     if small.count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; send them in batches")
-    usable = chunks.filter(F.col(vector).isNotNull()).select(key, doubles(F.col(vector)).alias("v")).withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    pairs = usable.join(F.broadcast(small), F.size("v") == F.size("q"))  # bounded by most_queries
-    score = F.when(F.col("norm") * F.col("v_norm") == 0, 0.0).otherwise(dot(F.col("q"), F.col("v")) / (F.col("norm") * F.col("v_norm")))
-    return pairs.select(query_key, key, score.alias("score"))
+    usable = chunks.filter(F.col(vector).isNotNull()).select(key, doubles(F.col(vector)).alias("__vector")).withColumn("__length", F.sqrt(dot(there, there)))
+    pairs = usable.join(F.broadcast(small), F.size("__vector") == F.size("__query"))  # bounded by most_queries
+    norms = F.col("__norm") * F.col("__length")
+    return pairs.select(query_key, key, F.when(norms == 0, 0.0).otherwise(dot(asked, there) / norms).alias("score"))
 
 
 def fuse(legs: list[DataFrame], query_key: str, key: str, k: int = TOP_K) -> DataFrame:

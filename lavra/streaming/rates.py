@@ -17,9 +17,9 @@ def recent_counts(events: DataFrame, key: str, ts: str, seconds: int, name: str
     return events.withColumn(name, F.count("*").over(w))
 
 
-def sliding_rates(events: DataFrame, key: str, ts: str, seconds: int, step: int, late: str = "10 minutes") -> DataFrame:
-    """Counts per key in sliding windows of a stream, with late data up to the watermark."""
-    marked = events.withWatermark(ts, late)
+def sliding_rates(events: DataFrame, key: str, ts: str, seconds: int, step: int, late: str | None = "10 minutes") -> DataFrame:
+    """Counts per key in sliding windows of a stream, with late data up to the watermark (None if the stream has one)."""
+    marked = events.withWatermark(ts, late) if late else events
     return marked.groupBy(F.window(ts, f"{seconds} seconds", f"{step} seconds"), key).agg(F.count("*").alias("n"))
 
 
