@@ -41,9 +41,9 @@ from lavra.llm.graph import connected_components
 #: Similarity in hundredths, words of a shingle, number of orders.
 SIMILAR, SHINGLE, ORDERS = 90, 3, 3
 #: Counters of the frequency sketch, and the ranges it is summed in.
-SKETCH, RANGES = 1 << 21, 64
+SKETCH, RANGES = 1 << 23, 128
 #: Postings of a bucket to aim at; postings from which a shingle doesn't go to one task; documents of a block.
-BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS = 500_000, 200_000, 768
+BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS = 200_000, 100_000, 512
 #: Groups of up to so many documents are paired; larger ones are chained.
 PAIRED = 6
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "node", "range", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pending, held = np.zeros(SKETCH, np.uint32), [], 0
+        counts = np.zeros(SKETCH, np.uint32)
         kind = None
         for batch in tx.blocks(batches):
             kind = batch.column("doc_id").type
@@ -95,13 +95,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
-            pending += [(s & np.uint64(SKETCH - 1)).astype(np.int64) for s in sets]
-            held += sum(map(len, sets))
-            if held > SKETCH:
-                counts += np.bincount(np.concatenate(pending), minlength=SKETCH).astype(np.uint32)
-                pending, held = [], 0
+            np.add.at(counts, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         if kind is not None:
-            counts += np.bincount(np.concatenate(pending), minlength=SKETCH).astype(np.uint32) if pending else np.uint32(0)
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, RANGES)]
             none = pa.nulls(RANGES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, kind), none, none, pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=names)
@@ -289,7 +284,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("doc_id", "node", "root", "block", other.alias("other"))
     meetings = shared.checkpoint(placed.select("doc_id", "node", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
-    tasks = max(1, meetings.count() // (2 * BLOCK_DOCS))
+    tasks = max(1, meetings.count() // BLOCK_DOCS)
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def verify(table: pa.Table) -> pa.Table:
