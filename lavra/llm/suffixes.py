@@ -6,7 +6,7 @@ of the corpus too.
 1. Anchors. In every 200-byte window of a text the gram with the smallest hash
    is an anchor, so equal windows have an anchor gram in common. Anchor grams
    that occur at one place only are dropped by a grouped minimum and maximum.
-2. Contexts. Around each shared anchor the at most 384 bytes are cut out that
+2. Contexts. Around each shared anchor the at most 368 bytes are cut out that
    the windows with that anchor cover. Contexts with the same anchor go to the
    same block, many anchors to a block of bounded size.
 3. Suffix sorting. A block's distinct contexts are written as a string of
@@ -42,9 +42,9 @@ from lavra.llm import shared
 from lavra.llm import text as tx
 
 #: Bytes of a repeated string, of an anchor gram, and of a gram and window that cut chunks.
-LENGTH, GRAM, CHUNK_GRAM, CHUNK_WINDOW = 200, 16, 8, 32
+LENGTH, GRAM, CHUNK_GRAM, CHUNK_WINDOW = 200, 32, 8, 40
 #: Contexts of a block to aim at, and contexts of one anchor that a block takes at most.
-BLOCK_CONTEXTS, HOT_CONTEXTS = 16_000, 50_000
+BLOCK_CONTEXTS, HOT_CONTEXTS = 4_000, 20_000
 
 _VALUES = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITION_BITS = np.uint64(30)
@@ -316,7 +316,8 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
                 [pa.array(hashes.at(places, gram).view(np.int64)), pa.array(h[doc]), pa.array((places - offsets[doc]).astype(np.int32))], names=["a", "h", "p"]
             )
 
-    found = base.filter(F.col("n") >= length).select("h", "text").mapInArrow(find_anchors, "a long, h long, p int")
+    # Stored, as it is read twice and costs a pass over all texts.
+    found, anchor_path = shared.store(base.filter(F.col("n") >= length).select("h", "text").mapInArrow(find_anchors, "a long, h long, p int"), "anchors")
     place = F.xxhash64("h", "p")
     shared_anchors = found.groupBy("a").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("times")).filter("low != high").select("a", (F.col("times") > hot).alias("hot"))
     # An anchor's place and, in the lowest bit, whether the anchor is hot.
@@ -337,6 +338,7 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
         ),
         "texts",
     )
+    shared.drop(docs.sparkSession, anchor_path)
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "row", "start", "hot", "context"]
