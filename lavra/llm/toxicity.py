@@ -28,7 +28,7 @@ from lavra.llm.labelled import held_out, sample
 SAMPLE_ROWS = 6_000
 #: Bytes of the word beginnings that count as features beside the word.
 BEGINNINGS = (5, 6, 7)
-#: Hash slots of features; documents of the sample a feature must occur in, and share of them it may occur in.
+#: Hash slots of features; documents of the sample a feature must occur in, and share of those without toxicity it may occur in.
 SLOTS, MIN_DOCS, MOST_DOCS = 1 << 20, 4, 0.2
 #: Steps, rate and L1 penalty of the fit.
 STEPS, RATE, LASSO = 200, 0.15, 2e-4
@@ -137,8 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     slot = slots.flatten().to_numpy().astype(np.int64)
     place = table["places"].combine_chunks().flatten().to_numpy()
     doc = np.repeat(np.arange(len(size)), size)
-    in_docs = np.bincount(np.unique(doc * SLOTS + slot) % SLOTS, minlength=SLOTS)
-    useful = (in_docs >= MIN_DOCS) & (in_docs <= max(MIN_DOCS, MOST_DOCS * len(label)))
+    held = np.unique(doc * SLOTS + slot)  # each document's distinct features
+    in_docs = np.bincount(held % SLOTS, minlength=SLOTS)
+    # Common words are left out; common among the clean ones, as an offence may stand in every toxic document.
+    clean_label = label == 0
+    in_clean = np.bincount(held[clean_label[held // SLOTS]] % SLOTS, minlength=SLOTS)
+    useful = (in_docs >= MIN_DOCS) & (in_clean <= max(MIN_DOCS, MOST_DOCS * clean_label.sum()))
     known = np.flatnonzero(useful)
     sentences, sentence = np.unique(doc * (1 << 32) + place, return_inverse=True)
     keep = useful[slot]
