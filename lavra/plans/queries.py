@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra import providers, schemas
@@ -24,7 +24,9 @@ def query(f: Query) -> Query:
     return f
 
 
-NONE = F.lit(None).cast("string")
+def none() -> Column:
+    return F.lit(None).cast("string")
+
 
 # ---------------------------------------------------------------- extraction
 
@@ -32,7 +34,7 @@ NONE = F.lit(None).cast("string")
 @query
 def extract_integer(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    value = extract.extract("numero_inteiro", as_items(F.col("text")), NONE)
+    value = extract.extract("numero_inteiro", as_items(F.col("text")), none())
     return docs.select("doc_id", value.alias("value")).filter("value is not null")
 
 
@@ -59,13 +61,13 @@ def extract_number_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_boolean_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    value = extract.extract("booleano", as_items(F.col("text")), NONE, F.array(F.lit("The"), F.lit("AND")))
+    value = extract.extract("booleano", as_items(F.col("text")), none(), F.array(F.lit("The"), F.lit("AND")))
     return table(spark, sf, "documents").select("doc_id", value.alias("value"))
 
 
 @query
 def extract_legal_regex(spark: SparkSession, sf: str) -> DataFrame:
-    value = extract.extract("legal", as_items(F.col("text")), NONE, pattern=F.lit(r"licen[sc]e|lizenz"))
+    value = extract.extract("legal", as_items(F.col("text")), none(), pattern=F.lit(r"licen[sc]e|lizenz"))
     return table(spark, sf, "documents").select("doc_id", value.alias("value"))
 
 
