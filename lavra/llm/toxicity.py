@@ -142,11 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # Common words are left out; common among the clean ones, as an offence may stand in every toxic document.
     clean_label = label == 0
     in_clean = np.bincount(held[clean_label[held // SLOTS]] % SLOTS, minlength=SLOTS)
+    del held
     useful = (in_docs >= MIN_DOCS) & (in_clean <= max(MIN_DOCS, MOST_DOCS * clean_label.sum()))
     known = np.flatnonzero(useful)
-    sentences, sentence = np.unique(doc * (1 << 32) + place, return_inverse=True)
+    # Places number a document's sentences from 0 without gaps, so each document's start at a running total.
+    sentences = np.zeros(len(size), np.int64)
+    np.maximum.at(sentences, doc, place + 1)
     keep = useful[slot]
-    learned, bias = train(np.searchsorted(known, slot[keep]), sentence[keep], sentences >> 32, label)
+    learned, bias = train(np.searchsorted(known, slot[keep]), (np.cumsum(sentences) - sentences)[doc[keep]] + place[keep], np.repeat(np.arange(len(size)), sentences), label)
     weights[known[: len(learned)]] = learned
     return Model(bias, weights)
 
