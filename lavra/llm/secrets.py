@@ -12,6 +12,7 @@ scanned alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -46,7 +47,11 @@ ALLOWED = (
     re.compile(r"[0-9+/_=-]+"),
 )
 ALLOWED_BEFORE = re.compile(r"(?i)(sha-?[0-9]*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$")
-_XLOGX = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+
+
+@functools.cache
+def _xlogx(most: int) -> list[float]:
+    return [0.0, *(c * math.log2(c) for c in range(1, most + 1))]
 
 
 def peak_entropy(text: str, window: int = WINDOW) -> float:
@@ -54,17 +59,18 @@ def peak_entropy(text: str, window: int = WINDOW) -> float:
     size = min(window, len(text))
     if not size:
         return 0.0
+    xlogx = _xlogx(size)
     counts: dict[str, int] = {}
     terms, best = 0.0, 0.0
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        terms += _XLOGX[n + 1] - _XLOGX[n]
-        counts[c] = n + 1
-        if i >= size:
+        if i >= size:  # out before in, so that no count exceeds the window
             old = text[i - size]
             n = counts[old]
-            terms += _XLOGX[n - 1] - _XLOGX[n]
+            terms += xlogx[n - 1] - xlogx[n]
             counts[old] = n - 1
+        n = counts.get(c, 0)
+        terms += xlogx[n + 1] - xlogx[n]
+        counts[c] = n + 1
         if i >= size - 1:
             best = max(best, math.log2(size) - terms / size)
     return best
