@@ -283,7 +283,7 @@ def repeated_spans(rows: np.ndarray, starts: np.ndarray, contexts: pa.Array, len
     fresh = np.ones(len(of), bool)
     fresh[1:] = (of[1:] != of[:-1]) | (offset[1:] - offset[:-1] > length)
     begins = np.flatnonzero(fresh)
-    stops = np.append(begins[1:], len(of)) - 1
+    stops = np.append(begins[1:], len(of))[: len(begins)] - 1
     owner, a, b = of[begins], offset[begins], offset[stops] + length
     covered = repeated & ~chosen & (size >= length)
     owner, a, b = np.concatenate([owner, np.flatnonzero(covered)]), np.concatenate([a, np.zeros(covered.sum(), np.int64)]), np.concatenate([b, size[covered]])
