@@ -6,7 +6,10 @@ stored as one row in the shared folder. A query is a window of consecutive
 words of a benchmark item. Each shard takes a window's terms from the rarest
 there to the most frequent and intersects their offset-adjusted posting lists;
 what is left are the exact phrases. With a slop, proximity matches are found
-from the rarest terms as well: each must stand within the slop of its place.
+from the rarest terms as well: a window matches at a place if its terms stand
+within the slop of theirs, but for `missing` of them (one in four at most). Such
+a match holds one of its missing + 1 rarest terms, whichever those are in a
+shard, so the sharding doesn't change the result.
 
 The index stores postings of the terms that the benchmark uses, or of all terms
 if the benchmark uses too many. A benchmark larger than PART_BYTES is answered
@@ -108,8 +111,15 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, window: i
     return docs.select("doc_id", "text").mapInArrow(run, INDEX)
 
 
-def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray, slop: int, rarest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place of its first word) of all matches in a shard; with a slop, of proximity matches by the rarest terms."""
+def _stands(keys: np.ndarray, term: np.ndarray, place: np.ndarray, slop: int = 0) -> np.ndarray:
+    """Whether the term stands at the place, or within the slop of it."""
+    low = term * (1 << 32) + np.maximum(place - slop, 0)
+    near = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+    return (place + slop >= 0) & (keys[near] >= low) & (keys[near] <= term * (1 << 32) + place + slop)
+
+
+def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place of its first word) of all exact matches in a shard."""
     lists = np.where(queries.terms >= 0, counts[queries.terms], np.iinfo(np.int64).max)
     alive = np.flatnonzero(lists.min(axis=1) > 0) if len(lists) else np.zeros(0, np.int64)
     order = np.argsort(lists[alive], axis=1, kind="stable")
@@ -123,12 +133,10 @@ def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: n
         w = np.repeat(np.arange(at, stop), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = places[firsts[terms[w, 0]] + within] - order[w, 0]
-        for r in range(1, queries.terms.shape[1] if not slop else min(rarest, queries.terms.shape[1])):
+        for r in range(1, queries.terms.shape[1]):
             term = terms[w, r]
             there = term < 0  # shorter windows have no such term
-            goal = np.maximum(term, 0) * (1 << 32) + np.maximum(start + order[w, r] - slop, 0)
-            near = np.minimum(np.searchsorted(keys, goal), len(keys) - 1)
-            there |= (keys[near] >= goal) & (keys[near] <= goal + 2 * slop)
+            there |= _stands(keys, np.maximum(term, 0), start + order[w, r])
             w, start = w[there], start[there]
         out_w.append(alive[w])
         out_p.append(start)
@@ -138,7 +146,44 @@ def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: n
     return np.concatenate(out_w), np.concatenate(out_p)
 
 
-def _answers(queries: Queries, names: list[str], shard: dict, slop: int, rarest: int, window: int) -> tuple[list, list]:
+def _proximity(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray, slop: int, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place of its first word, place of a term found) of all proximity matches in a shard."""
+    real = queries.terms >= 0
+    lists = np.where(real, counts[queries.terms], np.iinfo(np.int64).max)
+    allowed = np.minimum(missing, (queries.lengths - 1) // 4)
+    alive = np.flatnonzero(((lists > 0) & real).sum(axis=1) >= queries.lengths - allowed)
+    order = np.argsort(lists[alive], axis=1, kind="stable")
+    shifts = np.arange(-slop, slop + 1)
+    load = np.cumsum(np.where(real, counts[queries.terms], 0)[alive[:, None], order[:, : missing + 1]].sum(axis=1) * len(shifts))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(alive):
+        stop = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + CHUNK, side="right")))
+        tried = []
+        for r in range(min(missing + 1, queries.terms.shape[1])):
+            own = np.arange(at, stop)
+            own = own[allowed[alive[own]] >= r]
+            term = queries.terms[alive[own], order[own, r]]
+            n = counts[term]
+            w = np.repeat(own, n)
+            spot = places[np.repeat(firsts[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            start = (spot - order[w, r])[:, None] + shifts
+            tried.append((np.repeat(alive[w], len(shifts)), start.ravel(), np.repeat(spot, len(shifts))))
+        w, start, spot = (np.concatenate(x) for x in zip(*tried, strict=True))
+        _, one = np.unique(np.stack([w, start], axis=1), axis=0, return_index=True)
+        w, start, spot = w[one], start[one], spot[one]
+        held = np.zeros(len(w), np.int64)
+        for c in range(queries.terms.shape[1]):
+            term = queries.terms[w, c]
+            held += (term >= 0) & _stands(keys, np.maximum(term, 0), start + c, slop)
+        enough = held >= queries.lengths[w] - allowed[w]
+        found.append((w[enough], start[enough], spot[enough]))
+        at = stop
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
+
+
+def _answers(queries: Queries, names: list[str], shard: dict, slop: int, missing: int, window: int) -> tuple[list, list]:
     """Hit word ranges (flat start, end pairs) and item names of each document of a shard."""
     sizes = np.asarray(shard["words"], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes + window)])
@@ -155,11 +200,15 @@ def _answers(queries: Queries, names: list[str], shard: dict, slop: int, rarest:
     counts[number[ours]] = all_counts[ours]
     firsts = np.cumsum(counts) - counts
     keys = np.repeat(np.arange(len(counts)), counts) * (1 << 32) + places
-    w, start = _intersect(queries, counts, firsts, keys, places, slop, rarest)
+    if slop:
+        w, start, spot = _proximity(queries, counts, firsts, keys, places, slop, missing)
+    else:
+        w, start = _intersect(queries, counts, firsts, keys, places)
+        spot = start
     if not len(w):
         return ranges, items
-    doc = np.searchsorted(first, start, side="right") - 1
-    low = np.maximum(start - first[doc], 0)
+    doc = np.searchsorted(first, spot, side="right") - 1
+    low = np.clip(start - first[doc], 0, np.maximum(sizes[doc] - 1, 0))
     high = np.minimum(start - first[doc] + queries.lengths[w], sizes[doc])
     order = np.lexsort((low, doc))
     for d, a, b in zip(doc[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
@@ -177,7 +226,7 @@ def _answers(queries: Queries, names: list[str], shard: dict, slop: int, rarest:
     return ranges, items
 
 
-def search(index: DataFrame, queries: Queries, slop: int = 0, rarest: int = 3, window: int = WINDOW) -> DataFrame:
+def search(index: DataFrame, queries: Queries, slop: int = 0, missing: int = 1, window: int = WINDOW) -> DataFrame:
     """Each indexed document with its word count, hit word ranges and the items found in it."""
     sent = index.sparkSession.sparkContext.broadcast(queries)
 
@@ -187,7 +236,7 @@ def search(index: DataFrame, queries: Queries, slop: int = 0, rarest: int = 3, w
             for i in range(batch.num_rows):
                 shard = {c: batch.column(c)[i].values for c in ("docs", "words", "terms", "counts", "places")}
                 ids = shard.pop("docs")
-                ranges, items = _answers(q, q.names, {c: v.to_numpy(zero_copy_only=False) for c, v in shard.items()}, slop, rarest, window)
+                ranges, items = _answers(q, q.names, {c: v.to_numpy(zero_copy_only=False) for c, v in shard.items()}, slop, missing, window)
                 yield pa.RecordBatch.from_arrays(
                     [ids, shard["words"].cast(pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "ranges", "items"],
