@@ -50,12 +50,32 @@ def share_out(totals: list[int], weights: list[float], repeats: int = MAX_REPEAT
 
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that the lengths add up to the budget or closely below."""
+    """How many documents of each length to take so that the lengths add up to the budget or closely below.
+
+    A proportional share of every length is the start. Where the rest can't close
+    the gap, some of the share is given back, in doubling steps, and fitted anew.
+    """
     whole = sum(n * c for n, c in counts.items())
     if budget >= whole:
         return dict(counts)
-    taken = {n: c * budget // whole for n, c in counts.items()}
-    gap = budget - sum(n * c for n, c in taken.items())
+    share = {n: c * budget // whole for n, c in counts.items()}
+    best: dict[int, int] = {}
+    missed, back = budget + 1, 0
+    while missed:
+        start = {n: max(0, k - back) for n, k in share.items()}
+        taken = _close_gap(counts, start, budget - sum(n * k for n, k in start.items()))
+        gap = budget - sum(n * k for n, k in taken.items())
+        if gap < missed:
+            best, missed = taken, gap
+        if not any(start.values()):
+            break
+        back = max(1, 2 * back)
+    return best
+
+
+def _close_gap(counts: dict[int, int], start: dict[int, int], gap: int) -> dict[int, int]:
+    """The start with further documents that add up to the gap or closely below."""
+    taken = dict(start)
     order = sorted(counts, reverse=True)
     moved = True
     while gap > KNAPSACK_WORDS and moved:
