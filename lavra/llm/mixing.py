@@ -3,7 +3,9 @@
 Each source gets a word budget. Whole passes over a source are taken as often
 as they fit; the remaining budget is fitted by document length: the documents
 are counted by exact length, a proportional share of every length is taken,
-and a bounded knapsack closes the gap. Which documents of a length are taken
+and a bounded knapsack closes the gap. Where a source is too small for that, the
+fit gives back its share, and then the passes: a document may come up to
+MAX_REPEATS times while others are left out. Which documents of a length are taken
 follows a seeded hash of their ids, so reruns agree.
 
 Defined results: a null or empty text has size 0 and takes no part; a null
@@ -122,25 +124,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     plan = [(k, int(totals[k]), float(targets[k]), int(targets[k] // totals[k]) if totals[k] else 0) for k in names]
     spark = docs.sparkSession
     budget = spark.createDataFrame(plan, "key string, source_size long, target double, passes int")
+    passes_of = {k: passes for k, _, _, passes in plan}
     rest = {k: round(target) - passes * size for k, size, target, passes in plan}
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         name = group["key"].iloc[0]
-        taken = fit_budget(dict(zip(group["size"].tolist(), group["n"].tolist(), strict=True)), max(0, rest[name]))
-        return pd.DataFrame({"key": name, "size": list(taken), "picks": list(taken.values())})
+        counts = dict(zip(group["size"].tolist(), group["n"].tolist(), strict=True))
+        taken, base = fit_budget(counts, max(0, rest[name])), 0
+        words = lambda chosen: sum(n * k for n, k in chosen.items())
+        if words(taken) < rest[name]:
+            # The whole passes are given back, and each document may come up to `repeats` times.
+            size = words(counts)
+            again = fit_budget({n: repeats * c for n, c in counts.items()}, rest[name] + passes_of[name] * size)
+            if words(again) - passes_of[name] * size > words(taken):
+                taken, base = again, -passes_of[name]
+        return pd.DataFrame({"key": name, "size": list(taken), "base": [base + k // counts[n] for n, k in taken.items()], "picks": [k % counts[n] for n, k in taken.items()]})
 
     by_bucket = sizes.filter("size > 0").groupBy("key", "size", "bucket").agg(F.count("*").alias("n"))
     by_length = by_bucket.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    picks = by_length.groupBy("key").applyInPandas(fit, "key string, size long, picks long")
+    picks = by_length.groupBy("key").applyInPandas(fit, "key string, size long, base int, picks long")
     before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     open_buckets = (
         by_bucket.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .join(picks, ["key", "size"])
-        .select("key", "size", "bucket", F.least("n", F.greatest(F.lit(0), F.col("picks") - F.col("before"))).alias("quota"))
+        .select("key", "size", "bucket", "base", F.least("n", F.greatest(F.lit(0), F.col("picks") - F.col("before"))).alias("quota"))
     )
     nth = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id"))
     chosen = sizes.withColumn("nth", nth).join(open_buckets, ["key", "size", "bucket"], "left").join(F.broadcast(budget), "key")
-    copies = F.col("passes") + F.when(F.col("nth") <= F.col("quota"), 1).otherwise(0)
+    copies = F.col("passes") + F.coalesce("base", F.lit(0)) + F.when(F.col("nth") <= F.col("quota"), 1).otherwise(0)
     return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
