@@ -80,7 +80,7 @@ def signature(shingles: np.ndarray) -> int:
     return int(tx.mix64(mixed.sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n, node) of every document, and each task's share of the sketch as rows of (range, counts)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n", "node", "range", "counts"]
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         kind = None
         for batch in tx.blocks(batches):
             kind = batch.column("doc_id").type
-            sets = tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), SHINGLE)
+            sets = tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
@@ -167,7 +167,7 @@ def bucket_edges(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.nda
     return pair[:, 0], pair[:, 1]
 
 
-def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int) -> DataFrame:
+def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingle: int = SHINGLE) -> DataFrame:
     """(node, root): candidate clusters under the first order; rows: about how many postings its prefixes have."""
     sent = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
 
@@ -175,7 +175,7 @@ def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int) -> Dat
         seen: set[int] = set()  # equal sets of a task count once
         for batch in tx.blocks(batches):
             node, size, tokens = [], [], []
-            for s in tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), SHINGLE):
+            for s in tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle):
                 if len(s) and (own := signature(s)) not in seen:
                     seen.add(own)
                     node.append(own)
@@ -273,10 +273,10 @@ def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cro
     return out
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links between nodes that connect all similar documents."""
     rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
-    found = shared.checkpoint(clusters(docs, level, similar, int(rows)))
+    found = shared.checkpoint(clusters(docs, level, similar, int(rows), shingle))
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
     first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     placed = found.join(sizes, "root").join(first, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK_DOCS).cast("int"))
@@ -291,7 +291,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
         table = table.combine_chunks()
         sets: list[np.ndarray] = []
         for batch in tx.blocks(table.to_batches()):
-            sets += tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), SHINGLE)
+            sets += tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
         node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
         one, two = table.column("one").to_numpy(), table.column("two").to_numpy()
         same = np.array([len(s) > 0 and signature(s) == k for s, k in zip(sets, node.tolist(), strict=True)], bool)  # not another text of the same id
@@ -311,12 +311,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
     return texts.groupBy("task").applyInArrow(verify, "a long, b long")
 
 
-def components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def components(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    found, _ = shared.store(signatures(docs), "shingle-sets")
+    found, _ = shared.store(signatures(docs, shingle), "shingle-sets")
     nodes = found.filter("range is null").select("doc_id", "n", "node")
     level = sketch_levels(found)
-    roots = connected_components(similar_links(docs, nodes, level, similar))
+    roots = connected_components(similar_links(docs, nodes, level, similar, shingle))
     first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = first.groupBy("root").agg(F.min("first").alias("component"))
     named = first.join(smallest, "root").select(F.col("node").alias("of"), "component")
@@ -325,9 +325,9 @@ def components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those that are linked, over any steps, to one of a smaller id; repeated ids keep one row."""
-    found = components(docs, similar)
+    found = components(docs, similar, shingle)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -136,7 +136,7 @@ def shingles(found: Words, k: int = 3) -> list[np.ndarray]:
     h = found.hash
     mixed = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
-        mixed += h[j : len(h) - k + 1 + j] * np.uint64((_MULT * (2 * j + 1)) & _MASK64)
+        mixed += h[j : len(mixed) + j] * np.uint64((_MULT * (2 * j + 1)) & _MASK64)
     mixed = mix64(mixed)
     out = []
     for a, b in zip(found.first[:-1], found.first[1:], strict=True):

@@ -356,6 +356,18 @@ def test_hot_shingles_take_the_star_path(spark, monkeypatch):
     assert kept == {c for _, c in brute_components(texts).values()}
 
 
+def test_shingle_length_is_the_callers(spark):
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(100)]
+    edited = ["x" if i in (30, 70) else w for i, w in enumerate(words)]  # Jaccard 86/106 of 5 words, 92/104 of 3
+    docs = frame(spark, [" ".join(words), " ".join(edited)])
+    kept = lambda *values: {r["doc_id"] for r in jaccard.keep_one(docs, *values).collect()}
+    assert kept(80, 5) == {0} and kept(82, 5) == {0, 1} and kept() == {0, 1}
+    assert {r["n_shingles"] for r in jaccard.components(docs, 80, 5).collect()} == {96}
+    assert [len(x) for x in tx.shingles(tx.words(pa.array(["a b c"]), tx.NONBLANK), 5)] == [1]
+
+
 def test_bucket_edges_lose_no_pair():
     rng = np.random.default_rng(1)
     n = 60
