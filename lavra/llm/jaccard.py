@@ -11,16 +11,17 @@ The first order runs as a distributed join: documents that share a prefix
 shingle, and could still be similar by size and position, are connected into
 clusters. A cluster's texts then meet in one task, or in pairs of bounded
 blocks if it is large; there the prefixes of all orders are intersected, and
-what passes is verified on the whole sets. Pairs that are connected already
-are not verified again, so a group of thousands of near copies costs a tree of
-links and never all pairs.
+what passes is verified on the whole sets. For `components`, pairs that are
+connected already are not verified again, so a group of thousands of near
+copies costs a tree of links and never all pairs. `linked` verifies every pair
+and counts each document's links in the tasks; the pairs themselves stay there.
 
 Documents with equal sets are one node (by a 64-bit signature of the set).
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; rows without doc_id are linked with nothing and have no component;
-repeated rows are equal sets; an empty table gives an empty result; other
-columns are ignored by `components` and kept by `keep_one`.
+repeated rows are equal sets and count once as a link; an empty table gives an empty result; other
+columns are ignored by `components` and `linked` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ SKETCH, RANGES = 1 << 23, 128
 BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS = 200_000, 100_000, 512
 #: Groups of up to so many documents are paired; larger ones are chained.
 PAIRED = 6
+#: Shingles that are counted at once when all pairs are verified.
+COUNTED = 1 << 21
 
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -248,9 +251,8 @@ def shared_prefix(prefixes: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links of similar sets that connect what is connected; `cross`: block of each set, if only pairs of two blocks are asked for."""
-    m = len(sets)
+def candidates(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that pass the filters; `cross`: block of each set, if only pairs of two blocks are asked for."""
     sizes = np.array([len(s) for s in sets])
     passed = sizes[:, None] >= at_least(sizes, similar)[None, :]
     passed &= passed.T
@@ -259,9 +261,14 @@ def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cro
             passed &= shared_prefix([prefix(s, level, order, similar) for s in sets])
     if cross is not None:
         passed &= cross[:, None] != cross[None, :]
+    return np.nonzero(np.triu(passed, 1))
+
+
+def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of similar sets that connect what is connected; `cross` as for `candidates`."""
     whole: dict[int, set] = {}
-    forest, out = Forest(m), []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(passed, 1))), strict=True):
+    forest, out = Forest(len(sets)), []
+    for i, j in zip(*(x.tolist() for x in candidates(sets, level, similar, cross)), strict=True):
         if forest.find(i) == forest.find(j):
             continue
         a = whole.setdefault(i, set(sets[i].tolist()))
@@ -273,17 +280,61 @@ def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cro
     return out
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): links between nodes that connect all similar documents."""
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles each pair of sets has in common; sets are sorted."""
+    m, both = len(sets), np.zeros(len(i), np.int64)
+    ranges = max(1, -(-sum(len(s) for s in sets) // COUNTED))
+    edges = [np.uint64(r * (1 << 64) // ranges) for r in range(1, ranges)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(edges, np.uint64)), [len(s)]]) for s in sets]
+    for r in range(ranges):
+        parts = [s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(m), [len(p) for p in parts])
+        _, token, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        keep = count[token] > 1
+        _, token = np.unique(token[keep], return_inverse=True)
+        owner, n = owner[keep], int(token.max()) + 1 if keep.any() else 0
+        # A cell of the product of all sets costs about a hundredth of a shingle's look-up.
+        if n * m * m < 100 * len(i) * len(owner) / m:
+            order = np.argsort(token)
+            token, owner = token[order], owner[order]
+            for low in range(0, n, 2048):
+                here = slice(*np.searchsorted(token, [low, low + 2048]))
+                holds = np.zeros((m, 2048), np.float32)
+                holds[owner[here], token[here] - low] = 1
+                both += (holds @ holds.T)[i, j].astype(np.int64)
+        else:
+            whole = [set(x.tolist()) for x in np.split(token, np.cumsum(np.bincount(owner, minlength=m))[:-1])]
+            both += np.array([len(whole[a] & whole[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    return both
+
+
+def all_links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of similar sets; `cross` as for `candidates`."""
+    i, j = candidates(sets, level, similar, cross)
+    if not len(i):
+        return i, j
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    both = common([sets[k] for k in used.tolist()], at[: len(i)], at[len(i) :])
+    sizes = np.array([len(s) for s in sets])
+    linked = 100 * both >= similar * (sizes[i] + sizes[j] - both)
+    return i[linked], j[linked]
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False) -> DataFrame:
+    """(a, b, n_links): links between nodes that connect all similar documents.
+
+    If counted, every pair is verified, and rows without b have a part of the number of documents that a's sets are linked to.
+    """
     rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
     found = shared.checkpoint(clusters(docs, level, similar, int(rows), shingle))
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-    first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    copies = F.count_distinct("doc_id") if counted else F.lit(1).cast("long")
+    first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), copies.alias("copies"))
     placed = found.join(sizes, "root").join(first, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK_DOCS).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("doc_id", "node", "root", "block", other.alias("other"))
-    meetings = shared.checkpoint(placed.select("doc_id", "node", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
+    placed = placed.select("doc_id", "node", "copies", "root", "block", other.alias("other"))
+    meetings = shared.checkpoint(placed.select("doc_id", "node", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
     tasks = max(1, meetings.count() // BLOCK_DOCS)
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -292,37 +343,71 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
         sets: list[np.ndarray] = []
         for batch in tx.blocks(table.to_batches()):
             sets += tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
-        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        one, two = table.column("one").to_numpy(), table.column("two").to_numpy()
+        node, copies, root, block = (table.column(c).to_numpy() for c in ("node", "copies", "root", "block"))
+        lows, highs = table.column("one").to_numpy(), table.column("two").to_numpy()
         same = np.array([len(s) > 0 and signature(s) == k for s, k in zip(sets, node.tolist(), strict=True)], bool)  # not another text of the same id
         groups: dict[tuple, dict[int, int]] = {}
         for i in np.flatnonzero(same).tolist():
-            groups.setdefault((int(root[i]), int(one[i]), int(two[i])), {}).setdefault(int(node[i]), i)
-        a, b = [], []
+            groups.setdefault((int(root[i]), int(lows[i]), int(highs[i])), {}).setdefault(int(node[i]), i)
+        a, b, n_links = [], [], []
         for (_, low, high), members in groups.items():
             at = list(members.values())
-            if len(at) > 1:
-                for i, j in links([sets[k] for k in at], sent.value, similar, block[at] if low != high else None):
-                    a.append(node[at[i]])
-                    b.append(node[at[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if len(at) < 2:
+                continue
+            own, cross = [sets[k] for k in at], block[at] if low != high else None
+            if counted:
+                one, two = all_links(own, sent.value, similar, cross)
+                forest, weight = Forest(len(at)), copies[at]
+                found = [(i, j) for i, j in zip(one.tolist(), two.tolist(), strict=True) if forest.join(i, j)]
+                n = np.bincount(one, weight[two], len(at)) + np.bincount(two, weight[one], len(at))
+                some = np.flatnonzero(n)
+                a += node[at][some].tolist()
+                b += [None] * len(some)
+                n_links += n[some].astype(np.int64).tolist()
+            else:
+                found = links(own, sent.value, similar, cross)
+            a += [node[at[i]] for i, _ in found]
+            b += [node[at[j]] for _, j in found]
+            n_links += [None] * len(found)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(n_links, pa.int64())})
 
     texts = docs.select("doc_id", "text").join(meetings, "doc_id").withColumn("task", F.pmod(F.xxhash64("root", "one", "two"), F.lit(tasks)))
-    return texts.groupBy("task").applyInArrow(verify, "a long, b long")
+    return texts.groupBy("task").applyInArrow(verify, "a long, b long, n_links long")
 
 
 def components(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return _joined(docs, similar, shingle, counted=False).drop("n_links")
+
+
+def linked(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """The columns of `components`, and n_links: how many other documents are similar to this one, exact copies included."""
+    return _joined(docs, similar, shingle, counted=True)
+
+
+def _joined(docs: DataFrame, similar: int, shingle: int, counted: bool) -> DataFrame:
     found, _ = shared.store(signatures(docs, shingle), "shingle-sets")
     nodes = found.filter("range is null").select("doc_id", "n", "node")
     level = sketch_levels(found)
-    roots = connected_components(similar_links(docs, nodes, level, similar, shingle))
-    first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links_of = similar_links(docs, nodes, level, similar, shingle, counted)
+    copies, n_links = F.lit(1).cast("long"), F.lit(None).cast("long")
+    if counted:
+        links_of = shared.checkpoint(links_of)
+        copies = F.count_distinct("doc_id")
+    roots = connected_components(links_of.filter("b is not null").select("a", "b"))
+    first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), copies.alias("copies"))
+    first = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if counted:
+        others = links_of.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
+        first = first.join(others, "node", "left")
+        n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
     smallest = first.groupBy("root").agg(F.min("first").alias("component"))
-    named = first.join(smallest, "root").select(F.col("node").alias("of"), "component")
+    named = first.join(smallest, "root").select(F.col("node").alias("of"), "component", n_links.alias("links"))
     out = nodes.join(named, (nodes["node"] == named["of"]) & (nodes["n"] > 0), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    some = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("component", "doc_id")).alias("component_id"), F.when(some, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links")
+    )
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:

@@ -51,6 +51,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole join: op8_jaccard's columns, which its SQL fixes, and each document's number of links."""
+    return jaccard.linked(_table(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
     "op8_jaccard": op8_jaccard,
+    "op8_links": op8_links,
     "op9_neighbours": op9_neighbours,
     "op10_suffixes": op10_suffixes,
 }

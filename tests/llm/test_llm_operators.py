@@ -356,6 +356,34 @@ def test_hot_shingles_take_the_star_path(spark, monkeypatch):
     assert kept == {c for _, c in brute_components(texts).values()}
 
 
+def brute_links(texts):
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)} - {()} for w in ((t or "").translate(LOWER).split() for t in texts)]
+    similar = lambda a, b: bool(a & b) and 100 * len(a & b) >= 90 * len(a | b)
+    return [sum(similar(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 8)  # links within blocks and across
+    monkeypatch.setattr(jaccard, "COUNTED", 500)
+    texts = _families(4)
+    texts += texts[:5]
+    rows = jaccard.linked(frame(spark, texts).repartition(3)).collect()
+    want = brute_links(texts)
+    assert {r["doc_id"]: r["n_links"] for r in rows} == dict(enumerate(want)) and max(want) > 5
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+
+
+def test_links_of_sets_equal_brute_force():
+    rng = np.random.default_rng(5)
+    level = np.zeros(jaccard.SKETCH, np.uint8)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    for others in (0, 80):  # one group of near copies; the same among sets with nothing in common
+        sets = [np.unique(np.concatenate([base[rng.random(400) > 0.05 * (k % 3)], rng.integers(0, 1 << 63, 5).astype(np.uint64)])) for k in range(40)]
+        sets += [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(others)]
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(map(lambda s: set(s.tolist()), sets)), 2) if 100 * len(a & b) >= 90 * len(a | b)}
+        assert len(want) > 100 and set(zip(*(x.tolist() for x in jaccard.all_links(sets, level)), strict=True)) == want
+
+
 def test_shingle_length_is_the_callers(spark):
     import pyarrow as pa
 
