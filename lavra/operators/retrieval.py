@@ -97,6 +97,14 @@ def semantic(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, ve
     return pairs.select(query_key, key, F.when(norms == 0, 0.0).otherwise(dot(asked, there) / norms).alias("score"))
 
 
+def semantic_all(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, vector: str = "embedding", most_queries: int = 10_000, depth: int = 0) -> DataFrame:
+    """`semantic` for any number of queries: too many are halved by a hash of their key until each block is small enough."""
+    if depth == 60 or queries.limit(most_queries + 1).count() <= most_queries:
+        return semantic(queries, chunks, query_key, key, vector, most_queries)
+    bit = F.shiftrightunsigned(F.xxhash64(query_key), depth).bitwiseAND(F.lit(1))
+    return reduce(DataFrame.unionByName, (semantic_all(queries.filter(bit == side), chunks, query_key, key, vector, most_queries, depth + 1) for side in (0, 1)))
+
+
 def fuse(legs: list[DataFrame], query_key: str, key: str, k: int = TOP_K) -> DataFrame:
     """Reciprocal rank fusion of ranked legs (query_key, key, rank, score), the first leg's score and place winning ties.
 

@@ -327,9 +327,15 @@ def token_df(spark: SparkSession, sf: str) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _bm25(spark: SparkSession, sf: str, most: int = 20) -> DataFrame:
+#: Searches of the whole job: every row whose id is divisible by this.
+EVERY = 50
+
+
+def _bm25(spark: SparkSession, sf: str, most: int | None = 20) -> DataFrame:
+    """Without `most`, for every item that EVERY divides."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    asked = table(spark, sf, "benchmark").filter(F.col("item_id") < most).select(F.col("item_id").alias("query_id"), "text")
+    wanted = F.col("item_id") % EVERY == 0 if most is None else F.col("item_id") < most
+    asked = table(spark, sf, "benchmark").filter(wanted).select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(asked, retrieval.postings(docs, "doc_id"), docs, "query_id", "doc_id")
 
 
@@ -339,6 +345,12 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(scored, "query_id", [F.col("score"), F.col("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
 
 
+@query
+def bm25_topk_spread(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _bm25(spark, sf, None).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(scored, "query_id", [F.col("score"), F.col("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
+
+
 @query
 def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
     terms = spark.createDataFrame([(1, "license"), (2, "of the"), (3, "Apache License")], "query_id int, term string")
@@ -350,10 +362,10 @@ def ilike_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ilike(table(spark, sf, "documents"), "LICENSE o'reilly l_zenz zz%yy").select("doc_id", "lang")
 
 
-def _cosine(spark: SparkSession, sf: str) -> DataFrame:
+def _cosine(spark: SparkSession, sf: str, wanted: str = "vec_id < 10") -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.semantic(asked, vectors, "query_id", "vec_id").withColumn("score", F.round("score", 6))
+    asked = vectors.filter(wanted).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.semantic_all(asked, vectors, "query_id", "vec_id").withColumn("score", F.round("score", 6))
 
 
 @query
@@ -362,8 +374,11 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _cosine(spark, sf)
+def cosine_topk_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.top_k(_cosine(spark, sf, f"vec_id % {EVERY} = 0"), "query_id", [F.desc("score"), F.col("vec_id")], 5)
+
+
+def _fused(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     near = retrieval.top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], 20)
     biased = scored.join(labels, "vec_id").withColumn("score", F.round(F.col("score") + F.col("label") * 0.05, 6)).drop("label")
@@ -371,11 +386,29 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fuse([near, other], "query_id", "vec_id", 10).select("query_id", "vec_id", "rank", "score", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+@query
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, _cosine(spark, sf))
+
+
+@query
+def rrf_fusion_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, _cosine(spark, sf, f"vec_id % {EVERY} = 0"))
+
+
+def _hits(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
+    best = retrieval.top_k(_bm25(spark, sf, most).withColumn("score", F.round("score", 6)), "query_id", [F.col("score"), F.col("doc_id")], 3)
+    return best.join(table(spark, sf, "documents"), "doc_id").select("query_id", "rank", F.col("source").alias("law"), F.col("doc_id").cast("string").alias("article"), "text")
+
+
 @query
 def retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
-    best = retrieval.top_k(_bm25(spark, sf, 5).withColumn("score", F.round("score", 6)), "query_id", [F.col("score"), F.col("doc_id")], 3)
-    hits = best.join(table(spark, sf, "documents"), "doc_id").select("query_id", "rank", F.col("source").alias("law"), F.col("doc_id").cast("string").alias("article"), "text")
-    return retrieval.context(hits, "query_id", 300)
+    return retrieval.context(_hits(spark, sf, 5), "query_id", 300)
+
+
+@query
+def retrieval_context_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.context(_hits(spark, sf, None), "query_id")
 
 
 @query
