@@ -74,8 +74,11 @@ def tagged(findings: DataFrame, category: Column, agent: Column) -> DataFrame:
 def deduplicated(findings: DataFrame, keys: list[str], order: str, original: str = "original_text", problem: str = "problem") -> DataFrame:
     """Of findings with equal original text and problem (trimmed, any case) the first; those with an empty side all stay."""
     a, b = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in (original, problem))
-    nth = F.row_number().over(Window.partitionBy(*keys, a, b).orderBy(order))
-    return findings.withColumn("__nth", nth).filter((F.col("__nth") == 1) | (a == "") | (b == "")).drop("__nth")
+    empty = (a == "") | (b == "")
+    # Hashes stand for the texts, which aren't shuffled as keys; rows that stay anyway are spread by their order.
+    marked = findings.withColumns({"__a": F.sha2(a, 256), "__b": F.sha2(b, 256), "__empty": empty, "__spread": F.when(empty, F.xxhash64(order))})
+    nth = F.row_number().over(Window.partitionBy(*keys, "__a", "__b", "__spread").orderBy(order))
+    return marked.withColumn("__nth", nth).filter("__nth = 1 or __empty").drop("__nth", "__a", "__b", "__empty", "__spread")
 
 
 def decisions(raw: DataFrame, size: Column) -> DataFrame:

@@ -446,6 +446,13 @@ def findings_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.deduplicated(docs, ["source"], "doc_id").select("source", "doc_id")
 
 
+@query
+def findings_dedupe_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """By whole texts."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("original_text"), F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("problem"))
+    return analysis.deduplicated(docs, ["source"], "doc_id").select("source", "doc_id")
+
+
 @query
 def findings_by_category_severity(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.counts(_findings(spark, sf))

@@ -56,3 +56,11 @@ def test_many_queries_go_in_blocks(spark):
     asked = rows.withColumnRenamed("k", "q")
     found = retrieval.semantic_all(asked, rows, "q", "k", most_queries=7)
     assert {(r["q"], r["k"]) for r in found.collect()} == {(a, b) for a in range(40) for b in range(40)} and found.count() == 1600
+
+
+def test_findings_are_compared_by_whole_texts(spark):
+    found = check(spark, "findings_dedupe_texts", uncut("findings_dedupe", text=("' ' || upper(left(text, 2))", "text")))
+    assert found.count() > QUERIES["findings_dedupe"](spark, SF).count()
+    assert check(spark, "findings_dedupe", ORACLE["findings_dedupe"]).count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("original_text" not in line and "text#" not in line for line in plan.split("\n") if "Exchange" in line)
