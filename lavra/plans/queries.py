@@ -180,6 +180,13 @@ def compliance_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return compliance.matrix_pivot(cells, ["1", "2", "3", "4", "5"], "fornecedor_id").select("regra_id", "rotulo", *(F.col(str(i)).alias(f"f{i}") for i in range(1, 6)))
 
 
+@query
+def compliance_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix of all suppliers, a row for each cell."""
+    cells = compliance.matrix_cells(_rules_table(spark), _suppliers(spark, sf), _compliance(spark, sf))
+    return cells.select("regra_id", "rotulo", "fornecedor_id", "nome", "status", "motivo")
+
+
 @query
 def pendencies_by_supplier(spark: SparkSession, sf: str) -> DataFrame:
     found = compliance.pendencies(_compliance(spark, sf), _rules_table(spark).filter("regra_id != 'lei'"))

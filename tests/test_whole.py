@@ -64,3 +64,11 @@ def test_findings_are_compared_by_whole_texts(spark):
     assert check(spark, "findings_dedupe", ORACLE["findings_dedupe"]).count() > 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert all("original_text" not in line and "text#" not in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_the_matrix_holds_all_suppliers(spark):
+    pivot = ORACLE["compliance_pivot"]
+    text = pivot[: pivot.rindex("SELECT regra_id, rotulo")] + "SELECT regra_id, rotulo, k AS fornecedor_id, nome, status, motivo FROM r"
+    found = check(spark, "compliance_cells", text)
+    suppliers = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert suppliers > 5 and found.select("fornecedor_id").distinct().count() == suppliers
