@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a folder of our own only in local mode where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     if not named and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lavra-"))
     return named or spark.sparkContext.getCheckpointDir()
 

@@ -8,6 +8,7 @@ operators use are ASCII, hence byte-level and character-level words agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,10 @@ BLOCK_BYTES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _MASK64 = (1 << 64) - 1
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of a word that are hashed eight at a time; longer words go through BLAKE2b.
+_LANES_UP_TO = 64
+#: Masks of the first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_set(chars: str) -> np.ndarray:
@@ -35,10 +39,8 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 #: Word bytes of `[^\x20\x09-\x0D]+`.
 NONBLANK = ~_byte_set(" \t\n\v\f\r")
 
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-#: A random odd value for each byte; A-Z share those of a-z.
-_BYTE_VALUES = (np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[_LOWER]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -50,15 +52,35 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = len(_powers.get("up", ()))
-    if have < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_ranges(data: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges. Each lane goes through a full mix, so no pattern of bytes cancels out.
+
+    Different ranges may still collide by chance; who needs exactness compares the bytes.
+    """
+    h = mix64(size.astype(np.uint64) * np.uint64(_MULT) + np.uint64(0x2545F4914F6CDD1D))
+    long = size > _LANES_UP_TO
+    at, left, which = start, np.where(long, 0, size), None
+    while True:
+        some = np.flatnonzero(left > 0)
+        if not len(some):
+            break
+        which = some if which is None else which[some]
+        at, left = at[some], left[some]
+        h[which] = mix64(h[which] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        at, left = at + 8, left - 8
+    if long.any():
+        raw = data.tobytes()
+        which = np.flatnonzero(long)
+        digests = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(start[which].tolist(), size[which].tolist(), strict=True))
+        h[which] = np.frombuffer(digests, "<u8")
+    return h
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +128,13 @@ class Words:
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, offsets)
         if hashes:
-            up, down = _power_table(len(data) + 1)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
-            self._total, self._down = total, down
-            self.hash = mix64((total[self.end] - total[self.start]) * down[self.start])
+            low = _LOWER[data]
+            self._eight = lanes(low)
+            self.hash = hash_ranges(low, self._eight, self.start, self.end - self.start)
 
     def beginnings(self, which: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the first n bytes of these words, which must be as long."""
-        start = self.start[which]
-        return mix64((self._total[start + n] - self._total[start]) * self._down[start])
+        """Hashes of the first n bytes of these words, which must be as long; n is 8 at most."""
+        return mix64(self._eight[self.start[which]] & _FIRST[n] ^ np.uint64(n * _MULT & _MASK64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -4,11 +4,17 @@ A document is a bag of sentences. Each sentence has a probability from a
 logistic model over its hashed words; a noisy-or combines them, so that one
 toxic sentence makes a toxic document. The weights are trained from document
 labels alone, on a bounded sample, with an L1 penalty; the sentence scores then
-tell where the offence is.
+tell where the offences are.
 
-Defined results: null and empty texts have no sentence and score 0; without
-labelled rows of both classes every score is 0; repeated rows are scored alike;
-an empty table gives an empty result; other columns are ignored by `score`.
+The sample's features are kept as a table; a grouped count over it picks the
+features that help, and only these reach the driver, as 32-bit numbers, for at
+most FIT_ENTRIES occurrences.
+
+Defined results: null and empty texts have no sentence and score 0; a very long
+text is one bag of many sentences, read whole; without labelled rows of both
+classes every score is 0; conflicting labels of an id count as toxic; repeated
+rows, ties and rows without doc_id are scored alike; an empty table gives an
+empty result; other columns are ignored by `score` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -18,14 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.llm import shared
 from lavra.llm import text as tx
 from lavra.llm.labelled import held_out, sample
 
 #: Labelled documents that the model is fitted on at most.
 SAMPLE_ROWS = 6_000
+#: Feature occurrences of the sample that the fit takes at most; further documents are left out of the fit.
+FIT_ENTRIES = 6_000_000
 #: Bytes of the word beginnings that count as features beside the word.
 BEGINNINGS = (5, 6, 7)
 #: Hash slots of features; documents of the sample a feature must occur in, and share of those without toxicity it may occur in.
@@ -84,29 +94,33 @@ def _log_none(logits: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, np.clip(logits, -30, 30))
 
 
-def train(slots: np.ndarray, sentence: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+def train(slots: np.ndarray, sentence: np.ndarray, bag: np.ndarray, labels: np.ndarray, features: int) -> tuple[np.ndarray, float]:
     """Weights and bias by proximal gradient steps on the noisy-or likelihood.
 
     slots: feature of each word; sentence: its sentence; bag: document of each sentence; labels: of each document.
     """
-    weights, bias = np.zeros(int(slots.max()) + 1 if len(slots) else 1), -5.0
+    weights, bias = np.zeros(max(1, features)), -5.0
     power, power_b = np.full(len(weights), 1e-8), 1e-8
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     for _ in range(STEPS):
         z = bias + np.bincount(sentence, weights[slots], len(bag))
-        none = np.bincount(bag, _log_none(z), len(labels))
-        p = np.clip(-np.expm1(none), 1e-6, 1.0)
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        pull = np.where(labels[bag] == 1, -(1 - p[bag]) / p[bag], 1.0) * s * balance[bag]
-        g = np.bincount(slots, pull[sentence], len(weights))
-        gb = pull.sum()
+        g, gb = gradient(z, slots, sentence, bag, labels, balance, len(weights))
         power = 0.95 * power + 0.05 * g * g
         power_b = 0.95 * power_b + 0.05 * gb * gb
         rate = RATE / (np.sqrt(power) + 1e-4)
         weights = weights - rate * g
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * LASSO, 0)
         bias -= 0.05 * gb / np.sqrt(power_b)
-    return weights, float(bias)
+    return weights[:features], float(bias)
+
+
+def gradient(z: np.ndarray, slots: np.ndarray, sentence: np.ndarray, bag: np.ndarray, labels: np.ndarray, balance: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Slope of the noisy-or's negative log-likelihood by weight and bias, at sentence logits z."""
+    none = np.bincount(bag, _log_none(z), len(labels))
+    p = np.clip(-np.expm1(none), 1e-6, 1.0)
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    pull = np.where(labels[bag] == 1, -(1 - p[bag]) / p[bag], 1.0) * s * balance[bag]
+    return np.bincount(slots, pull[sentence], features), float(pull.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -125,38 +139,57 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             places = [place[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(slots, ints), pa.array(places, ints)], names=["doc_id", "label", "slots", "places"])
 
+    spark = docs.sparkSession
     chosen = sample(docs, labels, "toxic", rows)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, slots array<int>, places array<int>"
-    table = chosen.mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    label = table["label"].to_numpy()
-    weights = np.zeros(SLOTS)
-    if not 0 < label.sum() < len(label):
+    table, path = shared.store(chosen.mapInArrow(run, schema), "toxicity-sample")
+    # Sizes only; at most `rows` rows in this one window.
+    before = Window.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = table.select("doc_id", F.size("slots").alias("n")).withColumn("so_far", F.sum("n").over(before)).filter(F.col("so_far") <= FIT_ENTRIES)
+    table = table.join(F.broadcast(fitting.select("doc_id")), "doc_id")
+    n_clean, n_bad = table.agg(F.count(F.when(F.col("label") == 0, 1)), F.count(F.when(F.col("label") == 1, 1))).first()
+    weights = np.zeros(SLOTS, np.float32)
+    if not n_clean or not n_bad:
+        shared.drop(spark, path)
         return Model(-30.0, weights)
-    slots = table["slots"].combine_chunks()
-    size = np.diff(slots.offsets.to_numpy())
-    slot = slots.flatten().to_numpy().astype(np.int64)
-    place = table["places"].combine_chunks().flatten().to_numpy()
-    doc = np.repeat(np.arange(len(size)), size)
-    held = np.unique(doc * SLOTS + slot)  # each document's distinct features
-    in_docs = np.bincount(held % SLOTS, minlength=SLOTS)
     # Common words are left out; common among the clean ones, as an offence may stand in every toxic document.
-    clean_label = label == 0
-    in_clean = np.bincount(held[clean_label[held // SLOTS]] % SLOTS, minlength=SLOTS)
-    del held
-    useful = (in_docs >= MIN_DOCS) & (in_clean <= max(MIN_DOCS, MOST_DOCS * clean_label.sum()))
-    known = np.flatnonzero(useful)
+    counted = table.select("label", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count("*").alias("docs"), F.count(F.when(F.col("label") == 0, 1)).alias("clean"))
+    useful = counted.filter((F.col("docs") >= MIN_DOCS) & (F.col("clean") <= max(MIN_DOCS, MOST_DOCS * n_clean))).select("slot")
+    known = np.sort(useful.toArrow()["slot"].to_numpy()).astype(np.int32)  # SLOTS values at most
+    sent = spark.sparkContext.broadcast(known)
+
+    def only_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ints = batch.column("slots"), pa.list_(pa.int32())
+            slot = lists.flatten().to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            place = batch.column("places").flatten().to_numpy()
+            n = np.zeros(batch.num_rows, np.int32)
+            np.maximum.at(n, doc, place + 1)
+            at = np.searchsorted(sent.value, slot)
+            keep = sent.value[np.minimum(at, len(sent.value) - 1)] == slot if len(sent.value) else np.zeros(len(slot), bool)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=batch.num_rows))]).astype(np.int32))
+            found = [pa.ListArray.from_arrays(bounds, pa.array(x[keep].astype(np.int32)), type=ints) for x in (at, place)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(n), *found], names=["doc_id", "label", "n", "slots", "places"])
+
+    known_schema = schema.replace("slots", "n int, slots", 1)
+    arrived = table.mapInArrow(only_known, known_schema).toArrow().sort_by("doc_id").combine_chunks()
+    shared.drop(spark, path)
+    sent.unpersist()
+    label, n = arrived["label"].to_numpy(), arrived["n"].to_numpy()
+    sizes = pa.compute.list_value_length(arrived["slots"]).to_numpy()
     # Places number a document's sentences from 0 without gaps, so each document's start at a running total.
-    sentences = np.zeros(len(size), np.int64)
-    np.maximum.at(sentences, doc, place + 1)
-    keep = useful[slot]
-    learned, bias = train(np.searchsorted(known, slot[keep]), (np.cumsum(sentences) - sentences)[doc[keep]] + place[keep], np.repeat(np.arange(len(size)), sentences), label)
-    weights[known[: len(learned)]] = learned
+    sentence = arrived["places"].combine_chunks().flatten().to_numpy() + np.repeat((np.cumsum(n) - n).astype(np.int32), sizes)
+    slot = arrived["slots"].combine_chunks().flatten().to_numpy()
+    del arrived
+    learned, bias = train(slot, sentence, np.repeat(np.arange(len(n), dtype=np.int32), n), label, len(known))
+    weights[known] = learned
     return Model(bias, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, number of toxic sentences, and the worst sentence's score and place (code points)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32)))  # SLOTS values
+    """doc_id, score, number of toxic sentences, the worst sentence's score and place, and every toxic sentence (code points)."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # SLOTS values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
@@ -171,30 +204,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             some = worst >= 0
             chars = np.zeros(len(found.data) + 1, np.int64)
             np.cumsum((found.data & 0xC0) != 0x80, out=chars[1:])
-            at = worst[some]
-            base = chars[found.offsets[:-1]][some]
-            start, end, top = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            start[some] = chars[found.words.start[found.first[at]]] - base
-            end[some] = chars[found.words.end[found.last[at]]] - base
-            top[some] = 1 / (1 + np.exp(-np.clip(z[at], -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.clip(p, 0.0, 1.0)), pa.array(np.bincount(found.doc, z >= 0, n).astype(np.int64)), *(pa.array(x, mask=~some) for x in (top, start, end))],
-                names=["doc_id", "score", "n_toxic_sentences", "worst_score", "worst_start", "worst_end"],
-            )
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_toxic_sentences long, worst_score double, worst_start long, worst_end long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            base = chars[found.offsets[:-1]][found.doc]
+            begin = chars[found.words.start[found.first]] - base
+            end = chars[found.words.end[found.last]] - base
+            each = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            at = np.maximum(worst, 0)
+            columns = [pa.array(x[at] if len(x) else np.zeros(n, x.dtype), mask=~some) for x in (each, begin, end)]
+            bad = np.flatnonzero(z >= 0)
+            count = np.bincount(found.doc[bad], minlength=n)
+            spans = pa.StructArray.from_arrays([pa.array(begin[bad]), pa.array(end[bad]), pa.array(each[bad])], names=["start", "end", "score"])
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(p, 0.0, 1.0)), pa.array(count.astype(np.int64)), *columns, spans], names=names)
+
+    names = ["doc_id", "score", "n_toxic_sentences", "worst_score", "worst_start", "worst_end", "toxic_sentences"]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_toxic_sentences long, worst_score double, worst_start long, worst_end long"
+    return docs.select("doc_id", "text").mapInArrow(run, f"{kinds}, toxic_sentences array<struct<start:long,end:long,score:double>>")
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, and where the worst sentence stands, for every document."""
+    """doc_id, held_out, score, predicted, and where the worst and all toxic sentences stand, for every document."""
     scored = score(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
-    return scored.select("doc_id", "held_out", "score", "predicted", "n_toxic_sentences", "worst_score", "worst_start", "worst_end")
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_toxic_sentences", "worst_score", "worst_start", "worst_end", "toxic_sentences")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model doesn't reject, with their columns; each row is judged by its own text."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
