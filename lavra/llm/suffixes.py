@@ -3,29 +3,36 @@
 A byte is removed if it lies in a 200-byte string that starts at another place
 of the corpus too.
 
-1. Anchors. In every 200-byte window of a text the gram with the smallest hash
-   is an anchor, so equal windows have an anchor gram in common. Anchor grams
-   that occur at one place only are dropped by a grouped minimum and maximum.
-2. Contexts. Around each shared anchor the at most 368 bytes are cut out that
-   the windows with that anchor cover. Contexts with the same anchor go to the
-   same block, many anchors to a block of bounded size.
-3. Suffix sorting. A block's distinct contexts are written as a string of
-   content-defined chunks, and its suffixes are sorted by grouping: suffixes are
-   grouped by their Lyndon prefix, groups are processed in descending order
-   using previous-smaller pointers, and then every group's order is emitted in
-   one ascending pass, without renaming and recursion. Neighbours in that order
-   with a long common prefix are candidates.
-4. Exact check. The 200-byte windows of candidate contexts are compared, and
-   those found at two places give the spans to remove.
-
-An anchor with more than HOT_CONTEXTS contexts doesn't go to one block: its
-windows are counted as rows, spread by window. Copies of a whole text count
-once; each copy of at least 200 bytes is removed altogether.
+1. Anchors. The 32-byte gram with the smallest hash is a window's anchor, so
+   equal windows have equal anchors at equal distance. Anchor grams that occur
+   at one place only are dropped by a grouped minimum and maximum.
+2. Contexts. For each shared anchor the bytes are cut out that the windows with
+   that anchor cover; every window lies in exactly one context. Contexts with
+   the same anchor go to the same block, many anchors to a block.
+3. Suffix order. A block's distinct contexts are parsed into phrases at trigger
+   grams, a prefix-free parse, and the suffixes of the string of phrases are
+   sorted by grouping: suffixes are grouped by their Lyndon prefix, groups are
+   processed in descending order using previous-smaller pointers, and then every
+   group's order is emitted in one ascending pass, without renaming and
+   recursion. As no phrase begins another, this is the order of the bytes.
+4. Common prefixes of neighbours in that order, in bytes, and those of the
+   reversed bytes before each phrase decide which windows are equal: the window
+   that begins d bytes before a phrase stands twice if another phrase has the
+   same d bytes before it and the same 200 - d bytes from it on.
+
+An anchor with more contexts than a block takes is split by the bytes beside it:
+a window extends over at least half of what is missing on one side, so contexts
+are dealt anew by those bytes, left or right, until every group fits or has one
+context only. Nothing is dropped, and copies of a passage need no block at all.
+
+A text is known by 120 bits of its SHA-256. Copies of a whole text count once;
+each copy of at least 200 bytes is removed altogether.
 
 Defined results: null counts as empty; texts under 200 bytes keep all bytes;
-repeated rows are copies of each other; an empty table gives an empty result;
-other columns are ignored. The input must be a table scan or a stored table,
-whose rows come in the same order each time it is read.
+very long texts are cut into contexts like others; repeated rows are copies of
+each other, with or without doc_id; an empty table gives an empty result; other
+columns are ignored. No row numbers are used, so the order of rows and retries
+of tasks make no difference.
 """
 
 from __future__ import annotations
@@ -35,36 +42,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm import shared
 from lavra.llm import text as tx
 
-#: Bytes of a repeated string, of an anchor gram, and of a gram and window that cut chunks.
-LENGTH, GRAM, CHUNK_GRAM, CHUNK_WINDOW = 200, 32, 8, 40
-#: Contexts of a block to aim at, and contexts of one anchor that a block takes at most.
-BLOCK_CONTEXTS, HOT_CONTEXTS = 4_000, 20_000
+#: Bytes of a repeated string and of an anchor gram (a multiple of 8); one place in so many begins a phrase.
+LENGTH, GRAM, PHRASE = 200, 32, 32
+#: Contexts of a block to aim at, contexts of one anchor that a block takes at most, and parts that a hot anchor's rows are joined in.
+BLOCK_CONTEXTS, HOT_CONTEXTS, SALTS = 4_000, 8_000, 16
 
-_VALUES = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITION_BITS = np.uint64(30)
+_TRIGGER = np.uint64(0x9FB21C651E98DF25)
 EMPTY = hashlib.sha256(b"").hexdigest()
+CONTEXT = "a long, h1 long, h2 long, starts array<int>, at int, core int, hot boolean, context binary"
 
 
-class Hashes:
-    """Hashes of any byte range of a block."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = tx._power_table(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[:-1], out=self.total[1:])
-
-    def at(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return tx.mix64((self.total[start + size] - self.total[start]) * self.down[start])
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.total) - size
-        return tx.mix64((self.total[size:] - self.total[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+def gram_hashes(eight: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Hashes of the n grams of so many bytes, given the lanes of the bytes."""
+    n = max(0, n)
+    h = tx.mix64(eight[:n] ^ np.uint64(0xA0761D6478BD642F))
+    for k in range(8, size, 8):
+        h = tx.mix64(h ^ eight[k : k + n])
+    return h
 
 
 def window_minima(grams: np.ndarray, window: int) -> np.ndarray:
@@ -82,64 +83,66 @@ def window_minima(grams: np.ndarray, window: int) -> np.ndarray:
     return (key[:n] & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, length: int, gram: int) -> np.ndarray:
-    """Places (in the block, ascending) of the anchors of all documents.
+class Anchors:
+    """Anchors of a block of documents, ascending: place, hash, document, and the first and last window that each anchors."""
 
-    Runs of equal anchors closer than `step`, as in periodic text, are thinned:
-    every window of theirs still holds one of the run.
-    """
-    grams = hashes.grams(gram)
-    window = length - gram + 1
-    best = window_minima(grams, window)
-    sizes = np.diff(offsets)
-    n = np.maximum(sizes - length + 1, 0)
-    starts = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    places = np.unique(best[starts]) if len(starts) else np.zeros(0, np.int64)
-    if len(places) < 3:
-        return places
-    step = window // 4
-    new = np.ones(len(places), bool)
-    new[1:] = (grams[places[1:]] != grams[places[:-1]]) | (places[1:] - places[:-1] > step)
-    new[1:] |= np.searchsorted(offsets, places[1:], side="right") != np.searchsorted(offsets, places[:-1], side="right")
-    run = np.cumsum(new) - 1
-    bucket = (places - places[np.flatnonzero(new)][run]) // step
-    keep = new.copy()
-    keep[1:] |= bucket[1:] != bucket[:-1]
-    keep[:-1] |= new[1:]
-    keep[-1] = True
-    return places[keep]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        grams = gram_hashes(tx.lanes(data), len(data) - gram + 1, gram)
+        best = window_minima(grams, length - gram + 1)
+        n = np.maximum(np.diff(offsets) - length + 1, 0)
+        starts = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        best = best[starts]
+        new = np.flatnonzero(np.append(True, best[1:] != best[:-1])) if len(best) else np.zeros(0, np.int64)
+        self.place = best[new]
+        self.low = starts[new]
+        self.high = starts[np.append(new[1:], len(best))[: len(new)] - 1]
+        self.hash = grams[self.place]
+        self.doc = np.repeat(np.arange(len(n)), n)[new]
+
+    def ends_of_runs(self) -> np.ndarray:
+        """Which anchors begin or end a run of equal grams of a document; periodic text has long ones."""
+        same = (self.hash[1:] == self.hash[:-1]) & (self.doc[1:] == self.doc[:-1])
+        return ~(np.append(False, same) & np.append(same, False)) if len(self.hash) else np.zeros(0, bool)
 
 
 def lyndon_groups(s: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """Phase 1: suffixes in groups by Lyndon prefix, groups ascending; the group start of each suffix; previous-smaller pointers."""
+    """Phase 1: suffixes in groups by Lyndon prefix, groups ascending; the group start of each suffix; previous-smaller pointers.
+
+    The symbols are 0 to their number; they are put in order by counting.
+    """
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
-    where = [0] * n
+    order, where = [0] * n, [0] * n
     group = [0] * n  # first index of the suffix's group in `order`
     last: dict[int, int] = {}  # end (exclusive) of the group that starts at an index
-    at = 0
-    for i, p in enumerate(order):
-        where[p] = i
-        if i and s[p] != s[order[i - 1]]:
-            last[at] = i
-            at = i
-        group[p] = at
-    if n:
-        last[at] = n
+    first = [0] * (max(s, default=0) + 2)
+    for c in s:
+        first[c + 1] += 1
+    for c in range(1, len(first)):
+        if first[c]:
+            last[first[c - 1]] = first[c - 1] + first[c]
+        first[c] += first[c - 1]
+    free = list(first)
+    for p, c in enumerate(s):
+        i = free[c]
+        order[i], where[p], group[p], free[c] = p, i, first[c], i + 1
     previous = [-1] * n
     end = n
     while end:
         start = group[order[end - 1]]
         members = order[start:end]
-        members.sort()
-        repeats: dict[int, int] = {}
         for i in members:
             p = i - 1
             while p >= 0 and group[p] > start:
                 p = previous[p]
-            if p >= 0 and group[p] == start:
-                p = previous[p]  # the same prefix again: both belong to the smaller suffix before
             previous[i] = p
+        repeats: dict[int, int] = {}
+        for i in members:  # the same prefix again: all of its repeats belong to the smaller suffix before
+            p, path = i, []
+            while p >= 0 and group[p] == start:
+                path.append(p)
+                p = previous[p]
+            for q in path:
+                previous[q] = p
             if p >= 0:
                 repeats[p] = repeats.get(p, 0) + 1
         # A smaller suffix takes up the prefixes that follow it. Those that take up more of them come later in their group.
@@ -192,209 +195,256 @@ def suffix_order(s: list[int]) -> list[int]:
     return out
 
 
-def chunk_symbols(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start in the block, symbol and context of content-defined chunks; equal chunks share a symbol from 1 up."""
-    grams = hashes.grams(CHUNK_GRAM)
-    cuts = np.zeros(len(data) + 1, bool)
-    best = window_minima(grams, CHUNK_WINDOW)
-    n = np.maximum(np.diff(offsets) - CHUNK_WINDOW - CHUNK_GRAM + 2, 0)
-    starts = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    cuts[best[starts]] = True
-    cuts[offsets[:-1]] = True
-    first = np.flatnonzero(cuts[: len(data)])
-    size = np.diff(np.append(first, len(data)))
-    _, symbol = np.unique(hashes.at(first, size), return_inverse=True)
-    return first, symbol + 1, np.searchsorted(offsets, first, side="right") - 1
-
-
-def candidates(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Which contexts share a run of chunks, long enough for a common string of `length` bytes, with another place."""
-    hashes = Hashes(data)
-    first, symbol, context = chunk_symbols(data, offsets, hashes)
-    # One string: a separator, smaller than any chunk, ends each context.
-    ends = np.flatnonzero(np.diff(context, append=-1) != 0)
-    at = np.arange(len(symbol)) + context
-    text = np.zeros(len(symbol) + len(ends), np.int64)
-    text[at] = symbol
-    begin = np.zeros(len(text), np.int64)
-    begin[at] = first
-    begin[at[ends] + 1] = offsets[1:]
-    owner = np.zeros(len(text), np.int64)
-    owner[at] = context
-    owner[at[ends] + 1] = context[ends]
-    order = np.array(suffix_order(text.tolist()), np.int64)
-    # Common prefixes of neighbours, chunk by chunk, up to the contexts' ends.
-    a, b = order[:-1].copy(), order[1:].copy()
-    alive, common = np.arange(len(a)), np.zeros(len(a), np.int64)
+def common_prefix(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes from the places a and b on are equal, `most` at most."""
+    n, alive, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
     while len(alive):
-        same = (text[a] == text[b]) & (text[a] > 0)
-        alive, a, b = alive[same], a[same], b[same]
-        common[alive] += begin[np.minimum(a + 1, len(text) - 1)] - begin[a]
-        a, b = a + 1, b + 1
-    needed = length - 2 * (CHUNK_WINDOW + CHUNK_GRAM - 2 + CHUNK_WINDOW)
-    found = np.zeros(len(offsets) - 1, bool)
-    enough = common >= max(1, needed)
-    found[owner[order[:-1][enough]]] = True
-    found[owner[order[1:][enough]]] = True
-    return found
-
-
-def repeated_spans(rows: np.ndarray, starts: np.ndarray, contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of windows in these contexts that stand at two places or more, merged within a context."""
-    data = np.frombuffer(contexts.buffers()[2], np.uint8) if len(contexts) else np.zeros(0, np.uint8)
-    offsets = np.frombuffer(contexts.buffers()[1], np.int64)[contexts.offset : contexts.offset + len(contexts) + 1]
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    sizes = np.diff(offsets)
-    hashes = Hashes(data)
-    # Equal contexts at several places are repeats as a whole; one of them stands for all.
-    whole = hashes.at(offsets[:-1], sizes) ^ sizes.astype(np.uint64)
-    _, one, same, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-    repeated = np.zeros(len(one), bool)
-    low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
-    place = tx.mix64(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + starts.astype(np.uint64)).view(np.int64)
-    np.minimum.at(low, same, place)
-    np.maximum.at(high, same, place)
-    repeated = low != high
-    # The distinct contexts as a block of their own.
-    size = sizes[one]
-    inner = np.concatenate([[0], np.cumsum(size)])
-    taken = np.repeat(offsets[one] - inner[:-1], size) + np.arange(inner[-1])
-    block = data[taken]
-    chosen = candidates(block, inner, length) & (size >= length)
-    # Exact check of all windows of the candidates.
-    n = np.where(chosen, size - length + 1, 0)
-    of = np.repeat(np.arange(len(one)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    window = Hashes(block).at(inner[of] + offset, length)
-    spot = tx.mix64(rows[one][of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (starts[one][of] + offset).astype(np.uint64))
-    order = np.lexsort((spot, window))
-    w, x = window[order], spot[order]
-    differs = np.zeros(len(w) + 1, bool)
-    differs[1:-1] = (w[1:] == w[:-1]) & (x[1:] != x[:-1])
-    new = np.ones(len(w), bool)
-    new[1:] = w[1:] != w[:-1]
-    group = np.cumsum(new) - 1
-    twice = np.bincount(group, differs[:-1], group[-1] + 1)[group] > 0 if len(w) else np.zeros(0, bool)
-    hit = np.zeros(len(w), bool)
-    hit[order] = twice
-    hit |= repeated[of]
-    # Runs of hit windows of a context.
-    of, offset = of[hit], offset[hit]
-    fresh = np.ones(len(of), bool)
-    fresh[1:] = (of[1:] != of[:-1]) | (offset[1:] - offset[:-1] > length)
-    begins = np.flatnonzero(fresh)
-    stops = np.append(begins[1:], len(of))[: len(begins)] - 1
-    owner, a, b = of[begins], offset[begins], offset[stops] + length
-    covered = repeated & ~chosen & (size >= length)
-    owner, a, b = np.concatenate([owner, np.flatnonzero(covered)]), np.concatenate([a, np.zeros(covered.sum(), np.int64)]), np.concatenate([b, size[covered]])
-    # Back to every place of each distinct context.
-    by = np.argsort(owner, kind="stable")
-    owner, a, b = owner[by], a[by], b[by]
-    left, right = np.searchsorted(owner, same, side="left"), np.searchsorted(owner, same, side="right")
-    k = right - left
-    pick = np.repeat(left, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-    who = np.repeat(np.arange(len(rows)), k)
-    return rows[who], starts[who] + a[pick], starts[who] + b[pick]
+        alive = alive[most[alive] > k]
+        x = eight[a[alive] + k] ^ eight[b[alive] + k]
+        differs = x != 0
+        lowest = x[differs] & (~x[differs] + np.uint64(1))
+        n[alive[differs]] = k + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+        alive, k = alive[~differs], k + 8
+        n[alive] = k
+    return np.minimum(n, most)
 
 
-def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """Each row of the documents with `cuts`, the byte spans [start, end) that repeat elsewhere, and `copied` for whole copies.
+def _ranks(slices: list[bytes]) -> np.ndarray:
+    """Each string's rank among the distinct ones."""
+    rank = {x: i for i, x in enumerate(sorted(set(slices)))}
+    return np.fromiter((rank[x] for x in slices), np.int64, len(slices))
+
 
-    Columns: doc_id, n_bytes, copied, kept_sha256 (where no text is needed any more), text (where it is), cuts.
+def repeated_windows(contexts: list[bytes], anchors: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the windows that stand at two places or more of these contexts.
+
+    anchors: a place in each context whose gram lies in all its windows.
     """
+    raw = b"".join(contexts)
+    data = np.frombuffer(raw + bytes(length + 8), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in contexts])])
+    size = int(offsets[-1])
+    eight = tx.lanes(data)
+    # Phrases begin at grams that a hash picks and at every anchor's gram. Whether a place begins one depends on its gram alone.
+    grams = gram_hashes(eight, size - gram + 1, gram)
+    begins = tx.mix64(eight[: len(grams)] ^ _TRIGGER) < np.uint64((1 << 64) // PHRASE)
+    begins |= np.isin(grams, grams[offsets[:-1] + anchors])
+    cut = np.flatnonzero(begins)
+    of = np.searchsorted(offsets, cut, side="right") - 1
+    inside = cut + gram <= offsets[of + 1]
+    cut, of = cut[inside], of[inside]
+    begin, end = offsets[of], offsets[of + 1]
+    follows = np.append(False, of[1:] == of[:-1])
+    left = np.where(follows, np.append(0, cut[:-1]) + 1, begin)  # the bytes before the phrase that no earlier phrase begins in
+    stop = np.where(np.append(follows[1:], False), np.append(cut[1:], 0) + gram, end)
+    # The string of phrases; a symbol smaller than all ends each context.
+    text = np.zeros(len(cut) + len(contexts), np.int64)
+    at = np.arange(len(cut)) + of
+    text[at] = _ranks([raw[i:j] for i, j in zip(cut.tolist(), stop.tolist(), strict=True)]) + 1
+    number = np.full(len(text), -1)
+    number[at] = np.arange(len(cut))
+    order = number[np.array(suffix_order(text.tolist()), np.int64)]
+    order = order[order >= 0]
+    a, b = order[:-1], order[1:]
+    rest = np.minimum(end - cut, length)
+    right_common = common_prefix(eight, cut[a], cut[b], np.minimum(rest[a], rest[b]))
+    # The bytes before phrases, backwards.
+    before = cut - left
+    turned = tx.lanes(np.concatenate([data[size - 1 :: -1] if size else data[:0], np.zeros(length + 8, np.uint8)]))
+    back = np.argsort(_ranks([raw[i:j][::-1] for i, j in zip(left.tolist(), cut.tolist(), strict=True)]), kind="stable")
+    c, d = back[:-1], back[1:]
+    left_common = common_prefix(turned, size - cut[c], size - cut[d], np.minimum(before[c], before[d]))
+
+    def best(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each phrase, its place in the order and the longer of both neighbours' common bytes."""
+        place, most = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        most[order] = np.maximum(np.append(0, common), np.append(common, 0))
+        return place, most
+
+    right_place, right_most = best(order, right_common)
+    left_place, left_most = best(back, left_common)
+    low = np.maximum(np.maximum(length - right_most, cut + length - end), 0)
+    high = np.minimum(before, left_most)
+    some = np.flatnonzero(low <= high)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for d in range(int(low[some].min()), int(high[some].max()) + 1) if len(some) else ():
+        now = some[(low[some] <= d) & (d <= high[some])]
+        if len(now) < 2:
+            continue
+        right_class = np.append(0, np.cumsum(right_common < length - d))[right_place[now]]
+        left_class = np.append(0, np.cumsum(left_common < d))[left_place[now]]
+        _, same, count = np.unique(right_class * len(cut) + left_class, return_inverse=True, return_counts=True)
+        twice = now[count[same] > 1]
+        found.append((of[twice], cut[twice] - d - begin[twice]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def repeated_spans(block: pa.Table, length: int, gram: int) -> pa.Table:
+    """(h1, h2, start, end) of bytes in a block's contexts that stand at two places or more."""
+    h1, h2, anchor = (block.column(c).to_pylist() for c in ("h1", "h2", "a"))
+    starts, at, raw = (block.column(c).to_pylist() for c in ("starts", "at", "context"))
+    number: dict[bytes, int] = {}
+    places: list[dict[tuple[int, int, int], list[int]]] = []
+    first: list[int] = []
+    for i, x in enumerate(raw):
+        k = number.setdefault(x, len(number))
+        if k == len(places):
+            places.append({})
+            first.append(i)
+        places[k][h1[i], h2[i], starts[i][0]] = starts[i]
+    distinct = list(number)
+    others: dict[int, int] = {}
+    for i in first:
+        others[anchor[i]] = others.get(anchor[i], 0) + 1
+    met = [k for k, i in enumerate(first) if others[anchor[i]] > 1]
+    spans: list[list[tuple[int, int]]] = [[] for _ in distinct]
+    if met:
+        of, offset = repeated_windows([distinct[k] for k in met], np.array([at[first[k]] for k in met], np.int64), length, gram)
+        by = np.lexsort((offset, of))
+        for k, x in zip(of[by].tolist(), offset[by].tolist(), strict=True):
+            own = spans[met[k]]
+            if own and x <= own[-1][1]:
+                own[-1] = (own[-1][0], x + length)
+            else:
+                own.append((x, x + length))
+    rows: list[tuple[int, int, int, int]] = []
+    for k, own in enumerate(places):
+        if len(own) > 1 or any(len(s) > 1 for s in own.values()):
+            spans[k] = [(0, len(distinct[k]))]  # the context itself stands twice
+        rows += [(a, b, s + x, s + y) for (a, b, _), each in own.items() for s in each for x, y in spans[k]]
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h1", "h2", "start", "end"])
+
+
+def _identity(digest: Column) -> tuple[Column, Column]:
+    """120 bits of a SHA-256 as two numbers."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h1"), F.conv(F.substring(digest, 16, 15), 16, 10).cast("long").alias("h2")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once a task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keep = []
+        for key in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts dealt anew by the bytes left and right of their core; each window goes one way."""
+    for batch in batches:
+        rows = []
+        columns = (batch.column(c).to_pylist() for c in ("a", "h1", "h2", "starts", "at", "core", "context"))
+        for a, h1, h2, starts, at, core, context in zip(*columns, strict=True):
+            missing = length - core
+            half = (missing + 1) // 2
+            low, high = max(0, at + core - length), min(at, len(context) - length)
+            for side, x, y, begin, more in ((b"<", low, min(high, at - half), at - half, half), (b">", max(low, at - half + 1), high, at, missing - half + 1)):
+                if x <= y:
+                    size = min(length, core + more)
+                    key = hashlib.blake2b(b"%d%b%b" % (a, side, context[begin : begin + size]), digest_size=8).digest()
+                    rows.append((int.from_bytes(key, "little", signed=True), h1, h2, [s + x for s in starts], begin - x, size, True, context[x : y + length]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "h1", "h2", "starts", "at", "core", "hot", "context"])
+
+
+def split_hot(contexts: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Spans that need no block, and contexts in groups of at most `hot`, of the anchors with more contexts than a block takes."""
+    first = F.element_at("starts", 1)
+    salt = F.pmod(F.xxhash64("h1", "h2", first), F.lit(SALTS))
+    places = [c for x in (F.col("h1"), F.col("h2"), first) for c in (F.min(x) != F.max(x),)]
+    whole = left = None
+    while True:
+        groups = contexts.groupBy("a").agg(F.count("*").alias("times"), (F.min("context") == F.max("context")).alias("same"), (places[0] | places[1] | places[2] | (F.max(F.size("starts")) > 1)).alias("apart"))
+        kind = F.when(F.col("same"), F.when(F.col("apart"), "whole")).when(F.col("times") <= hot, "block").otherwise("split")
+        kinds = groups.select("a", kind.alias("kind")).filter("kind is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # The rows of a hot anchor meet its kind in SALTS parts.
+        table, _ = shared.store(contexts.withColumn("salt", salt.cast("int")).join(kinds, ["a", "salt"]).drop("salt"), "hot-contexts")
+        spans = table.filter("kind = 'whole'").select("h1", "h2", F.explode("starts").alias("start"), F.octet_length("context").alias("n")).select("h1", "h2", "start", (F.col("start") + F.col("n")).alias("end"))
+        blocks = table.filter("kind = 'block'").drop("kind")
+        whole = spans if whole is None else whole.unionByName(spans)
+        left = blocks if left is None else left.unionByName(blocks)
+        more = table.filter("kind = 'split'").drop("kind")
+        if more.isEmpty():
+            return whole, left
+        contexts = more.mapInArrow(lambda batches: _split(batches, length), CONTEXT)
+
+
+def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_CONTEXTS) -> DataFrame:
+    """(h1, h2, text, copied, cuts): texts with a shared anchor, each once unless copied, with the byte spans [start, end) that repeat elsewhere."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), F.octet_length(text).cast("long").alias("n"))
+    long = docs.select(text.alias("text")).filter(F.octet_length("text") >= length).select(*_identity(F.sha2("text", 256)), "text")
+    numbers = "h1 long, h2 long"
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.blocks(batches):
+        for batch in (part for whole in _once(batches) for part in tx.blocks([whole])):
             data, offsets = tx.utf8(batch.column("text"))
-            hashes = Hashes(data)
-            places = anchors(data, offsets, hashes, length, gram)
-            doc = np.searchsorted(offsets, places, side="right") - 1
-            h = batch.column("h").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.at(places, gram).view(np.int64)), pa.array(h[doc]), pa.array((places - offsets[doc]).astype(np.int32))], names=["a", "h", "p"]
-            )
+            found = Anchors(data, offsets, length, gram)
+            keep = found.ends_of_runs()
+            doc = found.doc[keep]
+            arrays = [pa.array(found.hash[keep].view(np.int64)), *(pa.array(batch.column(c).to_numpy()[doc]) for c in ("h1", "h2")), pa.array((found.place[keep] - offsets[doc]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "h1", "h2", "p"])
 
     # Stored, as it is read twice and costs a pass over all texts.
-    found, anchor_path = shared.store(base.filter(F.col("n") >= length).select("h", "text").mapInArrow(find_anchors, "a long, h long, p int"), "anchors")
-    place = F.xxhash64("h", "p")
-    shared_anchors = found.groupBy("a").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("times")).filter("low != high").select("a", (F.col("times") > hot).alias("hot"))
+    found, anchor_path = shared.store(long.mapInArrow(find_anchors, f"a long, {numbers}, p int"), "anchors")
+    apart = (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2")) | (F.min("p") != F.max("p"))
+    shared_anchors = found.groupBy("a").agg(apart.alias("apart"), (F.count("*") > hot).alias("hot")).filter("apart").select("a", "hot")
     # An anchor's place and, in the lowest bit, whether the anchor is hot.
-    places = found.join(shared_anchors, "a").groupBy("h").agg(F.collect_set(F.col("p").cast("long") * 2 + F.col("hot").cast("long")).alias("places"))
-    copies = base.filter(F.col("n") >= length).groupBy("h", "g", "n").agg(F.min("row").alias("first"), (F.count("*") > 1).alias("copied"))
-    rows = base.filter(F.col("n") >= length).select("row", "h", "g", "n").join(copies, ["h", "g", "n"]).join(places, "h", "left")
-    rows = rows.select("row", "copied", F.when(F.col("row") == F.col("first"), F.col("places")).alias("places"))
-    joined = base.select("doc_id", "row", "n", "text").join(rows, "row", "left")
-    table, _ = shared.store(
-        joined.select(
-            "doc_id",
-            "row",
-            F.col("n").alias("n_bytes"),
-            F.coalesce("copied", F.lit(False)).alias("copied"),
-            "places",
-            F.when(F.col("places").isNotNull(), F.col("text")).alias("text"),
-            F.when(F.col("copied"), F.lit(EMPTY)).when(F.col("places").isNull(), F.sha2("text", 256)).alias("kept_sha256"),
-        ),
-        "texts",
-    )
+    places = found.join(shared_anchors, "a").groupBy("h1", "h2").agg(F.collect_set(F.col("p").cast("long") * 2 + F.col("hot").cast("long")).alias("places"))
+    copies = long.groupBy("h1", "h2").agg((F.count("*") > 1).alias("copied"))
+    wanted = places.join(copies, ["h1", "h2"])
+    texts = long.mapInArrow(_once, f"{numbers}, text string")
+    table, _ = shared.store(texts.join(wanted, ["h1", "h2"]), "texts")
     shared.drop(docs.sparkSession, anchor_path)
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "row", "start", "hot", "context"]
-        for batch in tx.blocks(batches):
+        for batch in (part for whole in _once(batches) for part in tx.blocks([whole])):
             data, offsets = tx.utf8(batch.column("text"))
-            hashes = Hashes(data)
+            found = Anchors(data, offsets, length, gram)
             lists = batch.column("places")
             coded = lists.flatten().to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = offsets[doc] + (coded >> 1)
-            low = np.maximum(at + gram - length, offsets[doc])
-            high = np.minimum(at + length, offsets[doc + 1])
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            # A document's shared grams by (document, gram).
+            at = np.searchsorted(found.place, offsets[owner] + (coded >> 1))
+            salted = tx.mix64(found.hash ^ tx.mix64(found.doc.astype(np.uint64)))
+            chosen = np.flatnonzero(np.isin(salted, salted[at]))
+            hot_ones = np.isin(salted[chosen], salted[at[(coded & 1) == 1]])
             raw = data.tobytes()
-            cut = pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
-            row = batch.column("row").to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.at(at, gram).view(np.int64)), pa.array(row), pa.array((low - offsets[doc]).astype(np.int32)), pa.array((coded & 1).astype(bool)), cut], names=names)
-
-    contexts = table.filter("places is not null").select("row", "places", "text").mapInArrow(cut_contexts, "a long, row long, start int, hot boolean, context binary")
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
+            rows: dict[tuple[int, bytes], list] = {}
+            base = offsets[found.doc[chosen]]
+            columns = (found.hash.view(np.int64)[chosen], found.doc[chosen], found.low[chosen], found.high[chosen], found.place[chosen], base, hot_ones)
+            for a, d, low, high, place, zero, is_hot in zip(*(c.tolist() for c in columns), strict=True):
+                context = raw[low : high + length]
+                row = rows.setdefault((d, context), [a, d, [], place - low, is_hot])
+                row[2].append(low - zero)  # equal contexts of a text go together
+            kept = list(rows.values())
+            docs_of = np.array([r[1] for r in kept], np.int64)
+            arrays = [
+                pa.array([r[0] for r in kept], pa.int64()), pa.array(h1[docs_of]), pa.array(h2[docs_of]), pa.array([r[2] for r in kept], pa.list_(pa.int32())), pa.array([r[3] for r in kept], pa.int32()),
+                pa.array(np.full(len(kept), gram, np.int32)), pa.array([r[4] for r in kept], pa.bool_()), pa.array([c for _, c in rows], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "h1", "h2", "starts", "at", "core", "hot", "context"])
+
+    cut = lambda rows: rows.select("h1", "h2", "places", "text").mapInArrow(cut_contexts, CONTEXT)
+    contexts, spans = cut(table).filter("not hot"), None
+    with_hot = table.filter(F.exists("places", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    if not with_hot.isEmpty():
+        spans, more = split_hot(cut(with_hot).filter("hot"), length, hot)
+        contexts = contexts.unionByName(more)
     total = table.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // BLOCK_CONTEXTS))
-
-    def in_block(block: pa.Table) -> pa.Table:
-        context = block.column("context").cast(pa.large_binary()).combine_chunks()
-        if isinstance(context, pa.ChunkedArray):
-            context = context.chunk(0)
-        row, a, b = repeated_spans(block.column("row").to_numpy(), block.column("start").to_numpy().astype(np.int64), context, length)
-        return pa.table({"row": pa.array(row, pa.int64()), "start": pa.array(a.astype(np.int32)), "end": pa.array(b.astype(np.int32))})
-
-    spans = contexts.filter("not hot").withColumn("bucket", F.pmod("a", F.lit(buckets))).groupBy("bucket").applyInArrow(in_block, "row long, start int, end int")
-    spans = spans.unionByName(_hot_spans(contexts.filter("hot").select("row", "start", "context"), length))
-    cuts = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    return table.drop("places").join(cuts, "row", "left")
-
-
-def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of contexts with too common an anchor: one row per window, spread by the window's hash."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("context").cast(pa.large_binary())
-            for a in range(0, batch.num_rows, 512):
-                part = column.slice(a, 512)
-                raw = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
-                sizes = np.array([len(x) for x in part.to_pylist()], np.int64)
-                offsets = np.cumsum(sizes) - sizes
-                n = np.maximum(sizes - length + 1, 0)
-                of = np.repeat(np.arange(len(sizes)), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = Hashes(raw).at(offsets[of] + offset, length)
-                row, start = batch.column("row").slice(a, 512).to_numpy(), batch.column("start").slice(a, 512).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(row[of]), pa.array((start[of] + offset).astype(np.int32))], names=["w", "row", "start"])
-
-    found = contexts.mapInArrow(windows, "w long, row long, start int")
-    place = F.xxhash64("row", "start")
-    twice = found.groupBy("w").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("w")
-    return found.join(twice, "w").select("row", "start", (F.col("start") + length).alias("end")).distinct()
+    dealt = contexts.select("a", "h1", "h2", "starts", "at", "context", F.pmod("a", F.lit(buckets)).alias("bucket"))
+    in_blocks = dealt.groupBy("bucket").applyInArrow(lambda block: repeated_spans(block, length, gram), f"{numbers}, start int, end int")
+    spans = in_blocks if spans is None else spans.unionByName(in_blocks)
+    cuts = spans.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    return table.select("h1", "h2", "copied", "text").join(cuts, ["h1", "h2"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_CONTEXTS) -> DataFrame:
@@ -403,32 +453,30 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, kept = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("n_bytes", "copied", "kept_sha256", "text", "cuts"))
-            for n, copied, digest, text, cuts in zip(*columns, strict=True):
-                if copied:
-                    removed.append(n)
-                    spans.append(1)
-                    kept.append(digest)
-                    continue
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for c in cuts or ():
+                for c in cuts:
                     if merged and c["start"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], c["end"])
                     else:
                         merged.append([c["start"], c["end"]])
                 removed.append(sum(b - a for a, b in merged))
                 spans.append(len(merged))
-                if text is not None:
-                    raw, at, out = text.encode(), 0, hashlib.sha256()
-                    for a, b in merged:
-                        out.update(raw[at:a])
-                        at = b
-                    out.update(raw[at:])
-                    digest = out.hexdigest()
-                kept.append(digest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=names)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = find_spans(docs, length, gram, hot).select("doc_id", "n_bytes", "copied", "kept_sha256", "text", "cuts")
-    return found.mapInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                raw, at, out = text.encode(), 0, hashlib.sha256()
+                for a, b in merged:
+                    out.update(raw[at:a])
+                    at = b
+                out.update(raw[at:])
+                kept.append(out.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["h1", "h2", "removed", "spans", "kept"])
+
+    found = find_spans(docs, length, gram, hot).filter("not copied").select("h1", "h2", "text", "cuts")
+    cut = found.mapInArrow(finish, "h1 long, h2 long, removed long, spans long, kept string")
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select("doc_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    whole = whole.select("doc_id", "digest", "n_bytes", *_identity(F.col("digest")))
+    copied = whole.filter(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.first("n_bytes").alias("n")).filter("rows > 1")
+    marks = copied.select("h1", "h2", F.col("n").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(EMPTY).alias("kept")).unionByName(cut)
+    none = F.lit(0).cast("long")
+    joined = whole.join(shared.checkpoint(marks), ["h1", "h2"], "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("spans", none).alias("n_spans"), F.coalesce("kept", "digest").alias("kept_sha256"))
