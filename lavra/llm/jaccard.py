@@ -9,23 +9,33 @@ break ties by different hashes.
 
 The first order runs as a distributed join: documents that share a prefix
 shingle, and could still be similar by size and position, are connected into
-clusters. A cluster's texts then meet in one task, or in pairs of bounded
-blocks if it is large; there the prefixes of all orders are intersected, and
-what passes is verified on the whole sets. For `components`, pairs that are
-connected already are not verified again, so a group of thousands of near
-copies costs a tree of links and never all pairs. `linked` verifies every pair
-and counts each document's links in the tasks; the pairs themselves stay there.
-
-Documents with equal sets are one node (by a 64-bit signature of the set).
+clusters. A cluster's texts meet in blocks of bounded size; there the prefixes
+of all orders are intersected, and what passes is verified on the whole sets,
+and each link once more on the words themselves.
+
+`components` needs no pair that is connected already. A cluster of many blocks
+first meets block by block, each with a few pivots of the cluster. Most near
+copies are one component then; only documents outside of a cluster's largest
+component meet all of its blocks. So a group of many thousands of near copies
+is read about once or twice, not once a pair of blocks. `linked` verifies every
+pair, block by block, and counts each document's links in the tasks; its work
+grows with the square of a cluster, as the number of links does.
+
+Documents with equal sets are one node, known by 128 bits of their set: 64 bits
+name it, and if the others ever differ, all sets are named anew under another
+seed.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; rows without doc_id are linked with nothing and have no component;
-repeated rows are equal sets and count once as a link; an empty table gives an empty result; other
-columns are ignored by `components` and `linked` and kept by `keep_one`.
+nothing; a very long text is one set like others; rows without doc_id are linked
+with nothing and have no component; repeated rows are equal sets and count once
+as a link; of equal similarities and ids nothing is chosen, all links hold; an
+empty table gives an empty result; other columns are ignored by `components` and
+`linked` and kept by `keep_one`.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -43,13 +53,16 @@ from lavra.llm.graph import connected_components
 SIMILAR, SHINGLE, ORDERS = 90, 3, 3
 #: Counters of the frequency sketch, and the ranges it is summed in.
 SKETCH, RANGES = 1 << 23, 128
-#: Postings of a bucket to aim at; postings from which a shingle doesn't go to one task; documents of a block.
-BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS = 200_000, 100_000, 512
+#: Postings of a bucket to aim at; postings from which a shingle doesn't go to one task; documents of a block; about how many pivots a cluster has.
+BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS, PIVOTS = 200_000, 100_000, 512, 16
+#: Parts that the rows of a common shingle are joined in.
+SALTS = 16
 #: Groups of up to so many documents are paired; larger ones are chained.
 PAIRED = 6
 #: Shingles that are counted at once when all pairs are verified.
 COUNTED = 1 << 21
 
+_LOWERED = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -75,18 +88,19 @@ def prefix(shingles: np.ndarray, level: np.ndarray, order: int, similar: int = S
     return shingles[np.argsort(key)]
 
 
-def signature(shingles: np.ndarray) -> int:
-    """64 bits for a set; negative or positive as Spark's long."""
-    if not len(shingles):
-        return 0
-    mixed = tx.mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93))
-    return int(tx.mix64(mixed.sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles))).view(np.int64)[0])
+def signature(shingles: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two times 64 bits for a set, negative or positive as Spark's long."""
+    out = []
+    for k in (0xD6E8FEB86659FD93, 0xA5A3564E27F8862D):
+        mixed = tx.mix64(shingles ^ np.uint64((k + seed) & 0xFFFFFFFFFFFFFFFF)).sum(dtype=np.uint64, keepdims=True)
+        out.append(int(tx.mix64(mixed ^ np.uint64(len(shingles))).view(np.int64)[0]) if len(shingles) else 0)
+    return out[0], out[1]
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, node) of every document, and each task's share of the sketch as rows of (range, counts)."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
+    """(doc_id, h, n, node, other) of every document, h of its text, and each task's share of the sketch as rows of (range, counts)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "node", "range", "counts"]
+    names = ["doc_id", "h", "n", "node", "other", "range", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
@@ -95,16 +109,16 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             kind = batch.column("doc_id").type
             sets = tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
-            )
+            named = [signature(s, seed) for s in sets]
+            arrays = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in named], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
             np.add.at(counts, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         if kind is not None:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, RANGES)]
             none = pa.nulls(RANGES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, kind), none, none, pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, kind), none, none, none, none, pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, node long, range int, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {id_type}, h long, n long, node long, other long, range int, counts binary")
 
 
 def sketch_levels(found: DataFrame) -> np.ndarray:
@@ -170,7 +184,7 @@ def bucket_edges(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.nda
     return pair[:, 0], pair[:, 1]
 
 
-def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingle: int = SHINGLE) -> DataFrame:
+def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
     """(node, root): candidate clusters under the first order; rows: about how many postings its prefixes have."""
     sent = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
 
@@ -179,7 +193,7 @@ def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingl
         for batch in tx.blocks(batches):
             node, size, tokens = [], [], []
             for s in tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle):
-                if len(s) and (own := signature(s)) not in seen:
+                if len(s) and (own := signature(s, seed)[0]) not in seen:
                     seen.add(own)
                     node.append(own)
                     size.append(len(s))
@@ -201,9 +215,18 @@ def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingl
 
         marked = postings.mapInArrow(maybe_hot, "node long, n int, pos int, token long, suspect boolean")
         doubtful = marked.filter("suspect").drop("suspect")
-        counted = doubtful.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("least")).filter(F.col("times") > HOT_ROWS).select("token", "least")
-        stars = doubtful.join(counted, "token").select(F.col("least").alias("a"), F.col("node").alias("b"))
-        postings = marked.filter("not suspect").drop("suspect").unionByName(doubtful.join(counted, "token", "left_anti"))
+        counted = doubtful.groupBy("token").agg(F.count("*").alias("times")).filter(F.col("times") > HOT_ROWS).select("token")
+        # A hot shingle connects, within a band of sizes and the next, those that could be similar to anything by size and position.
+        smallest = f"({similar} * n + 99) div 100"
+        could = doubtful.filter(f"n - pos >= ({similar} * (n + {smallest}) + {99 + similar}) div {100 + similar}")
+        band = F.floor(F.log("n") / math.log(100 / similar * 1.0001))
+        could = could.select("token", "node", F.pmod("node", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array(band, band + 1)).alias("band"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        could = could.join(counted.select("token", salts), ["token", "salt"])
+        least = could.groupBy("token", "band").agg(F.min("node").alias("least")).select("token", "band", "least", salts)
+        stars = could.join(least, ["token", "band", "salt"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+        spread = doubtful.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(counted.select("token", salts), ["token", "salt"], "left_anti").drop("salt")
+        postings = marked.filter("not suspect").drop("suspect").unionByName(spread)
     buckets = max(1, -(-rows // BUCKET_ROWS))
 
     def edges_of(block: pa.Table) -> pa.Table:
@@ -264,17 +287,34 @@ def candidates(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR
     return np.nonzero(np.triu(passed, 1))
 
 
-def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links of similar sets that connect what is connected; `cross` as for `candidates`."""
+def shingle_words(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as words."""
+    words = text.encode().translate(_LOWERED).split()  # bytes split at the six blanks that separate words
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} - {()}
+
+
+def same_words(one: set, other: set, similar: int) -> bool:
+    both = len(one & other)
+    return 100 * both >= similar * (len(one) + len(other) - both)
+
+
+def links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR, cross: np.ndarray | None = None, labels: list[int] | None = None, confirm=None) -> list[tuple[int, int]]:
+    """Links of similar sets that connect what is connected; `cross` as for `candidates`.
+
+    labels: sets with one label are connected already. confirm: called with a pair to settle it on the words.
+    """
     whole: dict[int, set] = {}
     forest, out = Forest(len(sets)), []
+    first: dict[int, int] = {}
+    for i, label in enumerate(labels or ()):
+        forest.join(first.setdefault(label, i), i)
     for i, j in zip(*(x.tolist() for x in candidates(sets, level, similar, cross)), strict=True):
         if forest.find(i) == forest.find(j):
             continue
         a = whole.setdefault(i, set(sets[i].tolist()))
         b = whole.setdefault(j, set(sets[j].tolist()))
         both = len(a & b)
-        if 100 * both >= similar * (len(a) + len(b) - both):
+        if 100 * both >= similar * (len(a) + len(b) - both) and (confirm is None or confirm(i, j)):
             forest.join(i, j)
             out.append((i, j))
     return out
@@ -320,21 +360,8 @@ def all_links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR,
     return i[linked], j[linked]
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False) -> DataFrame:
-    """(a, b, n_links): links between nodes that connect all similar documents.
-
-    If counted, every pair is verified, and rows without b have a part of the number of documents that a's sets are linked to.
-    """
-    rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
-    found = shared.checkpoint(clusters(docs, level, similar, int(rows), shingle))
-    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-    copies = F.count_distinct("doc_id") if counted else F.lit(1).cast("long")
-    first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), copies.alias("copies"))
-    placed = found.join(sizes, "root").join(first, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK_DOCS).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("doc_id", "node", "copies", "root", "block", other.alias("other"))
-    meetings = shared.checkpoint(placed.select("doc_id", "node", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
+def _verified(docs: DataFrame, meetings: DataFrame, level: np.ndarray, similar: int, shingle: int, seed: int, counted: bool) -> DataFrame:
+    """(a, b, n_links) of what meets; meetings: doc_id, node, label, copies, root, block, and the two blocks that meet."""
     tasks = max(1, meetings.count() // BLOCK_DOCS)
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -343,29 +370,31 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
         sets: list[np.ndarray] = []
         for batch in tx.blocks(table.to_batches()):
             sets += tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
-        node, copies, root, block = (table.column(c).to_numpy() for c in ("node", "copies", "root", "block"))
-        lows, highs = table.column("one").to_numpy(), table.column("two").to_numpy()
-        same = np.array([len(s) > 0 and signature(s) == k for s, k in zip(sets, node.tolist(), strict=True)], bool)  # not another text of the same id
+        node, label, copies, root, block = (table.column(c).to_numpy() for c in ("node", "label", "copies", "root", "block"))
+        lows, highs, text = table.column("one").to_numpy(), table.column("two").to_numpy(), table.column("text")
+        same = np.array([len(s) > 0 and signature(s, seed)[0] == k for s, k in zip(sets, node.tolist(), strict=True)], bool)  # not another text of the same id
         groups: dict[tuple, dict[int, int]] = {}
         for i in np.flatnonzero(same).tolist():
             groups.setdefault((int(root[i]), int(lows[i]), int(highs[i])), {}).setdefault(int(node[i]), i)
+        of_row = functools.lru_cache(4)(lambda i: shingle_words(text[i].as_py(), shingle))
         a, b, n_links = [], [], []
         for (_, low, high), members in groups.items():
             at = list(members.values())
             if len(at) < 2:
                 continue
             own, cross = [sets[k] for k in at], block[at] if low != high else None
+            confirm = lambda i, j, at=at: same_words(of_row(at[i]), of_row(at[j]), similar)
             if counted:
                 one, two = all_links(own, sent.value, similar, cross)
                 forest, weight = Forest(len(at)), copies[at]
-                found = [(i, j) for i, j in zip(one.tolist(), two.tolist(), strict=True) if forest.join(i, j)]
+                found = [(i, j) for i, j in zip(one.tolist(), two.tolist(), strict=True) if forest.find(i) != forest.find(j) and confirm(i, j) and forest.join(i, j)]
                 n = np.bincount(one, weight[two], len(at)) + np.bincount(two, weight[one], len(at))
                 some = np.flatnonzero(n)
                 a += node[at][some].tolist()
                 b += [None] * len(some)
                 n_links += n[some].astype(np.int64).tolist()
             else:
-                found = links(own, sent.value, similar, cross)
+                found = links(own, sent.value, similar, cross, label[at].tolist(), confirm)
             a += [node[at[i]] for i, _ in found]
             b += [node[at[j]] for _, j in found]
             n_links += [None] * len(found)
@@ -375,6 +404,59 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
     return texts.groupBy("task").applyInArrow(verify, "a long, b long, n_links long")
 
 
+def _all_blocks(placed: DataFrame) -> DataFrame:
+    """Every pair of a cluster's blocks meets."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = placed.select("doc_id", "node", "label", "copies", "root", "block", other.alias("other"))
+    return met.select("doc_id", "node", "label", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
+def _own_blocks(placed: DataFrame) -> DataFrame:
+    """Every block meets by itself, with the cluster's pivots."""
+    pivot = F.pmod(F.xxhash64(F.lit(31), "node"), F.col("members")) < PIVOTS
+    to = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    return placed.select("doc_id", "node", "label", "copies", "root", "block", F.explode(to).alias("one")).withColumn("two", F.col("one"))
+
+
+def _rest_with_all(placed: DataFrame) -> DataFrame:
+    """Documents outside of a cluster's largest component meet all of its blocks, and each other."""
+    many = placed.filter("blocks > 1")
+    by_label = many.groupBy("root", "label").agg(F.count("*").alias("times"))
+    most = by_label.groupBy("root").agg(F.max_by("label", F.struct("times", "label")).alias("largest"), F.sum("times").alias("all"), F.max("times").alias("in_it"))
+    most = most.withColumn("rest_blocks", F.ceil((F.col("all") - F.col("in_it")) / BLOCK_DOCS).cast("int")).filter("rest_blocks > 0").select("root", "largest", "rest_blocks")
+    found = many.join(shared.checkpoint(most), "root").withColumn("rest", F.col("label") != F.col("largest"))
+    found = found.withColumn("block", F.when(F.col("rest"), F.col("blocks") + F.pmod(F.xxhash64(F.lit(37), "node"), F.col("rest_blocks")).cast("int")).otherwise(F.col("block")))
+    others = F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("blocks")), F.col("blocks") + F.col("rest_blocks") - 1)
+    met = found.select("doc_id", "node", "label", "copies", "root", "block", F.explode(others).alias("other"))
+    return met.select("doc_id", "node", "label", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False, seed: int = 0) -> DataFrame:
+    """(a, b, n_links): links between nodes that connect all similar documents.
+
+    If counted, every pair is verified, and rows without b have a part of the number of documents that a's sets are linked to.
+    """
+    rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
+    found = shared.checkpoint(clusters(docs, level, similar, int(rows), shingle, seed))
+    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
+    copies = F.count_distinct("doc_id") if counted else F.lit(1).cast("long")
+    first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), copies.alias("copies"))
+    placed = found.join(sizes, "root").join(first, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK_DOCS).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node"))
+    placed = shared.checkpoint(placed)
+    verified = lambda meetings: _verified(docs, shared.checkpoint(meetings), level, similar, shingle, seed, counted)
+    if counted:
+        return verified(_all_blocks(placed))
+    out = shared.checkpoint(verified(_own_blocks(placed)))
+    many = placed.filter("blocks > 1").drop("label")
+    if many.isEmpty():
+        return out
+    labels = connected_components(out.select("a", "b")).select("node", F.col("root").alias("label"))
+    labelled = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = shared.checkpoint(_rest_with_all(labelled))
+    return out if rest.isEmpty() else out.unionByName(verified(rest))
+
+
 def components(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     return _joined(docs, similar, shingle, counted=False).drop("n_links")
@@ -385,34 +467,52 @@ def linked(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> D
     return _joined(docs, similar, shingle, counted=True)
 
 
-def _joined(docs: DataFrame, similar: int, shingle: int, counted: bool) -> DataFrame:
-    found, _ = shared.store(signatures(docs, shingle), "shingle-sets")
-    nodes = found.filter("range is null").select("doc_id", "n", "node")
+def _named(docs: DataFrame, similar: int, shingle: int, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, node) of every document, and the component of every node that has shingles, with its number of links."""
+    seed = 0
+    while True:
+        found, path = shared.store(signatures(docs, shingle, seed), "shingle-sets")
+        nodes = found.filter("range is null").select("doc_id", "h", "n", "node", "other")
+        if nodes.filter("n > 0").groupBy("node").agg((F.min("other") != F.max("other")).alias("mixed")).filter("mixed").isEmpty():
+            break
+        shared.drop(docs.sparkSession, path)
+        seed += 1
     level = sketch_levels(found)
-    links_of = similar_links(docs, nodes, level, similar, shingle, counted)
-    copies, n_links = F.lit(1).cast("long"), F.lit(None).cast("long")
+    links_of = similar_links(docs, nodes, level, similar, shingle, counted, seed)
+    copies, n_links = F.lit(1).cast("long"), F.lit(0).cast("long")
     if counted:
         links_of = shared.checkpoint(links_of)
         copies = F.count_distinct("doc_id")
     roots = connected_components(links_of.filter("b is not null").select("a", "b"))
-    first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), copies.alias("copies"))
+    first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "node", "h")).alias("first"), copies.alias("copies"))
     first = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if counted:
         others = links_of.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
         first = first.join(others, "node", "left")
         n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
     smallest = first.groupBy("root").agg(F.min("first").alias("component"))
-    named = first.join(smallest, "root").select(F.col("node").alias("of"), "component", n_links.alias("links"))
+    # Checkpointed, so that the rows of a much copied document can be joined to it in parts.
+    named = shared.checkpoint(first.join(smallest, "root").select(F.col("node").alias("of"), "component", n_links.alias("links")))
+    return nodes.drop("other"), named
+
+
+def _joined(docs: DataFrame, similar: int, shingle: int, counted: bool) -> DataFrame:
+    nodes, named = _named(docs, similar, shingle, counted)
     out = nodes.join(named, (nodes["node"] == named["of"]) & (nodes["n"] > 0), "left")
     some = F.col("doc_id").isNotNull()
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("component", "doc_id")).alias("component_id"), F.when(some, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("component.doc_id", "doc_id")).alias("component_id"), F.when(some, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links")
     )
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those that are linked, over any steps, to one of a smaller id; repeated ids keep one row."""
-    found = components(docs, similar, shingle)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each component, that of the smallest id; others of that id stay if they are not linked to it.
+
+    Rows that repeat id and text keep one of them; documents without shingles and rows without doc_id stay.
+    """
+    nodes, named = _named(docs.filter("doc_id is not null"), similar, shingle, counted=False)
+    empty = nodes.filter("n = 0").select("doc_id", "h").distinct()
+    kept = named.select("component.doc_id", "component.h").distinct().unionByName(empty)
+    packed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("doc"))
+    one = packed.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return one.select("doc.*").unionByName(docs.filter("doc_id is null"))
