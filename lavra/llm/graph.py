@@ -12,18 +12,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the nodes of a component share one root.
 
     Each round maps a node to the smallest of its neighbours and itself, and
-    maps the edges along. Ids should be hashes, so that the graph shrinks by a
-    constant factor in each round whatever its shape. Both tables are
-    checkpointed every round; an edge list is never gathered.
+    maps the edges along; the rounds' maps are put together at the end. Ids
+    should be hashes, so that the graph shrinks by a constant factor in each
+    round whatever its shape. Maps and edges are checkpointed every round; an
+    edge list is never gathered.
     """
     edges = shared.checkpoint(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    labels = shared.checkpoint(labels)
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    first = True
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = shared.checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "id"))
-        labels = shared.checkpoint(labels.join(parent, labels["root"] == parent["id"], "left").select("node", F.coalesce("up", "root").alias("root")))
+        if first:  # every node has an edge
+            labels, first = parent.select(F.col("id").alias("node"), F.col("up").alias("root")), False
+        else:
+            labels = labels.join(parent, labels["root"] == parent["id"], "left").select("node", F.coalesce("up", "root").alias("root"))
         mapped = edges.join(parent, edges["a"] == parent["id"]).select(F.col("up").alias("a"), "b")
         mapped = mapped.join(parent, mapped["b"] == parent["id"]).select("a", F.col("up").alias("b")).filter("a != b")
         edges = shared.checkpoint(mapped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels
+    return shared.checkpoint(labels)

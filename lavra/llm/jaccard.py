@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,9 +185,8 @@ def bucket_edges(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.nda
     return pair[:, 0], pair[:, 1]
 
 
-def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
-    """(node, root): candidate clusters under the first order; rows: about how many postings its prefixes have."""
-    sent = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
+def clusters(docs: DataFrame, level: np.ndarray, sent: Broadcast, similar: int, rows: int, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
+    """(node, root): candidate clusters under the first order; sent: the levels; rows: about how many postings its prefixes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task count once
@@ -206,12 +206,10 @@ def clusters(docs: DataFrame, level: np.ndarray, similar: int, rows: int, shingl
     postings = named.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     suspects = np.flatnonzero(level >= hot_level)
     if len(suspects):
-        slots = docs.sparkSession.sparkContext.broadcast(level >= hot_level)
-
         def maybe_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 t = batch.column("token").to_numpy().view(np.uint64) & np.uint64(SKETCH - 1)
-                yield batch.append_column("suspect", pa.array(slots.value[t.astype(np.int64)]))
+                yield batch.append_column("suspect", pa.array(sent.value[t.astype(np.int64)] >= hot_level))
 
         marked = postings.mapInArrow(maybe_hot, "node long, n int, pos int, token long, suspect boolean")
         doubtful = marked.filter("suspect").drop("suspect")
@@ -360,10 +358,9 @@ def all_links(sets: list[np.ndarray], level: np.ndarray, similar: int = SIMILAR,
     return i[linked], j[linked]
 
 
-def _verified(docs: DataFrame, meetings: DataFrame, level: np.ndarray, similar: int, shingle: int, seed: int, counted: bool) -> DataFrame:
+def _verified(docs: DataFrame, meetings: DataFrame, sent: Broadcast, similar: int, shingle: int, seed: int, counted: bool) -> DataFrame:
     """(a, b, n_links) of what meets; meetings: doc_id, node, label, copies, root, block, and the two blocks that meet."""
     tasks = max(1, meetings.count() // BLOCK_DOCS)
-    sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -431,30 +428,34 @@ def _rest_with_all(placed: DataFrame) -> DataFrame:
     return met.select("doc_id", "node", "label", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False, seed: int = 0) -> DataFrame:
-    """(a, b, n_links): links between nodes that connect all similar documents.
-
-    If counted, every pair is verified, and rows without b have a part of the number of documents that a's sets are linked to.
-    """
+def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """(node, root) of all linked nodes; if counted, also (node, n) with parts of the number of documents that a node's are linked to."""
+    sent = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
     rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
-    found = shared.checkpoint(clusters(docs, level, similar, int(rows), shingle, seed))
+    found = clusters(docs, level, sent, similar, int(rows), shingle, seed)
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
     copies = F.count_distinct("doc_id") if counted else F.lit(1).cast("long")
     first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), copies.alias("copies"))
     placed = found.join(sizes, "root").join(first, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK_DOCS).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node"))
     placed = shared.checkpoint(placed)
-    verified = lambda meetings: _verified(docs, shared.checkpoint(meetings), level, similar, shingle, seed, counted)
+    verified = lambda meetings: shared.checkpoint(_verified(docs, meetings, sent, similar, shingle, seed, counted))
     if counted:
-        return verified(_all_blocks(placed))
-    out = shared.checkpoint(verified(_own_blocks(placed)))
-    many = placed.filter("blocks > 1").drop("label")
-    if many.isEmpty():
-        return out
-    labels = connected_components(out.select("a", "b")).select("node", F.col("root").alias("label"))
-    labelled = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = shared.checkpoint(_rest_with_all(labelled))
-    return out if rest.isEmpty() else out.unionByName(verified(rest))
+        out = verified(shared.checkpoint(_all_blocks(placed)))
+        return connected_components(out.filter("b is not null").select("a", "b")), out.filter("b is null").select(F.col("a").alias("node"), F.col("n_links").alias("n"))
+    labels = connected_components(verified(shared.checkpoint(_own_blocks(placed))).select("a", "b")).select("node", F.col("root").alias("label"))
+    many = placed.filter("blocks > 1").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = shared.checkpoint(_rest_with_all(many))
+    if rest.isEmpty():
+        return labels.withColumnRenamed("label", "root"), None
+    # The further links join labels; a node without a label is its own.
+    more = verified(rest).select("a", "b")
+    for end in ("a", "b"):
+        more = more.join(labels, more[end] == labels["node"], "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
+    joined = connected_components(more)
+    relabelled = labels.join(joined.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    sent.unpersist()
+    return relabelled.unionByName(joined.join(labels, "node", "left_anti")), None
 
 
 def components(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
@@ -478,18 +479,16 @@ def _named(docs: DataFrame, similar: int, shingle: int, counted: bool) -> tuple[
         shared.drop(docs.sparkSession, path)
         seed += 1
     level = sketch_levels(found)
-    links_of = similar_links(docs, nodes, level, similar, shingle, counted, seed)
+    roots, parts = similar_links(docs, nodes, level, similar, shingle, counted, seed)
     copies, n_links = F.lit(1).cast("long"), F.lit(0).cast("long")
     if counted:
-        links_of = shared.checkpoint(links_of)
         copies = F.count_distinct("doc_id")
-    roots = connected_components(links_of.filter("b is not null").select("a", "b"))
     first = nodes.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "node", "h")).alias("first"), copies.alias("copies"))
     first = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if counted:
-        others = links_of.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
-        first = first.join(others, "node", "left")
+        first = first.join(parts.groupBy("node").agg(F.sum("n").alias("others")), "node", "left")
         n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    first = shared.checkpoint(first)
     smallest = first.groupBy("root").agg(F.min("first").alias("component"))
     # Checkpointed, so that the rows of a much copied document can be joined to it in parts.
     named = shared.checkpoint(first.join(smallest, "root").select(F.col("node").alias("of"), "component", n_links.alias("links")))
