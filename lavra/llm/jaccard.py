@@ -14,7 +14,7 @@ of all orders are intersected, and what passes is verified on the whole sets,
 and each link once more on the words themselves.
 
 `components` needs no pair that is connected already. A cluster of many blocks
-first meets block by block, each with a few pivots of the cluster. Most near
+(more than FEW_BLOCKS) first meets block by block, each with a few pivots of the cluster. Most near
 copies are one component then; only documents outside of a cluster's largest
 component meet all of its blocks. So a group of many thousands of near copies
 is read about once or twice, not once a pair of blocks. `linked` verifies every
@@ -56,6 +56,8 @@ SIMILAR, SHINGLE, ORDERS = 90, 3, 3
 SKETCH, RANGES = 1 << 23, 128
 #: Postings of a bucket to aim at; postings from which a shingle doesn't go to one task; documents of a block; about how many pivots a cluster has.
 BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS, PIVOTS = 200_000, 100_000, 512, 16
+#: Blocks up to which all pairs of a cluster's blocks simply meet; both ways give the same links.
+FEW_BLOCKS = 8
 #: Parts that the rows of a common shingle are joined in.
 SALTS = 16
 #: Groups of up to so many documents are paired; larger ones are chained.
@@ -409,19 +411,19 @@ def _all_blocks(placed: DataFrame) -> DataFrame:
 
 
 def _own_blocks(placed: DataFrame) -> DataFrame:
-    """Every block meets by itself, with the cluster's pivots."""
+    """All blocks of a cluster of few blocks meet; of a larger one, every block meets by itself, with the cluster's pivots."""
     pivot = F.pmod(F.xxhash64(F.lit(31), "node"), F.col("members")) < PIVOTS
-    to = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    return placed.select("doc_id", "node", "label", "copies", "root", "block", F.explode(to).alias("one")).withColumn("two", F.col("one"))
+    to = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    large = placed.filter(F.col("blocks") > FEW_BLOCKS).select("doc_id", "node", "label", "copies", "root", "block", F.explode(to).alias("one")).withColumn("two", F.col("one"))
+    return _all_blocks(placed.filter(F.col("blocks") <= FEW_BLOCKS)).unionByName(large)
 
 
 def _rest_with_all(placed: DataFrame) -> DataFrame:
     """Documents outside of a cluster's largest component meet all of its blocks, and each other."""
-    many = placed.filter("blocks > 1")
-    by_label = many.groupBy("root", "label").agg(F.count("*").alias("times"))
+    by_label = placed.groupBy("root", "label").agg(F.count("*").alias("times"))
     most = by_label.groupBy("root").agg(F.max_by("label", F.struct("times", "label")).alias("largest"), F.sum("times").alias("all"), F.max("times").alias("in_it"))
     most = most.withColumn("rest_blocks", F.ceil((F.col("all") - F.col("in_it")) / BLOCK_DOCS).cast("int")).filter("rest_blocks > 0").select("root", "largest", "rest_blocks")
-    found = many.join(shared.checkpoint(most), "root").withColumn("rest", F.col("label") != F.col("largest"))
+    found = placed.join(shared.checkpoint(most), "root").withColumn("rest", F.col("label") != F.col("largest"))
     found = found.withColumn("block", F.when(F.col("rest"), F.col("blocks") + F.pmod(F.xxhash64(F.lit(37), "node"), F.col("rest_blocks")).cast("int")).otherwise(F.col("block")))
     others = F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("blocks")), F.col("blocks") + F.col("rest_blocks") - 1)
     met = found.select("doc_id", "node", "label", "copies", "root", "block", F.explode(others).alias("other"))
@@ -444,7 +446,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar:
         out = verified(shared.checkpoint(_all_blocks(placed)))
         return connected_components(out.filter("b is not null").select("a", "b")), out.filter("b is null").select(F.col("a").alias("node"), F.col("n_links").alias("n"))
     labels = connected_components(verified(shared.checkpoint(_own_blocks(placed))).select("a", "b")).select("node", F.col("root").alias("label"))
-    many = placed.filter("blocks > 1").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = placed.filter(F.col("blocks") > FEW_BLOCKS).drop("label")
+    if large.isEmpty():
+        return labels.withColumnRenamed("label", "root"), None
+    many = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = shared.checkpoint(_rest_with_all(many))
     if rest.isEmpty():
         return labels.withColumnRenamed("label", "root"), None
@@ -488,7 +493,6 @@ def _named(docs: DataFrame, similar: int, shingle: int, counted: bool) -> tuple[
     if counted:
         first = first.join(parts.groupBy("node").agg(F.sum("n").alias("others")), "node", "left")
         n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
-    first = shared.checkpoint(first)
     smallest = first.groupBy("root").agg(F.min("first").alias("component"))
     # Checkpointed, so that the rows of a much copied document can be joined to it in parts.
     named = shared.checkpoint(first.join(smallest, "root").select(F.col("node").alias("of"), "component", n_links.alias("links")))

@@ -339,9 +339,10 @@ def _families(seed=3):
     return texts + ["one two", "One  TWO", "one", None, "", "a b c", "A b\tc"]
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few"), [(512, 8), (4, 8), (4, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, block, few):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    monkeypatch.setattr(jaccard, "FEW_BLOCKS", few)  # above it, a cluster's rest meets its largest component
     texts = _families()
     rows = jaccard.components(frame(spark, texts).repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
