@@ -2,26 +2,33 @@
 
 The index is partitioned by document: a shard holds the postings (sorted
 positions by term) of a bounded number of words of whole documents, and is
-stored as one row in the shared folder. A query is a window of consecutive
-words of a benchmark item. Each shard takes a window's terms from the rarest
-there to the most frequent and intersects their offset-adjusted posting lists;
-what is left are the exact phrases. With a slop, proximity matches are found
-from the rarest terms as well: a window matches at a place if its terms stand
-within the slop of theirs, but for `missing` of them (one in four at most). Such
-a match holds one of its missing + 1 rarest terms, whichever those are in a
-shard, so the sharding doesn't change the result.
-
-The index stores postings of the terms that the benchmark uses, or of all terms
-if the benchmark uses too many. A benchmark larger than PART_BYTES is answered
-in parts, one job each over the same index, so no broadcast outgrows its bound.
-
-Defined results: null and empty texts have no words and are clean; an item
-without words matches nothing; an empty benchmark leaves all documents clean;
-repeated rows are judged one by one; other columns are ignored.
+stored as one row in the shared folder. It has all terms, whatever is asked
+later; beside a term's hash stands the word itself, and a term is found only if
+the words are equal. A query is a window of consecutive words of a benchmark
+item. Each shard takes a window's terms from the rarest there to the most
+frequent and intersects their offset-adjusted posting lists; what is left are
+the exact phrases. Proximity matches are found from the rarest terms as well: a
+window matches at a place if its terms stand within SLOP words of theirs, but
+for MISSING of them (one in four at most). Such a match holds one of its
+MISSING + 1 rarest terms, whichever those are in a shard, so the sharding
+doesn't change the result.
+
+The benchmark is answered in parts of about PART_BYTES, one after the other: the
+driver holds one part at a time, and only documents with matches are returned by
+a part. A small benchmark is one part of the same kind.
+
+Defined results: null and empty texts have no words and are clean; a very long
+text is indexed whole, in a shard of its own size; an item without words matches
+nothing; items that repeat count once a name; an empty benchmark leaves all
+documents clean, an empty table gives an empty result; repeated rows, also of one
+doc_id or without any, are judged one by one; other columns are ignored by
+`decontaminate` and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,27 +39,32 @@ from pyspark.sql import functions as F
 from lavra.llm import shared
 from lavra.llm import text as tx
 
-#: Words of a window, words of an index shard, benchmark bytes of one broadcast, and terms the index is limited to at most.
+#: Words of a window, words of an index shard, and benchmark bytes of one broadcast.
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 PART_BYTES = 2 << 20
-MOST_TERMS = 1 << 22
+#: Words that a term of a proximity match may stand off, and terms that may be missing.
+SLOP, MISSING = 2, 1
 #: Candidate places that one intersection handles at once.
 CHUNK = 1 << 21
 #: A document is contaminated if one in so many of its words is hit.
 HIT_SHARE = 20
 
-INDEX = "docs array<long>, words array<int>, terms array<long>, counts array<int>, places array<int>"
+#: Words of lower-cased bytes.
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWERED = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+INDEX = "shard long, docs array<{}>, words array<int>, terms array<long>, names array<binary>, counts array<int>, places array<int>"
 
 
 class Queries:
     """Windows of some items: their terms as numbers into a sorted vocabulary, -1 where a window is shorter."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, np.ndarray, list[bytes]]], window: int = WINDOW):
+        spelled = {h: w for _, terms, words in items for h, w in zip(terms.tolist(), words, strict=True)}
         windows: dict[bytes, int] = {}
         rows, pairs = [], []
-        self.names = [name for name, _ in items]
-        for number, (_, terms) in enumerate(items):
+        self.names = [name for name, _, _ in items]
+        for number, (_, terms, _) in enumerate(items):
             for at in range(max(1, len(terms) - window + 1) if len(terms) else 0):
                 part = terms[at : at + window]
                 w = windows.setdefault(part.tobytes(), len(rows))
@@ -60,6 +72,7 @@ class Queries:
                     rows.append(part)
                 pairs.append((w, number))
         self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+        self.words = [spelled[h] for h in self.vocabulary.tolist()]
         self.terms = np.full((len(rows), window), -1, np.int64)
         for w, part in enumerate(rows):
             self.terms[w, : len(part)] = np.searchsorted(self.vocabulary, part)
@@ -70,45 +83,44 @@ class Queries:
         self.pair_first = np.searchsorted(self.pair_window, np.arange(len(rows) + 1))
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per shard: its documents, their word counts, and sorted terms with their places.
+def build_index(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per shard: its documents, their word counts, and sorted terms with their words and places.
 
-    Places count words across the shard's documents with a gap of `window`
-    between two of them, so that no phrase crosses a document's end.
+    Places count words across the shard's documents with a gap of three windows
+    between two of them, so that no match crosses a document's end.
     """
-    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def row(ids: list, sizes: list, hashes: list, places: list) -> pa.RecordBatch:
+    def row(ids: list, sizes: list, hashes: list, places: list, known: list, spelled: list) -> pa.RecordBatch:
         h, p = np.concatenate(hashes), np.concatenate(places)
         order = np.lexsort((p, h))
         terms, counts = np.unique(h, return_counts=True)
-        arrays = [pa.concat_arrays(ids), pa.array(np.concatenate(sizes), pa.int32()), pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(p[order].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=["docs", "words", "terms", "counts", "places"])
+        _, one = np.unique(np.concatenate(known), return_index=True)
+        names = pa.concat_arrays(spelled).take(pa.array(one))
+        arrays = [pa.concat_arrays(ids), pa.array(np.concatenate(sizes), pa.int32()), pa.array(terms.view(np.int64)), names, pa.array(counts.astype(np.int32)), pa.array(p[order].astype(np.int32))]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), *lists], names=["shard", "docs", "words", "terms", "names", "counts", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, hashes, places, base = [], [], [], [], 0
+        held, base = tuple([] for _ in range(6)), 0
         for batch in tx.blocks(batches):
-            found = tx.words(batch.column("text"), tx.ALNUM)
+            data, offsets = tx.utf8(batch.column("text"))
+            found = tx.Words(data, offsets, tx.ALNUM)
             counts = found.counts()
-            place = np.arange(len(found.hash)) + base + window * np.repeat(np.arange(len(counts)), counts)
-            h = found.hash
-            if known is not None:
-                v = known.value
-                at = np.minimum(np.searchsorted(v, h), max(0, len(v) - 1))
-                keep = v[at] == h if len(v) else np.zeros(len(h), bool)
-                h, place = h[keep], place[keep]
-            ids.append(batch.column("doc_id").cast(pa.int64()))
-            sizes.append(counts)
-            hashes.append(h)
-            places.append(place)
-            base += int(counts.sum()) + window * len(counts)
+            place = np.arange(len(found.hash)) + base + 3 * window * np.repeat(np.arange(len(counts)), counts)
+            own, one = np.unique(found.hash, return_index=True)
+            raw = data.tobytes().translate(_LOWERED)
+            spelled = pa.array([raw[a:b] for a, b in zip(found.start[one].tolist(), found.end[one].tolist(), strict=True)], pa.binary())
+            for of, value in zip(held, (batch.column("doc_id"), counts, found.hash, place, own, spelled), strict=True):
+                of.append(value)
+            base += int(counts.sum()) + 3 * window * len(counts)
             if base >= SHARD_WORDS:
-                yield row(ids, sizes, hashes, places)
-                ids, sizes, hashes, places, base = [], [], [], [], 0
-        if ids:
-            yield row(ids, sizes, hashes, places)
+                yield row(*held)
+                held, base = tuple([] for _ in range(6)), 0
+        if held[0]:
+            yield row(*held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(run, INDEX.format(kind))
 
 
 def _stands(keys: np.ndarray, term: np.ndarray, place: np.ndarray, slop: int = 0) -> np.ndarray:
@@ -183,33 +195,45 @@ def _proximity(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: n
     return tuple(np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
 
 
-def _answers(queries: Queries, names: list[str], shard: dict, slop: int, missing: int, window: int) -> tuple[list, list]:
-    """Hit word ranges (flat start, end pairs) and item names of each document of a shard."""
+def _by_document(queries: Queries, doc: np.ndarray, w: np.ndarray, n: int) -> list[list[str]]:
+    """Names of the items that have these windows, of each document."""
+    found = np.unique(doc * (1 << 32) + w)
+    doc, w = found >> 32, found & ((1 << 32) - 1)
+    many = queries.pair_first[w + 1] - queries.pair_first[w]
+    pair = np.repeat(queries.pair_first[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    items: list[list[str]] = [[] for _ in range(n)]
+    for code in np.unique(np.repeat(doc, many) * (1 << 32) + queries.pair_item[pair]).tolist():
+        items[code >> 32].append(queries.names[code & ((1 << 32) - 1)])
+    return items
+
+
+def _answers(queries: Queries, shard: dict, spelled: pa.Array, slop: int, missing: int, window: int) -> tuple[list, list, list]:
+    """Hit word ranges (flat start, end pairs), names of items found, and of those found near, of each document of a shard."""
     sizes = np.asarray(shard["words"], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes + window)])
+    first = np.concatenate([[0], np.cumsum(sizes + 3 * window)])
     ranges: list[list[int]] = [[] for _ in sizes]
-    items: list[list[str]] = [[] for _ in sizes]
+    none: list[list[str]] = [[] for _ in sizes]
     if not len(queries.vocabulary):
-        return ranges, items
+        return ranges, none, none
     stored = np.asarray(shard["terms"], np.int64).view(np.uint64)
     number = np.minimum(np.searchsorted(queries.vocabulary, stored), len(queries.vocabulary) - 1)
     ours = queries.vocabulary[number] == stored
+    which = np.flatnonzero(ours)
+    ours[which] = [x == queries.words[k] for x, k in zip(spelled.take(pa.array(which)).to_pylist(), number[which].tolist(), strict=True)]
     all_counts = np.asarray(shard["counts"], np.int64)
     places = np.asarray(shard["places"], np.int64)[np.repeat(ours, all_counts)]
     counts = np.zeros(len(queries.vocabulary), np.int64)
     counts[number[ours]] = all_counts[ours]
     firsts = np.cumsum(counts) - counts
     keys = np.repeat(np.arange(len(counts)), counts) * (1 << 32) + places
-    if slop:
-        w, start, spot = _proximity(queries, counts, firsts, keys, places, slop, missing)
-    else:
-        w, start = _intersect(queries, counts, firsts, keys, places)
-        spot = start
-    if not len(w):
-        return ranges, items
-    doc = np.searchsorted(first, spot, side="right") - 1
-    low = np.clip(start - first[doc], 0, np.maximum(sizes[doc] - 1, 0))
-    high = np.minimum(start - first[doc] + queries.lengths[w], sizes[doc])
+    near, _, spot = _proximity(queries, counts, firsts, keys, places, slop, missing)
+    if not len(near):
+        return ranges, none, none
+    near_items = _by_document(queries, np.searchsorted(first, spot, side="right") - 1, near, len(sizes))
+    w, start = _intersect(queries, counts, firsts, keys, places)
+    doc = np.searchsorted(first, start, side="right") - 1
+    low = start - first[doc]
+    high = low + queries.lengths[w]
     order = np.lexsort((low, doc))
     for d, a, b in zip(doc[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
         own = ranges[d]
@@ -217,32 +241,25 @@ def _answers(queries: Queries, names: list[str], shard: dict, slop: int, missing
             own[-1] = max(own[-1], b)
         else:
             own += [a, b]
-    found = np.unique(doc * (1 << 32) + w)
-    doc, w = found >> 32, found & ((1 << 32) - 1)
-    n = queries.pair_first[w + 1] - queries.pair_first[w]
-    pair = np.repeat(queries.pair_first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    for code in np.unique(np.repeat(doc, n) * (1 << 32) + queries.pair_item[pair]).tolist():
-        items[code >> 32].append(names[code & ((1 << 32) - 1)])
-    return ranges, items
+    return ranges, _by_document(queries, doc, w, len(sizes)), near_items
 
 
-def search(index: DataFrame, queries: Queries, slop: int = 0, missing: int = 1, window: int = WINDOW) -> DataFrame:
-    """Each indexed document with its word count, hit word ranges and the items found in it."""
+def search(index: DataFrame, queries: Queries, slop: int = SLOP, missing: int = MISSING, window: int = WINDOW) -> DataFrame:
+    """(shard, nth, ranges, items, near) of the indexed documents that hold anything asked for."""
     sent = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = {c: batch.column(c)[i].values for c in ("docs", "words", "terms", "counts", "places")}
-                ids = shard.pop("docs")
-                ranges, items = _answers(q, q.names, {c: v.to_numpy(zero_copy_only=False) for c, v in shard.items()}, slop, missing, window)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, shard["words"].cast(pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "ranges", "items"],
-                )
+                shard = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "terms", "counts", "places")}
+                ranges, items, near = _answers(q, shard, batch.column("names")[i].values, slop, missing, window)
+                some = [d for d, x in enumerate(near) if x]
+                of = [batch.column("shard")[i].as_py()] * len(some)
+                lists = [pa.array([x[d] for d in some], pa.list_(t)) for x, t in ((ranges, pa.int32()), (items, pa.string()), (near, pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(some, pa.int32()), *lists], names=["shard", "nth", "ranges", "items", "near"])
 
-    return index.mapInArrow(run, "doc_id long, n_words long, ranges array<int>, items array<string>")
+    return index.drop("docs").mapInArrow(run, "shard long, nth int, ranges array<int>, items array<string>, near array<string>")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,41 +277,40 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("ranges"), "ranges", pa.array(merged, pa.list_(pa.int32())))
 
 
-def item_parts(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """The benchmark in parts of bounded size, as item names and word hashes."""
+def item_parts(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray, list[bytes]]]]:
+    """The benchmark in parts of bounded size, as item names, word hashes and words; each part is read by itself."""
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // PART_BYTES + 1
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("name", "text"), F.lit(parts)).cast("int"))
+    table, path = shared.store(dealt.repartition("part"), "benchmark", by="part")
     for p in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == p).collect()
-        yield list(zip([r["name"] for r in rows], tx.hash_words([r["text"] for r in rows], tx.ALNUM), strict=True))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted names) and contaminated for every document."""
-    parts = [Queries(p, window) for p in item_parts(benchmark)]
-    vocabulary = np.unique(np.concatenate([q.vocabulary for q in parts]))
-    index, _ = shared.store(build_index(docs, vocabulary if len(vocabulary) <= MOST_TERMS else None, window), "postings")
-    if len(parts) == 1:
-        found = search(index, parts[0], slop, window=window)
-    else:
-        # The stored index is read in the same splits each time, so its documents get the same numbers.
-        answers = [search(index, q, slop, window=window).withColumn("nth", F.monotonically_increasing_id()) for q in parts]
-        whole = answers[0]
-        for a in answers[1:]:
-            whole = whole.unionByName(a)
-        found = (
-            whole.groupBy("nth", "doc_id", "n_words")
-            .agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
-            .drop("nth")
-        )
-        found = found.mapInArrow(_merge, found.schema)
+        rows = table.filter(F.col("part") == p).select("name", "text").collect()
+        texts = [r["text"] for r in rows]
+        words = [_WORD.findall(t.encode().translate(_LOWERED)) for t in texts]
+        yield list(zip([r["name"] for r in rows], tx.hash_words(texts, tx.ALNUM), words, strict=True))
+    shared.drop(benchmark.sparkSession, path)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, missing: int = MISSING) -> DataFrame:
+    """doc_id, n_words, n_hit, items and near (sorted names) and contaminated for every document."""
+    index, _ = shared.store(build_index(docs, window), "postings")
+    found = None
+    for part in item_parts(benchmark):
+        hits, _ = shared.store(search(index, Queries(part, window), slop, missing, window), "matches")
+        found = hits if found is None else found.unionByName(hits)
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near")]
+    found = found.groupBy("shard", "nth").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), *lists)
+    found = found.mapInArrow(_merge, found.schema)
     n_hit = F.aggregate(F.transform("ranges", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    base = index.select("shard", F.posexplode(F.arrays_zip("docs", "words")).alias("nth", "doc")).select("shard", "nth", F.col("doc.docs").alias("doc_id"), F.col("doc.words").cast("long").alias("n_words"))
+    out = base.join(found, ["shard", "nth"], "left")
+    none = F.array().cast("array<string>")
+    out = out.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, none).alias(c) for c in ("items", "near")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents whose id no contaminated row has, with their columns; rows without id stay."""
-    bad = decontaminate(docs, benchmark, window).filter("contaminated and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    bad = decontaminate(docs, benchmark, window).filter("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -26,8 +26,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    items = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+    digest = lambda names: F.sha2(F.array_join(names, ","), 256)
+    count = lambda names: F.size(names).cast("long")
+    return found.select(
+        "doc_id", "n_words", "n_hit", count("items").alias("n_items"), digest("items").alias("items_sha256"), "contaminated", count("near").alias("n_near"), digest("near").alias("near_sha256")
+    )
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The frame as a Parquet table in the shared folder, and the table's path."""
+def store(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the shared folder, split by a column if asked, and the table's path."""
     path = f"{folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -27,10 +27,28 @@ sizes AS (SELECT DISTINCT len(g) AS n FROM windows),
 places AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
 hits AS (SELECT p.doc_id, p.i, p.n, x.item FROM (SELECT doc_id, i, n, w[i : i + n - 1] AS g FROM places) p JOIN windows x ON p.g = x.g),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+posts AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS pos FROM d WHERE len(w) > 0),
+phrases AS (SELECT row_number() OVER () AS id, g, len(g) AS n, least({decontam.MISSING}, (len(g) - 1) // 4) AS allowed FROM (SELECT DISTINCT g FROM windows)),
+terms AS (SELECT id, n, allowed, unnest(g) AS word, unnest(generate_series(0, len(g) - 1)) AS k FROM phrases),
+freq AS (SELECT word, count(*) AS f FROM posts GROUP BY word),
+ranked AS (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY coalesce(f, 0), k) AS r FROM terms t LEFT JOIN freq USING (word)),
+starts AS (
+  SELECT DISTINCT doc_id, id, n, allowed, pos - k + shift AS start
+  FROM ranked JOIN posts USING (word), (SELECT unnest(generate_series(-{decontam.SLOP}, {decontam.SLOP})) AS shift) WHERE r <= allowed + 1
+),
+near AS (
+  SELECT s.doc_id, s.id FROM starts s JOIN terms t ON t.id = s.id JOIN posts p ON p.doc_id = s.doc_id AND p.word = t.word AND abs(p.pos - s.start - t.k) <= {decontam.SLOP}
+  GROUP BY s.doc_id, s.id, s.start, s.n, s.allowed HAVING count(DISTINCT t.k) >= s.n - s.allowed
+),
+near_items AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_names
+  FROM (SELECT DISTINCT doc_id, item FROM near JOIN phrases USING (id) JOIN windows ON phrases.g = windows.g) GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontam.HIT_SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontam.HIT_SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_names, '')) AS near_sha256
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 _TEMPLATES = ", ".join(f"({t}, '{label}', '{text}', {base}, {pairs})" for t, (label, text, base, pairs) in enumerate(licenses.templates()))

@@ -239,14 +239,58 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in rows)
 
 
+def brute_near(text, items, slop, missing):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    found = set()
+    for name, item in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").translate(LOWER))
+        for window in ([own[i : i + 13] for i in range(len(own) - 12)] or [own]) if own else []:
+            for start in range(-15, len(words) + 1):
+                held = sum(w in words[max(0, start + k - slop) : max(0, start + k + slop + 1)] for k, w in enumerate(window))
+                if held >= len(window) - min(missing, (len(window) - 1) // 4):
+                    found.add(name)
+    return sorted(found)
+
+
 def test_proximity(spark):
     item = " ".join(f"t{i}" for i in range(13))
     near = item.replace("t3", "x t3").replace("t8", "y")
     docs = frame(spark, [near, "t1 t2", item])
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
-    assert {r["doc_id"]: r["items"] for r in decontam.decontaminate(docs, bench).collect()} == {0: [], 1: [], 2: ["q"]}
-    assert {r["doc_id"]: r["items"] for r in decontam.decontaminate(docs, bench, slop=2).collect()}[2] == ["q"]
-    assert {r["doc_id"]: r["items"] for r in decontam.decontaminate(docs, bench, slop=2).collect()}[0] == ["q"]
+    rows = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert {d: (r["items"], r["near"]) for d, r in rows.items()} == {0: ([], ["q"]), 1: ([], []), 2: (["q"], ["q"])}
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((20, 13, 15, 5, 30))]
+    texts = []
+    for _ in range(30):  # pieces of items with words dropped, added and replaced
+        own = rng.choice(items)[1].split()[rng.randint(0, 3) :]
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = rng.choice(([], ["z"], ["z", "z"]))
+        texts.append(" ".join(own))
+    got = decontam.decontaminate(frame(spark, texts).coalesce(1), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r["doc_id"]: r["near"] for r in got} == {i: brute_near(t, items, decontam.SLOP, decontam.MISSING) for i, t in enumerate(texts)}
+
+
+def thue_morse(n):
+    """Two words of n characters, each the other with a and b exchanged."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    one, other = thue_morse(n)
+    texts = [f"{one} b c", f"{other} b c", f"{one} B c"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()} == {"d0": "d0", "d1": "d1", "d2": "d0"}
+    found = decontam.decontaminate(docs, spark.createDataFrame([(7, one)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in found} == {"d0": ["7"], "d1": [], "d2": ["7"]}
+    rows = suffixes.dedup(docs).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {f"d{i}": v[1] for i, v in brute_dedup(texts, 200).items()}
 
 
 # ---------------------------------------------------------------- 4
