@@ -2,15 +2,19 @@
 
 Each source gets a word budget. Whole passes over a source are taken as often
 as they fit; the remaining budget is fitted by document length: the documents
-are counted by exact length, a proportional share of every length is taken,
-and a bounded knapsack closes the gap. Where a source is too small for that, the
-fit gives back its share, and then the passes: a document may come up to
-MAX_REPEATS times while others are left out. Which documents of a length are taken
-follows a seeded hash of their ids, so reruns agree.
-
-Defined results: a null or empty text has size 0 and takes no part; a null
-source is a source of its own that sorts last; repeated rows count as rows;
-an empty table gives an empty result; other columns are ignored.
+are counted by exact length, every length gets its share, with what a length
+can't use carried on to the next shorter one, and a bounded knapsack closes the
+gap, for which some of the share is given back in growing steps. Where a source
+is too small for that, the passes are given back too: a document may come up to
+MAX_REPEATS times while others are left out. Which documents of a length are
+taken follows a seeded hash of their ids and texts, so reruns agree.
+
+Defined results: a null or empty text has size 0 and takes no part; a very long
+text is a document of its length; a null source is a source of its own that
+sorts last; repeated rows count as rows, and rows alike in id and text are
+interchangeable, as are ties of the hash; rows without doc_id are drawn by their
+text; an empty table gives an empty result; other columns are ignored by `mix`
+and kept by `materialise`.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from lavra.llm import shared
 
 #: No document is repeated more than this many times.
 MAX_REPEATS = 3
-#: Budget up to which the exact knapsack runs; larger gaps are first filled from the longest length down.
-KNAPSACK_WORDS = 1 << 14
+#: Steps of the knapsack's budget; a larger one is counted in multiples of words, and what that leaves in another round.
+KNAPSACK_STEPS = 1 << 16
 #: Hash buckets that split the documents of one source and length.
 BUCKETS = 1024
 
@@ -54,55 +58,66 @@ def share_out(totals: list[int], weights: list[float], repeats: int = MAX_REPEAT
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that the lengths add up to the budget or closely below.
 
-    A proportional share of every length is the start. Where the rest can't close
-    the gap, some of the share is given back, in doubling steps, and fitted anew.
+    A share of every length is the start; its rounding is carried from length to
+    length, so the gap stays below a document. Where the rest can't close it,
+    some of the share is given back, from the shortest lengths on and in growing
+    steps until all is, and fitted anew. Up to KNAPSACK_STEPS words that is the
+    best fit there is.
     """
     whole = sum(n * c for n, c in counts.items())
     if budget >= whole:
         return dict(counts)
-    share = {n: c * budget // whole for n, c in counts.items()}
+    order = sorted((n for n in counts if n), reverse=True)
+    share, carry = dict.fromkeys(counts, 0), 0
+    for n in order:
+        due = counts[n] * n * budget + carry  # in words times `whole`
+        share[n] = min(counts[n], due // (n * whole))
+        carry = due - share[n] * n * whole
     best: dict[int, int] = {}
     missed, back = budget + 1, 0
     while missed:
-        start = {n: max(0, k - back) for n, k in share.items()}
+        start, given = dict(share), 0
+        for n in reversed(order):
+            k = min(start[n], max(0, back - given) // n)
+            start[n] -= k
+            given += n * k
         taken = _close_gap(counts, start, budget - sum(n * k for n, k in start.items()))
         gap = budget - sum(n * k for n, k in taken.items())
         if gap < missed:
             best, missed = taken, gap
         if not any(start.values()):
             break
-        back = max(1, 2 * back)
+        back = max(order[-1], 4 * back)
     return best
 
 
 def _close_gap(counts: dict[int, int], start: dict[int, int], gap: int) -> dict[int, int]:
     """The start with further documents that add up to the gap or closely below."""
     taken = dict(start)
-    order = sorted(counts, reverse=True)
-    moved = True
-    while gap > KNAPSACK_WORDS and moved:
-        moved = False
+    order = sorted((n for n in counts if n), reverse=True)
+    while gap >= (order[-1] if order else gap + 1):
+        # Bounded knapsack: bit b of `reach` tells whether b steps can be had from the lengths so far.
+        step = -(-gap // KNAPSACK_STEPS)
+        most = gap // step
+        parts: list[tuple[int, int, int]] = []
+        reach, history, mask = 1, [], (1 << (most + 1)) - 1
         for n in order:
-            if gap > KNAPSACK_WORDS and n <= gap and taken[n] < counts[n]:
-                taken[n] += 1
-                gap -= n
-                moved = True
-    # Bounded knapsack: bit b of `reach` tells whether b words can be had from the lengths so far.
-    parts: list[tuple[int, int]] = []
-    reach, history, mask = 1, [], (1 << (gap + 1)) - 1
-    for n in order:
-        spare, step = min(counts[n] - taken[n], gap // n if n else 0), 1
-        while spare > 0 and not reach >> gap & 1:
-            k = min(step, spare)
-            history.append(reach)
-            parts.append((n, k))
-            reach |= (reach << (n * k)) & mask
-            spare, step = spare - k, step * 2
-    best = reach.bit_length() - 1
-    for (n, k), before in zip(reversed(parts), reversed(history), strict=True):
-        if not before >> best & 1:
-            taken[n] += k
-            best -= n * k
+            cost = -(-n // step)
+            spare, k = min(counts[n] - taken[n], most // cost), 1
+            while spare > 0 and not reach >> most & 1:
+                k = min(k, spare)
+                history.append(reach)
+                parts.append((n, k, cost))
+                reach |= (reach << (cost * k)) & mask
+                spare, k = spare - k, k * 2
+        best, before_gap = reach.bit_length() - 1, gap
+        for (n, k, cost), before in zip(reversed(parts), reversed(history), strict=True):
+            if not before >> best & 1:
+                taken[n] += k
+                best -= cost * k
+                gap -= n * k
+        if step == 1 or gap == before_gap:
+            break
     return taken
 
 
@@ -113,11 +128,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     source reaches the driver; budgets are fitted on executors, one task for the
     length counts of a source.
     """
+    light = docs.select("doc_id", "text", "source")
+    return _dealt(light, light, weights, repeats, seed).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def _sized(docs: DataFrame, seed: int, *kept: Column) -> DataFrame:
+    """What the mix needs of a document, beside the kept columns."""
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sizes = docs.select(
-        "doc_id", "source", key.alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("draw")
-    ).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
-    sizes = shared.checkpoint(sizes)
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    return docs.select("doc_id", "source", key.alias("key"), size_of(F.col("text")).alias("size"), draw.alias("draw"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), *kept)
+
+
+def _dealt(docs: DataFrame, kept: DataFrame, weights: tuple[float, ...], repeats: int, seed: int) -> DataFrame:
+    """The rows of `kept`, which are those of docs with more columns or without, with their copies."""
+    sizes = shared.checkpoint(_sized(docs, seed))
     totals = {r["key"]: r["total"] for r in sizes.groupBy("key").agg(F.sum("size").alias("total")).collect()}
     names = sorted(totals, key=lambda k: (k[0] == "n", k))
     targets = dict(zip(names, share_out([totals[k] for k in names], [weights[i % len(weights)] for i in range(len(names))], repeats), strict=True))
@@ -149,26 +173,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
         .join(picks, ["key", "size"])
         .select("key", "size", "bucket", "base", F.least("n", F.greatest(F.lit(0), F.col("picks") - F.col("before"))).alias("quota"))
     )
-    nth = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id"))
-    chosen = sizes.withColumn("nth", nth).join(open_buckets, ["key", "size", "bucket"], "left").join(F.broadcast(budget), "key")
+    nth = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id", *(["tie"] if "doc" in kept.columns else [])))
+    rows = _sized(kept, seed, F.col("doc"), F.xxhash64("doc").alias("tie")) if "doc" in kept.columns else sizes
+    chosen = rows.withColumn("nth", nth).join(open_buckets, ["key", "size", "bucket"], "left").join(F.broadcast(budget), "key")
     copies = F.col("passes") + F.coalesce("base", F.lit(0)) + F.when(F.col("nth") <= F.col("quota"), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return chosen.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
-def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with its columns.
-
-    Rows that share doc_id, source and size are interchangeable; their copies are dealt out evenly.
-    """
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"))
-    plan = plan.agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    rows = docs.withColumn("__size", size_of(F.col("text")))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
-    joined = rows.join(plan, match)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0)))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    repeated = joined.withColumn("__share", share.cast("int")).filter("__share > 0")
+def materialise(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+    """The mixed corpus: each document as often as the mix takes it, with its columns and the number of its copy."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc"))
+    taken = _dealt(docs.select("doc_id", "text", "source"), packed, weights, repeats, seed).filter("copies > 0")
     number = "copy"
     while number in docs.columns:
         number += "_"
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias(number))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("doc.*", F.col("nth").alias(number))

@@ -3,18 +3,20 @@
 On a bounded sample, a neighbour graph is built and cut into balanced parts; a
 small softmax classifier learns which part a vector's neighbours lie in. Every
 row is then indexed under its most probable part. A query goes to its most
-probable parts, as many as reached TARGET_RECALL on the sample, and all rows
-there are reranked by exact cosine. Data without structure thus cost more
-probes rather than recall.
+probable parts, as many as reached TARGET_RECALL for sampled vectors that the
+classifier wasn't trained on, and on to further parts until they hold enough
+rows; all rows there are reranked by exact cosine. Data without structure thus
+cost more probes rather than recall.
 
 Parts are split into blocks of bounded size by a hash of the id, so copies of
 one vector, which fall into one part, spread over many tasks.
 
+Vectors of different lengths are searched apart, each length by an index of its own.
+
 Defined results: vectors that are null, zero or hold null or non-finite
-components, rows without vec_id, and vectors not as long as most of the sample
-take no part; rows with the query's own vec_id are no candidates; ties go to
-the smaller vec_id; an empty table gives an empty result; other columns are
-ignored.
+components, and rows without vec_id take no part; rows with the query's own
+vec_id are no candidates, repeated rows are candidates each; ties go to the
+smaller vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lavra.llm import shared
 
-#: Vectors that the index is fitted on at most, neighbours in its graph, and recall on the sample that sets the number of probes.
-SAMPLE_ROWS, GRAPH_K, TARGET_RECALL = 4096, 10, 0.97
+#: Vectors that the index is fitted on at most, neighbours in its graph, and held-out recall that sets the number of probes.
+SAMPLE_ROWS, GRAPH_K, TARGET_RECALL = 8192, 10, 0.95
 #: Rows of a part to aim at, bounds on the number of parts, and rows of a block.
 PART_ROWS, LEAST_PARTS, MOST_PARTS, BLOCK_ROWS = 4096, 8, 256, 4096
 #: Queries are the rows whose id is a multiple of this; neighbours returned for each.
@@ -144,10 +146,12 @@ def fit(vectors: np.ndarray, rows: int, target: float = TARGET_RECALL) -> Router
     for j in range(graph.shape[1]):
         np.add.at(goal, (np.arange(len(x)), part[graph[:, j]]), 1.0)
     goal[np.arange(len(x)), part] += 1.0
-    router = Router(train_router(x, goal / goal.sum(axis=1, keepdims=True)), parts)
-    # Probes: the fewest parts that hold enough of the sample's true neighbours, by the classifier's own assignment.
+    # Every fifth vector is kept from the training, to choose the probes by.
+    tested = np.random.default_rng(13).permutation(len(x))[: max(1, len(x) // 5)]
+    learned = np.setdiff1d(np.arange(len(x)), tested)
+    router = Router(train_router(x[learned], goal[learned] / goal[learned].sum(axis=1, keepdims=True)), parts)
+    # Probes: the fewest parts that hold enough of their true neighbours, by the classifier's own assignment.
     home = router.ranked(x)[:, 0]
-    tested = np.arange(0, len(x), max(1, len(x) // 1024))
     place = np.argsort(router.ranked(x[tested]), axis=1)
     near = graph[tested][:, :GRAPH_K]
     nearest = np.take_along_axis(near, np.argsort(-np.einsum("qd,qkd->qk", x[tested], x[near]), axis=1, kind="stable")[:, :K], axis=1)
@@ -160,72 +164,69 @@ def _stack(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows found for every query."""
-    spark = vectors.sparkSession
-    usable = valid(vectors)
-    result = "query_id long, rank int, vec_id long, score double"
-    drawn = usable.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    if drawn.empty:
-        return spark.createDataFrame([], result)
-    widths = drawn["embedding"].map(len)
-    width = int(widths.mode().iloc[0])
-    usable = usable.filter(F.size("embedding") == width)
-    rows = usable.count()
-    router = fit(np.stack(drawn.loc[widths == width, "embedding"].to_list()), rows)
+    usable = valid(vectors).withColumn("width", F.size("embedding"))
+    found = None
+    for width, rows in sorted((r["width"], r["count"]) for r in usable.groupBy("width").count().collect()):
+        own = _search(usable.filter(F.col("width") == width).drop("width"), width, rows, query_step, k)
+        found = own if found is None else found.unionByName(own)
+    return vectors.sparkSession.createDataFrame([], RESULT) if found is None else found
+
+
+def _search(usable: DataFrame, width: int, rows: int, query_step: int, k: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = usable.sparkSession
+    drawn = usable.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()["embedding"].combine_chunks()
+    router = fit(_stack(drawn, width), rows)
     parts = router.weights.shape[1]
     sent = spark.sparkContext.broadcast(router)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked = sent.value.ranked(_stack(batch.column("embedding"), width))
-                probed = [r.tolist() if q else None for r, q in zip(ranked[:, : sent.value.probes].astype(np.int32), (batch.column("vec_id").to_numpy() % query_step == 0).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(ranked[:, 0].astype(np.int32)), pa.array(probed, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "probed"])
-
-    # Every row under its most probable part; queries also carry the parts they are sent to.
-    index, _ = shared.store(usable.mapInArrow(assign, "vec_id long, embedding array<double>, part int, probed array<int>"), "vectors")
-    counts = {r["part"]: (r["n"], r["q"]) for r in index.groupBy("part").agg(F.count("*").alias("n"), F.count("probed").alias("q")).collect()}
-    blocks = [-(-counts.get(p, (0, 0))[0] // BLOCK_ROWS) for p in range(parts)]
-    query_blocks = max(1, -(-sum(q for _, q in counts.values()) // BLOCK_ROWS))
-    per_part = F.element_at(F.array(*(F.lit(b) for b in blocks)), F.col("part") + 1)
-    corpus = index.select(
-        "part",
-        F.pmod(F.xxhash64(F.lit(23), "vec_id"), F.greatest(per_part, F.lit(1))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
-        "vec_id",
-        "embedding",
-    )
-    queries = (
-        index.filter("probed is not null")
-        .select(F.explode("probed").alias("part"), F.pmod(F.xxhash64(F.lit(29), "vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-        .withColumn("blocks", per_part)
-        .filter("blocks > 0")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_block", "query_id", "query")
-    )
+                ranked = sent.value.ranked(_stack(batch.column("embedding"), width)).astype(np.int32)
+                asks = (batch.column("vec_id").to_numpy() % query_step == 0).tolist()
+                order = [r.tolist() if q else None for r, q in zip(ranked, asks, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(ranked[:, 0]), pa.array(order, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "order"])
+
+    # Every row under its most probable part; queries also carry the order in which they would go on.
+    index, _ = shared.store(usable.mapInArrow(assign, "vec_id long, embedding array<double>, part int, order array<int>"), "vectors")
+    held = dict(index.groupBy("part").count().collect())  # one number a part
+    size = F.array(*(F.lit(held.get(p, 0)).cast("long") for p in range(parts)))
+    # The probes, and further parts as long as those before hold no more than k rows.
+    before = lambda i: F.aggregate(F.slice("order", 1, i), F.lit(0).cast("long"), lambda total, p: total + F.element_at(size, p + 1))
+    probed = F.filter("order", lambda p, i: (i < router.probes) | (before(i) <= k))
+    asked = index.filter("order is not null").select("vec_id", "embedding", F.explode(probed).alias("part"))
+    asking = dict(asked.groupBy("part").count().collect())
+    per_part = lambda n: F.element_at(F.array(*(F.lit(-(-n.get(p, 0) // BLOCK_ROWS)) for p in range(parts))), F.col("part") + 1)
+    blocks, query_blocks = per_part(held), per_part(asking)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n).cast("int")
+    # A row meets the queries of its own part only, block by block.
+    corpus = index.filter(query_blocks > 0).select("part", deal(23, blocks).alias("block"), spread(query_blocks).alias("query_block"), "vec_id", "embedding")
+    queries = asked.filter(blocks > 0).select("part", spread(blocks).alias("block"), deal(29, query_blocks).alias("query_block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
     def rerank(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or rows.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list())
-        norm = np.sqrt((x * x).sum(axis=1))
-        out = []
-        names, q = asked["query_id"].to_numpy(), np.stack(asked["query"].to_list())
-        for a in range(0, len(q), 256):
-            rough = (q[a : a + 256] @ x.T) / norm
-            rough[names[a : a + 256, None] == ids[None, :]] = -np.inf
-            for i, r in enumerate(rough):
-                if len(r) > k:
-                    bound = np.partition(r, len(r) - k)[len(r) - k]
-                    near = np.flatnonzero(r >= bound - 1e-9 * np.linalg.norm(q[a + i]))
-                else:
-                    near = np.arange(len(r))
-                near = near[np.isfinite(r[near])]
-                # Row by row in one fixed order, so equal vectors get equal scores wherever they stand.
-                exact = (x[near] * q[a + i]).sum(axis=1) / (norm[near] * np.sqrt((q[a + i] * q[a + i]).sum()))
-                best = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": names[a + i], "vec_id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out, ignore_index=True)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(asked) and len(rows):
+            ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list())
+            norm = np.sqrt((x * x).sum(axis=1))
+            names, q = asked["query_id"].to_numpy(), np.stack(asked["query"].to_list())
+            for a in range(0, len(q), 256):
+                rough = (q[a : a + 256] @ x.T) / norm
+                rough[names[a : a + 256, None] == ids[None, :]] = -np.inf
+                for i, r in enumerate(rough):
+                    bound = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
+                    near = np.flatnonzero((r >= bound - 1e-9 * np.linalg.norm(q[a + i])) & np.isfinite(r))
+                    # Row by row in one fixed order, so equal vectors get equal scores wherever they stand.
+                    exact = (x[near] * q[a + i]).sum(axis=1) / (norm[near] * np.sqrt((q[a + i] * q[a + i]).sum()))
+                    best = np.lexsort((ids[near], -exact))[:k]
+                    found.append((np.full(len(best), names[a + i]), ids[near][best], exact[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
     keys = ["part", "block", "query_block"]
     found = queries.groupBy(*keys).cogroup(corpus.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")

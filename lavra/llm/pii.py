@@ -4,9 +4,10 @@ Base kinds (email, ip, card, phone) are reported whatever their score. Further
 kinds (iban by mod-97, cpf and cnpj by mod-11, ssn by context) are reported
 when their score reaches the threshold.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned
-alike; an empty table gives an empty result; other columns pass through `redact`
-and are ignored by `scan`.
+Defined results: null and empty texts have no spans; very long texts are scanned
+whole; repeated rows and rows without doc_id are scanned alike; spans of one
+start are ordered by kind; an empty table gives an empty result; other columns
+pass through `redact` and are ignored by `scan`.
 """
 
 from __future__ import annotations
@@ -40,18 +41,20 @@ SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Score of a confirmed span by kind, and what context adds.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "cpf": 0.7, "cnpj": 0.7, "ssn": 0.3}
 FOR, AGAINST, WIDTH, THRESHOLD = 0.3, -0.3, 48, 0.5
-#: Words near a span that speak for or against its kind.
+#: Whole words near a span that speak for or against its kind.
 CONTEXT = {
-    "email": ("mail", "contact", "write to", "reach"),
-    "ip": ("ip", "address", "host", "server", "login"),
-    "card": ("card", "visa", "credit", "payment", "expir"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
-    "iban": ("iban", "account", "bank", "konto", "transfer"),
-    "cpf": ("cpf", "cadastro"),
-    "cnpj": ("cnpj", "empresa"),
-    "ssn": ("ssn", "social security"),
+    "email": r"e-?mails?|mail|contact|write to|reach",
+    "ip": r"ip|ips|ip address|address|addresses|host|server|login",
+    "card": r"card|cards|visa|mastercard|credit|payment|expir\w*",
+    "phone": r"phone|telephone|tel|telefone?|call|mobile|fax|whatsapp",
+    "iban": r"iban|account|bank|konto|transfer",
+    "cpf": r"cpf|cadastro",
+    "cnpj": r"cnpj|empresa",
+    "ssn": r"ssn|social security",
 }
-AGAINST_WORDS = ("version", "release", "isbn", "serial", "example", "invoice no", "part no")
+AGAINST_WORDS = r"version|release|isbn|serial|example|invoice no|part no"
+_FOR = {kind: re.compile(rf"(?<!\w)(?:{words})(?!\w)") for kind, words in CONTEXT.items()}
+_AGAINST = re.compile(rf"(?<!\w)(?:{AGAINST_WORDS})(?!\w)")
 
 
 class Span(NamedTuple):
@@ -137,7 +140,7 @@ def find(text: str) -> list[Span]:
     for start, kind, end in _proposed(text):
         name = KINDS[kind]
         near = (text[max(0, start - WIDTH) : start] + " " + text[end : end + WIDTH // 2]).lower()
-        score = SCORE[name] + FOR * any(w in near for w in CONTEXT[name]) + AGAINST * any(w in near for w in AGAINST_WORDS)
+        score = SCORE[name] + FOR * bool(_FOR[name].search(near)) + AGAINST * bool(_AGAINST.search(near))
         score = min(1.0, max(0.0, score))
         if kind < N_BASE or score >= THRESHOLD:
             out.append(Span(start, kind, end, score))

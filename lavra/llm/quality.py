@@ -7,8 +7,9 @@ The rules that keep a weight are compiled into one Spark column expression.
 
 Defined results: null and empty texts have zero statistics and are scored by
 them like any text; without labelled rows of both classes every score is the
-share of label 1 (0.5 without any); repeated rows are scored alike; an empty
-table gives an empty result; other columns are ignored.
+share of label 1 (0.5 without any); conflicting labels of an id count as 1;
+repeated rows, ties, rows without doc_id and very long texts are scored alike;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Rules:
     ).fit(frame)
     rules = sorted(tree_paths(forest.toDebugString))
     if not rules:
+        frame.unpersist()
         return Rules(math.log(good / (len(drawn) - good)), ())
     matched = frame.select("label", array_to_vector(F.array(*(F.when(holds(r), 1.0).otherwise(0.0) for r in rules))).alias("rules")).cache()
     lasso = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(matched)

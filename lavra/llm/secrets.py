@@ -1,13 +1,16 @@
 """Secret scans: patterns plus sliding-window Shannon entropy over candidate strings.
 
 Three patterns (assignments to secret-like names, access keys, long hex strings)
-give the base spans. The entropy scan adds spans of its own: long unbroken
-strings whose entropy in some window of one character class is high. Counts of
-the window are updated by one character in and one out. An allow-list suppresses
-harmless strings (UUIDs, digests announced as such, paths, placeholders).
-
-Defined results: null and empty texts have no spans; ties and repeated rows are
-scanned alike; an empty table gives an empty result; other columns are ignored.
+give the base spans. The entropy scan adds spans of its own: a window slides over
+long unbroken strings, and for every character class (hex, base36, letters,
+base64) that holds all of the window's characters, its Shannon entropy is held
+against what the class needs. Counts, of characters and of each class, are updated
+by one character in and one out. An allow-list suppresses harmless strings (UUIDs,
+digests announced as such, paths, placeholders).
+
+Defined results: null and empty texts have no spans; very long texts and strings
+are scanned whole; ties, repeated rows and rows without doc_id are scanned alike;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +34,15 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 #: Parts of which one stands in every assignment; a cheap test before the pattern.
 HINTS = ("passw", "secret", "token", "api")
 
-#: Entropy scan: shortest candidate, window, and bits per character needed for each class.
+#: Entropy scan: shortest candidate, window, and bits per character needed for each class, narrow classes first.
 CANDIDATE_MIN, WINDOW = 20, 20
-NEEDED = {"hex": 3.0, "base36": 3.7, "base64": 3.9}
+NEEDED = {"hex": 3.0, "base36": 3.7, "letters": 4.1, "base64": 3.9}
+#: Digits and letters (of each case, for letters alone) that a window needs.
+SOME = 2
+_DIGITS, _LOWER_CASE, _UPPER_CASE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What is counted of a character: hex of either case, digit, lower and upper letter.
+_COUNTED = {c: (c in "0123456789abcdef", c in "0123456789ABCDEF", c in _DIGITS, c in _LOWER_CASE, c in _UPPER_CASE) for c in _DIGITS + _LOWER_CASE + _UPPER_CASE}
+_NOT_COUNTED = (False,) * 5
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _CANDIDATE = np.zeros(256, bool)
@@ -43,7 +52,7 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy|your[_-]).*"),
     re.compile(r"/?([A-Za-z_-]+/)+[A-Za-z_-]*"),
-    re.compile(r"[A-Za-z]+([_-][A-Za-z]+)*"),
+    re.compile(r"[A-Za-z]+([_-][A-Za-z]+)+"),
     re.compile(r"[0-9+/_=-]+"),
 )
 ALLOWED_BEFORE = re.compile(r"(?i)(sha-?[0-9]*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$")
@@ -54,49 +63,55 @@ def _xlogx(most: int) -> list[float]:
     return [0.0, *(c * math.log2(c) for c in range(1, most + 1))]
 
 
-def peak_entropy(text: str, window: int = WINDOW) -> float:
-    """The highest Shannon entropy, in bits per character, of any window of the string."""
+def class_peaks(text: str, window: int = WINDOW) -> dict[str, float]:
+    """By character class, the highest Shannon entropy (bits per character) of a window that the class holds."""
     size = min(window, len(text))
+    peaks: dict[str, float] = {}
     if not size:
-        return 0.0
-    xlogx = _xlogx(size)
+        return peaks
+    xlogx, whole = _xlogx(size), math.log2(size)
     counts: dict[str, int] = {}
-    terms, best = 0.0, 0.0
+    low_hex = high_hex = digits = lower = upper = 0
+    terms = 0.0
     for i, c in enumerate(text):
         if i >= size:  # out before in, so that no count exceeds the window
             old = text[i - size]
             n = counts[old]
             terms += xlogx[n - 1] - xlogx[n]
             counts[old] = n - 1
+            a, b, d, x, y = _COUNTED.get(old, _NOT_COUNTED)
+            low_hex, high_hex, digits, lower, upper = low_hex - a, high_hex - b, digits - d, lower - x, upper - y
         n = counts.get(c, 0)
         terms += xlogx[n + 1] - xlogx[n]
         counts[c] = n + 1
-        if i >= size - 1:
-            best = max(best, math.log2(size) - terms / size)
-    return best
-
-
-def character_class(text: str) -> str | None:
-    """Narrowest class that holds the string; None if it is words or numbers only."""
-    if not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
+        a, b, d, x, y = _COUNTED.get(c, _NOT_COUNTED)
+        low_hex, high_hex, digits, lower, upper = low_hex + a, high_hex + b, digits + d, lower + x, upper + y
+        if i < size - 1:
+            continue
+        entropy = whole - terms / size
+        mixed = digits >= SOME and lower + upper >= SOME
+        if mixed and size in (low_hex, high_hex):
+            peaks["hex"] = max(peaks.get("hex", 0.0), entropy)
+        if mixed and size in (digits + lower, digits + upper):
+            peaks["base36"] = max(peaks.get("base36", 0.0), entropy)
+        if lower + upper == size and lower >= SOME and upper >= SOME:
+            peaks["letters"] = max(peaks.get("letters", 0.0), entropy)
+        if mixed:
+            peaks["base64"] = max(peaks.get("base64", 0.0), entropy)
+    return peaks
+
+
+def suspicious(candidate: str, before: str = "") -> str | None:
+    """The narrowest class whose windows are too random, or None."""
+    if any(p.fullmatch(candidate) for p in ALLOWED) or ALLOWED_BEFORE.search(before):
         return None
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        return "hex"
-    if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", text):
-        return "base36"
-    return "base64"
-
-
-def suspicious(candidate: str, before: str = "") -> bool:
-    kind = character_class(candidate)
-    if kind is None or any(p.fullmatch(candidate) for p in ALLOWED) or ALLOWED_BEFORE.search(before):
-        return False
-    return peak_entropy(candidate) >= NEEDED[kind]
+    peaks = class_peaks(candidate)
+    return next((kind for kind, needed in NEEDED.items() if peaks.get(kind, 0.0) >= needed), None)
 
 
-def _scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, int]], hinted: bool) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of every span of a document, sorted."""
-    spans = []
+def _scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, int]], hinted: bool) -> tuple[list[tuple[int, int, int]], list[str]]:
+    """(start, kind number, end) of every span of a document, sorted; the classes of those that the entropy scan added."""
+    spans, classes = [], []
     if hinted:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN]
     if "AKIA" in text:
@@ -104,9 +119,10 @@ def _scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, i
     spans += [(a, 2, b) for a, b in hexes]
     base = list(spans)
     for a, b in candidates:
-        if suspicious(text[a:b], text[max(0, a - 16) : a]) and not any(s <= a and b <= e for s, _, e in base):
+        if not any(s <= a and b <= e for s, _, e in base) and (kind := suspicious(text[a:b], text[max(0, a - 16) : a])):
             spans.append((a, 3, b))
-    return sorted(spans)
+            classes.append(kind)
+    return sorted(spans), classes
 
 
 def _by_document(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
@@ -137,7 +153,7 @@ def digest(text: str) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans as kind:start:end (code points)."""
+    """doc_id, counts of base spans, their digest, all spans as kind:start:end (code points), and the classes of the entropy spans in order."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +177,22 @@ def scan(docs: DataFrame) -> DataFrame:
                 strings.setdefault(d, [])
                 at = raw.find(b"AKIA", bounds[d + 1])
             rows = []
-            nothing = (0, 0, 0, digest(""), "")
+            nothing = (0, 0, 0, digest(""), "", "")
             for d in range(batch.num_rows):
                 if d not in hinted and d not in hexes and d not in strings:
                     rows.append(nothing)
                     continue
                 own = raw[bounds[d] : bounds[d + 1]]
                 text = own.decode()
-                spans = _scan(text, _characters(own, text, hexes.get(d, [])), _characters(own, text, strings.get(d, [])), d in hinted)
+                spans, classes = _scan(text, _characters(own, text, hexes.get(d, [])), _characters(own, text, strings.get(d, [])), d in hinted)
                 base = [s for s in spans if s[1] < 3]
                 kinds = [k for _, k, _ in base]
-                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest(render(base, KINDS)), render(spans, KINDS)))
+                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest(render(base, KINDS)), render(spans, KINDS), ",".join(classes)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "entropy_classes"],
             )
 
-    schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, entropy_classes string"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

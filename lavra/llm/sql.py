@@ -66,20 +66,22 @@ gaps AS (
   FROM diagonals WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)
 ),
 banded AS (SELECT doc_id, template, diagonal, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM gaps),
+votes AS (SELECT doc_id, template, diagonal, count(DISTINCT tpos) AS votes FROM hits GROUP BY ALL),
 bands AS (
-  SELECT h.doc_id, template, label, base, pairs, band, count(DISTINCT tpos) AS covered, min(pos) AS low, max(pos) AS high, min(diagonal) AS start
-  FROM hits h JOIN banded USING (doc_id, template, diagonal) GROUP BY ALL
+  SELECT h.doc_id, template, label, base, pairs, band, count(DISTINCT tpos) AS covered, min(pos) AS low, max(pos) AS high, min(diagonal) AS start, max(votes) AS best
+  FROM hits h JOIN banded USING (doc_id, template, diagonal) JOIN votes USING (doc_id, template, diagonal) GROUP BY ALL
 ),
 found AS (
   SELECT *, base = 1 AND covered = pairs AS place,
-    base = 0 AND covered / pairs >= {licenses.COVER} AND high - low + 1 <= {licenses.STRETCH} * pairs AS notice
+    CASE WHEN base = 0 AND covered / pairs >= {licenses.COVER} AND high - low + 1 <= {licenses.STRETCH} * pairs THEN covered / pairs
+      WHEN base = 0 AND best / pairs >= {licenses.COVER} THEN best / pairs END AS share, share IS NOT NULL AS notice
   FROM bands
 ),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word,
     array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(list(label) FILTER (place OR notice))), ',') AS labels,
-    max(CASE WHEN place THEN 1.0::DOUBLE WHEN notice THEN covered / pairs END) AS score
+    max(CASE WHEN place THEN 1.0::DOUBLE WHEN notice THEN share END) AS score
   FROM found GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,

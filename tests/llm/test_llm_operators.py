@@ -123,6 +123,78 @@ def test_toxic_sentence_is_located(spark):
     assert toxicity.clean(docs, model).count() == 200
 
 
+def test_rules_score_like_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rules = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    stats = {r["doc_id"]: r for r in quality.statistics(docs).collect()}
+    for r in quality.classify(docs, rules).collect():
+        odds = rules.intercept
+        for tests, weight in rules.weighted:
+            if all((stats[r["doc_id"]][name] > bound) == above for name, above, bound in tests):
+                odds += weight
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-12 and r["predicted"] == int(r["score"] >= 0.3)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for d, s in stats.items():
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", text[d]), re.findall(r"[^\n]+", text[d])
+        size = max(1, len(text[d].encode()))
+        assert abs(s["log_words"] - np.log1p(len(words))) < 1e-9 and abs(s["distinct_lines"] - len({x.translate(LOWER) for x in lines}) / max(1, len(lines))) < 1e-9
+        assert abs(s["distinct_words"] - len({x.translate(LOWER) for x in words}) / max(1, len(words))) < 1e-9 and abs(s["digits"] - len(re.findall("[0-9]", text[d])) / size) < 1e-9
+
+
+def test_toxicity_gradient_and_scores_equal_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    n_docs, n_sent, n_feat = 9, 30, 12
+    bag = np.sort(rng.integers(0, n_docs, n_sent))
+    sentence = np.sort(rng.integers(0, n_sent, 120))
+    slots, labels, w, bias = rng.integers(0, n_feat, 120), np.arange(n_docs) % 2, rng.normal(size=n_feat) * 0.3, -0.4
+    balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+
+    def loss(w, bias):
+        total = 0.0
+        for d in range(n_docs):
+            none = 1.0
+            for s in np.flatnonzero(bag == d):
+                none *= 1 - 1 / (1 + np.exp(-(bias + sum(w[k] for k in slots[sentence == s]))))
+            total -= balance[d] * np.log(1 - none if labels[d] else none) if (bag == d).any() else 0.0
+        return total
+
+    z = bias + np.bincount(sentence, w[slots], n_sent)
+    g, gb = toxicity.gradient(z, slots, sentence, bag, labels, balance, n_feat)
+    step = 1e-6
+    for k in range(n_feat):
+        e = np.eye(n_feat)[k] * step
+        assert abs(g[k] - (loss(w + e, bias) - loss(w - e, bias)) / (2 * step)) < 1e-6
+    assert abs(gb - (loss(w, bias + step) - loss(w, bias - step)) / (2 * step)) < 1e-6
+
+    docs, labelled = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labelled)
+    for r in toxicity.classify(docs, model).collect():
+        none, bad = 1.0, 0
+        text = docs.filter(F.col("doc_id") == r["doc_id"]).first()["text"] if r["doc_id"] < 12 else None
+        if text is None:
+            continue
+        for part in re.split(r"[.!?\n]", text):
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part.translate(LOWER))
+            if words:
+                import pyarrow as pa
+
+                z = float(model.sentence_logits(toxicity.Sentences(pa.array([part])))[0])
+                none *= 1 - 1 / (1 + np.exp(-z))
+                bad += z >= 0
+        assert abs(r["score"] - (1 - none)) < 1e-6 and r["n_toxic_sentences"] == bad == len(r["toxic_sentences"])
+
+
+def test_every_toxic_sentence_is_located(spark):
+    docs = frame(spark, ["é fine. vile one. fine! vile two\nfine"])
+    weights = np.zeros(toxicity.SLOTS, np.float32)
+    import pyarrow as pa
+
+    weights[toxicity.Sentences(pa.array(["vile"])).slot] = 9
+    row = toxicity.score(docs, toxicity.Model(-4.0, weights)).first()
+    text = docs.first()["text"]
+    assert [text[x["start"] : x["end"]] for x in row["toxic_sentences"]] == ["vile one", "vile two"]
+
+
 def test_tree_paths():
     text = "  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     If (feature 1 > 2.0)\n      Predict: 0.0\n     Else (feature 1 <= 2.0)\n      Predict: 1.0\n    Else (feature 0 > 0.5)\n     Predict: 1.0"
     a, b = quality.STATISTICS[:2]
@@ -203,9 +275,39 @@ def test_redaction(spark):
     assert [(r["text"], r["n_chars"]) for r in rows] == [("mail [EMAIL] now", 16), ("nothing", 7), (None, 0)]
 
 
-def test_entropy_window():
-    assert secrets.peak_entropy("aaaa") == 0 and abs(secrets.peak_entropy("abcd" * 10) - 2) < 1e-9
-    assert abs(secrets.peak_entropy("a" * 30 + "abcdefghijklmnopqrst") - np.log2(20)) < 1e-9
+def test_entropy_by_class():
+    rng = random.Random(9)
+    letters = {"hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijkLMNOPQRSTUVWXYZ", "base64": "abcdefghijkLMNOPQRSTUVWXYZ0123456789+/"}
+
+    def brute(text, window=20):
+        peaks = {}
+        for i in range(max(1, len(text) - window + 1)):
+            part = text[i : i + window]
+            entropy = -sum(n / len(part) * np.log2(n / len(part)) for n in collections.Counter(part).values())
+            digits, low, high = (len(re.findall(p, part)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+            mixed = digits >= 2 and low + high >= 2
+            held = {
+                "hex": mixed and re.fullmatch("[0-9a-f]+|[0-9A-F]+", part), "base36": mixed and re.fullmatch("[0-9a-z]+|[0-9A-Z]+", part),
+                "letters": low + high == len(part) and low >= 2 and high >= 2, "base64": mixed,
+            }
+            for kind, holds in held.items():
+                if holds:
+                    peaks[kind] = max(peaks.get(kind, 0), entropy)
+        return peaks
+
+    for _ in range(300):
+        kind = rng.choice(list(letters))
+        text = "".join(rng.choices(letters[kind], k=rng.randint(20, 60)))
+        want = brute(text)
+        assert {k: round(v, 9) for k, v in secrets.class_peaks(text).items()} == {k: round(v, 9) for k, v in want.items()}
+    assert secrets.class_peaks("") == {} and secrets.suspicious("aB" * 20) is None
+    assert secrets.suspicious("qXvBnRtYkLpWzMcJdHgF") == "letters" and secrets.suspicious("3f9a1c07e4b8d2650f1e") == "hex"
+
+
+def test_context_words_are_whole_words():
+    score = lambda text: pii.find(text)[0].score
+    assert score("a trip to 1.2.3.4") == score("xx 1.2.3.4") < score("the ip 1.2.3.4")
+    assert score("hotel +49 30 12345678") == score("xx +49 30 12345678") < score("tel. +49 30 12345678")
 
 
 # ---------------------------------------------------------------- 3
@@ -313,6 +415,34 @@ def test_budget_fit(seed):
         assert all(0 <= taken[n] <= counts[n] for n in counts) and total <= max(budget, whole) and abs(min(budget, whole) - total) <= max(20, min(counts))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_budget_fit_equals_exhaustive_sums(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 400): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+    sums = {0}
+    for n, c in counts.items():
+        sums = {x + n * k for x in sums for k in range(c + 1)}
+    for budget in range(0, sum(n * c for n, c in counts.items()) + 3, 37):
+        taken = mixing.fit_budget(dict(counts), budget)
+        assert all(0 <= taken[n] <= counts[n] for n in counts) and sum(n * k for n, k in taken.items()) == max(x for x in sums if x <= budget)
+
+
+def test_long_lengths_are_fitted_in_scaled_steps():
+    counts = {3_000_017: 3, 1_000_003: 7, 90_001: 5, 101: 900}
+    for budget in (4_200_000, 9_999_999, 16_000_000):
+        best = max(x for x in (sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*(range(c + 1) for c in counts.values()))) if x <= budget)
+        assert 0 <= best - sum(n * k for n, k in mixing.fit_budget(counts, budget).items()) <= 101
+
+
+def test_mixed_corpus_keeps_texts_and_columns(spark):
+    rows = [(1, "a b c", "s", "keep", i) for i in range(2)] + [(1, "d e f", "s", "keep", 3), (None, "g h", None, "keep", 4), (None, "i j", None, "keep", 5), (2, "k " * 40, "t", "keep", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string, copy int")
+    once, again = (sorted(map(str, mixing.materialise(d).collect())) for d in (docs, docs.repartition(3)))
+    assert once == again and mixing.materialise(docs).columns == [*docs.columns, "copy_"] and all("keep" in r for r in once)
+    plan = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in plan if r["n"]} == dict(collections.Counter(r["doc_id"] for r in mixing.materialise(docs).collect()))
+
+
 def test_mix_properties(spark):
     rows = [(r["doc_id"], r["size"], r["source"], r["source_size"], r["target"], r["taken"], r["copies"]) for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
     again = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").repartition(5)).collect()
@@ -345,6 +475,11 @@ def test_licenses(spark):
     assert (rows[4]["labels"], rows[5]["n_base"], rows[6]["n_words"]) == ("", 0, 0)
 
 
+def test_chance_hits_beside_a_notice(spark):
+    text = licenses.NOTICES["apache"] + " one two three four five the license" * 40
+    assert licenses.scan(frame(spark, [text])).first()["labels"] == "apache"
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -491,6 +626,28 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(df.filter("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_probes_prune_where_there_is_structure(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(160, 24))
+    x = centre[rng.integers(0, 160, 8000)] + 0.25 * rng.normal(size=(8000, 24))
+    router = neighbours.fit(x, 64 * neighbours.PART_ROWS)
+    assert router.weights.shape[1] == 64 and router.probes <= 16
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, [1.0, float(i), 2.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    small, neighbours.PART_ROWS = neighbours.PART_ROWS, 125
+    try:
+        found = neighbours.search(df).toPandas()
+    finally:
+        neighbours.PART_ROWS = small
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 8000, 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(set(np.argsort(-score)[:5]) & set(found[found["query_id"] == q]["vec_id"]))
+    assert hits >= 0.9 * 5 * 160
+    assert set(found[found["query_id"] == 10_000]["vec_id"]) == {10_001, 10_002, 10_003}  # another width, searched apart
+
+
 def test_balanced_parts():
     x = np.random.default_rng(0).normal(size=(400, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
