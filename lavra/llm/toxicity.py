@@ -42,6 +42,8 @@ BEGINNINGS = (5, 6, 7)
 SLOTS, MIN_DOCS, MOST_DOCS = 1 << 20, 4, 0.2
 #: Steps, rate and L1 penalty of the fit.
 STEPS, RATE, LASSO = 200, 0.15, 2e-4
+#: Feature occurrences that a step handles at once.
+PIECE = 1 << 19
 #: Score from which a document, or a sentence, is toxic.
 PREDICT_AT = 0.5
 
@@ -103,7 +105,9 @@ def train(slots: np.ndarray, sentence: np.ndarray, bag: np.ndarray, labels: np.n
     power, power_b = np.full(len(weights), 1e-8), 1e-8
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     for _ in range(STEPS):
-        z = bias + np.bincount(sentence, weights[slots], len(bag))
+        z = np.full(len(bag), bias)
+        for a in range(0, len(slots), PIECE):
+            z += np.bincount(sentence[a : a + PIECE], weights[slots[a : a + PIECE]], len(bag))
         g, gb = gradient(z, slots, sentence, bag, labels, balance, len(weights))
         power = 0.95 * power + 0.05 * g * g
         power_b = 0.95 * power_b + 0.05 * gb * gb
@@ -120,7 +124,10 @@ def gradient(z: np.ndarray, slots: np.ndarray, sentence: np.ndarray, bag: np.nda
     p = np.clip(-np.expm1(none), 1e-6, 1.0)
     s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     pull = np.where(labels[bag] == 1, -(1 - p[bag]) / p[bag], 1.0) * s * balance[bag]
-    return np.bincount(slots, pull[sentence], features), float(pull.sum())
+    g = np.zeros(features)
+    for a in range(0, len(slots), PIECE):
+        g += np.bincount(slots[a : a + PIECE], pull[sentence[a : a + PIECE]], features)
+    return g, float(pull.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -164,25 +171,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             slot = lists.flatten().to_numpy()
             doc = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
             place = batch.column("places").flatten().to_numpy()
-            n = np.zeros(batch.num_rows, np.int32)
+            n = np.zeros(batch.num_rows, np.int64)
             np.maximum.at(n, doc, place + 1)
+            first = np.cumsum(n) - n
             at = np.searchsorted(sent.value, slot)
             keep = sent.value[np.minimum(at, len(sent.value) - 1)] == slot if len(sent.value) else np.zeros(len(slot), bool)
-            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=batch.num_rows))]).astype(np.int32))
-            found = [pa.ListArray.from_arrays(bounds, pa.array(x[keep].astype(np.int32)), type=ints) for x in (at, place)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(n), *found], names=["doc_id", "label", "n", "slots", "places"])
-
-    known_schema = schema.replace("slots", "n int, slots", 1)
-    arrived = table.mapInArrow(only_known, known_schema).toArrow().sort_by("doc_id").combine_chunks()
+            at, sentence = at[keep], (first[doc] + place)[keep]
+            bounds = [np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in (np.bincount(doc[keep], minlength=batch.num_rows), n)]
+            found = (at[np.argsort(sentence, kind="stable")], np.bincount(sentence, minlength=n.sum()))
+            arrays = [pa.ListArray.from_arrays(pa.array(b), pa.array(x.astype(np.int32)), type=ints) for b, x in zip(bounds, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *arrays], names=["doc_id", "label", "slots", "counts"])
+
+    # Features by sentence, and how many each sentence has.
+    arrived = table.mapInArrow(only_known, schema.replace("places", "counts")).toArrow().sort_by("doc_id").combine_chunks()
     shared.drop(spark, path)
     sent.unpersist()
-    label, n = arrived["label"].to_numpy(), arrived["n"].to_numpy()
-    sizes = pa.compute.list_value_length(arrived["slots"]).to_numpy()
-    # Places number a document's sentences from 0 without gaps, so each document's start at a running total.
-    sentence = arrived["places"].combine_chunks().flatten().to_numpy() + np.repeat((np.cumsum(n) - n).astype(np.int32), sizes)
+    label, n = arrived["label"].to_numpy(), pa.compute.list_value_length(arrived["counts"]).to_numpy()
     slot = arrived["slots"].combine_chunks().flatten().to_numpy()
+    counts = arrived["counts"].combine_chunks().flatten().to_numpy()
     del arrived
+    sentence = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     learned, bias = train(slot, sentence, np.repeat(np.arange(len(n), dtype=np.int32), n), label, len(known))
+    del slot, sentence, counts
+    pa.default_memory_pool().release_unused()
     weights[known] = learned
     return Model(bias, weights)
 
