@@ -47,9 +47,13 @@ def snippet(x: Column, chars: int = SNIPPET_CHARS) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers and stand before letters."""
+    """Sort key in which runs of digits, of any length, compare as numbers and stand before letters.
+
+    A run is written without leading zeros behind its length in six digits.
+    """
     parts = F.regexp_extract_all(x, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 10, "0")).otherwise(p)), "")
+    number = lambda p: F.ltrim(p, F.lit("0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))).otherwise(p)), "")
 
 
 def article_reference(line: Column) -> Column:

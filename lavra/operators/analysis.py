@@ -123,9 +123,11 @@ def _penalty(severity: Column) -> Column:
     return branch.otherwise(OTHER_PENALTY)
 
 
-def fallback_scores(findings: DataFrame, key: str) -> DataFrame:
+def fallback_scores(findings: DataFrame, key: str, analyses: DataFrame | None = None) -> DataFrame:
     """Scores from 0 to 10 by category and overall, and a risk level, from findings alone.
 
+    analyses: all keys; one without findings has full scores.
+
     Penalties are whole tenths and the overall score whole thousandths before it
     is rounded half to even, so no binary fraction decides a tie.
     """
@@ -133,6 +135,9 @@ def fallback_scores(findings: DataFrame, key: str) -> DataFrame:
     sums = [F.sum(F.when(F.col("category") == c, points).otherwise(0)).alias(f"p_{c}") for c in WEIGHTS]
     flags = [F.bool_or(F.coalesce(F.col("severity") == s, F.lit(False))).alias(f"has_{s}") for s in ("critico", "alto")]
     out = findings.groupBy(key).agg(*sums, *flags)
+    if analyses is not None:
+        none = {**{f"p_{c}": 0 for c in WEIGHTS}, "has_critico": False, "has_alto": False}
+        out = analyses.select(key).distinct().join(out, key, "left").fillna(none)
     tenths = {c: F.greatest(F.lit(0), F.lit(100) - F.col(f"p_{c}")) for c in WEIGHTS}
     total = None
     for c, weight in WEIGHTS.items():
@@ -176,10 +181,21 @@ def status_of_batch(items: DataFrame, key: str) -> DataFrame:
 
 
 # Headings and labels of the report.
+CATEGORY_LABELS = {"juridica": "Jurídica", "tecnica": "Técnica", "redacao": "Redação", "estrutural": "Estrutural"}
+SEVERITY_LABELS = {"info": "ℹ️ Informativo", "baixo": "🟢 Baixo", "medio": "🟡 Médio", "alto": "🟠 Alto", "critico": "🔴 Crítico"}
+RISK_LABELS = {"baixo": "🟢 Baixo", "medio": "🟡 Médio", "alto": "🟠 Alto", "critico": "🔴 Crítico"}
+SCORE_LABELS = {
+    "score_overall": "Nota Geral", "score_juridica": "Segurança Jurídica", "score_tecnica": "Qualidade Técnica", "score_redacao": "Qualidade da Redação", "score_estrutural": "Conformidade Estrutural",
+}
 REPORT_END = "*Relatório gerado automaticamente pelo Sistema de Análise de Termos de Referência.*"
 NO_FINDINGS = "*Nenhuma correção identificada. O documento está adequado.*"
 
 
+def labelled(name: str, labels: dict[str, str]) -> Column:
+    """A code's label; an unknown code stands for itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.col(name)), F.col(name))
+
+
 def markdown_report(analyses: DataFrame, findings: DataFrame, key: str = "analysis_id") -> DataFrame:
     """(key, report): header, scores (N/A if missing), summary by category and severity, findings in order, and opinion.
 
@@ -193,33 +209,40 @@ def markdown_report(analyses: DataFrame, findings: DataFrame, key: str = "analys
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
-    counted = [listed(findings.groupBy(key, c).agg(F.count("*").alias("n")), c, F.format_string("- **%s:** %s", c, "n"), f"by_{c}") for c in ("category", "severity")]
+    shown = {"category": labelled("category", CATEGORY_LABELS), "severity": labelled("severity", SEVERITY_LABELS)}
+    forms = {"category": "- **%s:** %s", "severity": "- %s: %s"}
+    counted = [listed(findings.groupBy(key, c).agg(F.count("*").alias("n")), c, F.format_string(forms[c], shown[c], "n"), f"by_{c}") for c in shown]
     parts = [
-        F.format_string("### Correção %s — %s (%s)", F.col("ord") + 1, "category", "severity"),
+        F.format_string("### Correção %s — %s (%s)", F.col("ord") + 1, shown["category"], shown["severity"]),
         *(F.concat(F.lit(f"**{label}:** "), text(c)) for label, c in (("Situação", "situation"), ("Problema", "problem"), ("Risco", "risk"))),
         F.concat(F.lit("**DE (texto original):**\n> "), text("original_text")),
         F.concat(F.lit("**PARA (texto sugerido):**\n> "), text("suggested_text")),
         F.concat(F.lit("**Justificativa:** "), text("justification")),
         F.when(text("legal_basis") != "", F.concat(F.lit("**Fundamento Legal:** "), F.col("legal_basis"))),
+        F.lit("---"),
     ]
-    details = listed(findings, "ord", F.concat_ws("\n\n", *parts), "details", "\n\n---\n\n")
+    details = listed(findings, "ord", F.concat_ws("\n\n", *parts), "details", "\n\n")
     total = findings.groupBy(key).agg(F.count("*").alias("total"))
     out = analyses
     for extra in (*counted, details, total):
         out = out.join(extra, key, "left")
-    scores = [c for c in analyses.columns if c.startswith("score_")]
-    rows = [F.concat(F.lit(f"| {c} | "), F.coalesce(F.concat(F.nullif(F.col(c), F.lit(0)).cast("decimal(4,1)").cast("string"), F.lit("/10")), F.lit("N/A")), F.lit(" |")) for c in scores]
+    scores = [c for c in SCORE_LABELS if c in analyses.columns]
+    rows = [F.concat(F.lit(f"| {SCORE_LABELS[c]} | "), F.coalesce(F.concat(F.nullif(F.col(c), F.lit(0)).cast("decimal(4,1)").cast("string"), F.lit("/10")), F.lit("N/A")), F.lit(" |")) for c in scores]
+    rule = F.lit("---")
     body = F.concat_ws(
         "\n\n",
         F.lit("# Relatório de Análise — Termo de Referência"),
         F.concat_ws("\n", F.concat(F.lit("**Documento:** "), text("document_name")), F.concat(F.lit("**Data da Análise:** "), moment(F.col("analyzed_at"))), F.concat(F.lit("**Status:** "), text("status"))),
-        F.concat_ws("\n", F.lit("## Pontuação Geral\n\n| Dimensão | Nota |\n|----------|------|"), *rows),
-        F.when(F.col("risk_level").isNotNull(), F.concat(F.lit("**Risco de Impugnação:** "), F.col("risk_level"))),
-        F.concat(F.lit("## Resumo\n\n**Total de correções:** "), F.coalesce("total", F.lit(0)).cast("string")),
+        F.concat_ws("\n", F.lit("---\n\n## 📊 Pontuação Geral\n\n| Dimensão | Nota |\n|----------|------|"), *rows),
+        F.when(F.col("risk_level").isNotNull(), F.concat(F.lit("**Risco de Impugnação:** "), labelled("risk_level", RISK_LABELS))),
+        rule,
+        F.concat(F.lit("## 📋 Resumo\n\n**Total de correções:** "), F.coalesce("total", F.lit(0)).cast("string")),
         F.concat(F.lit("### Por Categoria\n\n"), F.col("by_category")),
         F.concat(F.lit("### Por Severidade\n\n"), F.col("by_severity")),
-        F.concat(F.lit("## Correções Detalhadas\n\n"), F.coalesce("details", F.lit(NO_FINDINGS))),
-        F.when(text("final_opinion") != "", F.concat(F.lit("## Parecer Final\n\n"), F.col("final_opinion"))),
-        F.lit(REPORT_END),
+        rule,
+        F.concat(F.lit("## 🔍 Correções Detalhadas\n\n"), F.coalesce("details", F.lit(NO_FINDINGS))),
+        F.when(text("final_opinion") != "", F.concat(F.lit("## 📝 Parecer Final\n\n"), F.col("final_opinion"))),
+        rule,
+        F.concat(F.lit(REPORT_END + "\n*Gerado em: "), moment(F.col("analyzed_at")), F.lit("*")),
     )
     return out.select(key, body.alias("report"))

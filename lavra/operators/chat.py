@@ -78,8 +78,11 @@ def context_block(context: Column) -> Column:
 ANSWER = f"refused string, reason string, answer string, grounded string, confidence string, citations array<struct<{schemas.CITATION.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def validated(answers: DataFrame, raw: str = "raw", grounding: bool = True) -> DataFrame:
-    """Answers with content, grounded, confidence, citations, refused and reason; what fails a check becomes a refusal."""
+def validated(answers: DataFrame, raw: str = "raw", grounding: bool = True, failed: str | None = None) -> DataFrame:
+    """Answers with content, grounded, confidence, citations, refused and reason; what fails a check becomes a refusal.
+
+    failed: a column that tells where the provider itself failed.
+    """
     text = recovered_object(F.col(raw))
     data = F.from_json(text, ANSWER)
     whitelist = schemas.DOMAINS["citation_type"]
@@ -91,7 +94,8 @@ def validated(answers: DataFrame, raw: str = "raw", grounding: bool = True) -> D
     number = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.confidence", "variant"))
     confidence = F.when(number.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), data["confidence"].try_cast("double"))))
     reason = (
-        F.when(text.isNull(), INVALID)
+        F.when(F.col(failed) if failed else F.lit(False), FAILED)
+        .when(text.isNull(), INVALID)
         .when(data["refused"] == "true", F.coalesce(F.nullif(data["reason"], F.lit("")), F.lit(REFUSED)))
         .when(answer == "", EMPTY)
         .when(F.lit(grounding) & (F.size(citations) == 0), UNCITED)

@@ -82,7 +82,7 @@ def header(text: Column, stem: Column, prefix: str = "") -> tuple[Column, Column
     A file without them is named by its stem.
     """
     marks = F.transform(F.filter(F.split(text, "\n"), lambda x: x.startswith("#")), lambda x: strip(F.ltrim(x, F.lit("# "))))
-    titled = F.element_at(F.filter(F.concat(F.array(F.lit("")), marks), lambda x: (x == "") | F.lower(x).startswith("título")), -1)
+    titled = F.element_at(F.concat(F.array(F.lit("")), F.filter(marks, lambda x: F.lower(x).startswith("título"))), -1)
     title = F.when(F.contains(titled, F.lit(":")), strip(F.regexp_extract(titled, r"(?s)^[^:]*:(.*)$", 1))).otherwise(titled)
     number = F.get(F.filter(marks, lambda x: (x != "") & ~F.lower(x).startswith("título")), F.lit(0))
     return F.coalesce(number, F.concat_ws(" ", F.lit(prefix or None), stem)), F.coalesce(F.nullif(title, F.lit("")), stem)

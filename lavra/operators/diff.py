@@ -26,10 +26,15 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 def last_of_number(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of the items with equal number, the last."""
-    row = F.max_by(F.struct("title", "content"), order).alias("item")
+    row = F.max_by(F.struct("title", "content"), F.struct(order, "title", "content")).alias("item")  # ties by the texts
     return items.groupBy(*keys, "item_number").agg(row).select(*keys, "item_number", "item.title", "item.content")
 
 
+def written(name: str) -> Column:
+    """The text of an item that a version has; a missing one is empty."""
+    return F.coalesce(name, F.lit(""))
+
+
 def diff(old: DataFrame, new: DataFrame, keys: list[str] | None = None, order: str = "item_order", fuzzy: bool = True) -> DataFrame:
     """Items of both versions by number, with status, both contents and a sort key.
 
@@ -48,8 +53,8 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str] | None = None, order: s
         equal = F.col("ratio") >= SAME_FROM
     status = F.when(F.col("in_old").isNull(), "adicionado").when(F.col("in_new").isNull(), "removido").when(equal, "inalterado").otherwise("alterado")
     return both.select(
-        *keys, status.alias("status"), "item_number", F.coalesce("new_title", "old_title").alias("titulo"), F.col("old_content").alias("conteudo_antes"),
-        F.col("new_content").alias("conteudo_depois"), natural_key(F.col("item_number")).alias("sort_key"),
+        *keys, status.alias("status"), "item_number", F.when(F.col("in_new"), written("new_title")).otherwise(written("old_title")).alias("titulo"),
+        F.when(F.col("in_old"), written("old_content")).alias("conteudo_antes"), F.when(F.col("in_new"), written("new_content")).alias("conteudo_depois"), natural_key(F.col("item_number")).alias("sort_key"),
     )
 
 

@@ -57,7 +57,8 @@ def _checked(rule: object) -> dict:
             re.compile(rule["regex"])
         except re.error:
             rule = rule | {"regex": None}  # a broken pattern finds nothing
-    return {name: rule.get(name) for name in FIELDS}
+    words = [w.strip() for w in rule.get("palavras_chave") or () if w.strip()]
+    return {name: rule.get(name) for name in FIELDS} | {"palavras_chave": words or None}
 
 
 def rules_table(spark, rules: list[dict]) -> DataFrame:

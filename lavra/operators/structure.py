@@ -124,9 +124,25 @@ def items(texts: DataFrame, key: str = "doc_id", text: str = "text", fallback: b
 
 
 def renamed_duplicates(table: DataFrame, key: str, number: str, order: str) -> DataFrame:
-    """The n-th row of a number, from the second on, gets the suffix -(n-1)."""
+    """A number that a row before has already gets the first suffix -1, -2, ... whose name is free.
+
+    The n-th row of a number gets -(n-1), in one window, unless the key has such a
+    name of its own; only the rows of those keys are named one after the other.
+    """
+    whole = Window.partitionBy(key)
     nth = F.row_number().over(Window.partitionBy(key, number).orderBy(order))
-    return table.withColumn("__nth", nth).withColumn(number, F.when(F.col("__nth") > 1, F.concat(number, F.lit("-"), (F.col("__nth") - 1).cast("string"))).otherwise(F.col(number))).drop("__nth")
+    out = table.withColumn("__name", F.when(nth > 1, F.concat(number, F.lit("-"), (nth - 1).cast("string"))).otherwise(F.col(number)))
+    out = out.withColumn("__twice", F.count("*").over(Window.partitionBy(key, "__name")) > 1).withColumn("__clash", F.max("__twice").over(whole))
+    upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("__so_far", F.collect_list(F.when(F.col("__clash"), F.col(number))).over(upto))
+
+    def named(taken: Column, wanted: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.concat(wanted, F.lit("-"), i.cast("string")))
+        free = F.element_at(F.filter(tries, lambda name: ~F.array_contains(taken, name)), 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, wanted), free).otherwise(wanted)))
+
+    settled = F.element_at(F.aggregate("__so_far", F.array().cast("array<string>"), named), -1)
+    return out.withColumn(number, F.when(F.col("__clash"), settled).otherwise(F.col("__name"))).drop("__name", "__twice", "__clash", "__so_far")
 
 
 def pages_of_lines(lines: DataFrame, pages: DataFrame, key: str) -> DataFrame:

@@ -113,7 +113,9 @@ def upload_checks(files: DataFrame) -> DataFrame:
     """Uploads (path, length, content) with what speaks against them; null if nothing."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     head = F.hex(F.substring("content", 1, 4))
-    magic = F.when(kind == "pdf", head.startswith("25504446")).when(kind.isin("docx", "odt"), head.startswith("504B0304"))
+    raw = F.decode("content", "ISO-8859-1")  # a byte a character; names of entries stand in an archive as they are
+    odt = F.contains(raw, F.lit("mimetypeapplication/vnd.oasis.opendocument.text"))
+    magic = F.when(kind == "pdf", head.startswith("25504446")).when(kind.isin("docx", "odt"), head.startswith("504B0304") & F.when(kind == "odt", odt).otherwise(~odt & F.contains(raw, F.lit("word/"))))
     problem = (
         F.when(~kind.isin("pdf", "docx", "odt"), "extension")
         .when(F.col("length") < 1, "empty")

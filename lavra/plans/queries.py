@@ -338,11 +338,10 @@ def token_df(spark: SparkSession, sf: str) -> DataFrame:
 EVERY = 50
 
 
-def _bm25(spark: SparkSession, sf: str, most: int | None = 20) -> DataFrame:
-    """Without `most`, for every item that EVERY divides."""
+def _bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """For every item that EVERY divides."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    wanted = F.col("item_id") % EVERY == 0 if most is None else F.col("item_id") < most
-    asked = table(spark, sf, "benchmark").filter(wanted).select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, sf, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(asked, retrieval.postings(docs, "doc_id"), docs, "query_id", "doc_id")
 
 
@@ -352,12 +351,6 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(scored, "query_id", [F.col("score"), F.col("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
 
 
-@query
-def bm25_topk_spread(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _bm25(spark, sf, None).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, "query_id", [F.col("score"), F.col("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
-
-
 @query
 def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
     terms = spark.createDataFrame([(1, "license"), (2, "of the"), (3, "Apache License")], "query_id int, term string")
@@ -369,9 +362,9 @@ def ilike_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ilike(table(spark, sf, "documents"), "LICENSE o'reilly l_zenz zz%yy").select("doc_id", "lang")
 
 
-def _cosine(spark: SparkSession, sf: str, wanted: str = "vec_id < 10") -> DataFrame:
+def _cosine(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter(wanted).select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = vectors.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.semantic_all(asked, vectors, "query_id", "vec_id").withColumn("score", F.round("score", 6))
 
 
@@ -380,11 +373,6 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(_cosine(spark, sf), "query_id", [F.desc("score"), F.col("vec_id")], 5)
 
 
-@query
-def cosine_topk_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top_k(_cosine(spark, sf, f"vec_id % {EVERY} = 0"), "query_id", [F.desc("score"), F.col("vec_id")], 5)
-
-
 def _fused(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     near = retrieval.top_k(scored, "query_id", [F.desc("score"), F.col("vec_id")], 20)
@@ -398,24 +386,19 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf, _cosine(spark, sf))
 
 
-@query
-def rrf_fusion_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf, _cosine(spark, sf, f"vec_id % {EVERY} = 0"))
-
-
-def _hits(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
-    best = retrieval.top_k(_bm25(spark, sf, most).withColumn("score", F.round("score", 6)), "query_id", [F.col("score"), F.col("doc_id")], 3)
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    best = retrieval.top_k(_bm25(spark, sf).withColumn("score", F.round("score", 6)), "query_id", [F.col("score"), F.col("doc_id")], 3)
     return best.join(table(spark, sf, "documents"), "doc_id").select("query_id", "rank", F.col("source").alias("law"), F.col("doc_id").cast("string").alias("article"), "text")
 
 
 @query
 def retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.context(_hits(spark, sf, 5), "query_id", 300)
+    return retrieval.context(_hits(spark, sf), "query_id")
 
 
-@query
-def retrieval_context_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.context(_hits(spark, sf, None), "query_id")
+#: Second names of queries that once searched for a part of their ids only.
+for _name, _same in (("bm25_topk_spread", bm25_topk), ("cosine_topk_spread", cosine_topk), ("rrf_fusion_spread", rrf_fusion), ("retrieval_context_spread", retrieval_context)):
+    QUERIES[_name] = _same
 
 
 @query
@@ -449,14 +432,7 @@ def source_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def findings_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit(" "), F.upper(F.left("text", F.lit(2)))).alias("original_text"), F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("problem"))
-    return analysis.deduplicated(docs, ["source"], "doc_id").select("source", "doc_id")
-
-
-@query
-def findings_dedupe_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """By whole texts."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("original_text"), F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("problem"))
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit(" "), F.upper("text")).alias("original_text"), F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("problem"))
     return analysis.deduplicated(docs, ["source"], "doc_id").select("source", "doc_id")
 
 
@@ -495,7 +471,7 @@ def json_recovery(spark: SparkSession, sf: str) -> DataFrame:
 def review_apply(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     size = F.lit(3)
-    raw = turns.select("conv_id", F.col("turn").alias("ord"), (F.col("turn") % 5).alias("correction_index"), F.when(F.col("role") == "user", "rejeitada").when(F.col("turn") % 3 == 0, "ajustada").otherwise("talvez").alias("status"), F.left("text", F.lit(10)).alias("note"), F.when(F.col("turn") % 2 == 0, F.left("text", F.lit(5))).alias("adjusted_suggested_text"), F.lit(None).cast("string").alias("adjusted_justification"))
+    raw = turns.select("conv_id", F.col("turn").alias("ord"), (F.col("turn") % 5).alias("correction_index"), F.when(F.col("role") == "user", "rejeitada").when(F.col("turn") % 3 == 0, "ajustada").otherwise("talvez").alias("status"), F.col("text").alias("note"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("adjusted_suggested_text"), F.lit(None).cast("string").alias("adjusted_justification"))
     found = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))).alias("correction_index")).withColumns({"suggested_text": F.lit("s"), "justification": F.lit("j")})
     out = analysis.reviewed(found, analysis.decisions(raw, size), ["conv_id"])
     return analysis.kept(out).select("conv_id", "correction_index", "review_status", "review_note", "suggested_text", "justification")
@@ -537,6 +513,9 @@ def quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source", *(F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")), "generated", "kept")
 
 
+QUERIES["findings_dedupe_texts"] = findings_dedupe
+
+
 @query
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.summary(quality_metrics(spark, sf))
@@ -613,7 +592,7 @@ def foreign_key_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def delete_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.in_use(table(spark, sf, "supplier").select("s_suppkey", "s_name"), table(spark, sf, "lineitem").filter("l_quantity > 49"), "l_suppkey", "s_suppkey")
+    return tables.in_use(table(spark, sf, "supplier").select("s_suppkey", "s_name"), table(spark, sf, "lineitem"), "l_suppkey", "s_suppkey")
 
 
 @query
@@ -650,8 +629,13 @@ def constraint_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    e = rates.recent_counts(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86_400)
-    return e.select("event_id", "recent", (F.col("recent") > 2).alias("rejected"))
+    e = rates.limited(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 86_400)
+    return e.select("event_id", (~F.col("admitted")).alias("rejected"))
+
+
+@query
+def recent_events(spark: SparkSession, sf: str) -> DataFrame:
+    return rates.recent_counts(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86_400).select("event_id", "recent")
 
 
 @query

@@ -27,7 +27,7 @@ def _integer(x: str) -> str:
 
 
 def _natural(x: str) -> str:
-    return f"list_aggregate(list_transform(regexp_extract_all({x}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(p, 10, '0') ELSE p END), 'string_agg', '')"
+    return f"list_aggregate(list_transform(regexp_extract_all({x}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(CAST(length(ltrim(p, '0')) AS VARCHAR), 6, '0') || ltrim(p, '0') ELSE p END), 'string_agg', '')"
 
 ORACLE: dict[str, str] = {}
 
@@ -88,6 +88,7 @@ FROM (SELECT *, CASE WHEN k % 6 = 0 THEN 'atencao' ELSE status END AS s FROM r)
 ORACLE["compliance_pivot"] = f"""
 WITH {_PROPOSED} SELECT regra_id, rotulo, {', '.join(f"max(status) FILTER (k = {i}) AS f{i}" for i in range(1, 6))} FROM r WHERE k <= 5 GROUP BY regra_id, rotulo
 """
+ORACLE["compliance_cells"] = f"WITH {_PROPOSED} SELECT regra_id, rotulo, k AS fornecedor_id, nome, status, motivo FROM r"
 ORACLE["pendencies_by_supplier"] = f"""
 WITH {_PROPOSED} SELECT k AS fornecedor_id, count(*) AS total,
   string_agg(CASE WHEN regra_id = 'lei' THEN 'lei' ELSE rotulo END || '|' || status || '|' || tr || '|' || coalesce(pr, 'não informado'), ';' ORDER BY CASE WHEN regra_id = 'lei' THEN 99 ELSE ord END) AS pendencias
@@ -176,7 +177,7 @@ _BM25 = f"""
 docs AS (SELECT doc_id, {_tokens('text')} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM docs),
 post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs) GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens(f"regexp_replace(left(lower({_strip('text')}), 500), '\\s+', ' ', 'g')")}) AS term FROM benchmark WHERE item_id < {{most}}),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens(f"regexp_replace(left(lower({_strip('text')}), 500), '\\s+', ' ', 'g')")}) AS term FROM benchmark WHERE item_id % 50 = 0),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (
   SELECT query_id, doc_id, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS score
@@ -185,7 +186,7 @@ s AS (
 best AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) AS rank FROM s)
 """
 ORACLE["token_df"] = f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term"
-ORACLE["bm25_topk"] = f"WITH {_BM25.replace('{most}', '20')} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5"
+ORACLE["bm25_topk"] = f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5"
 ORACLE["phrase_search"] = f"""
 WITH t(query_id, phrase) AS (VALUES (1, ' license '), (2, ' of the '), (3, ' apache license ')),
 d AS (SELECT doc_id, ' ' || array_to_string({_tokens('text')}, ' ') || ' ' AS s FROM documents)
@@ -194,7 +195,7 @@ SELECT query_id, doc_id FROM t, d WHERE contains(s, phrase)
 ORACLE["ilike_search"] = "SELECT doc_id, lang FROM documents WHERE text ILIKE '%LICENSE%' OR text ILIKE '%oreilly%' OR text ILIKE '%l_zenz%' OR text ILIKE '%zz%yy%'"
 _COSINE = """
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-c AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id < 10)
+c AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
 """
 ORACLE["cosine_topk"] = f"WITH {_COSINE} SELECT * EXCLUDE (label) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c) WHERE rank <= 5"
 ORACLE["rrf_fusion"] = f"""
@@ -209,8 +210,8 @@ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score, round(rrf, 9) AS
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, place, vec_id) AS rank FROM f) WHERE rank <= 10
 """
 ORACLE["retrieval_context"] = f"""
-WITH {_BM25.replace('{most}', '5')}
-SELECT query_id, string_agg('### ' || source || ' — ' || doc_id || chr(10) || left(text, 300), chr(10) || chr(10) ORDER BY rank) AS context
+WITH {_BM25}
+SELECT query_id, string_agg('### ' || source || ' — ' || doc_id || chr(10) || left(text, 2500), chr(10) || chr(10) ORDER BY rank) AS context
 FROM best JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id
 """
 ORACLE["embedding_backfill"] = "SELECT conv_id || '-' || turn AS id, 64 AS width FROM conversations WHERE turn % 2 <> 0 AND text IS NOT NULL"
@@ -249,7 +250,7 @@ SELECT chat, n AS ord, type, reference, title FROM numbered WHERE n <= {chat.MAX
 ORACLE["findings_dedupe"] = """
 SELECT source, doc_id FROM (
   SELECT source, doc_id, a, b, row_number() OVER (PARTITION BY source, a, b ORDER BY doc_id) AS nth
-  FROM (SELECT source, doc_id, lower(trim(' ' || upper(left(text, 2)))) AS a, CASE WHEN doc_id % 10 <> 0 THEN lower(trim(lang)) ELSE '' END AS b FROM documents)
+  FROM (SELECT source, doc_id, lower(trim(' ' || upper(text), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS a, CASE WHEN doc_id % 10 <> 0 THEN lower(trim(lang)) ELSE '' END AS b FROM documents)
 ) WHERE nth = 1 OR a = '' OR b = ''
 """
 ORACLE["findings_by_category_severity"] = f"WITH {_FINDINGS} SELECT 'category' AS dimension, category AS label, count(*) AS n FROM f GROUP BY category UNION ALL SELECT 'severity', severity, count(*) FROM f GROUP BY severity"
@@ -267,8 +268,8 @@ SELECT doc_id, md5(CASE WHEN contains(t, '. ') THEN left(t, strpos(t, '. ') - 1)
 ORACLE["json_recovery"] = "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN json_extract_string(props, '$.k') END AS k FROM events"
 ORACLE["review_apply"] = """
 WITH d AS (
-  SELECT conv_id, turn AS ord, greatest(0, least(turn % 5, 2)) AS i, CASE WHEN role = 'user' THEN 'rejeitada' WHEN turn % 3 = 0 THEN 'ajustada' ELSE 'aprovada' END AS status, left(text, 10) AS note,
-    CASE WHEN turn % 2 = 0 THEN left(text, 5) END AS t FROM conversations
+  SELECT conv_id, turn AS ord, greatest(0, least(turn % 5, 2)) AS i, CASE WHEN role = 'user' THEN 'rejeitada' WHEN turn % 3 = 0 THEN 'ajustada' ELSE 'aprovada' END AS status, text AS note,
+    CASE WHEN turn % 2 = 0 THEN text END AS t FROM conversations
 ),
 l AS (SELECT conv_id, i, arg_max(status, ord) AS status, arg_max(note, ord) AS note, arg_max(t, ord) FILTER (status = 'ajustada' AND t IS NOT NULL) AS t FROM d GROUP BY conv_id, i),
 f AS (SELECT conv_id, unnest([0, 1, 2, 3]) AS i FROM (SELECT DISTINCT conv_id FROM conversations))
@@ -300,21 +301,25 @@ _COUNTED = {"category": ("juridica", "tecnica", "redacao", "estrutural"), "sever
 ORACLE["report_counts"] = f"WITH {_FINDINGS} SELECT {', '.join(f"count(*) FILTER ({c} = '{v}') AS {c}_{v}" for c, vs in _COUNTED.items() for v in vs)} FROM f"
 ORACLE["score_labels"] = "SELECT c_custkey AS id, label, CAST(nullif(score, 0) AS DOUBLE) AS score FROM (SELECT c_custkey, unnest(['legal', 'overall']) AS label, unnest([c_custkey % 3, c_custkey % 5]) AS score FROM customer)"
 _NL = "chr(10) || chr(10)"
+_LABELS = lambda x, labels: f"CASE {x} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items())} ELSE {x} END"
+_CAT, _SEV = _LABELS("category", analysis.CATEGORY_LABELS), _LABELS("severity", analysis.SEVERITY_LABELS)
+# In the order of the report: overall, legal, technical, writing, structural.
+_SHOWN = (("Nota Geral", "overall"), ("Segurança Jurídica", "juridica"), ("Qualidade Técnica", "tecnica"), ("Qualidade da Redação", "redacao"), ("Conformidade Estrutural", "estrutural"))
+_ROWS = " || chr(10) || ".join(f"'| {label} | ' || CASE WHEN {v} = 0 THEN 'N/A' ELSE {v} // 10 || '.' || {v} % 10 || '/10' END || ' |'" for label, v in _SHOWN)
 ORACLE["markdown_reports"] = f"""
 WITH {_FINDINGS}, {_scores('user_id')},
 r AS (SELECT *, CASE WHEN critical OR overall < 50 THEN 'critico' WHEN high OR overall < 70 THEN 'alto' WHEN overall < 85 THEN 'medio' ELSE 'baixo' END AS risk FROM o),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM f),
-c AS (SELECT user_id, string_agg('- **' || category || ':** ' || k, chr(10) ORDER BY category) AS t FROM (SELECT user_id, category, count(*) AS k FROM f GROUP BY ALL) GROUP BY user_id),
-s AS (SELECT user_id, string_agg('- **' || severity || ':** ' || k, chr(10) ORDER BY severity) AS t FROM (SELECT user_id, severity, count(*) AS k FROM f GROUP BY ALL) GROUP BY user_id),
+c AS (SELECT user_id, string_agg('- **' || {_CAT} || ':** ' || k, chr(10) ORDER BY category) AS t FROM (SELECT user_id, category, count(*) AS k FROM f GROUP BY ALL) GROUP BY user_id),
+s AS (SELECT user_id, string_agg('- ' || {_SEV} || ': ' || k, chr(10) ORDER BY severity) AS t FROM (SELECT user_id, severity, count(*) AS k FROM f GROUP BY ALL) GROUP BY user_id),
 d AS (
-  SELECT user_id, count(*) AS total, string_agg('### Correção ' || nth || ' — ' || category || ' (' || severity || ')' || {_NL} || '**Situação:** s' || {_NL} || '**Problema:** p' || {_NL} || '**Risco:** r' || {_NL} || '**DE (texto original):**' || chr(10) || '> o'
-    || {_NL} || '**PARA (texto sugerido):**' || chr(10) || '> s' || {_NL} || '**Justificativa:** j' || {_NL} || '**Fundamento Legal:** l', {_NL} || '---' || {_NL} ORDER BY nth) AS t FROM n GROUP BY user_id
+  SELECT user_id, count(*) AS total, string_agg('### Correção ' || nth || ' — ' || {_CAT} || ' (' || {_SEV} || ')' || {_NL} || '**Situação:** s' || {_NL} || '**Problema:** p' || {_NL} || '**Risco:** r' || {_NL} || '**DE (texto original):**' || chr(10) || '> o'
+    || {_NL} || '**PARA (texto sugerido):**' || chr(10) || '> s' || {_NL} || '**Justificativa:** j' || {_NL} || '**Fundamento Legal:** l' || {_NL} || '---', {_NL} ORDER BY nth) AS t FROM n GROUP BY user_id
 )
 SELECT item AS analysis_id, '# Relatório de Análise — Termo de Referência' || {_NL} || '**Documento:** ' || item || chr(10) || '**Data da Análise:** 02/01/2026 às 03:04' || chr(10) || '**Status:** completed' || {_NL}
-  || '## Pontuação Geral' || {_NL} || '| Dimensão | Nota |' || chr(10) || '|----------|------|' || chr(10)
-  || {" || chr(10) || ".join(f"'| score_{c} | ' || CASE WHEN {v} = 0 THEN 'N/A' ELSE {v} // 10 || '.' || {v} % 10 || '/10' END || ' |'" for c, v in (("juridica", "juridica"), ("tecnica", "tecnica"), ("estrutural", "estrutural"), ("redacao", "redacao"), ("overall", "overall")))}
-  || {_NL} || '**Risco de Impugnação:** ' || risk || {_NL} || '## Resumo' || {_NL} || '**Total de correções:** ' || total || {_NL} || '### Por Categoria' || {_NL} || c.t || {_NL} || '### Por Severidade' || {_NL} || s.t
-  || {_NL} || '## Correções Detalhadas' || {_NL} || d.t || {_NL} || '{analysis.REPORT_END}' AS report
+  || '---' || {_NL} || '## 📊 Pontuação Geral' || {_NL} || '| Dimensão | Nota |' || chr(10) || '|----------|------|' || chr(10) || {_ROWS}
+  || {_NL} || '**Risco de Impugnação:** ' || {_LABELS("risk", analysis.RISK_LABELS)} || {_NL} || '---' || {_NL} || '## 📋 Resumo' || {_NL} || '**Total de correções:** ' || total || {_NL} || '### Por Categoria' || {_NL} || c.t || {_NL} || '### Por Severidade' || {_NL} || s.t
+  || {_NL} || '---' || {_NL} || '## 🔍 Correções Detalhadas' || {_NL} || d.t || {_NL} || '---' || {_NL} || '{analysis.REPORT_END}' || chr(10) || '*Gerado em: 02/01/2026 às 03:04*' AS report
 FROM r JOIN c ON c.user_id = item JOIN s ON s.user_id = item JOIN d ON d.user_id = item
 """
 
@@ -333,7 +338,7 @@ SELECT l_returnflag, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3) GROUP BY l_returnflag
 """
 ORACLE["foreign_key_null"] = "SELECT s_suppkey, n_nationkey AS s_nationkey FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey"
-ORACLE["delete_guard"] = "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)"
+ORACLE["delete_guard"] = "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)"
 ORACLE["orphan_reset"] = "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P', 'O') THEN 'error' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus IN ('P', 'O') THEN 'interrompido' END AS error_message FROM orders"
 ORACLE["status_dashboard"] = "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders"
 ORACLE["progress"] = "SELECT l_orderkey, CAST(round(100 * count(*) FILTER (l_linestatus = 'F') / greatest(count(*), 1)) AS INTEGER) AS percent FROM lineitem GROUP BY l_orderkey"
@@ -346,10 +351,16 @@ SELECT id, broken FROM (
   SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END, CASE WHEN NOT o_totalprice >= 5000 THEN 'price' END) AS broken FROM orders
 ) WHERE broken <> ''
 """
+ORACLE["recent_events"] = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events"
 ORACLE["rate_limit"] = """
-SELECT event_id, recent, recent > 2 AS rejected FROM (
-  SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS nth FROM events),
+s AS (
+  SELECT event_id, user_id, nth, true AS ok, [us] AS passed FROM e WHERE nth = 1
+  UNION ALL
+  SELECT event_id, user_id, nth, len(recent) < 2, CASE WHEN len(recent) < 2 THEN list_append(recent, us) ELSE recent END
+  FROM (SELECT e.event_id, e.user_id, e.nth, e.us, list_filter(s.passed, lambda p: p > e.us - 86400000000) AS recent FROM s JOIN e ON e.user_id = s.user_id AND e.nth = s.nth + 1)
 )
+SELECT event_id, NOT ok AS rejected FROM s
 """
 ORACLE["first_wins"] = "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang"
 ORACLE["sequence_numbers"] = "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS item_order FROM documents"
@@ -390,3 +401,7 @@ SELECT doc_id, md5(regexp_replace(lower({_strip('text')}), '\s+', ' ', 'g')) AS
   'T-' || CAST(('0x' || left(sha256(source), 12)) AS BIGINT) % 100000 AS title_number, 'não informado' AS shown
 FROM documents
 """
+
+for _name in ("bm25_topk", "cosine_topk", "rrf_fusion", "retrieval_context"):
+    ORACLE[f"{_name}_spread"] = ORACLE[_name]
+ORACLE["findings_dedupe_texts"] = ORACLE["findings_dedupe"]

@@ -17,6 +17,8 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ODF_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 ODF_TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 MAX_PAGES, MIN_CHARS = 500, 100
+#: Bytes that one entry of an archive may have when unpacked.
+MAX_UNPACKED = 512 << 20
 
 #: A PDF reader: bytes to page texts.
 PdfReader = Callable[[bytes], list[str]]
@@ -31,13 +33,22 @@ def _word_text(node: ElementTree.Element) -> str:
     return "".join(t.text or "" if t.tag == f"{WORD}t" else "\n" for t in node.iter() if t.tag in (f"{WORD}t", f"{WORD}br")).strip()
 
 
+def _entry(z: zipfile.ZipFile, name: str) -> bytes:
+    """An archive's entry, if it isn't too large when unpacked, whatever the archive says of itself."""
+    with z.open(name) as f:
+        raw = f.read(MAX_UNPACKED + 1)
+    if len(raw) > MAX_UNPACKED:
+        raise ValueError(f"{name} is larger than {MAX_UNPACKED} bytes")
+    return raw
+
+
 def docx_text(raw: bytes) -> str:
     """Paragraphs with headings and list items marked, then all tables."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
+        body = ElementTree.fromstring(_entry(z, "word/document.xml")).find(f"{WORD}body")
         names = {}
         if "word/styles.xml" in z.namelist():
-            for style in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{WORD}style"):
+            for style in ElementTree.fromstring(_entry(z, "word/styles.xml")).iter(f"{WORD}style"):
                 label = style.find(f"{WORD}name")
                 names[style.get(f"{WORD}styleId")] = label.get(f"{WORD}val") if label is not None else ""
     out = []
@@ -56,7 +67,7 @@ def docx_text(raw: bytes) -> str:
 def odt_text(raw: bytes) -> str:
     """Paragraphs and headings in order, then the tables again as rows."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        root = ElementTree.fromstring(z.read("content.xml"))
+        root = ElementTree.fromstring(_entry(z, "content.xml"))
     out = []
     for node in root.iter():
         if node.tag in (f"{ODF_TEXT}p", f"{ODF_TEXT}h"):
@@ -104,7 +115,7 @@ def parsed(files: DataFrame, pdf_readers: list[PdfReader] | None = None, ocr: Pd
             if not text.strip():
                 raise ValueError("no text in the file")
             return text, [{"page": i + 1, "text": p} for i, p in enumerate(pages)], None
-        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        except Exception as e:  # whatever a broken or encrypted file raises
             return None, [], f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,33 @@ def recent_counts(events: DataFrame, key: str, ts: str, seconds: int, name: str
     return events.withColumn(name, F.count("*").over(w))
 
 
+def limited(events: DataFrame, key: str, ts: str, tie: str, most: int, seconds: int) -> DataFrame:
+    """The events with `admitted`: whether fewer than `most` admitted ones of the key lie in the `seconds` before.
+
+    A rejected event doesn't count against later ones, so each depends on those
+    before it; a key's events are read in order and only its last `most` admitted
+    ones are held, however many there are.
+    """
+    columns = events.columns
+    dealt = events.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "__at", tie)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, passed = None, []
+        for batch in batches:
+            verdicts = []
+            for name, at in zip(batch[key].tolist(), batch["__at"].tolist(), strict=True):
+                if name != who:
+                    who, passed = name, []
+                passed = [p for p in passed if p > at - seconds * 1_000_000]
+                verdicts.append(len(passed) < most)
+                if verdicts[-1]:
+                    passed.append(at)
+            yield batch[columns].assign(admitted=verdicts)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    return dealt.mapInPandas(run, f"{fields}, admitted boolean")
+
+
 def sliding_rates(events: DataFrame, key: str, ts: str, seconds: int, step: int, late: str | None = "10 minutes") -> DataFrame:
     """Counts per key in sliding windows of a stream, with late data up to the watermark (None if the stream has one)."""
     marked = events.withWatermark(ts, late) if late else events
@@ -26,8 +53,12 @@ def sliding_rates(events: DataFrame, key: str, ts: str, seconds: int, step: int,
 def admitted(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
     """Events of a stream with whether a limiter lets them pass: at most `most` admitted ones of a key in any `seconds`."""
     kind = events.schema[key].dataType.simpleString()
+    idle = 1000 * seconds
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # a key that was idle for a whole window starts anew
+            state.remove()
+            return
         passed: list[float] = list(state.get[0]) if state.exists else []
         for batch in batches:
             out = []
@@ -40,8 +71,9 @@ def admitted(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> D
                 out.append((name[0], t, ok))
             yield pd.DataFrame(out, columns=[key, ts, "admitted"])
         state.update((passed,))
+        state.setTimeoutDuration(idle)
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, admitted boolean", "passed array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, admitted boolean", "passed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def once(events: DataFrame, keys: list[str], ts: str, late: str = "10 minutes") -> DataFrame:
