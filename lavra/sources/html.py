@@ -16,42 +16,37 @@ PARAGRAPHS = ("p", "h1", "h2", "h3", "h4")
 SILENT = ("script", "style")
 
 
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.open: list[str] = []
-        self.silent = 0
-
-    def close_block(self) -> None:
-        text = " ".join("".join(self.open).split())
-        if text:
-            self.blocks.append(text)
-        self.open.clear()
+class _Events(HTMLParser):
+    """What a page consists of, in order: ("<", tag), (">", tag) and ("", text)."""
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.silent += 1
-        elif not self.silent and tag in BLOCKS:
-            self.close_block()
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.found.append(("<", tag))
+        self.handle_endtag = lambda tag: self.found.append((">", tag))
+        self.handle_data = lambda text: self.found.append(("", text))
+        self.feed(html)
+        self.close()
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif not self.silent and tag in PARAGRAPHS:
-            self.close_block()
 
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.open.append(data)
+#: Stands for the end of a block; no page text holds it, as blanks of this kind are white space.
+_CUT = "\x1c"
 
 
 def page_blocks(html: str | None) -> str:
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.close_block()
-    return "\n".join(parser.blocks)
+    """A page's blocks, one a line, blanks between words made single.
+
+    Blanks between tags inside a block stay as one blank; they separate words that a browser shows apart.
+    """
+    pieces, depth = [], 0
+    for kind, value in _Events(html or "").found:
+        if kind and value in SILENT:
+            depth = depth + 1 if kind == "<" else max(0, depth - 1)
+        elif depth == 0:
+            ends = (kind == "<" and value in BLOCKS) or (kind == ">" and value in PARAGRAPHS)
+            pieces.append(_CUT if ends else "" if kind else value.replace(_CUT, " "))
+    blocks = (" ".join(block.split()) for block in "".join(pieces).split(_CUT))
+    return "\n".join(filter(None, blocks))
 
 
 @F.pandas_udf(T.StringType())
