@@ -116,6 +116,54 @@ def fuse(legs: list[DataFrame], query_key: str, key: str, k: int = TOP_K) -> Dat
     return top_k(fused, query_key, [F.round("rrf_score", 12).desc(), F.col("place"), F.col(key)], k).drop("place")
 
 
+def like_hits(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, text: str = "text", most_queries: int = 10_000, depth: int = 0) -> DataFrame:
+    """(query_key, key, score 1) of chunks that hold any of a query's first terms, as `ilike` for many queries, in blocks of bounded size."""
+    if depth < 60 and queries.limit(most_queries + 1).count() > most_queries:
+        bit = F.shiftrightunsigned(F.xxhash64(query_key), depth).bitwiseAND(F.lit(1))
+        return reduce(DataFrame.unionByName, (like_hits(queries.filter(bit == side), chunks, query_key, key, text, most_queries, depth + 1) for side in (0, 1)))
+    terms = F.slice(F.split(clean_query(F.coalesce(F.col("text"), F.lit(""))), " "), 1, LIKE_TERMS)
+    terms = F.filter(F.transform(terms, lambda t: F.replace(t, F.lit("'"), F.lit(""))), lambda t: t != "")
+    patterns = F.transform(terms, lambda t: F.concat(F.lit("%"), F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+    asked = queries.select(query_key, patterns.alias("__patterns"))
+    found = chunks.select(key, F.col(text).alias("__text")).join(F.broadcast(asked), F.expr("exists(__patterns, p -> __text ilike p)"))  # bounded by most_queries
+    return found.select(query_key, key, F.lit(1.0).alias("score"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, k: int = TOP_K, laws: list[str] | None = None, by_meaning: bool | None = None, mode: str = "bm25", vector: str = "embedding") -> DataFrame:
+    """(query_key, rank, law_number, law_title, article, section, text, score): the k best chunks of each query.
+
+    queries: query_key, text, and a vector (null if there is none); chunks: key, the fields above, and a vector. Nearest
+    vectors and the text leg (mode: bm25 or ilike) are fused by rank; a chunk that both have keeps its cosine as score, and
+    chunks of equal law, article and text are one. by_meaning: whether vectors are used; by default if any chunk has one.
+    Without vectors the text leg stands alone, with its own scores. laws: only chunks of these. Queries that are null or
+    blank have no rows; equal scores go by the chunks' keys; missing fields are empty texts.
+    """
+    fields = ["law_number", "law_title", "article", "section", "text"]
+    asked = queries.filter(clean_query(F.coalesce(F.col("text"), F.lit(""))) != "")
+    allowed = chunks.filter(F.col("law_number").isin(laws)) if laws else chunks
+    if by_meaning is None:
+        by_meaning = not chunks.filter(F.size(vector) > 0).isEmpty()
+    if mode == "ilike":
+        scored = like_hits(asked, allowed, query_key, key)
+    else:
+        scored = bm25(asked, postings(chunks, key), chunks, query_key, key)  # weights come from the whole index
+        scored = scored.join(allowed.select(key), key, "left_semi") if laws else scored
+    legs = [top_k(scored, query_key, [F.round("score", 6), F.col(key)], k)]
+    if by_meaning:
+        usable = allowed.filter(F.size(vector) > 0)
+        near = semantic_all(asked.filter(F.size(vector) > 0), usable, query_key, key, vector)
+        legs.insert(0, top_k(near, query_key, [F.round("score", 6).desc(), F.col(key)], k))
+    shown = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in fields))
+    same = F.sha2(F.to_json(F.struct("law_number", *(F.coalesce(c, F.lit("")).alias(c) for c in ("article", "text")))), 256)
+    records = chunks.select(key, shown.alias("record"), same.alias("same"))
+    named = reduce(DataFrame.unionByName, (leg.select(query_key, key, "rank", "score", F.lit(i).alias("leg")) for i, leg in enumerate(legs))).join(records, key)
+    if by_meaning:
+        best = named.groupBy(query_key, "same").agg(F.min_by("record", F.struct("leg", "rank")).alias("record"))
+        fused = fuse([named.filter(F.col("leg") == i) for i in range(len(legs))], query_key, "same", k)
+        named = fused.join(best, [query_key, "same"])
+    return named.select(query_key, "rank", "record.*", "score")
+
+
 def context(hits: DataFrame, query_key: str, chars: int = 2500) -> DataFrame:
     """Text of the hits for a prompt, in the order of their ranks: `### law — article` and the cut chunk."""
     block = F.concat(F.lit("### "), F.coalesce("law", F.lit("")), F.lit(" — "), F.coalesce("article", F.lit("")), F.lit("\n"), F.left(F.coalesce("text", F.lit("")), F.lit(chars)))

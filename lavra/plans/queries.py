@@ -396,6 +396,17 @@ def retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.context(_hits(spark, sf), "query_id")
 
 
+@query
+def retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and vectors fused, for every item that EVERY divides; an item's vector, and a document's, is that of its id."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("law_number"), F.lit(None).cast("string").alias("law_title"), F.col("lang").alias("article"), F.lit(None).cast("string").alias("section"), "text")
+    items = table(spark, sf, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("id"), "text")
+    asked = items.join(vectors, "id", "left").withColumnRenamed("id", "query_id")
+    found = retrieval.retrieve(asked, docs.join(vectors, "id", "left"), "query_id", "id")
+    return found.select("query_id", "rank", "law_number", "law_title", "article", "section", F.md5("text").alias("text_md5"), F.round("score", 6).alias("score"))
+
+
 #: Second names of queries that once searched for a part of their ids only.
 for _name, _same in (("bm25_topk_spread", bm25_topk), ("cosine_topk_spread", cosine_topk), ("rrf_fusion_spread", rrf_fusion), ("retrieval_context_spread", retrieval_context)):
     QUERIES[_name] = _same

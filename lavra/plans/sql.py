@@ -209,6 +209,22 @@ f AS (SELECT query_id, vec_id, sum(1 / (60 + rank)) AS rrf, arg_min(score, leg *
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score, round(rrf, 9) AS rrf_score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, place, vec_id) AS rank FROM f) WHERE rank <= 10
 """
+ORACLE["retrieve"] = f"""
+WITH {_BM25},
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (
+  SELECT item_id AS query_id, doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score
+  FROM benchmark b JOIN e q ON q.vec_id = item_id, e JOIN documents d ON d.doc_id = e.vec_id WHERE item_id % 50 = 0 AND {_strip('b.text')} <> ''
+),
+legs AS (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, 0 AS leg FROM c
+  UNION ALL SELECT query_id, doc_id, score, rank, 1 FROM best
+),
+h AS (SELECT query_id, source, coalesce(lang, '') AS article, coalesce(text, '') AS text, score, rank, leg FROM legs JOIN documents USING (doc_id) WHERE rank <= 5),
+f AS (SELECT query_id, source, article, text, sum(1 / (60 + rank)) AS rrf, arg_min(score, leg * 1000 + rank) AS score, min(leg * 1000 + rank) AS place FROM h GROUP BY query_id, source, article, text)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, coalesce(source, '') AS law_number, '' AS law_title, article, '' AS section, md5(text) AS text_md5, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, place) AS rank FROM f) WHERE rank <= 5
+"""
 ORACLE["retrieval_context"] = f"""
 WITH {_BM25}
 SELECT query_id, string_agg('### ' || source || ' — ' || doc_id || chr(10) || left(text, 2500), chr(10) || chr(10) ORDER BY rank) AS context
