@@ -7,8 +7,8 @@ labels alone, on a bounded sample, with an L1 penalty; the sentence scores then
 tell where the offences are.
 
 The sample's features are kept as a table; a grouped count over it picks the
-features that help, and only these reach the driver, as 32-bit numbers, for at
-most FIT_ENTRIES occurrences.
+features that help, and only these are fitted, as 32-bit numbers, for at most
+FIT_ENTRIES occurrences, in one task. The driver gets the weights alone.
 
 Defined results: null and empty texts have no sentence and score 0; a very long
 text is one bag of many sentences, read whole; without labelled rows of both
@@ -182,20 +182,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             arrays = [pa.ListArray.from_arrays(pa.array(b), pa.array(x.astype(np.int32)), type=ints) for b, x in zip(bounds, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *arrays], names=["doc_id", "label", "slots", "counts"])
 
-    # Features by sentence, and how many each sentence has.
-    arrived = table.mapInArrow(only_known, schema.replace("places", "counts")).toArrow().sort_by("doc_id").combine_chunks()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrived = pa.Table.from_batches(batches).sort_by("doc_id").combine_chunks()
+        label, n = arrived["label"].to_numpy(), pa.compute.list_value_length(arrived["counts"]).to_numpy()
+        slot = arrived["slots"].combine_chunks().flatten().to_numpy()
+        counts = arrived["counts"].combine_chunks().flatten().to_numpy()
+        sentence = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        learned, bias = train(slot, sentence, np.repeat(np.arange(len(n), dtype=np.int32), n), label, len(sent.value))
+        weight = pa.ListArray.from_arrays(pa.array([0, len(learned)], pa.int32()), pa.array(learned))
+        yield pa.RecordBatch.from_arrays([pa.array([bias]), weight], names=["bias", "weights"])
+
+    # Features by sentence, and how many each sentence has; FIT_ENTRIES of them at most meet in one task, and their weights are sent.
+    known_only = table.mapInArrow(only_known, schema.replace("places", "counts")).repartition(1)
+    result = known_only.mapInArrow(learn, "bias double, weights array<double>").toArrow()
     shared.drop(spark, path)
     sent.unpersist()
-    label, n = arrived["label"].to_numpy(), pa.compute.list_value_length(arrived["counts"]).to_numpy()
-    slot = arrived["slots"].combine_chunks().flatten().to_numpy()
-    counts = arrived["counts"].combine_chunks().flatten().to_numpy()
-    del arrived
-    sentence = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    learned, bias = train(slot, sentence, np.repeat(np.arange(len(n), dtype=np.int32), n), label, len(known))
-    del slot, sentence, counts
-    pa.default_memory_pool().release_unused()
-    weights[known] = learned
-    return Model(bias, weights)
+    weights[known] = result["weights"].combine_chunks().flatten().to_numpy()
+    return Model(result["bias"][0].as_py(), weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
