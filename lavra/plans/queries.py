@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lavra import providers, schemas
 from lavra.functions import extract
 from lavra.functions import text as tf
-from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, retrieval, rules, structure, tables
+from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, reads, retrieval, rules, structure, tables
 from lavra.plans.tables import amount_text, as_items, company_digits, table
 from lavra.sources import html
 from lavra.streaming import rates
@@ -701,6 +701,94 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- reads and guards
+
+
+@query
+def comparison_reads(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("comparacao_id"), F.col("l_suppkey").alias("fornecedor_id"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("nome"))
+    read = reads.comparisons(jobs, results, suppliers)
+    return read.select("id", "total_resultados", F.array_join("fornecedores.nome", ",").alias("fornecedores"))
+
+
+@query
+def proposal_problems(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("comparacao_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("proposta_id"))
+    kind = F.when(F.col("p_size") <= 10, "tr").otherwise("proposta")
+    parts = table(spark, sf, "part").filter("p_size < 45")
+    documents = parts.select(F.col("p_partkey").alias("id"), kind.alias("document_type"), F.when(F.col("p_size") > 15, F.col("p_size") % 6).alias("fornecedor_id"))
+    return reads.proposal_problems(wanted, documents).filter("problem is not null")
+
+
+@query
+def start_requests(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    late = F.col("o_orderdate") >= o.agg(F.max("o_orderdate")).scalar() - F.expr("interval 200 days")
+    status = F.when(late & (F.col("o_orderstatus") == "P"), "running").when(late, "pending").otherwise("completed")
+    analyses = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), status.alias("status"))
+    return reads.start_requests(table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id")), analyses)
+
+
+def _votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Messages of conversations, and a vote on every message and on the one after it."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    messages = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role")
+    rating = F.when(F.col("turn") % 2 == 0, "up").otherwise("down")
+    both = [turns.select(F.concat_ws("-", "conv_id", F.col("turn") + ahead).alias("message_id"), F.lit(ahead).alias("ord"), rating.alias("rating"), F.col("role").alias("comment")) for ahead in (0, 1)]
+    return messages, both[0].unionByName(both[1])
+
+
+@query
+def message_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.with_feedback(*_votes(spark, sf))
+
+
+@query
+def refused_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.refused_feedback(*_votes(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def message_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"))
+
+
+@query
+def document_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    found = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("analysis_id"), "l_linenumber", "l_returnflag")
+    read = reads.document_analyses(runs, found, ["l_linenumber"])
+    return read.select("document_id", F.col("nth").cast("long").alias("nth"), "id", F.array_join(F.transform("corrections", lambda x: F.concat(x["l_linenumber"], x["l_returnflag"])), ",").alias("corrections"))
+
+
+@query
+def agent_findings(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    agents = F.array(*(F.lit(c) for c in analysis.WEIGHTS))
+    results = F.array(*(F.when(F.length("o_orderpriority") != 5 + i, F.array("o_orderstatus", F.lit(c))) for i, c in enumerate(analysis.WEIGHTS)))
+    found = reads.agent_findings(o.select(F.col("o_orderkey").alias("item"), agents.alias("agents"), results.alias("results")), "item")
+    return found.select("item", "agent", F.col("ord").cast("long").alias("ord"), "finding")
+
+
+@query
+def whole_texts(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("item_order"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return reads.whole_text(turns, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def vectors_available(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.has_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def analysis_batches(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linestatus") == "F").alias("ok"))
+    return analysis.status_of_batch(items, "l_orderkey")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return compliance_matrix(spark, sf)
 

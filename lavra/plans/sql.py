@@ -421,3 +421,59 @@ FROM documents
 for _name in ("bm25_topk", "cosine_topk", "rrf_fusion", "retrieval_context"):
     ORACLE[f"{_name}_spread"] = ORACLE[_name]
 ORACLE["findings_dedupe_texts"] = ORACLE["findings_dedupe"]
+
+# ---------------------------------------------------------------- reads and guards
+
+ORACLE["comparison_reads"] = """
+WITH n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (
+  SELECT id, string_agg(s_name, ',' ORDER BY s_name, s_suppkey) AS names
+  FROM (SELECT DISTINCT l_orderkey AS id, s_suppkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY id
+)
+SELECT o_orderkey AS id, coalesce(n, 0) AS total_resultados, coalesce(names, '') AS fornecedores FROM orders LEFT JOIN n ON n.id = o_orderkey LEFT JOIN s ON s.id = o_orderkey
+"""
+ORACLE["proposal_problems"] = """
+WITH w AS (
+  SELECT l_orderkey AS comparacao_id, l_linenumber AS ord, l_partkey AS proposta_id, p_partkey IS NOT NULL AND p_size > 10 AS good, CASE WHEN p_size > 15 THEN p_size % 6 END AS f
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size < 45
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY comparacao_id, f, good ORDER BY ord, proposta_id) AS nth FROM w)
+SELECT comparacao_id, ord, proposta_id, CASE WHEN NOT good THEN 'not a proposal' WHEN f IS NULL THEN 'no supplier' ELSE 'supplier twice' END AS problem
+FROM n WHERE NOT good OR f IS NULL OR nth > 1
+"""
+ORACLE["start_requests"] = """
+WITH late AS (SELECT * FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 200 DAY),
+a AS (SELECT o_custkey, min(o_orderkey) FILTER (o_orderstatus = 'P') AS r, min(o_orderkey) FILTER (o_orderstatus <> 'P') AS p FROM late GROUP BY 1)
+SELECT c_custkey AS document_id, coalesce(r, p) AS analysis_id, CASE WHEN r IS NOT NULL THEN 'refused' WHEN p IS NOT NULL THEN 'queued again' ELSE 'created' END AS outcome
+FROM customer LEFT JOIN a ON o_custkey = c_custkey
+"""
+_VOTES = """m AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2),
+v AS (SELECT conv_id, turn + ahead AS turn, ahead, CASE WHEN turn % 2 = 0 THEN 'up' ELSE 'down' END AS rating, role AS comment FROM m, (VALUES (0), (1)) AS x(ahead))"""
+ORACLE["message_feedback"] = f"""
+WITH {_VOTES}, last AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY ahead DESC) = 1)
+SELECT m.conv_id || '-' || m.turn AS id, m.role, CASE WHEN m.role = 'assistant' THEN rating END AS feedback_rating, CASE WHEN m.role = 'assistant' THEN comment END AS feedback_comment
+FROM m LEFT JOIN last USING (conv_id, turn)
+"""
+ORACLE["refused_feedback"] = f"""
+WITH {_VOTES}
+SELECT CASE WHEN m.role IS NULL THEN 'no such message' ELSE 'not an answer' END AS reason, count(*) AS n FROM v LEFT JOIN m USING (conv_id, turn) WHERE coalesce(m.role, '') <> 'assistant' GROUP BY 1
+"""
+ORACLE["message_counts"] = "SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id"
+ORACLE["document_analyses"] = """
+WITH c AS (SELECT l_orderkey, string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS corrections FROM lineitem GROUP BY 1)
+SELECT o_custkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth, o_orderkey AS id, coalesce(corrections, '') AS corrections
+FROM orders LEFT JOIN c ON l_orderkey = o_orderkey
+"""
+ORACLE["agent_findings"] = f"""
+WITH a AS (SELECT generate_subscripts(x, 1) - 1 AS i, unnest(x) AS agent FROM (SELECT [{_list(analysis.WEIGHTS)}] AS x)),
+f AS (SELECT o_orderkey AS item, agent, i, inner_, CASE WHEN inner_ = 0 THEN o_orderstatus ELSE agent END AS finding FROM orders, a, (VALUES (0), (1)) AS y(inner_) WHERE length(o_orderpriority) <> 5 + i)
+SELECT item, agent, row_number() OVER (PARTITION BY item ORDER BY i, inner_) AS ord, finding FROM f
+"""
+ORACLE["whole_texts"] = """
+SELECT conv_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY turn, part)) AS text_md5 FROM (SELECT conv_id, turn, coalesce(role, '') || chr(10) || coalesce(text, '') AS part FROM conversations) GROUP BY conv_id
+"""
+ORACLE["vectors_available"] = "SELECT count(*) FILTER (embedding IS NOT NULL AND len(embedding) > 0) > 0 AS available FROM embeddings"
+ORACLE["analysis_batches"] = """
+SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS analyzed_items, count(*) AS total_items, CASE WHEN count(*) FILTER (l_linestatus = 'F') = 0 THEN 'error' ELSE 'completed' END AS status
+FROM lineitem GROUP BY l_orderkey
+"""
