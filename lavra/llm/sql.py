@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lavra.llm import decontam, jaccard
+from lavra.llm import audit, decontam, jaccard
 from lavra.llm import license as licenses
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,4 +104,42 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reached GROUP BY doc_id) m USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_licenses": OP7, "op8_jaccard": OP8}
+_BITS = {name: 1 << i for i, name in enumerate(audit.FILTERS)}
+_BIT = "CASE name " + " ".join(f"WHEN '{name}' THEN {bit}" for name, bit in _BITS.items()) + " END"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < {audit.LEAST_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {audit.DISTINCT} * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.CAPITALS} * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN least < doc_id THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l USING (doc_id)
+),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+f(name) AS (VALUES {', '.join(f"('{x}')" for x in audit.FILTERS)}),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order FROM f a JOIN f b ON b.name <> a.name JOIN f c ON c.name NOT IN (a.name, b.name)
+  JOIN f d ON d.name NOT IN (a.name, b.name, c.name) JOIN f e ON e.name NOT IN (a.name, b.name, c.name, d.name)
+),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS name FROM orders, generate_series(1, 5) g(step)),
+bits AS (SELECT *, {_BIT} AS bit FROM steps),
+sofar AS (SELECT *, CAST(coalesce(sum(bit) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS earlier FROM bits),
+found AS (
+  SELECT part, filter_order, step, name,
+    coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+  FROM counts, sofar GROUP BY part, filter_order, step, name
+)
+SELECT part, filter_order, step, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
+FROM found
+"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_licenses": OP7, "op8_jaccard": OP8, "op11_audit": OP11}
