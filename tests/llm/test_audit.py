@@ -15,8 +15,8 @@ DOCS = "doc_id long, text string, lang string, source string"
 def brute_force(docs, labels):
     """Every filter applied to every part, order by order, straight from the wording."""
     texts = [(i, t or "", s or "") for i, t, _, s in docs]
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
 
     def fails(name, row):
         i, t, _ = row
