@@ -3,8 +3,8 @@
 A document's failures are a mask of five bits. Four come from its own text. The
 fifth, a text that a smaller id has too, comes from an RDD routed by the texts'
 xxhash: every input partition keeps chains of (text, smallest id) by fingerprint,
-settles all that it can see to be repeated, and sends on one holder of each text
-alone, so a text that fills a third of the table reaches its task once from each
+emits all larger ids at once, and sends on one text for each chain link alone,
+so a text that fills a third of the table reaches its task once from each
 partition. There the texts of a fingerprint, sorted by id, meet in a chain of
 full texts, and all but the smallest id are emitted. combineByKey then merges
 vectors of counts by mask, one for each part; orders, steps and Shapley sums
@@ -25,10 +25,11 @@ import itertools
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
@@ -63,78 +64,88 @@ def failures(text: str) -> int:
 
 
 def _fingerprint(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
-def _held(chains: dict[int, list[list]]) -> Iterator[tuple]:
-    for fingerprint, chain in chains.items():
-        for text, least, holders in chain:
-            for part, mask in holders:
-                yield (fingerprint, 0, least), (least, part, mask, text)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _routed(rows: Iterable[tuple], fingerprint=_fingerprint, most: int = HELD_BYTES) -> Iterator[tuple]:
-    """((fingerprint, 0, doc_id), (doc_id, part, mask, text)) of a partition's smallest holders of each text.
+    """((fingerprint, 0, doc_id), text) for the smallest id that a partition has with each text.
 
-    Rows that are settled here go on without text, under a fingerprint of their own: ((spread, 1, 0), (doc_id, part, mask, None)).
+    All larger ids are settled here: they go on without text, spread over all partitions: ((spread, 1, 0), (doc_id, fingerprint)).
     """
-    chains: dict[int, list[list]] = {}
+    chains: dict[int, list[list]] = {}  # of [text, smallest id]
     held = settled = 0
 
-    def done(doc_id, part: str, mask: int) -> tuple:
+    def larger(doc_id, at: int) -> tuple:
         nonlocal settled
         settled += 1
-        return (xxhash.xxh3_64_intdigest(f"{settled} {doc_id}".encode()), 1, 0), (doc_id, part, mask, None)
+        return (xxhash.xxh3_64_intdigest(f"{settled} {doc_id}".encode()), 1, 0), (doc_id, at)
+
+    def smallest() -> Iterator[tuple]:
+        for at, chain in chains.items():
+            for text, doc_id in chain:
+                yield (at, 0, doc_id), text
 
-    for doc_id, part, text in rows:
+    for doc_id, text in rows:
         text = text or ""
-        mask = failures(text)
-        if doc_id is None:
-            yield done(doc_id, part, mask)
-            continue
-        chain = chains.setdefault(fingerprint(text), [])
+        at = fingerprint(text)
+        chain = chains.setdefault(at, [])
         found = next((x for x in chain if x[0] == text), None)
         if found is None:
-            chain.append([text, doc_id, [(part, mask)]])
+            chain.append([text, doc_id])
             held += len(text)
-        elif doc_id == found[1]:
-            found[2].append((part, mask))
         elif doc_id < found[1]:
-            for p, m in found[2]:
-                yield done(found[1], p, m | REPEATED)
-            found[1:] = [doc_id, [(part, mask)]]
-        else:
-            yield done(doc_id, part, mask | REPEATED)
+            yield larger(found[1], at)
+            found[1] = doc_id
+        elif doc_id > found[1]:
+            yield larger(doc_id, at)
         if held > most:
-            yield from _held(chains)
+            yield from smallest()
             chains, held = {}, 0
-    yield from _held(chains)
+    yield from smallest()
 
 
 def _settled(records: Iterable[tuple]) -> Iterator[tuple]:
-    """(doc_id, part, mask) from routed records sorted by fingerprint and id: a text's first holder has the smallest id."""
-    at, chain = None, []
-    for (fingerprint, kind, _), (doc_id, part, mask, text) in records:
+    """(doc_id, fingerprint) of all but a text's smallest id, from records sorted by fingerprint and id."""
+    last, chain = None, []
+    for (at, kind, doc_id), value in records:
         if kind:
-            yield doc_id, part, mask
+            yield value
             continue
-        if fingerprint != at:
-            at, chain = fingerprint, []
-        least = next((least for known, least in chain if known == text), None)
+        if at != last:
+            last, chain = at, []
+        least = next((least for text, least in chain if text == value), None)
         if least is None:
-            chain.append((text, doc_id))
-        yield doc_id, part, mask | (REPEATED if least is not None and least < doc_id else 0)
+            chain.append((value, doc_id))
+        elif least < doc_id:
+            yield doc_id, at
 
 
-def masks(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, mask) of every row: bit 0 is A, bit 4 is E."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint) of the rows whose text a smaller id has too, each once."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
-    rdd = rows.rdd
+    rdd = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string")).rdd
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rdd.getNumPartitions())  # grows with the input
     routed = rdd.mapPartitions(_routed).repartitionAndSortWithinPartitions(n, lambda key: key[0])
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("part", StringType()), StructField("mask", IntegerType())])
-    return spark.createDataFrame(routed.mapPartitions(_settled), schema, verifySchema=False)
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("fingerprint", LongType())])
+    return spark.createDataFrame(routed.mapPartitions(_settled), schema, verifySchema=False).distinct()
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        found = {"mask": pa.array([failures(t) for t in texts], pa.int32()), "fingerprint": pa.array([_fingerprint(t) for t in texts], pa.int64())}
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), *found.values()], ["doc_id", "part", *found])
+
+
+def masks(docs: DataFrame) -> DataFrame:
+    """(doc_id, spread, part, mask) of every row: bit 0 is A, bit 4 is E; spread numbers the rows without id and is 0 for others."""
+    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
+    schema = StructType([docs.schema["doc_id"], *(StructField(name, kind) for name, kind in (("part", StringType()), ("mask", IntegerType()), ("fingerprint", LongType())))])
+    # Joins on an id that is missing would send all such rows to one task.
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    own = rows.mapInArrow(_own, schema).withColumn("spread", spread)
+    again = repeated(docs).withColumns({"spread": F.lit(0).cast("long"), "again": F.lit(REPEATED)})
+    return own.join(again, ["doc_id", "spread", "fingerprint"], "left").select("doc_id", "spread", "part", (F.col("mask") + F.coalesce("again", F.lit(0))).alias("mask"))
 
 
 def _counted(row: tuple) -> list[int]:
@@ -175,11 +186,9 @@ def orders(counts: list[int]) -> Iterator[tuple]:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, filter order and step; see the module's text."""
     one = lambda name: F.max(F.coalesce(F.col(name).cast("int") == 1, F.lit(False)).cast("int"))
-    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(one("quality").alias("good"), one("toxic").alias("toxic"))
-    # Rows without id have no label; a running number keeps them out of one task.
-    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    failed = masks(docs).withColumn("spread", F.coalesce(spread, F.lit(0)))
-    joined = failed.join(marked.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
+    kind = docs.schema["doc_id"].dataType
+    marked = labels.select(F.col("doc_id").try_cast(kind), "quality", "toxic").filter("doc_id is not null").groupBy("doc_id").agg(one("quality").alias("good"), one("toxic").alias("toxic"))
+    joined = masks(docs).join(marked.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
     pairs = joined.select("part", "mask", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0))).rdd.map(lambda r: (r[0], (r[1], r[2], r[3])))
     by_part = pairs.combineByKey(_counted, _with, _merged)
     rows = by_part.flatMap(lambda x: ((x[0], *row) for row in orders(x[1])))
