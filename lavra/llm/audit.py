@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from lavra.llm import shared
+
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
 #: Fixed values of the filters: least words, least share of distinct words, most share of capitals (percent), and unwanted marks.
@@ -189,7 +191,9 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     marked = labels.select(F.col("doc_id").try_cast(kind), "quality", "toxic").filter("doc_id is not null").groupBy("doc_id").agg(one("quality").alias("good"), one("toxic").alias("toxic"))
     joined = masks(docs).join(marked.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
-    pairs = joined.select("part", "mask", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0))).rdd.map(lambda r: (r[0], (r[1], r[2], r[3])))
+    # A few bytes a row, computed once: the RDD below begins here whatever is lost.
+    counted = shared.checkpoint(joined.select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")))
+    pairs = counted.rdd.map(lambda r: (r[0], (r[1], r[2], r[3])))
     by_part = pairs.combineByKey(_counted, _with, _merged)
     rows = by_part.flatMap(lambda x: ((x[0], *row) for row in orders(x[1])))
     return docs.sparkSession.createDataFrame(rows, f"part string, filter_order string, step int, {COUNTS}", verifySchema=False)
