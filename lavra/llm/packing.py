@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,67 +34,115 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from tokenizers import Tokenizer
 
 from lavra.llm import shared
+from lavra.llm import text as tx
 
 #: Tokens of a sequence, and the token that ends a document.
 ROOM, END = 1024, 2
 #: Longer texts are tokenised in stretches of about so many characters.
 STRETCH = 1 << 20
-#: Distinct words whose tokens a task remembers.
-REMEMBERED = 1 << 18
+#: Distinct words whose tokens a worker remembers.
+REMEMBERED = 600_000
 #: A blank between two characters that aren't: the tokeniser's pattern always breaks before it.
 _SAFE = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
-@lru_cache(maxsize=1)
 def _classes() -> tuple[str, str, str]:
     """Characters below U+0250 by the classes of the tokeniser's pattern: letters, numbers and blanks."""
-    import unicodedata
-
     low = [chr(c) for c in range(0x250)]
     of = lambda kind: "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == kind)
     return of("L"), of("N"), r"\t-\r \x85\xa0"
 
 
+def _spelling() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary: itself if it prints, else the next one from U+0100 on."""
+    own = [b for b in range(256) if 0x20 < b < 0x7F or b > 0xA0 and b != 0xAD]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class _Words(dict):
+    """The numbers of distinct words; `ids` up to `ends[n]`, from the end before on, are those of word n."""
+
+    def __init__(self, model):
+        self._model, self._spelling = model, _spelling()
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.ids.extend(t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._spelling)))
+        self.ends.append(len(self.ids))
+        self[word] = len(self)
+        return len(self) - 1
+
+    def large(self) -> bool:
+        return len(self) > REMEMBERED or len(self.ids) > 8 * REMEMBERED
+
+
 class Tokens:
-    """Token ids of texts. The tokeniser works on words apart from each other, so each distinct word is asked of it once."""
+    """Token ids of texts.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The tokeniser works on words apart from each other, so its model is asked once for each distinct word. The words
+    are remembered from batch to batch and from task to task of a worker, and forgotten when they are too many.
+    """
 
+    def __init__(self, path: str):
         self._all = Tokenizer.from_file(path)
         self._all.encode_special_tokens = True  # their spelling in a text is ordinary text
         letters, numbers, blanks = _classes()
-        self._words = re.compile(
-            f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
-        )
-        self._other = re.compile(r"[^\x00-ɏ]")  # classes of rarer characters are left to the tokeniser
-        self._seen: dict[str, tuple[int, ...]] = {}
-
-    def _stretch(self, text: str) -> np.ndarray:
-        if self._other.search(text):
-            return np.array(self._all.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self._words.findall(text)
-        new = [w for w in set(words) if w not in self._seen]
-        if new:
-            if len(self._seen) + len(new) > REMEMBERED:
-                self._seen, new = {}, list(set(words))
-            for i in range(0, len(new), 4096):
-                found = self._all.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-                self._seen.update(zip(new[i : i + 4096], (tuple(x.ids) for x in found), strict=True))
-        return np.fromiter(chain.from_iterable(map(self._seen.__getitem__, words)), np.uint32)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        text, parts, at = text or "", [], 0
-        while len(text) - at > STRETCH:
-            cut = _SAFE.search(text, at + STRETCH)
-            if not cut:
-                break
-            parts.append(self._stretch(text[at : cut.start()]))
-            at = cut.start()
-        parts.append(self._stretch(text[at:] if at else text))
-        return np.concatenate([*parts, np.array([END], np.uint32)])
+        self._words = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+        self._other = re.compile(r"[^\x00-\u024f]")  # classes of rarer characters are left to the tokeniser
+        self._seen = _Words(self._all.model)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        out, words, ends = [], [], []
+        for text in texts:
+            if self._other.search(text):
+                out.append(np.array(self._all.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                words += self._words.findall(text)
+                out.append(None)
+                ends.append(len(words))
+        at = np.fromiter(map(self._seen.__getitem__, words), np.int64, len(words))
+        stops, flat = np.frombuffer(self._seen.ends, np.int64), np.frombuffer(self._seen.ids, np.uint32)
+        n = stops[at + 1] - stops[at]
+        stop = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(stops[at] - stop[:-1], n) + np.arange(stop[-1])]
+        own = iter(np.split(ids, stop[np.array(ends[:-1], np.int64)]) if ends else ())
+        del stops, flat
+        if self._seen.large():
+            self._seen = _Words(self._all.model)
+        return [next(own) if x is None else x for x in out]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, the end token last."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        some, which, n = [], [], 0
+        for i, text in enumerate(texts):
+            for part in _stretches(text or ""):
+                some.append(part)
+                which.append(i)
+                n += len(part)
+                if n >= STRETCH:
+                    for k, x in zip(which, self._encoded(some), strict=True):
+                        parts[k].append(x)
+                    some, which, n = [], [], 0
+        for k, x in zip(which, self._encoded(some), strict=True):
+            parts[k].append(x)
+        return [np.concatenate([*x, np.array([END], np.uint32)]) for x in parts]
+
+
+def _stretches(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > STRETCH and (cut := _SAFE.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def bounds(n: int, room: int) -> list[tuple[int, int]]:
@@ -176,26 +225,20 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, ids: bool = False)
     schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        tokens, here, seen = Tokens(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            texts = batch.column("text")
-            for begin in range(0, batch.num_rows, 64):
-                rows, which, kept = [], [], []
-                for i in range(begin, min(begin + 64, batch.num_rows)):
-                    found = tokens.ids(texts[i].as_py())
-                    for piece, (start, n) in enumerate(bounds(len(found), room)):
-                        part = found[start : start + n]
-                        nth = seen.get(n, 0)
-                        seen[n] = nth + 1
-                        rows.append((piece, start, n, zlib.crc32(part.astype("<u4").tobytes()), here, nth))
-                        which.append(i)
-                        if ids:
-                            kept.append(part.astype(np.int32))
-                columns = [batch.column("doc_id").take(pa.array(which, pa.int64())), *(pa.array(x, pa.int32() if isinstance(t, IntegerType) else pa.int64()) for x, t in zip(zip(*rows, strict=True), types, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * ids, ["doc_id", *names] + ["ids"] * ids)
+        tokens, here, seen = _tokens(tokenizer), TaskContext.get().partitionId(), {}
+        for batch in tx.blocks(batches):
+            rows, which, kept = [], [], []
+            for i, found in enumerate(tokens.ids(batch.column("text").to_pylist())):
+                for piece, (start, n) in enumerate(bounds(len(found), room)):
+                    part = found[start : start + n]
+                    nth = seen.get(n, 0)
+                    seen[n] = nth + 1
+                    rows.append((piece, start, n, zlib.crc32(part.astype("<u4").tobytes()), here, nth))
+                    which.append(i)
+                    if ids:
+                        kept.append(part.astype(np.int32))
+            columns = [batch.column("doc_id").take(pa.array(which, pa.int64())), *(pa.array(x, pa.int32() if isinstance(t, IntegerType) else pa.int64()) for x, t in zip(zip(*rows, strict=True), types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * ids, ["doc_id", *names] + ["ids"] * ids)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
