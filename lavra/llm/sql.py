@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lavra.llm import audit, decontam, jaccard
+from lavra.llm import audit, decontam, jaccard, ranked
 from lavra.llm import license as licenses
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,4 +142,21 @@ SELECT part, filter_order, step, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c
 FROM found
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_licenses": OP7, "op8_jaccard": OP8, "op11_audit": OP11}
+OP13 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_lowered('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all({_lowered('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+shares AS (
+  SELECT doc_id, term, CAST(floor({ranked.WEIGHT} * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+    * (({ranked.SHARE} * tf) // ({ranked.COUNT} * tf + {ranked.LENGTH} * ({100 - ranked.PART} + ({ranked.PART} * n * n_docs) // n_terms))) AS share
+  FROM tf JOIN df USING (term), total
+),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * share) AS BIGINT) AS score FROM asked JOIN shares USING (term) GROUP BY item_id, doc_id HAVING sum(times * share) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY rank <= {ranked.TOP}
+"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_licenses": OP7, "op8_jaccard": OP8, "op11_audit": OP11, "op13_ranked": OP13}

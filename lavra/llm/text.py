@@ -43,6 +43,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))
