@@ -48,7 +48,7 @@ BLOCK_DOCS = 512
 #: Terms of the queries that are searched together, repeats included.
 PART_TERMS = 1 << 18
 #: Blocks whose bounds a task sorts at a time.
-TOGETHER = 64
+TOGETHER = 32
 #: Blocks of each query that are scored first, to learn what score is needed.
 FIRST = 2
 
@@ -73,6 +73,13 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(texts)), found.counts()), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
 
 
+def _each(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows' values of these columns, one row at a time."""
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def _packed(x: np.ndarray) -> bytes:
     return x.astype("<i4").tobytes()
 
@@ -81,14 +88,25 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, "<i4").astype(np.int64)
 
 
+def _joined(terms: pa.Array) -> tuple[bytes, np.ndarray]:
+    data, offsets = tx.utf8(terms)
+    return data.tobytes(), offsets[1:]
+
+
+def _strings(letters: bytes, cuts: bytes) -> pa.Array:
+    offsets = b"\0\0\0\0" + cuts
+    return pa.Array.from_buffers(pa.string(), len(cuts) // 4, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+
+
 def blocks(docs: DataFrame, most: int = BLOCK_DOCS) -> DataFrame:
-    """(block, ids, lengths, terms, df, ends, term, tf): the forward index of each range of documents, in the order of their ids.
+    """(block, ids, lengths, letters, cuts, df, ends, term, tf): the forward index of each range of documents, in the order of their ids.
 
-    A document's terms are those up to its entry of `ends`; `term` are places in `terms`. The last four are packed 32-bit numbers.
+    The block's terms stand one after the other in `letters`, each up to its entry of `cuts`. A document's entries of `term`,
+    which are places among these terms, and `tf` end at its entry of `ends`. All but ids and letters are packed 32-bit numbers.
     """
     kind = docs.schema["doc_id"].dataType
-    names = ["df", "ends", "term", "tf"]
-    schema = StructType([StructField("ids", ArrayType(kind)), StructField("lengths", BinaryType()), StructField("terms", ArrayType(StringType())), *(StructField(n, BinaryType()) for n in names)])
+    names = ["lengths", "letters", "cuts", "df", "ends", "term", "tf"]
+    schema = StructType([StructField("ids", ArrayType(kind)), *(StructField(n, BinaryType()) for n in names)])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +118,11 @@ def blocks(docs: DataFrame, most: int = BLOCK_DOCS) -> DataFrame:
                     lengths = np.bincount(doc, minlength=own.num_rows)
                     pair, tf = np.unique(doc * max(1, len(terms)) + number, return_counts=True)
                     holder, term = np.divmod(pair, max(1, len(terms)))
-                    packed = [np.bincount(term, minlength=len(terms)), np.cumsum(np.bincount(holder, minlength=own.num_rows)), term, tf]
-                    columns = [[own.column("doc_id").to_pylist()], [_packed(lengths)], [terms.to_pylist()], *([_packed(x)] for x in packed)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.list_(own.schema.field("doc_id").type), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 4), strict=True)], ["ids", "lengths", "terms", *names])
+                    letters, cuts = _joined(terms)
+                    numbers = [cuts, np.bincount(term, minlength=len(terms)), np.cumsum(np.bincount(holder, minlength=own.num_rows)), term, tf]
+                    columns = [_packed(lengths), letters, *(_packed(x) for x in numbers)]
+                    ids = pa.array([own.column("doc_id").to_pylist()], pa.list_(own.schema.field("doc_id").type))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in columns)], ["ids", *names])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(built, schema)
     return rows.withColumn("block", F.monotonically_increasing_id())
@@ -145,7 +165,7 @@ def build(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
     def with_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for lengths, df, ends, term, tf in zip(*(batch.column(c).to_pylist() for c in ("lengths", "df", "ends", "term", "tf")), strict=True):
+            for lengths, df, ends, term, tf in _each(batch, "lengths", "df", "ends", "term", "tf"):
                 m = length_weight(_unpacked(lengths))
                 most = np.zeros(len(df) // 4, np.int64)
                 np.maximum.at(most, _unpacked(term), share(_unpacked(tf), np.repeat(m, np.diff(_unpacked(ends), prepend=0))))
@@ -198,11 +218,11 @@ class Part:
 class Block:
     """A block's documents, scored for one query after the other."""
 
-    def __init__(self, row: dict, part: Part, places: np.ndarray, index_weight):
-        lengths, ends, term, tf = (_unpacked(row[c]) for c in ("lengths", "ends", "term", "tf"))
-        self.ids, self.n = row["ids"], len(lengths)
+    def __init__(self, batch: pa.RecordBatch, i: int, part: Part, places: np.ndarray, index_weight: LengthWeight):
+        lengths, ends, term, tf, cuts = (_unpacked(batch.column(c)[i].as_py()) for c in ("lengths", "ends", "term", "tf", "cuts"))
+        self.ids, self.n = batch.column("ids")[i].values, len(lengths)
         doc = np.repeat(np.arange(self.n), np.diff(ends, prepend=0))
-        back = np.full(len(row["df"]) // 4, -1, np.int64)
+        back = np.full(len(cuts), -1, np.int64)
         back[places[places >= 0]] = np.flatnonzero(places >= 0)
         asked = back[term] if len(term) else term
         keep = np.flatnonzero(asked >= 0)
@@ -260,14 +280,14 @@ def _frequencies(index: Index, part: Part) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(part.terms), np.int64)
         for batch in batches:
-            for terms, n in zip(batch.column("terms"), batch.column("df").to_pylist(), strict=True):
-                places = part.places(terms.values)
+            for letters, cuts, n in _each(batch, "letters", "cuts", "df"):
+                places = part.places(_strings(letters, cuts))
                 there = places >= 0
                 df[there] += _unpacked(n)[places[there]]
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": pa.array(held, pa.int64()), "df": pa.array(df[held], pa.int64())})
 
-    summed = index.blocks.select("terms", "df").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    summed = index.blocks.select("letters", "cuts", "df").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(len(part.terms), np.int64)
     for r in summed.collect():  # at most a row for each term of the part
         df[r["term"]] = r["df"]
@@ -280,8 +300,8 @@ def _needed(index: Index, part: Part, top: int) -> np.ndarray:
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[int, int]]] = [[] for _ in part.keys]
         for batch in batches:
-            for block, terms, most in zip(batch.column("block").to_pylist(), batch.column("terms"), batch.column("most").to_pylist(), strict=True):
-                bounds = part.bounds(part.places(terms.values), _unpacked(most))
+            for block, letters, cuts, most in _each(batch, "block", "letters", "cuts", "most"):
+                bounds = part.bounds(part.places(_strings(letters, cuts)), _unpacked(most))
                 for q in np.flatnonzero(bounds).tolist():
                     heapq.heappush(best[q], (int(bounds[q]), block))
                     if len(best[q]) > FIRST:
@@ -290,7 +310,7 @@ def _needed(index: Index, part: Part, top: int) -> np.ndarray:
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays(columns, ["query", "bound", "block"])
 
-    bounds = index.blocks.select("block", "terms", "most").mapInArrow(highest, "query long, bound long, block long")
+    bounds = index.blocks.select("block", "letters", "cuts", "most").mapInArrow(highest, "query long, bound long, block long")
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))
     first = bounds.withColumn("nth", order).filter(F.col("nth") <= FIRST).groupBy("block").agg(F.collect_list("query").alias("queries"))
     chosen = index.blocks.join(F.broadcast(first), "block")  # FIRST rows for each query of the part at most
@@ -308,10 +328,10 @@ def _scorer(index: Index, part: Part, least: np.ndarray | None, top: int):
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                block = Block(row, part, part.places(pa.array(row["terms"], pa.string())), index_weight)
-                found = [(q, score) for q in row["queries"] for score, _ in block.best(part.own[q], _weights(part, q), 1, top)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(2)], ["query", "score"])
+            for i, (queries, letters, cuts) in enumerate(_each(batch, "queries", "letters", "cuts")):
+                block = Block(batch, i, part, part.places(_strings(letters, cuts)), index_weight)
+                found = [(q, score) for q in queries for score, _ in block.best(part.own[q], _weights(part, q), 1, top)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["query", "score"])
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in part.keys]
@@ -319,19 +339,20 @@ def _scorer(index: Index, part: Part, least: np.ndarray | None, top: int):
         kind = None
         for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             kind = batch.schema.field("ids").type.value_type
-            rows = batch.to_pylist()
-            places = [part.places(pa.array(r["terms"], pa.string())) for r in rows]
-            bounds = np.array([part.bounds(p, _unpacked(r["most"])) for p, r in zip(places, rows, strict=True)]).reshape(len(rows), -1)
+            places, bounds = [], np.zeros((batch.num_rows, len(part.keys)), np.int64)
+            for i, (letters, cuts, most) in enumerate(_each(batch, "letters", "cuts", "most")):
+                places.append(part.places(_strings(letters, cuts)))
+                bounds[i] = part.bounds(places[i], _unpacked(most))
             built: dict[int, Block] = {}
             for q in range(len(part.keys)):
                 for i in np.argsort(-bounds[:, q], kind="stable").tolist():
                     if bounds[i, q] < max(1, needed[q]):
                         break
                     if i not in built:
-                        built[i] = Block(rows[i], part, places[i], index_weight)
+                        built[i] = Block(batch, i, part, places[i], index_weight)
                     found = built[i].best(part.own[q], _weights(part, q), int(needed[q]), top)
                     if found:
-                        best[q] = sorted([*best[q], *((s, rows[i]["ids"][d]) for s, d in found)], key=_rank)[:top]
+                        best[q] = sorted([*best[q], *((s, built[i].ids[d].as_py()) for s, d in found)], key=_rank)[:top]
                         if len(best[q]) == top:
                             needed[q] = max(needed[q], best[q][-1][0])
         if kind is not None:

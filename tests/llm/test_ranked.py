@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lavra.llm import ranked
@@ -104,10 +103,11 @@ def test_bounds_hold(spark):
     part = ranked.Part([(i, terms(t)) for i, t in queries if terms(t)])
     part.weigh(index.n_docs, ranked._frequencies(index, part))
     weight = ranked.LengthWeight(index.n_docs, index.n_terms)
-    for row in index.blocks.toArrow().to_pylist():
-        places = part.places(pa.array(row["terms"], pa.string()))
-        bounds = part.bounds(places, ranked._unpacked(row["most"]))
-        block = ranked.Block(row, part, places, weight)
-        for q in range(len(part.keys)):
-            best = block.best(part.own[q], ranked._weights(part, q), 0, 1)
-            assert (best[0][0] if best else 0) <= bounds[q]
+    for batch in index.blocks.toArrow().to_batches():
+        for i, (letters, cuts, most) in enumerate(ranked._each(batch, "letters", "cuts", "most")):
+            places = part.places(ranked._strings(letters, cuts))
+            bounds = part.bounds(places, ranked._unpacked(most))
+            block = ranked.Block(batch, i, part, places, weight)
+            for q in range(len(part.keys)):
+                best = block.best(part.own[q], ranked._weights(part, q), 0, 1)
+                assert (best[0][0] if best else 0) <= bounds[q]
