@@ -11,6 +11,7 @@ from lavra import providers, schemas
 from lavra.functions import extract
 from lavra.functions import text as tf
 from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, reads, retrieval, rules, structure, tables
+from lavra.plans import jobs
 from lavra.plans.tables import amount_text, as_items, company_digits, table
 from lavra.sources import html
 from lavra.streaming import rates
@@ -789,6 +790,9 @@ def analysis_batches(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.status_of_batch(items, "l_orderkey")
 
 
+QUERIES |= jobs.QUERIES
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return compliance_matrix(spark, sf)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lavra.functions.text import ACCENTED, PLAIN
 from lavra.operators import analysis, chat, chunk, compliance, generate
+from lavra.plans import jobs
 
 
 def _list(values) -> str:
@@ -477,3 +478,5 @@ ORACLE["analysis_batches"] = """
 SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS analyzed_items, count(*) AS total_items, CASE WHEN count(*) FILTER (l_linestatus = 'F') = 0 THEN 'error' ELSE 'completed' END AS status
 FROM lineitem GROUP BY l_orderkey
 """
+
+ORACLE |= jobs.ORACLE
