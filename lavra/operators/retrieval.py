@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.text import clean_query, quoted_term, tokens
+from lavra.operators import textindex, vectorindex
+from lavra.operators.ranking import B, K1, LEAST_IDF, RRF, TOP_K, doubles, top_k
 
-#: BM25 constants, the floor of a term's weight, the rank constant of the fusion, and results by default.
-K1, B, LEAST_IDF, RRF, TOP_K = 1.2, 0.75, 1e-6, 60, 5
 LIKE_TERMS = 6
 
 
@@ -39,12 +39,6 @@ def bm25(queries: DataFrame, index: DataFrame, chunks: DataFrame, query_key: str
     return terms.join(scored.select("term", key, weight.alias("weight")), "term").groupBy(query_key, key).agg((-F.sum("weight")).alias("score"))
 
 
-def top_k(scored: DataFrame, query_key: str, order: list[Column], k: int = TOP_K) -> DataFrame:
-    """The first k of each query with their rank from 1."""
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(*order))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def phrase_match(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, term: str = "term", text: str = "text") -> DataFrame:
     """Chunks that hold a term's words one after the other; a term of several words is a phrase."""
     phrase = queries.select(query_key, F.concat(F.lit(" "), F.array_join(tokens(F.col(term)), " "), F.lit(" ")).alias("phrase"), F.explode(F.array_distinct(tokens(F.col(term)))).alias("word"))
@@ -67,10 +61,6 @@ def ilike(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
     return chunks.filter(reduce(or_, (F.col(text).ilike(f"%{t}%") for t in terms))) if terms else chunks.limit(0)
 
 
-def doubles(vector: Column) -> Column:
-    return vector.cast("array<double>")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -144,15 +134,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, k:
     if by_meaning is None:
         by_meaning = not chunks.filter(F.size(vector) > 0).isEmpty()
     if mode == "ilike":
-        scored = like_hits(asked, allowed, query_key, key)
-    else:
-        scored = bm25(asked, postings(chunks, key), chunks, query_key, key)  # weights come from the whole index
-        scored = scored.join(allowed.select(key), key, "left_semi") if laws else scored
-    legs = [top_k(scored, query_key, [F.round("score", 6), F.col(key)], k)]
+        legs = [top_k(like_hits(asked, allowed, query_key, key), query_key, [F.round("score", 6), F.col(key)], k)]
+    else:  # weights come from the whole index
+        legs = [textindex.search(textindex.build(chunks, key), asked, query_key, k, allowed if laws else None)]
     if by_meaning:
-        usable = allowed.filter(F.size(vector) > 0)
-        near = semantic_all(asked.filter(F.size(vector) > 0), usable, query_key, key, vector)
-        legs.insert(0, top_k(near, query_key, [F.round("score", 6).desc(), F.col(key)], k))
+        legs.insert(0, vectorindex.search(vectorindex.build(allowed, key, vector), asked, query_key, k, vector))
     shown = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in fields))
     same = F.sha2(F.to_json(F.struct("law_number", *(F.coalesce(c, F.lit("")).alias(c) for c in ("article", "text")))), 256)
     records = chunks.select(key, shown.alias("record"), same.alias("same"))

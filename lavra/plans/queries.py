@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lavra import providers, schemas
 from lavra.functions import extract
 from lavra.functions import text as tf
-from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, reads, retrieval, rules, structure, tables
+from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, reads, retrieval, rules, structure, tables, textindex, vectorindex
 from lavra.plans import jobs
 from lavra.plans.tables import amount_text, as_items, company_digits, table
 from lavra.sources import html
@@ -339,17 +339,16 @@ def token_df(spark: SparkSession, sf: str) -> DataFrame:
 EVERY = 50
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """For every item that EVERY divides."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = textindex.build(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     asked = table(spark, sf, "benchmark").filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(asked, retrieval.postings(docs, "doc_id"), docs, "query_id", "doc_id")
+    return textindex.search(index, asked, "query_id", k)
 
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _bm25(spark, sf).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, "query_id", [F.col("score"), F.col("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
+    return _bm25(spark, sf, 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query
@@ -371,7 +370,9 @@ def _cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top_k(_cosine(spark, sf), "query_id", [F.desc("score"), F.col("vec_id")], 5)
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectorindex.search(vectorindex.build(vectors, "vec_id"), asked, "query_id", 5)
 
 
 def _fused(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
@@ -388,8 +389,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    best = retrieval.top_k(_bm25(spark, sf).withColumn("score", F.round("score", 6)), "query_id", [F.col("score"), F.col("doc_id")], 3)
-    return best.join(table(spark, sf, "documents"), "doc_id").select("query_id", "rank", F.col("source").alias("law"), F.col("doc_id").cast("string").alias("article"), "text")
+    return _bm25(spark, sf, 3).join(table(spark, sf, "documents"), "doc_id").select("query_id", "rank", F.col("source").alias("law"), F.col("doc_id").cast("string").alias("article"), "text")
 
 
 @query
