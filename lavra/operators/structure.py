@@ -2,14 +2,21 @@
 
 A line that opens an item has a number, a letter, a roman numeral, or is a
 clause, a title or an annex; the lines up to the next opening are the item's
-content. Marked tables are items of their own. The whole is a set of window
-expressions over lines; a running count of openings is the item's ordinal.
+content. Marked tables are items of their own. The patterns are column
+expressions; a document's lines are folded in their order, in batches, where the
+document is.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lavra.functions.text import strip, title_number
 
@@ -33,21 +40,24 @@ OPENINGS = {
     "section": r"^([0-9]{1,2})\s*[.\-–]\s+(.+)",
 }
 TYPES = {"annex": "annex", "clause": "section", "title": "section", "letter": "subitem", "roman": "section", "level4": "subitem", "level3": "subitem", "level2": "item", "section": "section"}
+#: How a line begins that any of these may fit; most lines are done with it.
+MAY_OPEN = r"^(?:(?i:anexo)\s|CLÁUSULA\s|D[OA]S?\s|\[TÍTULO\]\s|[a-z]\s*[).]|[xivXIV]+\s*[).\-]|[0-9]{1,2}\s*[.\-–])"
 #: Openings that a table cell can't be.
 GUARDED = ("letter", "roman", "level2", "section")
 LONE_NUMBER = r"^[0-9]{1,2}(\.[0-9]{1,3})*\.$"
 TITLE_CHARS, CLAUSE_CHARS = 200, 50
+#: Rows that a batch of folded documents holds at least.
+BATCH_ROWS = 4096
 SHAPE = "struct<number:string,title:string,type:string>"
 
 
 def footer_like(line: Column) -> Column:
-    return F.exists(F.array(*(F.lit(m) for m in FOOTERS)), lambda m: F.contains(F.lower(line), m))
+    return F.lower(line).rlike("|".join(map(re.escape, FOOTERS)))
 
 
 def table_cell(title: Column) -> Column:
     """Whether a title is only a unit or an amount."""
-    low = F.lower(strip(title))
-    return (low == "") | low.isin(*UNITS) | low.startswith("dias úteis") | low.startswith("r$")
+    return F.lower(strip(title)).rlike(rf"^(?:{'|'.join(map(re.escape, UNITS))})?$|^dias úteis|^r\$")
 
 
 def opening(line: Column) -> Column:
@@ -66,7 +76,7 @@ def opening(line: Column) -> Column:
         if name in GUARDED:
             found = F.when(~table_cell(second), found)
         branch = F.when(line.rlike(pattern), found) if branch is None else branch.when(line.rlike(pattern), found)
-    return branch.otherwise(F.lit(None).cast(SHAPE))
+    return F.when(line.rlike(MAY_OPEN), branch)
 
 
 def lines_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -74,75 +84,163 @@ def lines_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return split.select(key, "pos", strip(F.col("raw")).alias("line"))
 
 
-def joined_numbers(lines: DataFrame, key: str) -> DataFrame:
-    """Lone numbers joined with the next line that isn't blank, unless that is a number or a footer; that line is consumed."""
-    w = Window.partitionBy(key).orderBy("pos")
-    filled = lines.filter("line != ''")
-    following = F.lead("line").over(w)
-    takes = F.col("line").rlike(LONE_NUMBER) & following.isNotNull() & ~following.rlike(LONE_NUMBER) & ~footer_like(following)
-    marked = filled.withColumns({"takes": F.coalesce(takes, F.lit(False)), "following": following, "next_pos": F.lead("pos").over(w)})
-    marked = marked.withColumn("taken", F.coalesce(F.lag("takes").over(w), F.lit(False)))
-    return marked.filter("not taken").select(key, F.when(F.col("takes"), F.col("next_pos")).otherwise(F.col("pos")).alias("pos"), F.when(F.col("takes"), F.concat("line", F.lit(" "), "following")).otherwise(F.col("line")).alias("line"))
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
+    """Each document's key, which is the first column, and the other columns' values by row; rows arrive document by document.
+
+    A row whose `first` is true begins a document, so documents of equal keys stay apart.
+    """
+    key, rows = None, None
+    for batch in batches:
+        keys, *others = (c.to_pylist() for c in batch.columns)
+        for own, first, row in zip(keys, batch.column("first").to_pylist(), zip(*others, strict=True), strict=True):
+            if first:
+                if rows is not None:
+                    yield key, rows
+                key, rows = own, []
+            rows.append(row)
+    if rows is not None:
+        yield key, rows
+
+
+def _batched(found: Iterator[tuple[object, list[tuple]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their documents' keys in front, many documents in a batch."""
+    held: list[tuple] = []
+    for key, rows in found:
+        held += ((key, *row) for row in rows)
+        if len(held) >= BATCH_ROWS:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _cut(rows: list[tuple]) -> list[tuple]:
+    """(pos, line, table, whole, first): lines of items and closed tables of a document, after a row with its whole text.
+
+    Lone numbers are joined with the next line that isn't blank, unless that is a number or a footer. An open table
+    swallows all lines; its rows make an item when its end mark comes.
+    """
+    out: list[tuple] = [(-1, None, None, rows[0][1], True)]
+    table, lone = None, None
+    for pos, line, mark, number, footer, _ in rows[1:]:
+        if mark == 1:
+            table = []
+        elif mark == 0:
+            if table:
+                out.append((pos, None, "\n".join(table), None, False))
+            table = None
+        elif line == "":
+            continue
+        elif table is not None:
+            table.append(line)
+        else:
+            if lone is not None:
+                if number or footer:
+                    out.append((lone[0], lone[1], None, None, False))
+                else:
+                    line = f"{lone[1]} {line}"
+                lone = None
+            if number:
+                lone = pos, line
+            else:
+                out.append((pos, line, None, None, False))
+    if lone is not None:
+        out.append((lone[0], lone[1], None, None, False))
+    return sorted(out, key=lambda x: x[0])
+
+
+def _assembled(rows: list[tuple], fallback: bool) -> list[tuple]:
+    """(item_order, item_number, title, content, item_type, pos) of a document's lines with their openings."""
+    found: list[list] = []  # number, title, lines, type, pos
+    inside = False
+    for pos, line, table, _, _, opens in rows[1:]:
+        if table is not None:
+            found.append([None, "Tabela", [table], "table", pos])
+            inside = False
+        elif opens is not None:
+            found.append([opens["number"], opens["title"], [line], opens["type"], pos])
+            inside = True
+        elif inside:
+            found[-1][2].append(line)
+    whole = rows[0][3]
+    if not found and fallback and whole:
+        found = [["1", "Documento Completo", [whole], "section", 0]]
+    name, out = Names(), []
+    for nth, (number, title, lines, kind, pos) in enumerate(found, 1):
+        number = f"TAB-{nth}" if number is None else number
+        if number != "":
+            out.append((len(out), name(number), title, "\n".join(lines), kind, pos))
+    return out
+
+
+class Names:
+    """Names that are free: a name that was given already gets the first suffix -1, -2, ... with which it wasn't."""
+
+    def __init__(self):
+        self._given: set[str] = set()
+        self._next: dict[str, int] = {}
+
+    def __call__(self, wanted: str) -> str:
+        name = wanted
+        while name in self._given:
+            n = self._next.get(wanted, 0) + 1
+            self._next[wanted], name = n, f"{wanted}-{n}"
+        self._given.add(name)
+        return name
 
 
 def items(texts: DataFrame, key: str = "doc_id", text: str = "text", fallback: bool = True) -> DataFrame:
     """Items of each text: key, item_order, item_number, title, content, item_type, pos (line of the opening).
 
     Text before the first item or after a table is dropped; a table without an
-    end mark swallows the rest; a text without items is one item.
+    end mark swallows the rest; a text without items is one item. A document's
+    lines stay where the document is: two folds over them, with the patterns as
+    columns in between, and no shuffle.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    raw = lines_of(texts, key, text)
-    starts, ends = F.col("line").startswith("[TABELA]"), F.col("line").startswith("[/TABELA]")
-    mark = F.when(starts, F.lit(1)).when(ends, F.lit(0))
-    raw = raw.withColumn("mark", mark).withColumn("in_table", F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit(0)) == 1)
-    raw = raw.withColumn("table_no", F.sum(F.when(starts, 1).otherwise(0)).over(w))
-    # A table's rows make an item when its end mark comes.
-    rows = raw.filter("in_table and mark is null and line != ''")
-    closed = raw.filter("mark = 0").groupBy(key, "table_no").agg(F.min("pos").alias("end_pos"))
-    tables = rows.groupBy(key, "table_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    tables = tables.join(closed, [key, "table_no"]).select(key, F.col("end_pos").alias("pos"), F.lit("Tabela").alias("title"), "content", F.lit("table").alias("item_type"), F.lit(None).cast("string").alias("item_number"))
-    # Everything else is cut at openings and at tables.
-    free = joined_numbers(raw.filter("not in_table and mark is null").select(key, "pos", "line"), key)
-    found = free.withColumn("opens", opening(F.col("line")))
-    cuts = tables.select(key, "pos", F.lit(None).cast("string").alias("line"), F.lit(None).cast(SHAPE).alias("opens"), F.lit(True).alias("cut"))
-    found = found.withColumn("cut", F.lit(False)).unionByName(cuts)
-    found = found.withColumn("part", F.sum(F.when(F.col("opens").isNotNull() | F.col("cut"), 1).otherwise(0)).over(w))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("cut"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    parts = found.groupBy(key, "part").agg(F.min_by("opens", "pos").alias("opens"), F.min("pos").alias("pos"), content.alias("content"), F.max("cut").alias("cut")).filter("opens is not null and not cut")
-    text_items = parts.select(key, "pos", F.col("opens.title").alias("title"), "content", F.col("opens.type").alias("item_type"), F.col("opens.number").alias("item_number"))
-    all_items = text_items.unionByName(tables).filter(strip(F.col("content")) != "")
-    all_items = all_items.withColumn("nth", F.row_number().over(w))
-    all_items = all_items.withColumn("item_number", F.coalesce("item_number", F.concat(F.lit("TAB-"), F.col("nth").cast("string"))))
-    if fallback:
-        whole = texts.join(all_items.select(key).distinct(), key, "left_anti").select(
-            key, F.lit(0).alias("pos"), F.lit("Documento Completo").alias("title"), strip(F.coalesce(F.col(text), F.lit(""))).alias("content"), F.lit("section").alias("item_type"), F.lit("1").alias("item_number"), F.lit(1).alias("nth")
-        )
-        all_items = all_items.unionByName(whole.filter("content != ''"))
-    renamed = renamed_duplicates(all_items.filter("item_number != ''"), key, "item_number", "nth")
-    return renamed.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("nth")) - 1).alias("item_order"), "item_number", "title", "content", "item_type", "pos")
+    key_field = texts.schema[key]
+    # The whole text goes before its lines, so that no line carries it along.
+    content = F.coalesce(F.col(text), F.lit(""))
+    split = texts.select(key, F.posexplode(F.concat(F.array(content), F.split(content, "\n"))).alias("at", "raw")).withColumn("line", strip(F.col("raw")))
+    mark = F.when(F.col("line").startswith("[TABELA]"), 1).when(F.col("line").startswith("[/TABELA]"), 0)
+    first = F.col("at") == 0
+    flags = [F.when(~first, x) for x in (mark, F.col("line").rlike(LONE_NUMBER), footer_like(F.col("line")))]
+    marked = split.select(key, (F.col("at") - 1).alias("pos"), "line", *(x.alias(n) for x, n in zip(flags, ("mark", "number", "footer"), strict=True)), first.alias("first"))
+
+    def folded(fold: Callable[[list[tuple]], list[tuple]], schema: StructType) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _batched(((own, fold(rows)) for own, rows in _documents(batches)), to_arrow_schema(schema))
+
+        return run
+
+    cut = StructType([key_field, *StructType.fromDDL("pos int, line string, table string, whole string, first boolean").fields])
+    made = StructType([key_field, *StructType.fromDDL("item_order int, item_number string, title string, content string, item_type string, pos int").fields])
+    opened = marked.mapInArrow(folded(_cut, cut), cut).withColumn("opens", opening(F.col("line")))
+    return opened.mapInArrow(folded(lambda rows: _assembled(rows, fallback), made), made)
 
 
 def renamed_duplicates(table: DataFrame, key: str, number: str, order: str) -> DataFrame:
-    """A number that a row before has already gets the first suffix -1, -2, ... whose name is free.
+    """A number that a row of the key before has already gets the first suffix -1, -2, ... whose name is free.
 
-    The n-th row of a number gets -(n-1), in one window, unless the key has such a
-    name of its own; only the rows of those keys are named one after the other.
+    Each name depends on those before it, so a key's rows are read in order; only its names are held.
     """
-    whole = Window.partitionBy(key)
-    nth = F.row_number().over(Window.partitionBy(key, number).orderBy(order))
-    out = table.withColumn("__name", F.when(nth > 1, F.concat(number, F.lit("-"), (nth - 1).cast("string"))).otherwise(F.col(number)))
-    out = out.withColumn("__twice", F.count("*").over(Window.partitionBy(key, "__name")) > 1).withColumn("__clash", F.max("__twice").over(whole))
-    upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = out.withColumn("__so_far", F.collect_list(F.when(F.col("__clash"), F.col(number))).over(upto))
-
-    def named(taken: Column, wanted: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.concat(wanted, F.lit("-"), i.cast("string")))
-        free = F.element_at(F.filter(tries, lambda name: ~F.array_contains(taken, name)), 1)
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, wanted), free).otherwise(wanted)))
-
-    settled = F.element_at(F.aggregate("__so_far", F.array().cast("array<string>"), named), -1)
-    return out.withColumn(number, F.when(F.col("__clash"), settled).otherwise(F.col("__name"))).drop("__name", "__twice", "__clash", "__so_far")
+    dealt = table.repartition(key).sortWithinPartitions(key, order)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, name = object(), Names()
+        for batch in batches:
+            out = []
+            for own, wanted in zip(batch.column(key).to_pylist(), batch.column(number).to_pylist(), strict=True):
+                if own != last:
+                    last, name = own, Names()
+                out.append(wanted if wanted is None else name(wanted))
+            at = batch.schema.get_field_index(number)
+            yield batch.set_column(at, number, pa.array(out, pa.string()))
+
+    return dealt.mapInArrow(named, table.schema)
 
 
 def pages_of_lines(lines: DataFrame, pages: DataFrame, key: str) -> DataFrame:
