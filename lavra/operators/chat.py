@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra import schemas
+from lavra import schemas, storage
 from lavra.functions.text import snippet, strip
 from lavra.operators.analysis import recovered_object
 from lavra.operators.tables import first_rows
@@ -16,6 +20,7 @@ from lavra.operators.tables import first_rows
 REFUSAL = (
     "Não encontrei fontes suficientes para responder essa pergunta com segurança. Reformule a pergunta ou pergunte sobre itens específicos do documento analisado."
 )
+FAILURE = "Não foi possível processar sua pergunta agora. Tente novamente em instantes."
 INVALID, REFUSED, EMPTY, UNCITED, FAILED = "resposta-invalida", "recusa-llm", "resposta-vazia", "sem-citacao", "falha-llm"
 MAX_SOURCES = 8
 
@@ -62,6 +67,48 @@ def assembled(legs: list[DataFrame], key: str, most: int = MAX_SOURCES) -> DataF
     return once.withColumn("ord", nth).filter(F.col("ord") <= most).drop("leg")
 
 
+CITED = "ord long, type string, reference string, title string, snippet string"
+
+
+def isolated(spark: SparkSession, make: Callable[[], DataFrame], key: str, kind: str) -> DataFrame:
+    """A leg of sources; one that can't be planned or computed is an empty leg, and the others stand."""
+    try:
+        return storage.stored(make(), storage.folder(spark, "leg"))
+    except (PySparkException, Py4JError, OSError) as e:
+        logging.getLogger(__name__).warning("a leg of sources failed: %s", str(e).splitlines()[0] if str(e) else type(e).__name__)
+        return spark.createDataFrame([], f"`{key}` {kind}, {CITED}")
+
+
+class ChatLog:
+    """Messages of conversations in a folder: each turn's question and answer once, whatever is sent again.
+
+    A batch of turns has a number; sent again, it replaces itself. A turn that another batch has already is left out.
+    """
+
+    TURN = ["conversation_id", "turn"]
+    SCHEMA = f"conversation_id long, turn long, role string, content string, sources array<struct<{schemas.CITATION.replace(' ', ':').replace(',:', ',')}>>, grounded boolean, confidence double, provider string, warning string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _all(self) -> DataFrame:
+        return storage.read_or_empty(self.spark, self.path, f"{self.SCHEMA}, batch int")
+
+    def read(self) -> DataFrame:
+        """The messages; of a turn that two batches brought at the same time, the first batch's."""
+        return first_rows(self._all(), [*self.TURN, "role"], ["batch"]).drop("batch")
+
+    def append(self, turns: DataFrame, number: int) -> None:
+        """turns: conversation_id, turn, text, and an answer's content, citations, grounded, confidence, provider, reason."""
+        there = self._all().filter(F.col("batch") != number).select(*self.TURN).distinct()
+        new = turns.join(there, self.TURN, "left_anti")
+        citations = F.array().cast(new.schema["citations"].dataType)
+        asked = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"), citations.alias("sources"), F.lit(None).cast("boolean").alias("grounded"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("warning"))
+        told = F.struct(F.lit("assistant").alias("role"), "content", F.col("citations").alias("sources"), "grounded", "confidence", F.col("provider").cast("string").alias("provider"), F.col("reason").alias("warning"))
+        both = new.select(*(F.col(c).cast("long") for c in self.TURN), F.inline(F.array(asked, told)))
+        both.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+
 def source_block(sources: DataFrame, key: str) -> DataFrame:
     """Sources as the text of a prompt."""
     line = F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("] tipo="), F.col("type"), F.lit(" | reference="), F.col("reference"), F.lit("\n    titulo="), F.col("title"), F.lit("\n    trecho="), F.col("snippet"))
@@ -105,7 +152,7 @@ def validated(answers: DataFrame, raw: str = "raw", grounding: bool = True, fail
     truthy = F.coalesce(~data["grounded"].isin("false", "0", ""), F.lit(False))
     return answers.withColumns(
         {
-            "content": F.when(refused, REFUSAL).otherwise(answer),
+            "content": F.when(reason == FAILED, FAILURE).when(refused, REFUSAL).otherwise(answer),
             "grounded": F.when(refused, False).otherwise(truthy),
             "confidence": F.when(~refused, confidence),
             "citations": F.when(refused, empty).otherwise(citations),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lavra.operators import tables
 
 # Types and states.
-PROPOSAL, PENDING, RUNNING, ASSISTANT = "proposta", "pending", "running", "assistant"
+PROPOSAL, REFERENCE, PENDING, RUNNING, ASSISTANT = "proposta", "tr", "pending", "running", "assistant"
 
 
 def comparisons(jobs: DataFrame, results: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -36,6 +36,21 @@ def proposal_problems(wanted: DataFrame, documents: DataFrame) -> DataFrame:
     return found.withColumn("problem", problem).select("comparacao_id", "ord", "proposta_id", "problem")
 
 
+def diff_problems(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Comparisons of two documents asked for (before_id, after_id) with what speaks against them; null if nothing.
+
+    documents: id, document_type. Both must exist and be reference documents; the first that fails is named.
+    """
+    sides = documents.select("id", "document_type")
+    found = wanted
+    for side in ("before", "after"):
+        found = found.join(sides.select(F.col("id").alias(f"{side}_id"), F.col("document_type").alias(f"__{side}"), F.lit(True).alias(f"__{side}_there")), f"{side}_id", "left")
+    problem = F.lit(None).cast("string")
+    for side in ("after", "before"):
+        problem = F.when(F.col(f"__{side}_there").isNull(), f"no such document: {side}").when(~F.coalesce(F.col(f"__{side}") == REFERENCE, F.lit(False)), f"not a reference document: {side}").otherwise(problem)
+    return found.select("before_id", "after_id", problem.alias("problem"))
+
+
 def start_requests(requests: DataFrame, analyses: DataFrame) -> DataFrame:
     """(document_id, analysis_id, outcome) of requests to start an analysis: a running one refuses, a pending one is queued again, else a new one is created.
 

@@ -109,9 +109,21 @@ def restore(items: DataFrame, revision: DataFrame, key: str = "document_id") ->
     return items.join(old, [key, "item_number"], "left").withColumn("content", F.coalesce("old", "content")).select(items.columns)
 
 
+def revisions(saved: DataFrame, key: str = "document_id") -> DataFrame:
+    """A document's revisions, newest first (`nth` is 1), with the number of their items in place of the items."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("versao")))
+    return saved.select(key, "versao", "rotulo", F.size("items_snapshot").alias("n_items"), nth.alias("nth"))
+
+
+def revision(saved: DataFrame, wanted: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, versao, found, and the items of) the revisions asked for; one that isn't there is a row without items."""
+    got = wanted.join(saved.select(key, "versao", "items_snapshot"), [key, "versao"], "left")
+    return got.select(key, "versao", F.col("items_snapshot").isNotNull().alias("found"), F.explode_outer("items_snapshot").alias("item")).select(key, "versao", "found", "item.*")
+
+
 def upload_checks(files: DataFrame) -> DataFrame:
     """Uploads (path, length, content) with what speaks against them; null if nothing."""
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.coalesce(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
     head = F.hex(F.substring("content", 1, 4))
     raw = F.decode("content", "ISO-8859-1")  # a byte a character; names of entries stand in an archive as they are
     odt = F.contains(raw, F.lit("mimetypeapplication/vnd.oasis.opendocument.text"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra import prompts, providers, storage
-from lavra.operators import runs
+from lavra.operators import chat, ingest, reads, runs, tables
 from lavra.plans.tables import table
+from lavra.streaming.progress import TrackedJob
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,3 +145,140 @@ FROM named
 def item_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """What every agent of an item's analysis is asked."""
     return runs.calls(_items(spark, sf)).select(*runs.CALL, F.md5("user").alias("user_md5"), F.substring_index("system", "\n", 1).alias("first_line"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 4 <> 0 AND conv_id % 9 <> 0 AS ok FROM conversations),
+c AS (SELECT conv_id, count(*) AS total_items, count(*) FILTER (ok) AS analyzed_items FROM t GROUP BY conv_id)
+SELECT conv_id AS analysis_id, total_items, analyzed_items, 100 AS percent, CASE WHEN analyzed_items = 0 THEN 'error' ELSE 'completed' END AS status FROM c
+""")
+def job_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The progress table of a job over all turns, run as a stream until nothing is left."""
+    turns = table(spark, sf, "conversations")
+    items = spark.readStream.schema(turns.schema).parquet(f"{sf}/conversations.parquet*")
+    ok = ((F.col("conv_id") + F.col("turn")) % 4 != 0) & (F.col("conv_id") % 9 != 0)
+    job = TrackedJob(storage.folder(spark, "job"), lambda batch: batch.select(F.col("conv_id").alias("analysis_id"), "turn", ok.alias("ok")))
+    job.start(items, storage.folder(spark, "job-checkpoint")).awaitTermination()
+    totals = turns.groupBy(F.col("conv_id").alias("analysis_id")).agg(F.count("*").alias("total_items"))
+    return job.progress(totals)
+
+
+# ---------------------------------------------------------------- chat log
+
+
+@query(f"""
+WITH asked AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
+told AS (
+  SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'falha-llm' WHEN conv_id % 2 = 1 THEN 'sem-fonte' END AS reason, 'Conforme Item ' || conv_id || '.' AS answer FROM asked
+)
+SELECT conv_id AS conversation_id, turn, 'user' AS role, md5(text) AS content_md5, CAST(0 AS INTEGER) AS n_sources, CAST(NULL AS BOOLEAN) AS grounded, CAST(NULL AS VARCHAR) AS warning FROM told
+UNION ALL
+SELECT conv_id, turn, 'assistant', md5(CASE reason WHEN 'falha-llm' THEN '{chat.FAILURE}' WHEN 'sem-fonte' THEN '{chat.REFUSAL}' ELSE answer END), CASE WHEN reason IS NULL THEN 1 ELSE 0 END, reason IS NULL, reason FROM told
+""")
+def chat_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and answers of every user's turn, sent twice; the leg of laws fails, and so does the provider for some conversations."""
+    asked = table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    asked = asked.select(F.col("conv_id").alias("conversation_id"), "turn", "text", F.concat_ws("-", "conv_id", "turn").alias("id"))
+    kind = "string"
+    laws = chat.isolated(spark, lambda: chat.legal_sources(spark.read.parquet(f"{sf}/no-such-table.parquet"), "id"), "id", kind)
+    own = asked.filter("conversation_id % 2 = 0").select("id", F.col("conversation_id").cast("string").alias("item_number"), F.lit("").alias("title"), F.col("text").alias("content"))
+    items = chat.isolated(spark, lambda: chat.item_sources(own, "id"), "id", kind)
+    sources = chat.source_block(chat.assembled([laws, items], "id"), "id")
+    user = F.concat_ws("\n", F.coalesce("sources", F.lit("(nenhuma fonte recuperada)")), "text")
+    prompted = asked.join(sources, "id", "left").select("id", F.concat(F.lit("Conversa: "), "conversation_id").alias("system"), user.alias("user"))
+    answers = storage.stored(providers.generate(prompted, "id", providers.UnsureAnswers), storage.folder(spark, "chat-answers"))
+    checked = chat.validated(answers.select("id", F.coalesce("answer", F.lit("")).alias("raw"), (~F.col("ok")).alias("failed"), F.lit("unsure").alias("provider")), failed="failed")
+    turns = asked.join(checked, "id")
+    log = chat.ChatLog(spark, storage.folder(spark, "chat-log"))
+    log.append(turns.filter("turn < 4"), 0)
+    for number in (1, 1, 2):  # the second batch is sent again, and then all of it under another number
+        log.append(turns, number)
+    return log.read().select("conversation_id", "turn", "role", F.md5("content").alias("content_md5"), F.size("sources").alias("n_sources"), "grounded", "warning")
+
+
+# ---------------------------------------------------------------- uploads and texts
+
+
+@query("""
+SELECT 'doc' || doc_id || ['.pdf', '.PDF', '.docx', '.odt', '.exe', ''][doc_id % 6 + 1] AS path, ['pdf', 'pdf', 'docx', 'odt', 'exe', ''][doc_id % 6 + 1] AS file_type,
+  CASE WHEN doc_id % 6 > 3 THEN 'extension' WHEN doc_id % 7 = 0 THEN 'empty' WHEN doc_id % 11 = 0 THEN 'too large' WHEN doc_id % 3 = 1 THEN 'content doesn''t match the extension' END AS problem
+FROM documents
+WHERE doc_id % 6 > 3 OR doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 3 = 1
+""")
+def upload_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an upload, some with a wrong name, size or content: those that are refused, after a write of both kinds."""
+    k = F.col("doc_id")
+    choice = (k % 6 + 1).cast("int")
+    name = F.concat(F.lit("doc"), k.cast("string"), F.element_at(F.array(*(F.lit(x) for x in (".pdf", ".PDF", ".docx", ".odt", ".exe", ""))), choice))
+    zipped = lambda inner: F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit(inner), "UTF-8"))
+    pdf, docx, odt = F.encode(F.lit("%PDF-1.7"), "UTF-8"), zipped("word/document.xml"), zipped("mimetypeapplication/vnd.oasis.opendocument.text")
+    right = F.element_at(F.array(pdf, pdf, docx, odt, pdf, pdf), choice)
+    content = F.concat(F.when(k % 3 == 1, F.encode(F.lit("texto"), "UTF-8")).otherwise(right), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    length = F.when(k % 7 == 0, 0).when(k % 11 == 0, 60 << 20).otherwise(F.octet_length(content)).cast("long")
+    uploads = table(spark, sf, "documents").select(name.alias("path"), length.alias("length"), content.alias("content"))
+    path = storage.folder(spark, "uploads")
+    ingest.write_split(ingest.checked(uploads), path)
+    return spark.read.parquet(path).filter("outcome = 'rejected'").select("path", "file_type", "problem")
+
+
+def _law_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document is a law, every other one of these without articles; some of the others are empty."""
+    k = F.col("doc_id")
+    text = F.when(k % 6 == 0, F.concat(F.lit("Art. 1º "), "lang", F.lit("\nArt. 2º "), "source")).when(k % 6 == 3, F.lit("sem artigos")).when(k % 5 == 0, F.lit("# título\n \n")).otherwise(F.concat("lang", F.lit("\ncorpo")))
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+@query("""
+SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 6 = 3 OR doc_id % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_chunks, CASE WHEN doc_id % 6 = 3 OR (doc_id % 6 <> 0 AND doc_id % 5 = 0) THEN 'no chunks' END AS problem
+FROM documents
+""")
+def ingest_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every text, the parser chosen by row; one without chunks is rejected."""
+    documents, _ = ingest.ingest(_law_texts(spark, sf), "doc_id", F.col("doc_id") % 3 == 0, storage.folder(spark, "ingest"))
+    return documents.select("doc_id", "n_chunks", "problem")
+
+
+# ---------------------------------------------------------------- revisions and comparisons
+
+
+def _saved(spark: SparkSession, sf: str) -> DataFrame:
+    """A revision of each order for every line number, with the lines up to it."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    both = lines.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("versao")).distinct().join(lines.withColumnRenamed("l_orderkey", "document_id"), "document_id").filter("l_linenumber <= versao")
+    item = F.struct(F.col("l_linenumber").alias("item_order"), F.col("l_linenumber").cast("string").alias("item_number"), F.col("l_returnflag").alias("title"))
+    listed = both.groupBy("document_id", "versao").agg(F.array_sort(F.collect_list(item)).alias("items_snapshot"))
+    return listed.withColumn("rotulo", F.concat(F.lit("v"), F.col("versao").cast("string")))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT l_orderkey AS document_id, l_linenumber AS versao, 'v' || l_linenumber AS rotulo, CAST((SELECT count(*) FROM lineitem x WHERE x.l_orderkey = v.l_orderkey AND x.l_linenumber <= v.l_linenumber) AS INTEGER) AS n_items,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS INTEGER) AS nth
+FROM v
+""")
+def revision_list(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.revisions(_saved(spark, sf))
+
+
+@query("""
+WITH w AS (SELECT o_orderkey AS document_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS versao FROM orders),
+f AS (SELECT w.*, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = document_id AND l_linenumber = versao) AS found FROM w)
+SELECT document_id, versao, found, CAST(l_linenumber AS VARCHAR) AS item_number, l_returnflag AS title
+FROM f LEFT JOIN lineitem ON found AND l_orderkey = document_id AND l_linenumber <= versao
+""")
+def revision_items(spark: SparkSession, sf: str) -> DataFrame:
+    """One revision asked for of every order; some have none of that number."""
+    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("versao"))
+    return tables.revision(_saved(spark, sf), wanted).drop("item_order")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size <= 25 THEN 'tr' ELSE 'proposta' END AS kind FROM part WHERE p_size < 45),
+w AS (SELECT DISTINCT l_partkey AS before_id, l_partkey + l_linenumber AS after_id FROM lineitem)
+SELECT before_id, after_id, CASE WHEN b.id IS NULL THEN 'no such document: before' WHEN b.kind <> 'tr' THEN 'not a reference document: before' WHEN a.id IS NULL THEN 'no such document: after' WHEN a.kind <> 'tr' THEN 'not a reference document: after' END AS problem
+FROM w LEFT JOIN p b ON b.id = before_id LEFT JOIN p a ON a.id = after_id
+""")
+def diff_requests(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("before_id"), (F.col("l_partkey") + F.col("l_linenumber")).alias("after_id")).distinct()
+    parts = table(spark, sf, "part").filter("p_size < 45")
+    return reads.diff_problems(wanted, parts.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 25, "tr").otherwise("proposta").alias("document_type")))

@@ -87,6 +87,17 @@ class EchoAnswers:
         return json.dumps({"refused": False, "answer": f"Conforme {found[2]}.", "grounded": True, "confidence": 0.5, "citations": [citation]}, ensure_ascii=False)
 
 
+class UnsureAnswers(EchoAnswers):
+    """As EchoAnswers, but fails for conversations, named by the system's text, that 5 divides."""
+
+    name = "unsure"
+
+    def generate(self, system: str, user: str) -> str:
+        if int(re.search(r"Conversa: (\d+)", system)[1]) % 5 == 0:
+            raise RuntimeError("sem resposta")
+        return super().generate(system, user)
+
+
 class RuleAnalyst:
     """An offline analyst whose answers and failures follow from an item's number `a-b` and the agent's place: a test of whole runs.
 
