@@ -15,7 +15,8 @@ Vectors of different lengths are searched apart, each length by an index of its
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and rows without vec_id take no part; rows with the query's own
-vec_id are no candidates, repeated rows are candidates each; ties go to the
+vec_id are no candidates, repeated rows are candidates each; vectors of any
+scale count, the largest and smallest doubles too; ties go to the
 smaller vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -164,6 +165,17 @@ def _stack(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _listed(x: np.ndarray) -> pa.Array:
+    n, width = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(x.ravel()))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two to largest components near 1. That is exact, so cosines stay as they are, and no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -181,17 +193,18 @@ def _search(usable: DataFrame, width: int, rows: int, query_step: int, k: int) -
     """The search among vectors of one length."""
     spark = usable.sparkSession
     drawn = usable.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()["embedding"].combine_chunks()
-    router = fit(_stack(drawn, width), rows)
+    router = fit(scaled(_stack(drawn, width)), rows)
     parts = router.weights.shape[1]
     sent = spark.sparkContext.broadcast(router)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked = sent.value.ranked(_stack(batch.column("embedding"), width)).astype(np.int32)
+                x = scaled(_stack(batch.column("embedding"), width))
+                ranked = sent.value.ranked(x).astype(np.int32)
                 asks = (batch.column("vec_id").to_numpy() % query_step == 0).tolist()
                 order = [r.tolist() if q else None for r, q in zip(ranked, asks, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(ranked[:, 0]), pa.array(order, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "order"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), _listed(x), pa.array(ranked[:, 0]), pa.array(order, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "order"])
 
     # Every row under its most probable part; queries also carry the order in which they would go on.
     index, _ = shared.store(usable.mapInArrow(assign, "vec_id long, embedding array<double>, part int, order array<int>"), "vectors")

@@ -701,3 +701,14 @@ def test_suffix_order():
     for _ in range(1500):
         s = [rng.randint(0, k) for k in [rng.choice((1, 2, 3, 10))] for _ in range(rng.randint(0, 40))]
         assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    """Vectors whose squares overflow or vanish take part like all others."""
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(100)]
+    same = {50: 1e200, 7: 1e200, 3: 1e-200, 9: 1e-320, 11: 1.5e308}
+    rows = [(i, [same[i] * x for x in (0.5, 1.0, 0.0, 0.0)] if i in same else v) for i, v in rows]
+    found = {(r["query_id"], r["rank"]): r for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {found[50, k]["vec_id"] for k in range(1, 5)} == {3, 7, 9, 11}
+    assert all(abs(found[50, k]["score"] - 1) < 1e-3 for k in range(1, 5)) and found[50, 1]["score"] == pytest.approx(1, abs=1e-12)
