@@ -117,9 +117,11 @@ def _scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, i
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
     spans += [(a, 2, b) for a, b in hexes]
-    base = list(spans)
-    for a, b in candidates:
-        if not any(s <= a and b <= e for s, _, e in base) and (kind := suspicious(text[a:b], text[max(0, a - 16) : a])):
+    base, i, reach = sorted(spans), 0, -1
+    for a, b in candidates:  # in the order of their starts, as are the base spans; one of these holds a candidate if it reaches that far
+        while i < len(base) and base[i][0] <= a:
+            reach, i = max(reach, base[i][2]), i + 1
+        if b > reach and (kind := suspicious(text[a:b], text[max(0, a - 16) : a])):
             spans.append((a, 3, b))
             classes.append(kind)
     return sorted(spans), classes

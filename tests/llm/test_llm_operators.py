@@ -712,3 +712,21 @@ def test_neighbours_of_extreme_vectors(spark):
     found = {(r["query_id"], r["rank"]): r for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {found[50, k]["vec_id"] for k in range(1, 5)} == {3, 7, 9, 11}
     assert all(abs(found[50, k]["score"] - 1) < 1e-3 for k in range(1, 5)) and found[50, 1]["score"] == pytest.approx(1, abs=1e-12)
+
+
+def test_many_keys_in_one_text():
+    """Base spans and candidates are merged, not compared pair by pair, and give the same spans."""
+    import time
+
+    rng = random.Random(5)
+    spell = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    text = "".join(f'password="{spell(20)}" {spell(30)} AKIA{spell(18).upper()}\n' for _ in range(100_000))
+    candidates = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text[:20_000])]
+    hexes = [(5, 40), (100, 130), (110, 180)]
+    spans, _ = secrets._scan(text[:20_000], hexes, candidates, True)
+    base = [s for s in spans if s[1] < 3]
+    want = [(a, 3, b) for a, b in candidates if not any(s <= a and b <= e for s, _, e in base) and secrets.suspicious(text[a:b], text[max(0, a - 16) : a])]
+    assert [s for s in spans if s[1] == 3] == want and want
+    began = time.perf_counter()
+    spans, _ = secrets._scan(text, [], [(a, a + 8) for a in range(0, len(text), 60)], True)
+    assert len(spans) >= 200_000 and time.perf_counter() - began < 20
