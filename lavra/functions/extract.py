@@ -7,6 +7,7 @@ function is a column expression, so a rule set compiles into one projection.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -20,7 +21,7 @@ NUMBER_WORDS = {
     "duzentos": 200, "trezentos": 300, "quatrocentos": 400, "quinhentos": 500, "seiscentos": 600, "setecentos": 700, "oitocentos": 800, "novecentos": 900,
 }
 # Patterns of numbers, periods and postal codes.
-INTEGER_RUN = r"^([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{1,9})($|[.,]$|[.,][.,])"
+INTEGER = r"(?<![0-9.,])([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{1,9})(?:[.,]?(?![0-9.,])|[.,][.,])"
 WORD = "[a-záàâãéêíóôõúçü]+"
 PERCENT = r"(?<![\p{L}0-9_])([0-9]+(?:[.,][0-9]+)?)\s*%"
 AMOUNT = r"(?<![\p{L}0-9_])R\$\s*([0-9]{1,3}(?:\.[0-9]{3})+,[0-9]{2}|[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+,[0-9]{2}|[0-9]+)(?![0-9])(?![.,][0-9])"
@@ -45,31 +46,48 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def anchored(items: Column, anchor: Column, whole: bool = False) -> Column:
-    """The text a rule searches, or empty.
+def searched(items: Column) -> Column:
+    """The items as rules search them: number, text, and the text in lower case, which is made once for all rules."""
+    texts = F.transform(items, lambda i: F.struct(i["item_number"].alias("number"), item_text(i).alias("text")))
+    return F.transform(texts, lambda i: F.struct(i["number"].alias("number"), i["text"].alias("text"), F.lower(i["text"]).alias("low")))
 
-    Without an anchor: all items. A numbered anchor: the item of that number.
-    Any other: the first item that holds it, from the place on (or whole).
-    """
-    key = F.trim(anchor)
-    low = F.lower(key)
 
-    def chosen(texts: Column) -> Column:
-        everything = F.array_join(F.transform(texts, lambda i: i["text"]), "\n")
-        numbered = F.get(F.filter(texts, lambda i: i["number"] == key), F.lit(0))["text"]
-        holding = F.get(F.filter(texts, lambda i: F.contains(F.lower(i["text"]), low)), F.lit(0))["text"]
-        found = holding if whole else bound(holding, lambda t: F.substring(t, F.call_function("locate", low, F.lower(t)), F.length(t)))
-        return F.when(anchor.isNull() | (anchor == ""), everything).when(key.rlike(NUMBERED_ANCHOR), numbered).otherwise(found)
+def everything(texts: Column) -> Column:
+    return F.array_join(F.transform(texts, lambda i: i["text"]), "\n")
 
-    texts = F.transform(items, lambda i: F.struct(i["item_number"].alias("number"), item_text(i).alias("text")))
-    return F.coalesce(bound(texts, chosen), F.lit(""))
+
+def of_number(texts: Column, number: Column) -> Column:
+    return F.get(F.filter(texts, lambda i: i["number"] == number), F.lit(0))["text"]
+
+
+def holding(texts: Column, low: Column, whole: bool) -> Column:
+    """The first text that holds the lower-case anchor, from the anchor on or whole."""
+    found = F.get(F.filter(texts, lambda i: F.contains(i["low"], low)), F.lit(0))
+    return found["text"] if whole else bound(found, lambda i: F.substring(i["text"], F.call_function("locate", low, i["low"]), F.length(i["text"])))
+
+
+def anchored(texts: Column, anchor: str | Column | None, whole: bool = False) -> Column:
+    """The text a rule searches, or empty; `texts` are searched items.
+
+    Without an anchor: all items. A numbered anchor: the item of that number.
+    Any other: the first item that holds it, from the place on (or whole). An
+    anchor that the caller knows leaves one of the three alone in the plan.
+    """
+    if isinstance(anchor, Column):
+        key = F.trim(anchor)
+        found = F.when(anchor.isNull() | (anchor == ""), everything(texts)).when(key.rlike(NUMBERED_ANCHOR), of_number(texts, key)).otherwise(holding(texts, F.lower(key), whole))
+    elif not anchor:
+        found = everything(texts)
+    elif re.fullmatch(NUMBERED_ANCHOR, anchor.strip(" ")):
+        found = of_number(texts, F.lit(anchor.strip(" ")))
+    else:
+        found = holding(texts, F.lower(F.lit(anchor.strip(" "))), whole)
+    return F.coalesce(found, F.lit(""))
 
 
 def integer(text: Column) -> Column:
     """First whole number: dotted thousands or up to nine digits, no decimals, not part of a longer number."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit("([0-9.,]+)"), F.lit(1)), lambda r: r.rlike(INTEGER_RUN))
-    number = F.regexp_extract(F.get(runs, F.lit(0)), INTEGER_RUN, 1)
-    return F.replace(number, F.lit("."), F.lit("")).try_cast("bigint")
+    return F.replace(F.regexp_extract(text, INTEGER, 1), F.lit("."), F.lit("")).try_cast("bigint")
 
 
 def _words_map() -> Column:
@@ -167,9 +185,13 @@ _EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def extract(kind: str, items: Column, anchor: Column, keywords: Column | None = None, pattern: Column | None = None) -> Column:
+def extract(kind: str, items: Column, anchor: str | Column | None, keywords: Column | None = None, pattern: Column | None = None) -> Column:
     """The value of a rule of a type known to the caller, typed as its extractor types it; null if there is none."""
-    text = anchored(items, anchor, whole=kind in WHOLE_ITEM)
+    return bound(searched(items), lambda texts: _value(kind, texts, anchor, keywords, pattern))
+
+
+def _value(kind: str, texts: Column, anchor: str | Column | None, keywords: Column | None, pattern: Column | None) -> Column:
+    text = anchored(texts, anchor, whole=kind in WHOLE_ITEM)
     if kind == "booleano":
         return bound(text, lambda t: has_keywords(t, keywords))
     if kind == "legal":
@@ -186,13 +208,17 @@ def value_text(kind: str, value: Column) -> Column:
     return value.cast("string")
 
 
-def extract_text(rule: dict, items: Column) -> Column:
+def _stored(rule: dict, texts: Column) -> Column:
     """The stored form of a rule's value; rules are small driver-side configuration."""
     keywords = F.array(*(F.lit(k) for k in rule.get("palavras_chave") or ())) if rule.get("palavras_chave") else F.array().cast("array<string>")
-    value = extract(rule["tipo"], items, F.lit(rule.get("ancora")).cast("string"), keywords, F.lit(rule.get("regex")).cast("string"))
+    value = _value(rule["tipo"], texts, rule.get("ancora"), keywords, F.lit(rule.get("regex")).cast("string"))
     return value_text(rule["tipo"], value)
 
 
+def extract_text(rule: dict, items: Column) -> Column:
+    return bound(searched(items), lambda texts: _stored(rule, texts))
+
+
 def compile_rules(rules: list[dict], items: Column) -> Column:
-    """One array of (regra_id, tipo, valor) for all rules: a single projection over a document's items."""
-    return F.array(*(F.struct(F.lit(r["id"]).alias("regra_id"), F.lit(r["tipo"]).alias("tipo"), extract_text(r, items).alias("valor")) for r in rules))
+    """One array of (regra_id, tipo, valor) for all rules: a single projection over a document's items, which are read once."""
+    return bound(searched(items), lambda texts: F.array(*(F.struct(F.lit(r["id"]).alias("regra_id"), F.lit(r["tipo"]).alias("tipo"), _stored(r, texts).alias("valor")) for r in rules)))

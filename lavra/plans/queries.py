@@ -35,7 +35,7 @@ def none() -> Column:
 @query
 def extract_integer(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    value = extract.extract("numero_inteiro", as_items(F.col("text")), none())
+    value = extract.extract("numero_inteiro", as_items(F.col("text")), None)
     return docs.select("doc_id", value.alias("value")).filter("value is not null")
 
 
@@ -46,7 +46,7 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_integer_anchored(spark: SparkSession, sf: str) -> DataFrame:
-    return _terms(spark, sf).select("l_orderkey", "l_linenumber", extract.extract("numero_inteiro", as_items(F.col("text")), F.lit("vigência")).alias("value"))
+    return _terms(spark, sf).select("l_orderkey", "l_linenumber", extract.extract("numero_inteiro", as_items(F.col("text")), "vigência").alias("value"))
 
 
 @query
@@ -57,18 +57,18 @@ def extract_number_words(spark: SparkSession, sf: str) -> DataFrame:
     ten = (size - size % 10).cast("int")
     spelled = F.when((size <= 20) | (size % 10 == 0), F.try_element_at(named, size)).otherwise(F.concat(F.try_element_at(named, ten), F.lit(" e "), F.try_element_at(named, (size % 10).cast("int"))))
     text = F.concat(F.lit("O prazo: "), spelled, F.lit(" dias"))
-    return table(spark, sf, "part").select("p_partkey", extract.extract("numero_extenso", as_items(text), F.lit("prazo")).alias("value"))
+    return table(spark, sf, "part").select("p_partkey", extract.extract("numero_extenso", as_items(text), "prazo").alias("value"))
 
 
 @query
 def extract_boolean_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    value = extract.extract("booleano", as_items(F.col("text")), none(), F.array(F.lit("The"), F.lit("AND")))
+    value = extract.extract("booleano", as_items(F.col("text")), None, F.array(F.lit("The"), F.lit("AND")))
     return table(spark, sf, "documents").select("doc_id", value.alias("value"))
 
 
 @query
 def extract_legal_regex(spark: SparkSession, sf: str) -> DataFrame:
-    value = extract.extract("legal", as_items(F.col("text")), none(), pattern=F.lit(r"licen[sc]e|lizenz"))
+    value = extract.extract("legal", as_items(F.col("text")), None, pattern=F.lit(r"licen[sc]e|lizenz"))
     return table(spark, sf, "documents").select("doc_id", value.alias("value"))
 
 
@@ -79,20 +79,20 @@ def _order_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_date(spark: SparkSession, sf: str) -> DataFrame:
-    value = extract.value_text("data", extract.extract("data", as_items(F.col("text")), F.lit("entrega")))
+    value = extract.value_text("data", extract.extract("data", as_items(F.col("text")), "entrega"))
     return _order_dates(spark, sf).select("o_orderkey", value.alias("value"))
 
 
 @query
 def extract_percent(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("Reajuste anual de "), F.translate(F.round(F.col("l_discount") * 100 + 0.5, 1).cast("decimal(6,1)").cast("string"), ".", ","), F.lit("% sobre o valor."))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", extract.extract("percentual", as_items(text), F.lit("reajuste")).alias("value"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", extract.extract("percentual", as_items(text), "reajuste").alias("value"))
 
 
 @query
 def extract_money(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("Valor global: "), amount_text(F.col("o_totalprice")), F.lit(" (estimado)."))
-    return table(spark, sf, "orders").select("o_orderkey", extract.extract("monetario", as_items(text), F.lit("valor")).alias("value"))
+    return table(spark, sf, "orders").select("o_orderkey", extract.extract("monetario", as_items(text), "valor").alias("value"))
 
 
 @query
@@ -101,7 +101,7 @@ def extract_cnpj(spark: SparkSession, sf: str) -> DataFrame:
     wrong = F.concat(F.left("good", F.lit(13)), ((F.right("good", F.lit(1)).cast("int") + 1) % 10).cast("string"))
     numbered = table(spark, sf, "supplier").select("s_suppkey", good.alias("good"))
     text = F.concat(F.lit("Fornecedor com CNPJ "), F.when(F.col("s_suppkey") % 4 == 0, wrong).otherwise(F.col("good")), F.lit("."))
-    return numbered.select("s_suppkey", as_items(text).alias("items")).select("s_suppkey", extract.extract("cnpj", F.col("items"), F.lit("cnpj")).alias("value"))
+    return numbered.select("s_suppkey", as_items(text).alias("items")).select("s_suppkey", extract.extract("cnpj", F.col("items"), "cnpj").alias("value"))
 
 
 @query
@@ -109,13 +109,13 @@ def extract_relative_term(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.element_at(F.array(F.lit("dias"), F.lit("Meses"), F.lit("anos")), F.col("l_linenumber") % 3 + 1)
     number = F.when(F.col("l_orderkey") % 5 == 0, F.lit("trinta")).otherwise(F.col("l_quantity").cast("int").cast("string"))
     text = F.concat(F.lit("Vigência pelo prazo de "), number, F.lit(" (conforme edital) "), unit, F.lit("."))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", extract.extract("prazo_relativo", as_items(text), F.lit("vigência")).alias("value"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", extract.extract("prazo_relativo", as_items(text), "vigência").alias("value"))
 
 
 @query
 def extract_cep(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("Entrega no CEP "), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit(" em Salvador."))
-    return table(spark, sf, "customer").select("c_custkey", extract.extract("cep", as_items(text), F.lit("cep")).alias("value"))
+    return table(spark, sf, "customer").select("c_custkey", extract.extract("cep", as_items(text), "cep").alias("value"))
 
 
 # ---------------------------------------------------------------- compliance
