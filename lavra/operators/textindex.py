@@ -21,7 +21,7 @@ from lavra.functions.text import clean_query, tokens
 from lavra.operators.ranking import B, K1, LEAST_IDF, TOP_K, top_k
 
 #: Folders of postings at most (by default one for each shuffle partition), chunks of a block, and parts that a folder is written in, so that no frequent term meets in one task.
-BUCKETS, BLOCK, SALTS = 512, 128, 4
+BUCKETS, BLOCK, SALTS = 512, 128, 16
 #: Blocks of each query that are scored before all others.
 FIRST = 2
 #: Scores are ranked by six digits; a bound counts as reached within this.
@@ -62,11 +62,13 @@ def build(chunks: DataFrame, key: str, text: str = "text", block: int = BLOCK, b
     buckets = buckets or min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = chunks.select(F.col(key).alias("key"), F.floor(F.monotonically_increasing_id() / block).alias("block"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     flat = words.select("key", "block", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(SELF))).alias("term"))
-    counted = flat.groupBy("term", "key", "block", "dl").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term", buckets))
+    # Dealt first and counted there: one shuffle, and no counts are made beforehand that would hardly be fewer than the words.
+    salt = F.pmod("block", F.lit(SALTS))
+    dealt = flat.withColumns({"bucket": _bucket("term", buckets), "salt": salt}).repartition("bucket", "salt")
+    counted = dealt.groupBy("bucket", "salt", "term", "block", "key", "dl").agg(F.count("*").alias("tf")).drop("salt").sortWithinPartitions("bucket", "term", "block")
     path = storage.folder(spark, "text-index")
-    dealt = counted.repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.schema(dealt.schema).parquet(f"{path}/postings")
+    counted.write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.schema(counted.schema).parquet(f"{path}/postings")
     own = postings.filter((F.col("bucket") == _bucket(F.lit(SELF), buckets)) & (F.col("term") == SELF)).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).first()
     most = postings.groupBy("bucket", "term", "block").agg(F.max(weight(F.col("tf"), F.col("dl"), own["avg_dl"] or 0.0)).alias("most"), F.count("*").alias("n"))
     most.repartition("bucket", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/maxima")
@@ -108,6 +110,10 @@ def needed(index: TextIndex, bound: DataFrame, query_key: str, k: int, allowed:
 
 def search(index: TextIndex, queries: DataFrame, query_key: str, k: int = TOP_K, allowed: DataFrame | None = None, text: str = "text") -> DataFrame:
     """(query_key, key, score, rank): each query's k best chunks, by scores of six digits and then by key; allowed: only chunks of these keys."""
-    bound = storage.stored(bounds(index, query_terms(queries, query_key, text, index.buckets), query_key), storage.folder(queries.sparkSession, "bounds"))
-    hits = scored(index, needed(index, bound, query_key, k, allowed), query_key, allowed).withColumn("score", F.round("score", 6))
+    spark = queries.sparkSession
+    # Stored frames have a known size, by which Spark sends small ones to the postings and opens their folders alone.
+    terms = storage.stored(query_terms(queries, query_key, text, index.buckets), storage.folder(spark, "terms"))
+    bound = storage.stored(bounds(index, terms, query_key), storage.folder(spark, "bounds"))
+    chosen = storage.stored(needed(index, bound, query_key, k, allowed), storage.folder(spark, "blocks"))
+    hits = scored(index, chosen, query_key, allowed).withColumn("score", F.round("score", 6))
     return top_k(hits.withColumnRenamed("key", index.key), query_key, [F.col("score"), F.col(index.key)], k)
