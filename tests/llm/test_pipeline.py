@@ -93,5 +93,5 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     importlib.reload(__spark_entry__)
-    assert {*(f"op{n}_" for n in range(1, 11))} == {q[: q.index("_") + 1] for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit()}
+    assert {*(f"op{n}_" for n in range(1, 14))} == {q[: q.index("_") + 1] for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit()}
     assert __spark_entry__.queries()["pipeline"](spark, SF).count() > 0
