@@ -45,7 +45,7 @@ SHARD_WORDS = 1 << 20
 PART_BYTES = 2 << 20
 #: Words that a term of a proximity match may stand off, and terms that may be missing.
 SLOP, MISSING = 2, 1
-#: Candidate places that one intersection handles at once.
+#: Candidate places that one intersection handles at once; those of one frequent term are cut as well.
 CHUNK = 1 << 21
 #: A document is contaminated if one in so many of its words is hit.
 HIT_SHARE = 20
@@ -130,74 +130,78 @@ def _stands(keys: np.ndarray, term: np.ndarray, place: np.ndarray, slop: int = 0
     return (place + slop >= 0) & (keys[near] >= low) & (keys[near] <= term * (1 << 32) + place + slop)
 
 
-def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place of its first word) of all exact matches in a shard."""
+def _entries(lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of its list, place in it) of every entry of lists of these lengths, at most so many at once; a long list is cut."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, most):
+        entry = np.arange(at, min(at + most, total))
+        of = np.searchsorted(ends, entry, side="right")
+        yield of, entry - (ends[of] - lengths[of])
+
+
+def _intersect(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, place of its first word) of all exact matches in a shard, piece by piece."""
     lists = np.where(queries.terms >= 0, counts[queries.terms], np.iinfo(np.int64).max)
     alive = np.flatnonzero(lists.min(axis=1) > 0) if len(lists) else np.zeros(0, np.int64)
     order = np.argsort(lists[alive], axis=1, kind="stable")
     terms = np.take_along_axis(queries.terms[alive], order, axis=1)
-    load = np.cumsum(counts[terms[:, 0]]) if len(alive) else np.zeros(0, np.int64)
-    out_w, out_p = [], []
-    at = 0
-    while at < len(alive):
-        stop = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + CHUNK, side="right")))
-        n = counts[terms[at:stop, 0]]
-        w = np.repeat(np.arange(at, stop), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    for w, within in _entries(counts[terms[:, 0]], CHUNK):
         start = places[firsts[terms[w, 0]] + within] - order[w, 0]
         for r in range(1, queries.terms.shape[1]):
             term = terms[w, r]
             there = term < 0  # shorter windows have no such term
             there |= _stands(keys, np.maximum(term, 0), start + order[w, r])
             w, start = w[there], start[there]
-        out_w.append(alive[w])
-        out_p.append(start)
-        at = stop
-    if not out_w:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_w), np.concatenate(out_p)
+        if len(w):
+            yield alive[w], start
 
 
-def _proximity(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray, slop: int, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, place of its first word, place of a term found) of all proximity matches in a shard."""
+def _proximity(queries: Queries, counts: np.ndarray, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray, first: np.ndarray, slop: int, missing: int) -> np.ndarray:
+    """Sorted codes, document << 32 | window, of the documents of a shard that hold a proximity match of a window.
+
+    A document in which a window is known to match isn't tried for it again; a
+    place is given up as soon as more of its terms are missing than may be.
+    """
     real = queries.terms >= 0
     lists = np.where(real, counts[queries.terms], np.iinfo(np.int64).max)
     allowed = np.minimum(missing, (queries.lengths - 1) // 4)
     alive = np.flatnonzero(((lists > 0) & real).sum(axis=1) >= queries.lengths - allowed)
     order = np.argsort(lists[alive], axis=1, kind="stable")
     shifts = np.arange(-slop, slop + 1)
-    load = np.cumsum(np.where(real, counts[queries.terms], 0)[alive[:, None], order[:, : missing + 1]].sum(axis=1) * len(shifts))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = 0
-    while at < len(alive):
-        stop = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + CHUNK, side="right")))
-        tried = []
-        for r in range(min(missing + 1, queries.terms.shape[1])):
-            own = np.arange(at, stop)
-            own = own[allowed[alive[own]] >= r]
-            term = queries.terms[alive[own], order[own, r]]
-            n = counts[term]
-            w = np.repeat(own, n)
-            spot = places[np.repeat(firsts[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            start = (spot - order[w, r])[:, None] + shifts
-            tried.append((np.repeat(alive[w], len(shifts)), start.ravel(), np.repeat(spot, len(shifts))))
-        w, start, spot = (np.concatenate(x) for x in zip(*tried, strict=True))
-        _, one = np.unique(np.stack([w, start], axis=1), axis=0, return_index=True)
-        w, start, spot = w[one], start[one], spot[one]
-        held = np.zeros(len(w), np.int64)
-        for c in range(queries.terms.shape[1]):
-            term = queries.terms[w, c]
-            held += (term >= 0) & _stands(keys, np.maximum(term, 0), start + c, slop)
-        enough = held >= queries.lengths[w] - allowed[w]
-        found.append((w[enough], start[enough], spot[enough]))
-        at = stop
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
-
-
-def _by_document(queries: Queries, doc: np.ndarray, w: np.ndarray, n: int) -> list[list[str]]:
-    """Names of the items that have these windows, of each document."""
-    found = np.unique(doc * (1 << 32) + w)
+    found = np.zeros(0, np.int64)
+    for r in range(min(missing + 1, queries.terms.shape[1])):
+        own = np.flatnonzero(allowed[alive] >= r)
+        term = queries.terms[alive[own], order[own, r]]
+        for of, within in _entries(counts[term], CHUNK // len(shifts)):
+            nth, spot = own[of], places[firsts[term[of]] + within]
+            code = (np.searchsorted(first, spot, side="right") - 1 << 32) | alive[nth]
+            if len(found):
+                new = found[np.minimum(np.searchsorted(found, code), len(found) - 1)] != code
+                nth, spot, code = nth[new], spot[new], code[new]
+            start = ((spot - order[nth, r])[:, None] + shifts).ravel()
+            nth, code = np.repeat(nth, len(shifts)), np.repeat(code, len(shifts))
+            lost = np.zeros(len(nth), np.int64)
+            for c in range(queries.terms.shape[1]):
+                column = order[nth, c]
+                asked = queries.terms[alive[nth], column]
+                lost += (asked >= 0) & ~_stands(keys, np.maximum(asked, 0), start + column, slop)
+                kept = lost <= allowed[alive[nth]]
+                nth, code, start, lost = nth[kept], code[kept], start[kept], lost[kept]
+            found = np.union1d(found, code)
+    return found
+
+
+def _joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges with those that meet or overlap made one, by start."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else np.zeros(0, np.int64)
+    return start[head], end[np.append(head[1:], len(end)) - 1] if len(start) else end
+
+
+def _by_document(queries: Queries, found: np.ndarray, n: int) -> list[list[str]]:
+    """Names of the items that have these windows (distinct codes, document << 32 | window), of each document."""
     doc, w = found >> 32, found & ((1 << 32) - 1)
     many = queries.pair_first[w + 1] - queries.pair_first[w]
     pair = np.repeat(queries.pair_first[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -226,22 +230,17 @@ def _answers(queries: Queries, shard: dict, spelled: pa.Array, slop: int, missin
     counts[number[ours]] = all_counts[ours]
     firsts = np.cumsum(counts) - counts
     keys = np.repeat(np.arange(len(counts)), counts) * (1 << 32) + places
-    near, _, spot = _proximity(queries, counts, firsts, keys, places, slop, missing)
+    near = _proximity(queries, counts, firsts, keys, places, first, slop, missing)
     if not len(near):
         return ranges, none, none
-    near_items = _by_document(queries, np.searchsorted(first, spot, side="right") - 1, near, len(sizes))
-    w, start = _intersect(queries, counts, firsts, keys, places)
-    doc = np.searchsorted(first, start, side="right") - 1
-    low = start - first[doc]
-    high = low + queries.lengths[w]
-    order = np.lexsort((low, doc))
-    for d, a, b in zip(doc[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
-        own = ranges[d]
-        if own and a <= own[-1]:
-            own[-1] = max(own[-1], b)
-        else:
-            own += [a, b]
-    return ranges, _by_document(queries, doc, w, len(sizes)), near_items
+    codes, starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for w, start in _intersect(queries, counts, firsts, keys, places):
+        codes = np.union1d(codes, (np.searchsorted(first, start, side="right") - 1 << 32) | w)
+        starts, ends = _joined(np.concatenate([starts, start]), np.concatenate([ends, start + queries.lengths[w]]))
+    doc = np.searchsorted(first, starts, side="right") - 1  # documents stand apart, so no range joins two
+    for d, a, b in zip(doc.tolist(), (starts - first[doc]).tolist(), (ends - first[doc]).tolist(), strict=True):
+        ranges[d] += [a, b]
+    return ranges, _by_document(queries, codes, len(sizes)), _by_document(queries, near, len(sizes))
 
 
 def search(index: DataFrame, queries: Queries, slop: int = SLOP, missing: int = MISSING, window: int = WINDOW) -> DataFrame:
@@ -311,6 +310,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents whose id no contaminated row has, with their columns; rows without id stay."""
-    bad = decontaminate(docs, benchmark, window).filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents that aren't contaminated, with their columns; each row is judged by its own text, whatever its id."""
+    key = "__text_sha"
+    while key in docs.columns:
+        key += "_"
+    judged = docs.select(F.unhex(F.sha2("text", 256)).alias("doc_id"), "text")
+    bad = decontaminate(judged, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.unhex(F.sha2("text", 256))).join(bad, key, "left_anti").select(docs.columns)

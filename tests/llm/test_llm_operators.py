@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,6 +376,57 @@ def test_proximity(spark):
     assert {r["doc_id"]: r["near"] for r in got} == {i: brute_near(t, items, decontam.SLOP, decontam.MISSING) for i, t in enumerate(texts)}
 
 
+def shard_of(texts, window):
+    """A shard of an index as `_answers` takes it, from words in Python."""
+    posts, sizes, base = {}, [], 0
+    for words in (t.split() for t in texts):
+        for i, w in enumerate(words):
+            posts.setdefault(w, []).append(base + i)
+        sizes.append(len(words))
+        base += len(words) + 3 * window
+    hashed = sorted((tx.hash_words([w], tx.ALNUM)[0].tolist()[0], w) for w in posts)
+    shard = {
+        "words": np.array(sizes, np.int32), "terms": np.array([h for h, _ in hashed], np.uint64).view(np.int64),
+        "counts": np.array([len(posts[w]) for _, w in hashed], np.int32), "places": np.array([p for _, w in hashed for p in posts[w]], np.int32),
+    }
+    return shard, pa.array([w.encode() for _, w in hashed])
+
+
+@pytest.mark.parametrize("chunk", [7, 64, decontam.CHUNK])
+def test_searches_are_cut_into_pieces(monkeypatch, chunk):
+    """Lists longer than a piece are cut, also those of one term, and nothing is lost or found twice."""
+    monkeypatch.setattr(decontam, "CHUNK", chunk)
+    rng = random.Random(4)
+    items = [("a", "a " * 13), ("b", "a b a c " * 5), ("c", "c b"), ("d", " ".join(rng.choices("abc", k=16)))]
+    texts = ["a " * 300, "a b a c " * 40, "", *(" ".join(rng.choices("abc", k=200)) for _ in range(4)), "a b " + items[3][1]]
+    shard, spelled = shard_of(texts, 13)
+    queries = decontam.Queries([(n, tx.hash_words([t], tx.ALNUM)[0], [w.encode() for w in t.split()]) for n, t in items])
+    ranges, exact, near = decontam._answers(queries, shard, spelled, decontam.SLOP, decontam.MISSING, 13)
+    named = [(n, t.split()) for n, t in items]
+    for i, text in enumerate(texts):
+        words, hit, names = text.split(), set(), set()
+        for n, t in named:
+            for at in range(max(1, len(t) - 12)):
+                part = t[at : at + 13]
+                for p in range(len(words) - len(part) + 1):
+                    if words[p : p + len(part)] == part:
+                        hit.update(range(p, p + len(part)))
+                        names.add(n)
+        own = ranges[i]
+        assert all(b < c for b, c in zip(own[1::2], own[2::2], strict=False))  # apart, by start
+        assert {p for a, b in zip(own[::2], own[1::2], strict=True) for p in range(a, b)} == hit
+        assert exact[i] == sorted(names) and near[i] == brute_near(text, items, decontam.SLOP, decontam.MISSING)
+
+
+def test_clean_judges_rows_and_not_ids(spark):
+    item = " ".join(f"t{i}" for i in range(13))
+    rows = [(1, f"x {item}", "k"), (1, "clean words", None), (None, item, "k"), (None, "more words", "k"), (2, None, "k"), (3, "", "k"), (4, item, None), (4, item, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_sha string")
+    got = decontam.clean(docs, spark.createDataFrame([("q", item)], "item_id string, text string"))
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[1], rows[3], rows[4], rows[5]]))
+
+
 def thue_morse(n):
     """Two words of n characters, each the other with a and b exchanged."""
     word = "a"
