@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Accented letters and what they become without accents.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
@@ -109,6 +111,12 @@ def naive_as_utc(x: Column, zone: str = "UTC") -> Column:
     return F.to_utc_timestamp(x, zone)
 
 
+@F.pandas_udf(StringType())
+def nfc(x: pd.Series) -> pd.Series:
+    """The text in Unicode's composed form, for which Spark has no function."""
+    return x.str.normalize("NFC")
+
+
 def title_number(title: Column) -> Column:
-    """A number for a title that is the same in every run; the title should be in NFC."""
+    """A number for a title that is the same in every run; the title should be in NFC (see `nfc`)."""
     return F.concat(F.lit("T-"), (F.conv(F.substring(F.sha2(title, 256), 1, 12), 16, 10).cast("decimal(20,0)") % 100000).cast("int").cast("string"))

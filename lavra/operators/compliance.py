@@ -60,8 +60,10 @@ def results(reference: DataFrame, proposals: DataFrame, supplier: str = "fornece
 def matrix_cells(rules: DataFrame, suppliers: DataFrame, found: DataFrame, supplier: str = "fornecedor_id") -> DataFrame:
     """Every rule with every supplier; pairs without a result are `atencao`. `rules`: regra_id, rotulo, ord."""
     named = suppliers.select(F.col("id").alias(supplier), F.col("nome"))
-    # The grid is the result itself: as many rows as rules times suppliers.
-    grid = rules.select("regra_id", "rotulo", "ord", F.lit(1).alias("__all")).join(named.withColumn("__all", F.lit(1)), "__all").drop("__all")
+    # The grid is the result itself: as many rows as rules times suppliers. Suppliers are dealt over salts, and each salt gets the rules.
+    salts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.withColumn("__salt", F.pmod(F.xxhash64(supplier), F.lit(salts)).cast("int"))
+    grid = rules.select("regra_id", "rotulo", "ord", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")).join(dealt, "__salt").drop("__salt")
     cells = grid.join(found.select(supplier, "regra_id", "status", "motivo", "valor_tr", "valor_proposta"), [supplier, "regra_id"], "left")
     return cells.withColumns({"motivo": F.when(F.col("status").isNull(), MISSING_CELL).otherwise(F.col("motivo")), "status": F.coalesce("status", F.lit("atencao"))})
 

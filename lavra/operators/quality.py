@@ -16,6 +16,12 @@ def item_recall(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataF
     return hits.groupBy(*keys).agg(F.coalesce(F.avg(hit), F.lit(1.0)).alias("recall"))
 
 
+def first_expected(expected: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """(keys, keyword) of each item's first entry of expected issues, by the order; an entry without issues is one row of a null keyword. expected: keys, order, issues (array)."""
+    first = expected.groupBy(*keys).agg(F.min_by("issues", order).alias("issues"))
+    return first.select(*keys, F.explode_outer("issues").alias("keyword"))
+
+
 def f1(recall: Column, precision: Column) -> Column:
     return F.coalesce(F.try_divide(2 * recall * precision, recall + precision), F.lit(0.0))
 

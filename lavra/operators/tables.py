@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra import storage
+
 
 def page(table: DataFrame, order: list[Column], number: int = 1, size: int = 50, most: int = 200) -> DataFrame:
     """One page of an ordered listing; the order should end with a unique column."""
@@ -79,10 +81,27 @@ def first_rows(table: DataFrame, keys: list[str | Column], order: list[str | Col
 
 
 def numbered(table: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
-    """A sequence number from 0 within each key."""
+    """A sequence number from 0 within each key; the rows of a key meet in one task (`sequenced` deals them)."""
     return table.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
+def sequenced(table: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """As `numbered`, for keys of any size: rows are numbered within ranges of the order, and a range adds the rows of its key before it.
+
+    Null keys are one key. Rows with equal keys and order lie in one range and are numbered in any order.
+    """
+    ranged = table.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    ranged = storage.stored(ranged, storage.folder(table.sparkSession, "ranges"))  # so that a row's range stays the same
+    sizes = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    nth = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)) - 1)
+    same = nth["__range"] == before["__r"]
+    for i, k in enumerate(keys):
+        same = same & nth[k].eqNullSafe(before[f"__{i}"])
+    return nth.join(before, same).withColumn(name, F.col("__before") + F.col("__nth")).select(*table.columns, name)
+
+
 def nested(parents: DataFrame, children: DataFrame, foreign: str, order: list[str], name: str, key: str = "id") -> DataFrame:
     """Parents with their children as an ordered array (empty without any)."""
     fields = [c for c in children.columns if c not in (foreign, *order)]

@@ -12,19 +12,24 @@ from lavra.operators import chat, ingest, reads, runs, tables
 from lavra.plans.tables import table
 from lavra.streaming.progress import TrackedJob
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
+def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """Queries, their SQL, and a decorator that takes the SQL and registers a query with it."""
+    queries, oracle = {}, {}
 
-def query(sql: str) -> Callable:
-    def registered(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
+    def query(sql: str) -> Callable:
+        def registered(f: Callable) -> Callable:
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
 
-    return registered
+        return registered
 
+    return queries, oracle, query
+
+
+QUERIES, ORACLE, query = registry()
 
 # ---------------------------------------------------------------- analysis runs
 

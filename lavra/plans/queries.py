@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lavra import providers, schemas
+from lavra import providers, schemas, storage
 from lavra.functions import extract
 from lavra.functions import text as tf
-from lavra.operators import analysis, chat, chunk, compliance, diff, generate, quality, reads, retrieval, rules, structure, tables, textindex, vectorindex
-from lavra.plans import jobs
+from lavra.operators import analysis, chat, chunk, compliance, diff, drafts, generate, quality, reads, retrieval, rules, structure, tables, textindex, vectorindex
+from lavra.plans import jobs, sets
 from lavra.plans.tables import amount_text, as_items, company_digits, table
 from lavra.sources import html
 from lavra.streaming import rates
@@ -534,6 +534,15 @@ def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")), "documents")
 
 
+@query
+def first_expectations(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of each labelled document against the first of its entries of expected keywords; two documents in three have two entries."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    entries = F.array(F.when(F.col("doc_id") % 3 != 0, F.struct(F.lit(1).alias("ord"), F.array(F.lit("license"), F.lit("e"), F.lit("zzz")).alias("issues"))), F.struct(F.lit(2).alias("ord"), F.array(F.lit("the")).alias("issues")))
+    expected = docs.select("doc_id", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("x")).select("doc_id", "x.*")
+    return quality.item_recall(quality.first_expected(expected, ["doc_id"]), docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", F.round("recall", 9).alias("recall"))
+
+
 @query
 def report_counts(spark: SparkSession, sf: str) -> DataFrame:
     domains = {"category": schemas.DOMAINS["category"], "severity": schemas.DOMAINS["severity"]}
@@ -657,7 +666,7 @@ def first_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sequence_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.numbered(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "item_order")
+    return tables.sequenced(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "item_order").withColumn("item_order", F.col("item_order").cast("int"))
 
 
 @query
@@ -684,6 +693,27 @@ def generated_items(spark: SparkSession, sf: str) -> DataFrame:
     return generate.sections(_requests(spark, sf)).select("id", "item_order", "item_number", "title", "content")
 
 
+def _drafts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The requests, and a drafter's stored answers; a customer's largest orders stand for what a search finds."""
+    r = _requests(spark, sf)
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    hits = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), nth.alias("ord"), F.lit("Lei").alias("law_number"), F.col("o_orderkey").cast("string").alias("article"), F.col("o_orderpriority").alias("text"))
+    answers = providers.generate(drafts.prompts(r, hits), "id", providers.RuleDrafter)
+    return r, storage.stored(answers, storage.folder(spark, "drafts"))
+
+
+@query
+def generated_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of documents drafted by a provider: its sections, or the templates."""
+    return drafts.items(*_drafts(spark, sf)).select("id", "item_order", "item_number", "title", "content", "origin")
+
+
+@query
+def draft_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every request for a draft."""
+    return drafts.documents(*_drafts(spark, sf)).drop("file_size_bytes")
+
+
 @query
 def generated_html(spark: SparkSession, sf: str) -> DataFrame:
     r = _requests(spark, sf)
@@ -790,7 +820,7 @@ def analysis_batches(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.status_of_batch(items, "l_orderkey")
 
 
-QUERIES |= jobs.QUERIES
+QUERIES |= jobs.QUERIES | sets.QUERIES
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from lavra.functions.text import ACCENTED, PLAIN
-from lavra.operators import analysis, chat, chunk, compliance, generate
-from lavra.plans import jobs
+from lavra.operators import analysis, chat, chunk, compliance, drafts, generate
+from lavra.plans import jobs, sets
 
 
 def _list(values) -> str:
@@ -312,6 +312,10 @@ m AS (SELECT source, avg(recall) AS recall FROM r GROUP BY source),
 c AS (SELECT source, count(*) AS generated, CAST(sum(quality) AS BIGINT) AS kept FROM l GROUP BY source),
 d AS (SELECT source, round(recall, 9) AS recall, round(kept / generated, 9) AS precision, round(coalesce(2 * recall * (kept / generated) / nullif(recall + kept / generated, 0), 0), 9) AS f1, generated, kept FROM m JOIN c USING (source))
 """
+ORACLE["first_expectations"] = """
+SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN contains(t, 'the')::INT ELSE (contains(t, 'license')::INT + contains(t, 'e')::INT + contains(t, 'zzz')::INT) / 3.0 END, 9) AS recall
+FROM (SELECT doc_id, coalesce(lower(text), '') AS t FROM labels JOIN documents USING (doc_id))
+"""
 ORACLE["quality_metrics"] = f"WITH {_QUALITY} SELECT * FROM d"
 ORACLE["quality_summary"] = f"WITH {_QUALITY}, s AS (SELECT avg(recall) AS r, avg(precision) AS p, count(*) AS documents FROM d) SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(2 * r * p / (r + p), 6) AS f1, documents FROM s"
 _COUNTED = {"category": ("juridica", "tecnica", "redacao", "estrutural"), "severity": ("info", "baixo", "medio", "alto", "critico")}
@@ -406,6 +410,19 @@ p AS (
 ),
 s AS ({' UNION ALL '.join(f"SELECT id, tipo, {i + 1} AS item_order, '{i + 1}.0' AS item_number, '{title}' AS title, {_filled(body)} AS content FROM p" for i, (title, body) in enumerate(generate.SECTIONS))})
 """
+_DRAFTS = f"""{_GENERATED},
+h AS (SELECT o_custkey AS id, least(count(*), {drafts.TOP}) AS n FROM orders GROUP BY 1),
+q AS (SELECT p.*, id % 6 AS kind, coalesce(n, 0) AS n FROM p LEFT JOIN h USING (id))"""
+ORACLE["generated_drafts"] = f"""
+WITH {_DRAFTS}
+SELECT id, 1 AS item_order, 'A.1' AS item_number, 'DO OBJETO' AS title, 'Texto ' || id || ' de ' || n || ' fontes' AS content, 'answer' AS origin FROM q WHERE kind IN (1, 2)
+UNION ALL SELECT id, 2, '2.0', '{drafts.NO_TITLE}2', 'linha', 'answer' FROM q WHERE kind IN (1, 2)
+UNION ALL SELECT id, item_order, item_number, title, content, 'template' FROM s WHERE id % 6 > 2
+"""
+ORACLE["draft_documents"] = f"""
+WITH {_DRAFTS} SELECT id, '{drafts.NAME}' || tipo AS filename_original, 'tr' AS document_type, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE {len(generate.SECTIONS)} END AS total_items,
+  CASE WHEN kind = 0 THEN 'error' ELSE 'parsed' END AS status, CASE WHEN kind = 0 THEN 'sem resposta' END AS error FROM q
+"""
 ORACLE["generated_items"] = f"WITH {_GENERATED} SELECT * EXCLUDE (tipo) FROM s"
 ORACLE["generated_html"] = f"""
 WITH {_GENERATED} SELECT id, '<h1>TERMO DE REFERÊNCIA — ' || upper(tipo) || '</h1>' || chr(10)
@@ -479,4 +496,4 @@ SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS analyzed_items, count
 FROM lineitem GROUP BY l_orderkey
 """
 
-ORACLE |= jobs.ORACLE
+ORACLE |= jobs.ORACLE | sets.ORACLE

@@ -159,6 +159,19 @@ class RuleScorer:
         return "nada" if n % 5 == 3 else json.dumps([scores] if n % 5 == 1 else scores)
 
 
+class RuleDrafter:
+    """An offline drafter whose answer's shape follows from the request's number: a failure, sections, sections in a fence, none, a list, or no JSON."""
+
+    name = "rules"
+
+    def generate(self, system: str, user: str) -> str:
+        n, sources = int(re.search(r"Pedido: (\d+)", user)[1]), len(re.findall(r"(?m)^\[", user))
+        if n % 6 == 0:
+            raise RuntimeError("sem resposta")
+        text = json.dumps({"secoes": [{"item_number": "A.1", "title": "DO OBJETO", "content": f"Texto {n} de {sources} fontes"}, {"content": "linha"}]}, ensure_ascii=False)
+        return (text, f"```json\n{text}\n```", '{"secoes": []}', "[1, 2]", "nada a redigir")[n % 6 - 1]
+
+
 def generate(prompts: DataFrame, key: str | list[str], make: Callable[[], TextProvider]) -> DataFrame:
     """(key, ok, answer, error) of prompts (key, system, user); a provider is made once per task, and a failed prompt is a row."""
     keys = [key] if isinstance(key, str) else list(key)
