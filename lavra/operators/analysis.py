@@ -81,19 +81,23 @@ def deduplicated(findings: DataFrame, keys: list[str], order: str, original: str
     return marked.withColumn("__nth", nth).filter("__nth = 1 or __empty").drop("__nth", "__a", "__b", "__empty", "__spread")
 
 
-def decisions(raw: DataFrame, size: Column) -> DataFrame:
-    """Review decisions made usable: unknown statuses approve, indexes are clamped, notes cut."""
+def decisions(raw: DataFrame, size: Column, note_chars: int | None = 2000) -> DataFrame:
+    """Review decisions made usable: unknown statuses approve, indexes are clamped, notes cut (None: whole)."""
     status = F.when(F.col("status").isin(*DECISIONS), F.col("status")).otherwise("aprovada")
     index = F.greatest(F.lit(0), F.least(F.coalesce(F.col("correction_index").try_cast("int"), F.lit(0)), size - 1))
-    return raw.withColumns({"status": status, "correction_index": index, "note": F.left("note", F.lit(2000))})
+    note = F.col("note") if note_chars is None else F.left("note", F.lit(note_chars))
+    return raw.withColumns({"status": status, "correction_index": index, "note": note})
 
 
-def reviewed(findings: DataFrame, decided: DataFrame, keys: list[str], index: str = "correction_index", order: str = "ord") -> DataFrame:
-    """Findings after review: status and note of the last decision, texts of the last adjustment that has them; without one, pending."""
+def reviewed(findings: DataFrame, decided: DataFrame, keys: list[str], index: str = "correction_index", order: str = "ord", note_order: Column | None = None) -> DataFrame:
+    """Findings after review: status and note of the last decision, texts of the last adjustment that has them; without one, pending.
+
+    note_order: takes the note of the last decision by this instead; null leaves a decision's note out.
+    """
     adjusts = F.col("status") == "ajustada"
     last = decided.groupBy(*keys, index).agg(
         F.max_by("status", order).alias("review_status"),
-        F.max_by("note", order).alias("review_note"),
+        F.max_by("note", F.col(order) if note_order is None else note_order).alias("review_note"),
         F.max_by("adjusted_suggested_text", F.when(adjusts & F.col("adjusted_suggested_text").isNotNull(), F.col(order))).alias("__text"),
         F.max_by("adjusted_justification", F.when(adjusts & F.col("adjusted_justification").isNotNull(), F.col(order))).alias("__why"),
     )
