@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
+from lavra.operators import textindex
 from lavra.plans.queries import QUERIES
 from lavra.plans.sql import ORACLE
 
@@ -29,3 +30,19 @@ def test_review_notes_are_whole(spark, tmp_path):
     turns = spark.createDataFrame([(1, 2, "assistant", "n" * 2500), (1, 1, "user", "x"), (2, 1, "assistant", "antes"), (2, 6, "assistant", None)], "conv_id long, turn long, role string, text string")
     got = same_as_sql(spark, tmp_path, "review_apply", conversations=turns)
     assert max(len(r[3]) for r in got if r[3]) == 2500
+
+
+def test_a_term_and_a_block_are_one_row(spark):
+    """What travels from chunk to folder is a row for each term of a batch, not one for each word; blocks may lie in two batches."""
+    chunks = spark.range(100, numPartitions=2).select("id", F.concat(F.lit("comum comum p"), F.col("id") % 7).alias("text"))
+    asked = spark.createDataFrame([(1, "comum p3")], "q long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        index = textindex.build(chunks, "id", block=16, buckets=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert index.postings.groupBy("term", "block").count().agg(F.max("count")).first()[0] == 1
+    rows = index.postings.filter("term = 'comum'").select(F.inline(F.arrays_zip("keys", "tf", "dl"))).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, 2, 3) for i in range(100)]
+    assert index.n_chunks == 100 and [r["id"] for r in textindex.search(index, asked, "q", 3).orderBy("rank").collect()] == [3, 10, 17]
