@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.text import article_reference, strip
@@ -15,12 +15,15 @@ FOOTER = "Este texto não substitui o publicado no DOU"
 CHUNK_CHARS = 1500
 
 
-def lines_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, line): stripped lines that aren't blank, before the footer mark."""
-    split = texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n")).alias("pos", "raw"))
-    named = split.select(key, "pos", strip(F.col("raw")).alias("line")).filter("line != ''")
-    cut = F.min(F.when(F.contains("line", F.lit(FOOTER)), F.col("pos"))).over(Window.partitionBy(key))
-    return named.withColumn("cut", cut).filter("cut is null or pos < cut").drop("cut")
+def kept_lines(text: Column) -> Column:
+    """Stripped lines that aren't blank."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), strip), lambda x: x != "")
+
+
+def before_footer(lines: Column) -> Column:
+    """The lines before the first one with the footer mark."""
+    at = F.call_function("array_position", F.transform(lines, lambda x: F.contains(x, F.lit(FOOTER))), F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
 
 
 def law_chunks(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,24 +31,27 @@ def law_chunks(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     What stands before the first article is skipped. A chunk has the section
     that is current where its article opens; a line of capitals after a section
-    mark, before the first article, is part of the section's name.
+    mark, before the first article, is part of the section's name. A law's lines
+    stay an array in its row, from which the articles are cut: no shuffle.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    lines = lines_of(texts, key, text).withColumns({"opens": F.col("line").rlike(ARTICLE), "section_mark": F.col("line").rlike(SECTION) & ~F.col("line").rlike(ARTICLE)})
-    lines = lines.withColumn("article_no", F.sum(F.col("opens").cast("int")).over(w))
-    lines = lines.withColumn("section_no", F.sum(F.col("section_mark").cast("int")).over(w))
-    name = ~F.col("opens") & ~F.col("section_mark") & (F.col("section_no") > 0) & (F.col("article_no") == 0) & F.col("line").rlike(SECTION_NAME)
-    lines = lines.withColumn("section_name", name)
-    in_section = Window.partitionBy(key, "section_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.when(F.col("section_mark") | F.col("section_name"), F.col("line"))
-    lines = lines.withColumn("section", F.array_join(F.collect_list(part).over(in_section), " - "))
-    body = lines.filter("article_no > 0 and not section_mark")
-    return body.groupBy(key, "article_no").agg(
-        (F.col("article_no") - 1).cast("int").alias("chunk_index"),
-        article_reference(F.min_by("line", "pos")).alias("article"),
-        F.min_by("section", "pos").alias("section"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("chunk_text"),
-    ).drop("article_no")
+    mark = lambda x: x.rlike(SECTION)
+    places = lambda test: F.filter(F.transform("lines", lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
+    laws = texts.select(key, kept_lines(F.col(text)).alias("lines")).select(key, before_footer(F.col("lines")).alias("lines"))
+    laws = laws.select(key, "lines", places(lambda x: x.rlike(ARTICLE)).alias("opens"), places(mark).alias("marks"))
+
+    def section(at: Column) -> Column:
+        own = F.try_element_at(F.filter("marks", lambda m: m < at), F.lit(-1))
+        first = F.get("opens", F.lit(0))
+        names = F.when(own < first, F.filter(F.slice("lines", own + 1, first - own - 1), lambda x: x.rlike(SECTION_NAME))).otherwise(F.array().cast("array<string>"))
+        return F.when(own.isNull(), "").otherwise(F.array_join(F.concat(F.array(F.get("lines", own - 1)), names), " - "))
+
+    def article(at: Column, nth: Column) -> Column:
+        body = F.slice("lines", at, F.coalesce(F.get("opens", nth + 1), F.size("lines") + 1) - at)
+        return F.struct(
+            nth.alias("chunk_index"), article_reference(F.get("lines", at - 1)).alias("article"), section(at).alias("section"), F.array_join(F.filter(body, lambda x: ~mark(x)), "\n").alias("chunk_text")
+        )
+
+    return laws.select(key, F.inline(F.transform("opens", article)))
 
 
 def packed(paragraphs: Column, limit: int = CHUNK_CHARS) -> Column:
@@ -68,10 +74,7 @@ def packed(paragraphs: Column, limit: int = CHUNK_CHARS) -> Column:
 
 def paragraph_chunks(texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = CHUNK_CHARS) -> DataFrame:
     """`Trecho n` chunks of packed paragraphs; lines that start with # are headers and skipped."""
-    trimmed = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), strip)
-    kept = F.filter(trimmed, lambda x: (x != "") & ~x.startswith("#"))
-    at = F.call_function("array_position", F.transform(kept, lambda x: F.contains(x, F.lit(FOOTER))), F.lit(True)).cast("int")
-    before = F.when(at > 0, F.slice(kept, F.lit(1), at - 1)).otherwise(kept)
+    before = before_footer(F.filter(kept_lines(F.col(text)), lambda x: ~x.startswith("#")))
     chunks = texts.select(key, F.posexplode(packed(before, limit)).alias("chunk_index", "lines"))
     return chunks.select(key, "chunk_index", F.concat(F.lit("Trecho "), (F.col("chunk_index") + 1).cast("string")).alias("article"), F.lit("").alias("section"), F.array_join("lines", "\n").alias("chunk_text"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from lavra.operators import textindex
+from lavra.operators import chunk, retrieval, textindex
 from lavra.plans.queries import QUERIES
 from lavra.plans.sql import ORACLE
 
@@ -46,3 +48,22 @@ def test_a_term_and_a_block_are_one_row(spark):
     rows = index.postings.filter("term = 'comum'").select(F.inline(F.arrays_zip("keys", "tf", "dl"))).collect()
     assert sorted(tuple(r) for r in rows) == [(i, 2, 3) for i in range(100)]
     assert index.n_chunks == 100 and [r["id"] for r in textindex.search(index, asked, "q", 3).orderBy("rank").collect()] == [3, 10, 17]
+
+
+def test_fused_ranks_by_tiles(spark, tmp_path, monkeypatch):
+    """Several tiles, copies of one vector, and vectors of another width."""
+    monkeypatch.setattr(retrieval, "TILE_VECTORS", 96)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 24)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0, 3.0]) for _ in range(3)], rng.randrange(-2, 5)) for i in range(400)]
+    rows += [(400 + i, rows[50][1], 3 if i % 2 else None) for i in range(60)]
+    same_as_sql(spark, tmp_path, "rrf_fusion", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+
+
+def test_articles_are_cut_without_a_shuffle(spark):
+    text = "NADA\nArt. 1º a\n\n  SEÇÃO I\nB C\nArt. 2. b\nTÍTULO V\nSEÇÃO II\nc\nArt. 3-A d"
+    laws = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "TÍTULO I\nA\nb\nC\nArt. 1 x\n" + chunk.FOOTER)], "doc_id int, text string")
+    found = chunk.law_chunks(laws)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    one = [(0, "Art. 1º", "", "Art. 1º a\nB C"), (1, "Art. 2", "SEÇÃO I", "Art. 2. b\nc"), (2, "Art. 3-A", "SEÇÃO II", "Art. 3-A d")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(1, *r) for r in one] * 2 + [(3, 0, "Art. 1", "TÍTULO I - A - C", "Art. 1 x")])
