@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import itemgetter, or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,15 +48,18 @@ TYPES = {"annex": "annex", "clause": "section", "title": "section", "letter": "s
 MAY_OPEN = r"^(?:(?i:anexo)\s|CLÁUSULA\s|D[OA]S?\s|\[TÍTULO\]\s|[a-z]\s*[).]|[xivXIV]+\s*[).\-]|[0-9]{1,2}\s*[.\-–])"
 #: Openings that a table cell can't be.
 GUARDED = ("letter", "roman", "level2", "section")
+#: Openings that begin with a digit.
+NUMBERED = ("level4", "level3", "level2", "section")
+#: What a row of a document is: its whole text, a line, a mark that opens or closes a table, a lone number, a footer, a closed table.
+WHOLE, LINE, OPEN, CLOSE, NUMBER, FOOTER, TABLE = range(-1, 6)
 LONE_NUMBER = r"^[0-9]{1,2}(\.[0-9]{1,3})*\.$"
 TITLE_CHARS, CLAUSE_CHARS = 200, 50
 #: Rows that a batch of folded documents holds at least.
 BATCH_ROWS = 4096
-SHAPE = "struct<number:string,title:string,type:string>"
 
 
 def footer_like(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(map(re.escape, FOOTERS)))
+    return reduce(or_, (F.contains(F.lower(line), F.lit(x)) for x in FOOTERS))
 
 
 def table_cell(title: Column) -> Column:
@@ -62,7 +69,7 @@ def table_cell(title: Column) -> Column:
 
 def opening(line: Column) -> Column:
     """(number, title, type) of the item that a line opens, or null. The first pattern that fits decides, also against."""
-    branch = None
+    numbered, other = None, None
     for name, pattern in OPENINGS.items():
         first, second = strip(F.regexp_extract(line, pattern, 1)), None
         if name in ("clause", "title"):
@@ -75,8 +82,13 @@ def opening(line: Column) -> Column:
         found = F.struct(number.alias("number"), title.alias("title"), F.lit(TYPES[name]).alias("type"))
         if name in GUARDED:
             found = F.when(~table_cell(second), found)
-        branch = F.when(line.rlike(pattern), found) if branch is None else branch.when(line.rlike(pattern), found)
-    return F.when(line.rlike(MAY_OPEN), branch)
+        fits = line.rlike(pattern)
+        if name in NUMBERED:
+            numbered = F.when(fits, found) if numbered is None else numbered.when(fits, found)
+        else:
+            other = F.when(fits, found) if other is None else other.when(fits, found)
+    # A line that begins with a digit can only fit the patterns that do.
+    return F.when(line.rlike(MAY_OPEN), F.when(F.left(line, F.lit(1)).between("0", "9"), numbered).otherwise(other))
 
 
 def lines_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -84,22 +96,76 @@ def lines_of(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return split.select(key, "pos", strip(F.col("raw")).alias("line"))
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
-    """Each document's key, which is the first column, and the other columns' values by row; rows arrive document by document.
+def _listed(column: pa.Array) -> list:
+    """The values; whole numbers and texts go by numpy, which is several times faster."""
+    if pa.types.is_string(column.type) or (pa.types.is_integer(column.type) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
 
-    A row whose `first` is true begins a document, so documents of equal keys stay apart.
-    """
-    key, rows = None, None
+
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole documents; a row of the kind WHOLE begins one, so documents of equal keys stay apart."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        keys, *others = (c.to_pylist() for c in batch.columns)
-        for own, first, row in zip(keys, batch.column("first").to_pylist(), zip(*others, strict=True), strict=True):
-            if first:
-                if rows is not None:
-                    yield key, rows
-                key, rows = own, []
-            rows.append(row)
-    if rows is not None:
-        yield key, rows
+        begins = np.flatnonzero(batch.column("kind").to_numpy() == WHOLE)
+        if len(begins):
+            last = int(begins[-1])
+            if held or last:
+                yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+            batch = batch.slice(last)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[object, list[tuple]]]:
+    """Each document's key, which is the first column, and the other columns' values by row."""
+    keys, *others = map(_listed, batch.columns)
+    rows = list(zip(*others, strict=True))
+    begins = np.flatnonzero(batch.column("kind").to_numpy() == WHOLE).tolist()
+    for begin, end in zip(begins, [*begins[1:], len(rows)], strict=True):
+        yield keys[begin], rows[begin:end]
+
+
+def _cut_at_once(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch | None:
+    """What `_cut` makes of all documents, if none has a table."""
+    kind, lines = batch.column("kind").to_numpy(), batch.column("line")
+    if np.isin(kind, (OPEN, CLOSE)).any():
+        return None
+    joined = np.flatnonzero((kind[:-1] == NUMBER) & (kind[1:] == LINE))
+    places = np.arange(len(kind))
+    places[joined + 1] = len(kind) + np.arange(len(joined))
+    longer = pc.binary_join_element_wise(lines.take(pa.array(joined)), lines.take(pa.array(joined + 1)), " ")
+    rest = np.delete(np.arange(len(kind)), joined)
+    found = pa.concat_arrays([lines, longer]).take(pa.array(places[rest]))
+    kinds = pa.array(np.where(kind == WHOLE, WHOLE, LINE)[rest], pa.int8())
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rest)) for i in (0, 1)), kinds, found], schema=schema)
+
+
+def _assembled_at_once(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch | None:
+    """What `_assembled` makes of all documents, if none has a table or an opening without number and each has an item."""
+    kind, opens = batch.column("kind").to_numpy(), np.asarray(batch.column("type").is_valid())
+    document = np.cumsum(kind == WHOLE)
+    starts = np.flatnonzero(opens)
+    own = document[starts]
+    numbers = batch.column("number").take(pa.array(starts)).to_pylist()
+    if (kind == TABLE).any() or len(np.unique(own)) < document[-1] or "" in numbers:
+        return None
+    item = np.cumsum(opens)
+    inside = (kind == LINE) & (item > 0)
+    inside &= np.append(0, own)[item] == document  # a document's lines before its first item belong to none
+    begins = np.append(0, np.cumsum(np.bincount(item[inside] - 1, minlength=len(starts))))
+    contents = pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), batch.column("line").filter(pa.array(inside))), "\n")
+    given, name, last = [], Names(), 0
+    for number, now in zip(numbers, own.tolist(), strict=True):
+        if now != last:
+            name, last = Names(), now
+        given.append(name(number))
+    order = np.arange(len(starts)) - np.searchsorted(own, own)
+    key, pos, title, made = (batch.column(c).take(pa.array(starts)) for c in (0, "pos", "title", "type"))
+    return pa.RecordBatch.from_arrays([key, pa.array(order, pa.int32()), pa.array(given, pa.string()), title, contents, made, pos], schema=schema)
 
 
 def _batched(found: Iterator[tuple[object, list[tuple]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -119,54 +185,54 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _cut(rows: list[tuple]) -> list[tuple]:
-    """(pos, line, table, whole, first): lines of items and closed tables of a document, after a row with its whole text.
+    """(pos, kind, line): lines of items and closed tables of a document, after a row with its whole text.
 
-    Lone numbers are joined with the next line that isn't blank, unless that is a number or a footer. An open table
+    Lone numbers are joined with the next line, unless that is a number or a footer. An open table
     swallows all lines; its rows make an item when its end mark comes.
     """
-    out: list[tuple] = [(-1, None, None, rows[0][1], True)]
+    out: list[tuple] = [rows[0]]
     table, lone = None, None
-    for pos, line, mark, number, footer, _ in rows[1:]:
-        if mark == 1:
+    for row in rows[1:]:
+        pos, kind, line = row
+        if kind == OPEN:
             table = []
-        elif mark == 0:
+        elif kind == CLOSE:
             if table:
-                out.append((pos, None, "\n".join(table), None, False))
+                out.append((pos, TABLE, "\n".join(table)))
             table = None
-        elif line == "":
-            continue
         elif table is not None:
             table.append(line)
         else:
             if lone is not None:
-                if number or footer:
-                    out.append((lone[0], lone[1], None, None, False))
+                if kind == LINE:
+                    row = (pos, LINE, f"{lone[2]} {line}")
                 else:
-                    line = f"{lone[1]} {line}"
+                    out.append((lone[0], LINE, lone[2]))
                 lone = None
-            if number:
-                lone = pos, line
+            if kind == NUMBER:
+                lone = row
             else:
-                out.append((pos, line, None, None, False))
+                out.append((row[0], LINE, row[2]))
     if lone is not None:
-        out.append((lone[0], lone[1], None, None, False))
-    return sorted(out, key=lambda x: x[0])
+        out.append((lone[0], LINE, lone[2]))
+    out.sort(key=itemgetter(0))
+    return out
 
 
 def _assembled(rows: list[tuple], fallback: bool) -> list[tuple]:
     """(item_order, item_number, title, content, item_type, pos) of a document's lines with their openings."""
     found: list[list] = []  # number, title, lines, type, pos
     inside = False
-    for pos, line, table, _, _, opens in rows[1:]:
-        if table is not None:
-            found.append([None, "Tabela", [table], "table", pos])
+    for pos, kind, line, number, title, opens in rows[1:]:
+        if kind == TABLE:
+            found.append([None, "Tabela", [line], "table", pos])
             inside = False
         elif opens is not None:
-            found.append([opens["number"], opens["title"], [line], opens["type"], pos])
+            found.append([number, title, [line], opens, pos])
             inside = True
         elif inside:
             found[-1][2].append(line)
-    whole = rows[0][3]
+    whole = rows[0][2]
     if not found and fallback and whole:
         found = [["1", "Documento Completo", [whole], "section", 0]]
     name, out = Names(), []
@@ -202,24 +268,31 @@ def items(texts: DataFrame, key: str = "doc_id", text: str = "text", fallback: b
     columns in between, and no shuffle.
     """
     key_field = texts.schema[key]
-    # The whole text goes before its lines, so that no line carries it along.
+    # The whole text goes before its lines, so that no line carries it along. Blank lines belong to nothing.
     content = F.coalesce(F.col(text), F.lit(""))
     split = texts.select(key, F.posexplode(F.concat(F.array(content), F.split(content, "\n"))).alias("at", "raw")).withColumn("line", strip(F.col("raw")))
-    mark = F.when(F.col("line").startswith("[TABELA]"), 1).when(F.col("line").startswith("[/TABELA]"), 0)
-    first = F.col("at") == 0
-    flags = [F.when(~first, x) for x in (mark, F.col("line").rlike(LONE_NUMBER), footer_like(F.col("line")))]
-    marked = split.select(key, (F.col("at") - 1).alias("pos"), "line", *(x.alias(n) for x, n in zip(flags, ("mark", "number", "footer"), strict=True)), first.alias("first"))
+    line = F.col("line")
+    kinds = F.when(line.startswith("[TABELA]"), OPEN).when(line.startswith("[/TABELA]"), CLOSE).when(line.rlike(LONE_NUMBER), NUMBER).when(footer_like(line), FOOTER).otherwise(LINE)
+    kind = F.when(F.col("at") == 0, WHOLE).otherwise(kinds)
+    marked = split.filter("at = 0 or line != ''").select(key, (F.col("at") - 1).alias("pos"), kind.cast("byte").alias("kind"), "line")
 
-    def folded(fold: Callable[[list[tuple]], list[tuple]], schema: StructType) -> Callable:
+    def folded(fold: Callable[[list[tuple]], list[tuple]], at_once: Callable[..., pa.RecordBatch | None], schema: StructType) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _batched(((own, fold(rows)) for own, rows in _documents(batches)), to_arrow_schema(schema))
+            shape = to_arrow_schema(schema)
+            for batch in _complete(batches):
+                whole = at_once(batch, shape)
+                if whole is not None:
+                    yield whole
+                else:
+                    yield from _batched(((own, fold(rows)) for own, rows in _documents(batch)), shape)
 
         return run
 
-    cut = StructType([key_field, *StructType.fromDDL("pos int, line string, table string, whole string, first boolean").fields])
+    cut = StructType([key_field, *StructType.fromDDL("pos int, kind byte, line string").fields])
     made = StructType([key_field, *StructType.fromDDL("item_order int, item_number string, title string, content string, item_type string, pos int").fields])
-    opened = marked.mapInArrow(folded(_cut, cut), cut).withColumn("opens", opening(F.col("line")))
-    return opened.mapInArrow(folded(lambda rows: _assembled(rows, fallback), made), made)
+    opened = marked.mapInArrow(folded(_cut, _cut_at_once, cut), cut).withColumn("opens", F.when(F.col("kind") == LINE, opening(F.col("line"))))
+    flat = opened.select(key, "pos", "kind", "line", "opens.number", "opens.title", "opens.type")
+    return flat.mapInArrow(folded(lambda rows: _assembled(rows, fallback), _assembled_at_once, made), made)
 
 
 def renamed_duplicates(table: DataFrame, key: str, number: str, order: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lavra.operators import chunk, retrieval, textindex
+from lavra.operators import chunk, retrieval, structure, textindex
 from lavra.plans.queries import QUERIES
 from lavra.plans.sql import ORACLE
 
@@ -67,3 +68,26 @@ def test_articles_are_cut_without_a_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     one = [(0, "Art. 1º", "", "Art. 1º a\nB C"), (1, "Art. 2", "SEÇÃO I", "Art. 2. b\nc"), (2, "Art. 3-A", "SEÇÃO II", "Art. 3-A d")]
     assert sorted(tuple(r) for r in found.collect()) == sorted([(1, *r) for r in one] * 2 + [(3, 0, "Art. 1", "TÍTULO I - A - C", "Art. 1 x")])
+
+
+def test_documents_at_once_equal_documents_by_row():
+    """Both folds of a structure, over batches that cut documents, with and without the way by rows."""
+    rng = random.Random(8)
+    cut = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8()), ("line", pa.string())])
+    rows = []
+    for key in range(60):
+        rows.append((key % 7, -1, structure.WHOLE, "w"))
+        rows += [(key % 7, i, rng.choice([structure.LINE, structure.LINE, structure.NUMBER, structure.FOOTER]), f"l{i}") for i in range(rng.randrange(0, 9))]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(cut.names, r, strict=True)) for r in rows[i : i + 5]], schema=cut) for i in range(0, len(rows), 5)]
+    whole = list(structure._complete(iter(batches)))
+    by_row = [(k, *r) for b in whole for k, doc in structure._documents(b) for r in structure._cut(doc)]
+    assert [tuple(r.values()) for b in whole for r in structure._cut_at_once(b, cut).to_pylist()] == by_row
+    opened = pa.schema([*cut, ("number", pa.string()), ("title", pa.string()), ("type", pa.string())])
+    made = pa.schema([("id", pa.int64()), ("order", pa.int32()), ("number", pa.string()), ("title", pa.string()), ("content", pa.string()), ("type", pa.string()), ("pos", pa.int32())])
+    more = []
+    for key in range(40):
+        more.append((key % 5, -1, structure.WHOLE, "w", None, None, None))
+        more += [(key % 5, i, structure.LINE, f"l{i}", *((rng.choice("12"), "t", "item") if i == 3 or rng.random() < 0.4 else (None,) * 3)) for i in range(8)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(opened.names, r, strict=True)) for r in more], schema=opened)
+    by_row = [(k, *r) for k, doc in structure._documents(batch) for r in structure._assembled(doc, True)]
+    assert [tuple(r.values()) for r in structure._assembled_at_once(batch, made).to_pylist()] == by_row
