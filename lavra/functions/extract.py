@@ -29,6 +29,7 @@ DAY = r"(?<![\p{L}0-9_])([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\p{L}0-9_])"
 COMPANY = r"(?<![\p{L}0-9_])([0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}|[0-9]{14})(?![\p{L}0-9_])"
 PERIOD_WORDS = r"um|dois|três|quatro|cinco|seis|sete|oito|nove|dez|quinze|vinte|trinta|sessenta|noventa|cento\s+e\s+oitenta"
 PERIOD = rf"(?iu)(?<![\p{{L}}0-9_])([0-9]+|(?:{PERIOD_WORDS})(?![\p{{L}}0-9_]))\s*(?:\([^)]*\))?\s*(dias|meses|anos)(?![\p{{L}}0-9_])"
+PERIOD_NUMBER = rf"(?iu)^(?:[0-9]+|{PERIOD_WORDS})"
 POSTAL = r"(?<![\p{L}0-9_])([0-9]{5}-[0-9]{3}|[0-9]{8})(?![\p{L}0-9_])"
 NUMBERED_ANCHOR = r"^[0-9]{1,3}(\.[0-9]{1,3})*$"
 
@@ -164,8 +165,9 @@ def company(text: Column) -> Column:
 
 def period(text: Column) -> Column:
     """First period, as its number or number word and its unit."""
-    value = F.nullif(F.regexp_extract(text, PERIOD, 1), F.lit(""))
-    return F.concat(F.trim(value), F.lit(" "), F.lower(F.regexp_extract(text, PERIOD, 2)))
+    # The text is searched once; number and unit are read from what was found.
+    found = F.regexp_substr(text, F.lit(PERIOD))
+    return bound(found, lambda x: F.when(x.isNotNull(), F.concat(F.regexp_extract(x, PERIOD_NUMBER, 0), F.lit(" "), F.lower(F.right(x, F.when(x.rlike("(?iu)meses$"), 5).otherwise(4))))))
 
 
 def postal_code(text: Column) -> Column:
