@@ -81,48 +81,77 @@ def _each(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
+    """Whole numbers from 0 on in as few bytes each as the largest needs, after one byte that tells how many."""
+    most = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<i4").astype(np.int64)
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
 def _joined(terms: pa.Array) -> tuple[bytes, np.ndarray]:
     data, offsets = tx.utf8(terms)
-    return data.tobytes(), offsets[1:]
+    return data.tobytes(), np.diff(offsets)
 
 
 def _strings(letters: bytes, cuts: bytes) -> pa.Array:
-    offsets = b"\0\0\0\0" + cuts
-    return pa.Array.from_buffers(pa.string(), len(cuts) // 4, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    offsets = np.cumsum(np.append(0, _unpacked(cuts))).astype("<i4")
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
 
 
-def blocks(docs: DataFrame, most: int = BLOCK_DOCS) -> DataFrame:
-    """(block, ids, lengths, letters, cuts, df, ends, term, tf): the forward index of each range of documents, in the order of their ids.
+class LengthWeight:
+    """What a document's length weighs in its scores."""
+
+    def __init__(self, n_docs: int, n_terms: int):
+        self.n_docs, self.n_terms = n_docs, max(1, n_terms)
+
+    def __call__(self, lengths: np.ndarray) -> np.ndarray:
+        return 100 - PART + (PART * lengths * self.n_docs) // self.n_terms
+
 
-    The block's terms stand one after the other in `letters`, each up to its entry of `cuts`. A document's entries of `term`,
-    which are places among these terms, and `tf` end at its entry of `ends`. All but ids and letters are packed 32-bit numbers.
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """How many documents have terms, and how many terms they have in all. Only two sums reach the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = terms = 0
+        for some in tx.blocks(batches):
+            found = tx.words(some.column("text"), tx.ALNUM, hashes=False).counts()
+            n, terms = n + int((found > 0).sum()), terms + int(found.sum())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "terms": pa.array([terms], pa.int64())})
+
+    total = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "n long, terms long").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")).first()
+    return total["n"] or 0, total["terms"] or 0
+
+
+def blocks(docs: DataFrame, index_weight: LengthWeight, most: int = BLOCK_DOCS) -> DataFrame:
+    """(block, ids, lengths, letters, cuts, df, ends, term, tf, most): the forward index of each range of documents, in the order of their ids.
+
+    The block's terms stand one after the other in `letters`, each as long as its entry of `cuts`; `most` has the most that each
+    adds to a document's score. A document's entries of `term`, which are places among these terms, and `tf` end at its entry of
+    `ends`. All but ids and letters are packed numbers.
     """
     kind = docs.schema["doc_id"].dataType
-    names = ["lengths", "letters", "cuts", "df", "ends", "term", "tf"]
+    names = ["lengths", "letters", "cuts", "df", "ends", "term", "tf", "most"]
     schema = StructType([StructField("ids", ArrayType(kind)), *(StructField(n, BinaryType()) for n in names)])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in tx.blocks(iter([batch])):
-                for begin in range(0, some.num_rows, most):
-                    own = some.slice(begin, most)
-                    own = own.take(pc.sort_indices(own.column("doc_id"), null_placement="at_start"))
-                    doc, number, terms = _terms(own.column("text"))
-                    lengths = np.bincount(doc, minlength=own.num_rows)
-                    pair, tf = np.unique(doc * max(1, len(terms)) + number, return_counts=True)
-                    holder, term = np.divmod(pair, max(1, len(terms)))
-                    letters, cuts = _joined(terms)
-                    numbers = [cuts, np.bincount(term, minlength=len(terms)), np.cumsum(np.bincount(holder, minlength=own.num_rows)), term, tf]
-                    columns = [_packed(lengths), letters, *(_packed(x) for x in numbers)]
-                    ids = pa.array([own.column("doc_id").to_pylist()], pa.list_(own.schema.field("doc_id").type))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in columns)], ["ids", *names])
+        for some in tx.blocks(batches):
+            for begin in range(0, some.num_rows, most):
+                own = some.slice(begin, most)
+                own = own.take(pc.sort_indices(own.column("doc_id"), null_placement="at_start"))
+                doc, number, terms = _terms(own.column("text"))
+                lengths = np.bincount(doc, minlength=own.num_rows)
+                pair, tf = np.unique(doc * max(1, len(terms)) + number, return_counts=True)
+                holder, term = np.divmod(pair, max(1, len(terms)))
+                letters, cuts = _joined(terms)
+                highest = np.zeros(len(terms), np.int64)
+                np.maximum.at(highest, term, share(tf, index_weight(lengths)[holder]))
+                numbers = [cuts, np.bincount(term, minlength=len(terms)), np.cumsum(np.bincount(holder, minlength=own.num_rows)), term, tf, highest]
+                columns = [_packed(lengths), letters, *(_packed(x) for x in numbers)]
+                ids = pa.array([own.column("doc_id").to_pylist()], pa.list_(own.schema.field("doc_id").type))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in columns)], ["ids", *names])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(built, schema)
     return rows.withColumn("block", F.monotonically_increasing_id())
@@ -130,50 +159,17 @@ def blocks(docs: DataFrame, most: int = BLOCK_DOCS) -> DataFrame:
 
 @dataclass
 class Index:
-    """A stored index of n_docs documents with n_terms terms in all: the forward blocks, and in `most` the maxima of their terms."""
+    """A stored index of n_docs documents with n_terms terms in all: the forward blocks with the maxima of their terms."""
 
     blocks: DataFrame
     n_docs: int
     n_terms: int
 
 
-class LengthWeight:
-    """What a document's length weighs in its scores."""
-
-    def __init__(self, n_docs: int, n_terms: int):
-        self.n_docs, self.n_terms = n_docs, n_terms
-
-    def __call__(self, lengths: np.ndarray) -> np.ndarray:
-        return 100 - PART + (PART * lengths * self.n_docs) // self.n_terms
-
-
 def build(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
-    """The index of all documents. Only two sums reach the driver."""
-    forward, path = shared.store(blocks(docs, block_docs), "forward-blocks")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = [_unpacked(x) for x in batch.column("lengths").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"n": pa.array([int((x > 0).sum()) for x in lengths], pa.int64()), "l": pa.array([int(x.sum()) for x in lengths], pa.int64())})
-
-    total = forward.select("lengths").mapInArrow(sums, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
-    n_docs, n_terms = total["n"] or 0, total["l"] or 0
-    if not n_terms:
-        return Index(forward, n_docs, n_terms)
-    length_weight = LengthWeight(n_docs, n_terms)
-
-    def with_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for lengths, df, ends, term, tf in _each(batch, "lengths", "df", "ends", "term", "tf"):
-                m = length_weight(_unpacked(lengths))
-                most = np.zeros(len(df) // 4, np.int64)
-                np.maximum.at(most, _unpacked(term), share(_unpacked(tf), np.repeat(m, np.diff(_unpacked(ends), prepend=0))))
-                found.append(_packed(most))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "most"])
-
-    whole, _ = shared.store(forward.mapInArrow(with_maxima, StructType([*forward.schema.fields, StructField("most", BinaryType())])), "ranked-blocks")
-    shared.drop(docs.sparkSession, path)
+    """The index of all documents, whose texts are read twice: to count them, as the maxima depend on it, and to write each block once."""
+    n_docs, n_terms = totals(docs)
+    whole, _ = shared.store(blocks(docs, LengthWeight(n_docs, n_terms), block_docs), "ranked-blocks")
     return Index(whole, n_docs, n_terms)
 
 

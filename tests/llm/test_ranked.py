@@ -111,3 +111,20 @@ def test_bounds_hold(spark):
             for q in range(len(part.keys)):
                 best = block.best(part.own[q], ranked._weights(part, q), 0, 1)
                 assert (best[0][0] if best else 0) <= bounds[q]
+
+
+def test_the_index_is_written_once_and_small(spark, monkeypatch):
+    """A block is one row, which passes through the memory of executors whole."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices([f"wort{k}" for k in range(3000)], weights=[1 / (k + 1) for k in range(3000)], k=120))) for i in range(600)]
+    stored, store = [], ranked.shared.store
+    monkeypatch.setattr(ranked.shared, "store", lambda *args: stored.append(1) or store(*args))
+    index = ranked.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    columns = [c for c, kind in index.blocks.dtypes if kind == "binary"]
+    taken = sum(len(r[c]) for r in index.blocks.collect() for c in columns)
+    assert len(stored) == 1 and taken <= 0.6 * sum(len(t) for _, t in docs)
+
+
+def test_packed_numbers(spark):
+    for x in ([], [0], [255, 3], [256], [65535, 0], [65536], [2**32 - 1], [2**32, 7]):
+        assert ranked._unpacked(ranked._packed(ranked.np.array(x, ranked.np.int64))).tolist() == x
