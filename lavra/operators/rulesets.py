@@ -78,13 +78,17 @@ def comparison_matrix(jobs: DataFrame, sets: DataFrame, results: DataFrame, supp
 
     jobs: comparacao_id, molde_id; results: comparacao_id, fornecedor_id, regra_id, status, motivo, valor_tr, valor_proposta (of
     several for one rule the largest row counts); suppliers: id, nome. A set's rules travel as one array and are dealt out after the joins, so that no key holds
-    all pairs. Results of rules that the set doesn't have, and of unknown suppliers, aren't shown.
+    all pairs. A pair's results are listed after their shuffle alone, as listing makes them no fewer, and in falling order, so that a rule's first is its largest.
+    Results of rules that the set doesn't have, and of unknown suppliers, aren't shown.
     """
     listed = sets.select("molde_id", F.transform(rules_of(F.col("config")), lambda r: F.struct(r["id"].alias("id"), r["rotulo"].alias("rotulo"))).alias("rules"))
-    found = F.struct("regra_id", "status", "motivo", "valor_tr", "valor_proposta")
-    rows = results.groupBy("comparacao_id", "fornecedor_id").agg(F.collect_list(found).alias("found"))
+    values = ("regra_id", "status", "motivo", "valor_tr", "valor_proposta")
+    pair = Window.partitionBy("comparacao_id", "fornecedor_id").orderBy(*(F.desc_nulls_last(v) for v in values))
+    whole = pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = results.select("comparacao_id", "fornecedor_id", F.collect_list(F.struct(*values)).over(whole).alias("found"), F.row_number().over(pair).alias("__nth")).filter("__nth = 1").drop("__nth")
     rows = rows.join(jobs.select("comparacao_id", "molde_id"), "comparacao_id").join(suppliers.select(F.col("id").alias("fornecedor_id"), "nome"), "fornecedor_id").join(listed, "molde_id")
-    cell = rows.select("comparacao_id", "fornecedor_id", "nome", "found", F.posexplode("rules").alias("ord", "r")).withColumn("own", F.array_max(F.filter("found", lambda x: x["regra_id"] == F.col("r.id"))))
+    place = F.array_position(F.col("found.regra_id"), F.col("r.id"))
+    cell = rows.select("comparacao_id", "fornecedor_id", "nome", "found", F.posexplode("rules").alias("ord", "r")).withColumn("own", F.get("found", (place - 1).cast("int")))
     status, reason = F.coalesce("own.status", F.lit("atencao")), F.when(F.col("own.status").isNull(), MISSING_CELL).otherwise(F.col("own.motivo"))
     return cell.select("comparacao_id", "ord", F.col("r.id").alias("regra_id"), F.col("r.rotulo").alias("rotulo"), "fornecedor_id", "nome", status.alias("status"), reason.alias("motivo"), "own.valor_tr", "own.valor_proposta")
 

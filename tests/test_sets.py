@@ -55,6 +55,27 @@ def test_comparison_matrix_has_every_rule_of_its_own_set(spark):
     assert rulesets.comparison_matrix(jobs.limit(0), sets, results, suppliers).count() == 0
 
 
+def test_comparison_matrix_takes_the_largest_result(spark):
+    """Of several results with missing values, and without an aggregation that sorts all results before their shuffle."""
+    rng = random.Random(8)
+    ids = ["a", "b", "c", None]
+    config = json.dumps({"regras": [OK | {"id": i, "rotulo": i.upper()} for i in ids[:3]]})
+    sets = spark.createDataFrame([(1, config)], "molde_id long, config string")
+    jobs = spark.createDataFrame([(i, 1) for i in range(6)], "comparacao_id long, molde_id long")
+    suppliers = spark.createDataFrame([(i, f"s{i}") for i in range(4)], "id long, nome string")
+    few = lambda *x: rng.choice([None, *x])
+    rows = [(rng.randrange(6), rng.randrange(5), rng.choice(ids), few("ok", "falha"), few("x", "y"), few("1", "2"), few("3", "10")) for _ in range(400)]
+    results = spark.createDataFrame(rows, "comparacao_id long, fornecedor_id long, regra_id string, status string, motivo string, valor_tr string, valor_proposta string").repartition(3)
+    got = rulesets.comparison_matrix(jobs, sets, results, suppliers)
+    want = {}
+    for job, supplier in {r[:2] for r in rows if r[1] < 4}:
+        for i in ids[:3]:
+            own = max((r[3:] for r in rows if r[:3] == (job, supplier, i)), key=lambda r: [(x is not None, x or "") for x in r], default=(None,) * 4)
+            want[job, supplier, i] = (own[0] or "atencao", compliance.MISSING_CELL if own[0] is None else own[1], *own[2:])
+    assert {(r["comparacao_id"], r["fornecedor_id"], r["regra_id"]): (r["status"], r["motivo"], r["valor_tr"], r["valor_proposta"]) for r in got.collect()} == want
+    assert "partial_collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_the_grid_is_dealt_over_salts(spark):
     one = spark.createDataFrame([("a", "A", 0), ("b", "B", 1)], "regra_id string, rotulo string, ord int")
     suppliers = spark.createDataFrame([(i, f"s{i}") for i in range(40)] + [(None, "none")], "id long, nome string")
