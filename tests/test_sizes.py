@@ -61,6 +61,19 @@ def test_fused_ranks_by_tiles(spark, tmp_path, monkeypatch):
     same_as_sql(spark, tmp_path, "rrf_fusion", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
 
 
+def test_fused_ranks_by_partitions(spark, tmp_path, monkeypatch):
+    """Both sides of a tile meet in one task when the shuffle's partitions aren't made one again."""
+    monkeypatch.setattr(retrieval, "TILE_VECTORS", 300)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(5)
+        rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], rng.randrange(10)) for i in range(500)]
+        same_as_sql(spark, tmp_path, "rrf_fusion", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_articles_are_cut_without_a_shuffle(spark):
     text = "NADA\nArt. 1º a\n\n  SEÇÃO I\nB C\nArt. 2. b\nTÍTULO V\nSEÇÃO II\nc\nArt. 3-A d"
     laws = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "TÍTULO I\nA\nb\nC\nArt. 1 x\n" + chunk.FOOTER)], "doc_id int, text string")
