@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.llm import decontam, graph, jaccard, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
+from lavra.llm import decontam, graph, jaccard, mixing, neighbours, pii, quality, secrets, shared, suffixes, toxicity
 from lavra.llm import license as licenses
 from lavra.llm import text as tx
 from lavra.llm.queries import QUERIES
@@ -651,6 +652,16 @@ def test_connected_components(spark):
     assert len({found[i] for i in ids[:60]}) == 1 and len({found[i] for i in ids[60:100]}) == 1 and found[ids[0]] != found[ids[60]] and ids[100] not in found
 
 
+def test_component_rounds_keep_small_estimates(spark):
+    """The planner's size of the result doesn't grow by powers with the rounds, and no round's table stays."""
+    rng = random.Random(2)
+    ids = [rng.getrandbits(60) for _ in range(400)]
+    found = graph.connected_components(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long"))
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 1000
+    assert found.count() == 400 and found.select("root").distinct().count() == 1
+    assert not [p for p in os.listdir(shared.folder(spark).removeprefix("file:")) if p.startswith(("edges-", "parents-"))]
+
+
 # ---------------------------------------------------------------- 9
 
 
