@@ -293,7 +293,7 @@ def item_parts(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray, lis
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, missing: int = MISSING) -> DataFrame:
     """doc_id, n_words, n_hit, items and near (sorted names) and contaminated for every document."""
-    index, _ = shared.store(build_index(docs, window), "postings")
+    index, _ = shared.store(build_index(docs, window), "postings", large_rows=True)
     found = None
     for part in item_parts(benchmark):
         hits, _ = shared.store(search(index, Queries(part, window), slop, missing, window), "matches")

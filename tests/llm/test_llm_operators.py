@@ -4,11 +4,13 @@ import collections
 import hashlib
 import itertools
 import os
+import pathlib
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +450,16 @@ def test_words_that_defeat_polynomial_hashes(spark, n):
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {f"d{i}": v[1] for i, v in brute_dedup(texts, 200).items()}
 
 
+def test_index_rows_are_not_written_as_one_piece(spark, monkeypatch):
+    """A shard has megabytes: each ends its row group, where a hundred rows would be held, compressed and read at once."""
+    monkeypatch.setattr(shared, "ROW_GROUP", 1 << 20, raising=False)
+    folder = pathlib.Path(shared.folder(spark).removeprefix("file:"))
+    before = set(folder.glob("postings-*"))
+    decontam.decontaminate(frame(spark, ["ab " * 1_100_000] * 3).coalesce(1), spark.createDataFrame([(1, "x")], "item_id long, text string"))
+    (made,) = set(folder.glob("postings-*")) - before
+    assert [pq.ParquetFile(f).metadata.num_row_groups for f in made.glob("*.parquet")] == [3]
+
+
 # ---------------------------------------------------------------- 4
 
 
