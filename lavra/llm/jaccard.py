@@ -13,6 +13,12 @@ clusters. A cluster's texts meet in blocks of bounded size; there the prefixes
 of all orders are intersected, and what passes is verified on the whole sets,
 and each link once more on the words themselves.
 
+One order connects unlike documents by chance, the more the larger the corpus,
+until most of it is one cluster. So a cluster of many blocks is cut before its
+texts meet: its members are joined once more among themselves alone, under an
+order of its own, by counts of its own. Similar sets share a prefix shingle
+under that order too and stay together; this goes on while it cuts.
+
 `components` needs no pair that is connected already. A cluster of many blocks
 (more than FEW_BLOCKS) first meets block by block, each with a few pivots of the cluster. Most near
 copies are one component then; only documents outside of a cluster's largest
@@ -58,6 +64,8 @@ SKETCH, RANGES = 1 << 23, 128
 BUCKET_ROWS, HOT_ROWS, BLOCK_DOCS, PIVOTS = 200_000, 100_000, 512, 16
 #: Blocks up to which all pairs of a cluster's blocks simply meet; both ways give the same links.
 FEW_BLOCKS = 8
+#: A cut of the large clusters is followed by another if it leaves at most so much of them.
+CUT_TO = 0.9
 #: Parts that the rows of a common shingle are joined in.
 SALTS = 16
 #: Groups of up to so many documents are paired; larger ones are chained.
@@ -124,6 +132,29 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = 0) -> DataFr
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {id_type}, h long, n long, node long, other long, range int, counts binary")
 
 
+def within(sets: list[np.ndarray], batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The sets; where documents have a cluster, with shingles named anew by it, so that sets of two clusters share none."""
+    if "root" not in batch.schema.names:
+        return sets
+    return [tx.mix64(s ^ of) for s, of in zip(sets, tx.mix64(batch.column("root").to_numpy().view(np.uint64)), strict=True)]
+
+
+def sketch_within(members: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Each task's share of the sketch of the members' sets, within their clusters, as rows of (range, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, some = np.zeros(SKETCH, np.uint32), False
+        for batch in tx.blocks(batches):
+            some = True
+            sets = within(tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle), batch)
+            np.add.at(counts, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        if some:
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=["range", "counts"])
+
+    return members.select("text", "root").mapInArrow(run, "range int, counts binary")
+
+
 def sketch_levels(found: DataFrame) -> np.ndarray:
     """log2 of every counter, one byte each: SKETCH bytes, whatever the corpus."""
     size = SKETCH // RANGES
@@ -188,14 +219,19 @@ def bucket_edges(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.nda
 
 
 def clusters(docs: DataFrame, level: np.ndarray, sent: Broadcast, similar: int, rows: int, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
-    """(node, root): candidate clusters under the first order; sent: the levels; rows: about how many postings its prefixes have."""
+    """(node, root): candidate clusters under the first order; sent: the levels; rows: about how many postings its prefixes have.
+
+    docs: text alone; or with the node and root of each, then clusters within those roots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task count once
         for batch in tx.blocks(batches):
             node, size, tokens = [], [], []
-            for s in tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle):
-                if len(s) and (own := signature(s, seed)[0]) not in seen:
+            sets = tx.shingles(tx.words(batch.column("text"), tx.NONBLANK), shingle)
+            asked = batch.column("node").to_pylist() if "node" in batch.schema.names else [None] * len(sets)
+            for whole, s, only in zip(sets, within(sets, batch), asked, strict=True):
+                if len(s) and (own := signature(whole, seed)[0]) not in seen and only in (None, own):  # not another text of the same id
                     seen.add(own)
                     node.append(own)
                     size.append(len(s))
@@ -204,7 +240,7 @@ def clusters(docs: DataFrame, level: np.ndarray, sent: Broadcast, similar: int,
 
     # Shingles whose counter is below the bound surely have fewer postings; the others are counted.
     hot_level = int(math.log2(HOT_ROWS))
-    named = docs.filter("doc_id is not null").select("text").mapInArrow(run, "node long, n int, tokens array<long>")
+    named = docs.mapInArrow(run, "node long, n int, tokens array<long>")
     postings = named.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     suspects = np.flatnonzero(level >= hot_level)
     if len(suspects):
@@ -430,11 +466,40 @@ def _rest_with_all(placed: DataFrame) -> DataFrame:
     return met.select("doc_id", "node", "label", "copies", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
 
+def _cut(docs: DataFrame, nodes: DataFrame, found: DataFrame, similar: int, shingle: int, seed: int) -> DataFrame:
+    """The clusters (node, root), those of many blocks cut by further orders as long as that makes them smaller."""
+    one = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    postings, before, members, path = F.sum(F.col("n") * (100 - similar) / 100 + 1), None, None, None
+    while True:
+        roots = found.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > FEW_BLOCKS * BLOCK_DOCS)
+        roots = shared.checkpoint(roots.select("root"))
+        if roots.isEmpty():
+            break
+        large = shared.checkpoint(found.join(roots, "root").join(one, "node"))
+        left, rows = large.agg(F.count("*"), postings).first()
+        if before and left > CUT_TO * before:
+            break
+        texts = docs.select("doc_id", "text").join(large, "doc_id") if members is None else members.drop("root").join(large, "node")
+        members, new = shared.store(texts.select("node", "root", "text"), "large-clusters")
+        level = sketch_levels(sketch_within(members, shingle))
+        sent = docs.sparkSession.sparkContext.broadcast(level)
+        again = clusters(members, level, sent, similar, int(rows), shingle, seed)
+        found = shared.checkpoint(found.join(large.select("node"), "node", "left_anti").unionByName(again))
+        sent.unpersist()
+        if path:
+            shared.drop(docs.sparkSession, path)
+        before, path = left, new
+    if path:
+        shared.drop(docs.sparkSession, path)
+    return found
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, level: np.ndarray, similar: int = SIMILAR, shingle: int = SHINGLE, counted: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """(node, root) of all linked nodes; if counted, also (node, n) with parts of the number of documents that a node's are linked to."""
     sent = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
     rows = nodes.agg(F.sum(F.col("n") * (100 - similar) / 100 + 1)).first()[0] or 0
-    found = clusters(docs, level, sent, similar, int(rows), shingle, seed)
+    found = clusters(docs.filter("doc_id is not null").select("text"), level, sent, similar, int(rows), shingle, seed)
+    found = _cut(docs, nodes, found, similar, shingle, seed)
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
     copies = F.count_distinct("doc_id") if counted else F.lit(1).cast("long")
     first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), copies.alias("copies"))

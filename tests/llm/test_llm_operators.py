@@ -664,6 +664,22 @@ def test_connected_components(spark):
     assert len({found[i] for i in ids[:60]}) == 1 and len({found[i] for i in ids[60:100]}) == 1 and found[ids[0]] != found[ids[60]] and ids[100] not in found
 
 
+def test_large_clusters_are_cut(spark, monkeypatch):
+    """Texts that one order alone connects don't all meet; what is similar stays together."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(jaccard, "FEW_BLOCKS", 1)
+    monkeypatch.setattr(jaccard, "clusters", lambda docs, *rest, real=jaccard.clusters: real(docs, *rest) if "root" in docs.columns else everything)
+    met, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda docs, meetings, *rest: met.append(meetings.count()) or verified(docs, meetings, *rest))
+    texts = _families(6) + [" ".join(f"a{i}w{j}" for j in range(30)) for i in range(200)]
+    docs = frame(spark, texts)
+    named = jaccard.signatures(docs).filter("n > 0").select("node").distinct()
+    everything = shared.checkpoint(named.withColumn("root", F.lit(named.agg(F.min("node")).first()[0])))
+    rows = jaccard.components(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+    assert sum(met) < 10 * len(texts)
+
+
 def test_component_rounds_keep_small_estimates(spark):
     """The planner's size of the result doesn't grow by powers with the rounds, and no round's table stays."""
     rng = random.Random(2)
